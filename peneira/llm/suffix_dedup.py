@@ -14,11 +14,14 @@ every suffix; only the suffixes that are stored are thinned:
    scanned against each level already there, and enters as a level of size one;
    levels of equal size merge into one of twice the size. Where two blocks match,
    the later one is a repeat and leaves the index. At the end, blocks that share
-   a suffix with a different block may match in part.
-3. *Partly matching blocks* are few (the edges of copied passages). Their windows
-   are fingerprinted with 128 bits and the first place of each is found by a
-   partial aggregation.
-4. *Removal* joins these decisions with the texts.
+   a suffix with a different block may match in part. Windows whose suffix lies
+   at about the same offset have a long core in common; only the windows of a
+   core that both blocks share (by 16 bits of its hash) remain in doubt.
+3. *Doubtful windows* are few (the edges of copied passages). They are
+   fingerprinted with 128 bits and the first place of each is found by a partial
+   aggregation.
+4. *Removal* joins these decisions with the texts, once; only texts with doubtful
+   windows are written and joined again.
 
 A copied text of any number of copies sends one suffix per map task and block,
 since each map task drops the repeats among its own suffixes first, and no step
@@ -38,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,12 +51,17 @@ SEED = 24  # bytes of a suffix that deal it out and order it
 SPAN = 100
 #: Bytes worked on at once; arrays of eight bytes for each of them are held.
 CHUNK = 1 << 21
-#: loc packs checksum bits, the first window's offset and the count of further windows.
-TAG_BITS, START_BITS, RUN_BITS = 24, 32, 7
+#: loc packs checksum bits, the first window's offset, the count of further
+#: windows, and the offset of the suffix in the first window.
+TAG_BITS, START_BITS, RUN_BITS = 16, 32, 7
+TAG_AT, START_AT = START_BITS + 2 * RUN_BITS, 2 * RUN_BITS
+#: Ranges of the suffix's offset in its window; each has a core of its own.
+ARMS = 4
 NULL_ID = (1 << 63) - 1
 
-ENTRY = "p8 long, kh long, bh long, did long, loc long"
-FLAG = "did long, loc long, part boolean"
+ENTRY = "p8 long, kh long, bh long, arms long, did long, loc long"
+#: arms: bits of the ranges in doubt; 0 for a block that is a repeat.
+FLAG = "did long, loc long, arms long"
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -137,11 +146,22 @@ class Chunk:
         self.doc = np.searchsorted(starts, self.lo, "right") - 1
         self.kh = seeds[self.seed]
 
-    def entries(self) -> tuple[np.ndarray, np.ndarray]:
-        """First eight bytes of each block's suffix, and the block's fingerprint."""
+    def blocks(self) -> np.ndarray:
+        """Each block's fingerprint: its first and last window and its shape say it all."""
         shape = ((self.hi - self.lo) << 8 | (self.seed - self.lo)).astype(np.uint64)
         first, last = _span_hash(self.h, self.lo, self.span), _span_hash(self.h, self.hi, self.span)
-        return shape, _mix(first * _POW[2] + last * _POW[4] + shape * _POW[1])
+        return _mix(first * _POW[2] + last * _POW[4] + shape * _POW[1])
+
+    def arms(self) -> np.ndarray:
+        """16 bits of the hash of the core of each range of offsets; 0 where the block has no such window."""
+        out, wide = np.zeros(len(self.lo), np.uint64), -(-(self.span - SEED + 1) // ARMS)
+        for arm in range(ARMS):
+            least, most = arm * wide, min((arm + 1) * wide, self.span - SEED + 1) - 1
+            has = np.flatnonzero((self.seed - self.lo >= least) & (self.seed - self.hi <= most))
+            # every window with an offset in the range covers these bytes
+            core = _span_hash(self.h, self.seed[has] - least, self.span - (most - least))
+            out[has] |= ((core >> _U(48)) | _U(1)) << _U(16 * arm)
+        return out
 
 
 def _prefix8(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -169,8 +189,12 @@ def _tags(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.fromiter((zlib.crc32(view[a:b]) & mask for a, b in zip(starts, ends, strict=True)), np.int64, len(starts))
 
 
-def _locs(tags: np.ndarray, start: np.ndarray, run: np.ndarray) -> np.ndarray:
-    return (tags << (START_BITS + RUN_BITS)) | (start << RUN_BITS) | run
+def _locs(tags: np.ndarray, start: np.ndarray, run: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    return (tags << TAG_AT) | (start << START_AT) | (run << RUN_BITS) | seed
+
+
+def _start_run(locs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return locs >> START_AT & ((1 << START_BITS) - 1), locs >> RUN_BITS & ((1 << RUN_BITS) - 1)
 
 
 def _rows(kind: str, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -184,15 +208,15 @@ def _rows(kind: str, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
 class SuffixArray:
     """Suffixes in order, with the place of each block's first known occurrence."""
 
-    def __init__(self, key: np.ndarray, did: np.ndarray, loc: np.ndarray):
-        self.key, self.did, self.loc = key, did, loc
+    def __init__(self, key: np.ndarray, arms: np.ndarray, did: np.ndarray, loc: np.ndarray):
+        self.key, self.arms, self.did, self.loc = key, arms, did, loc
 
     @classmethod
-    def of(cls, p8, kh, bh, did, loc) -> tuple[SuffixArray, tuple[np.ndarray, np.ndarray]]:
+    def of(cls, p8, kh, bh, arms, did, loc) -> tuple[SuffixArray, tuple[np.ndarray, np.ndarray]]:
         """The array of a batch, and the places whose block is earlier in the batch."""
         key = np.ascontiguousarray(np.stack([p8, kh, bh], 1).astype(np.uint64).astype(">u8")).view("S24").ravel()
         order = np.lexsort((loc, did, bh.view(np.uint64), kh.view(np.uint64), p8.view(np.uint64)))
-        return cls(key[order], did[order], loc[order])._firsts()
+        return cls(key[order], arms[order], did[order], loc[order])._firsts()
 
     def _firsts(self) -> tuple[SuffixArray, tuple[np.ndarray, np.ndarray]]:
         """Needs the places of equal keys in order."""
@@ -202,7 +226,7 @@ class SuffixArray:
         head = np.maximum.accumulate(np.where(same, 0, np.arange(n)))
         # a place that is met twice is one occurrence
         late = same & ((self.did != self.did[head]) | (self.loc != self.loc[head]))
-        return SuffixArray(self.key[~same], self.did[~same], self.loc[~same]), (self.did[late], self.loc[late])
+        return SuffixArray(self.key[~same], self.arms[~same], self.did[~same], self.loc[~same]), (self.did[late], self.loc[late])
 
     def scan(self, level: SuffixArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Drops from either side the later one of each pair of equal blocks; gives its place."""
@@ -219,12 +243,12 @@ class SuffixArray:
         yield np.where(before, b, a)[~same], np.where(before, d, c)[~same]
         level.did[theirs], level.loc[theirs] = np.where(before, a, b), np.where(before, c, d)
         keep = ~hit
-        self.key, self.did, self.loc = self.key[keep], self.did[keep], self.loc[keep]
+        self.key, self.arms, self.did, self.loc = self.key[keep], self.arms[keep], self.did[keep], self.loc[keep]
 
     def merge(self, other: SuffixArray) -> SuffixArray:
         key = np.concatenate([self.key, other.key])
         order = np.argsort(key, kind="stable")
-        return SuffixArray(key[order], np.concatenate([self.did, other.did])[order], np.concatenate([self.loc, other.loc])[order])
+        return SuffixArray(key[order], *(np.concatenate([a, b])[order] for a, b in ((self.arms, other.arms), (self.did, other.did), (self.loc, other.loc))))
 
 
 class IndexFamily:
@@ -233,9 +257,9 @@ class IndexFamily:
     def __init__(self):
         self.levels: list[tuple[int, SuffixArray]] = []
 
-    def add(self, p8, kh, bh, did, loc) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def add(self, p8, kh, bh, arms, did, loc) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Takes a batch in; gives the places that repeat an earlier block."""
-        new, late = SuffixArray.of(p8, kh, bh, did, loc)
+        new, late = SuffixArray.of(p8, kh, bh, arms, did, loc)
         yield late
         for _, level in self.levels:
             yield from new.scan(level)
@@ -245,19 +269,33 @@ class IndexFamily:
             new, size = level.merge(new), 2 * size
         self.levels.append((size, new))
 
-    def partly(self) -> tuple[np.ndarray, np.ndarray]:
-        """Places of blocks whose suffix also heads a different block."""
+    def doubtful(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of blocks that may match a different block in part, with the ranges in question."""
         whole = None
         for _, level in reversed(self.levels):
             whole = level if whole is None else level.merge(whole)
+        none = np.zeros(0, np.int64)
         if whole is None or not len(whole.key):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        heads = whole.key.view(np.uint8).reshape(-1, 24)[:, :16].copy().view("S16").ravel()
+            return none, none, none
+        heads = np.ascontiguousarray(whole.key.view(np.uint8).reshape(-1, 24)[:, :16]).view("S16").ravel()
         same = heads[1:] == heads[:-1]
-        both = np.zeros(len(heads), bool)
-        both[1:] |= same
-        both[:-1] |= same
-        return whole.did[both], whole.loc[both]
+        run = np.concatenate([[0], np.cumsum(~same)])
+        met = np.zeros(len(heads), bool)
+        met[1:] |= same
+        met[:-1] |= same
+        rows = np.flatnonzero(met)
+        bits = np.zeros(len(rows), np.int64)
+        for arm in range(ARMS):
+            core = whole.arms.view(np.uint64)[rows] >> _U(16 * arm) & _U(0xFFFF)
+            both = (run[rows].astype(np.uint64) << _U(16)) | core
+            order = np.argsort(both, kind="stable")
+            equal = both[order][1:] == both[order][:-1]
+            shared = np.zeros(len(rows), bool)
+            shared[order[1:]] |= equal
+            shared[order[:-1]] |= equal
+            bits |= np.where(shared & (core > 0), 1 << arm, 0)
+        found = bits > 0
+        return whole.did[rows[found]], whole.loc[rows[found]], bits[found]
 
 
 def _sample(span: int):
@@ -265,9 +303,9 @@ def _sample(span: int):
         held: list[list[np.ndarray]] = []
 
         def flush():
-            p8, kh, bh, did, loc = (np.concatenate(x) for x in zip(*held, strict=True))
+            p8, kh, bh, arms, did, loc = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((loc, did, bh, kh))
-            p8, kh, bh, did, loc = (x[order] for x in (p8, kh, bh, did, loc))
+            p8, kh, bh, arms, did, loc = (x[order] for x in (p8, kh, bh, arms, did, loc))
             same = np.zeros(len(kh), bool)
             same[1:] = (kh[1:] == kh[:-1]) & (bh[1:] == bh[:-1])
             # repeats are known here: they go on by document, as negative places
@@ -275,7 +313,7 @@ def _sample(span: int):
             head = np.maximum.accumulate(np.where(same, 0, np.arange(len(kh))))
             twice = same & (did == did[head]) & (loc == loc[head])
             loc = np.where(same, ~loc, loc)
-            return [x[~twice] for x in (p8, kh, bh, did, loc)]
+            return [x[~twice] for x in (p8, kh, bh, arms, did, loc)]
 
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), utf8(batch.column(1))
@@ -283,9 +321,9 @@ def _sample(span: int):
                 c = Chunk(data, starts, ends, span)
                 if not len(c.lo):
                     continue
-                _, bh = c.entries()
                 tags = _tags(data, starts, ends)
-                held.append([_prefix8(data, c.seed), c.kh, bh, ids[rows][c.doc], _locs(tags[c.doc], c.lo - starts[c.doc], c.hi - c.lo)])
+                locs = _locs(tags[c.doc], c.lo - starts[c.doc], c.hi - c.lo, c.seed - c.lo)
+                held.append([_prefix8(data, c.seed), c.kh, c.blocks(), c.arms(), ids[rows][c.doc], locs])
             if sum(len(x[0]) for x in held) > 1_000_000:
                 yield from _rows(ENTRY, flush())
                 held.clear()
@@ -299,23 +337,23 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     family, held = IndexFamily(), []
 
     def take():
-        p8, kh, bh, did, loc = (np.concatenate(x) for x in zip(*held, strict=True))
+        batch = [np.concatenate(x) for x in zip(*held, strict=True)]
         held.clear()
-        for d, at in family.add(p8, kh, bh, did, loc):
-            yield from _rows(FLAG, [d, at, np.zeros(len(d), bool)])
+        for d, at in family.add(*batch):
+            yield from _rows(FLAG, [d, at, np.zeros(len(d), np.int64)])
 
     for batch in batches:
-        p8, kh, bh, did, loc = (batch.column(i).to_numpy() for i in range(5))
+        columns = [batch.column(i).to_numpy() for i in range(6)]
+        did, loc = columns[4:]
         known = loc < 0
         if known.any():
-            yield from _rows(FLAG, [did[known], ~loc[known], np.zeros(int(known.sum()), bool)])
-        held.append([x[~known] for x in (p8, kh, bh, did, loc)])
+            yield from _rows(FLAG, [did[known], ~loc[known], np.zeros(int(known.sum()), np.int64)])
+        held.append([x[~known] for x in columns])
         if sum(len(x[0]) for x in held) > 65_536:
             yield from take()
     if held:
         yield from take()
-    d, at = family.partly()
-    yield from _rows(FLAG, [d, at, np.ones(len(d), bool)])
+    yield from _rows(FLAG, list(family.doubtful()))
 
 
 def _spread(lists: pa.Array, row: int) -> np.ndarray:
@@ -323,115 +361,132 @@ def _spread(lists: pa.Array, row: int) -> np.ndarray:
     return np.zeros(0, np.int64) if value is None else value.to_numpy()
 
 
-def _windows(locs: np.ndarray) -> np.ndarray:
-    """Offsets of the windows of blocks."""
-    start, run = locs >> RUN_BITS & ((1 << START_BITS) - 1), locs & ((1 << RUN_BITS) - 1)
+def _windows(locs: np.ndarray, arms: np.ndarray, span: int) -> np.ndarray:
+    """Offsets of the windows in doubt."""
+    start, run = _start_run(locs)
     n = run + 1
-    return np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else start, n) + np.arange(int(n.sum()))
+    within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    offset = np.repeat(locs & ((1 << RUN_BITS) - 1), n) - within
+    arm = offset // -(-(span - SEED + 1) // ARMS)
+    return np.unique((np.repeat(start, n) + within)[np.repeat(arms, n) >> arm & 1 > 0])
 
 
 def _fingerprints(span: int):
-    """For each window of partly matching blocks: two hashes and its place."""
+    """For each window in doubt: two hashes and its place; for equal ones of a document the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), utf8(batch.column(1))
+            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            held: list[list[np.ndarray]] = []
             for row in range(batch.num_rows):
-                raw = texts[row].as_buffer()
-                data, locs = np.frombuffer(raw, np.uint8), _spread(batch.column(2), row)
-                tag = locs[0] >> (START_BITS + RUN_BITS)
-                at = _windows(np.sort(locs))
-                for i in range(0, len(at), 1 << 19):
-                    part = at[i : i + (1 << 19)]
-                    low = int(part[0])
-                    h = _rolled(data[low : int(part[-1]) + span])
-                    a = _span_hash(h, part - low, span)
-                    b = _mix(_span_hash(h, part - low, span - 33) * _POW[8] + _span_hash(h, part - low + span - 33, 33))
-                    yield from _rows("wa long, wb long, did long, at long", [a, b, np.full(len(part), ids[row]), (tag << START_BITS) | part])
+                data, locs = np.frombuffer(texts[row].as_buffer(), np.uint8), _spread(batch.column(2), row)
+                at = _windows(locs, _spread(batch.column(3), row), span)
+                cuts = [0, *(np.flatnonzero(np.diff(at) > 4096) + 1).tolist(), len(at)]
+                for part in (at[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)):
+                    for i in range(0, len(part), 1 << 19):
+                        some = part[i : i + (1 << 19)]
+                        low = int(some[0])
+                        h = _rolled(data[low : int(some[-1]) + span])
+                        a = _span_hash(h, some - low, span)
+                        b = _mix(_span_hash(h, some - low, span - 33) * _POW[8] + _span_hash(h, some - low + span - 33, 33))
+                        _, first = np.unique(a, return_index=True)
+                        held.append([a[first], b[first], np.full(len(first), ids[row]), (locs[0] >> TAG_AT << START_BITS) | some[first]])
+            if held:
+                yield from _rows("wa long, wb long, did long, at long", [np.concatenate(x) for x in zip(*held, strict=True)])
 
     return run
 
 
-def removed(text: bytes, repeats: np.ndarray, partly: np.ndarray, firsts: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, int]:
-    """Mask of bytes to remove, and the number of maximal removed runs."""
-    n = len(text)
+def removed(n: int, repeats: np.ndarray, doubtful: np.ndarray, firsts: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, int]:
+    """Mask of the ``n`` bytes to remove, and the number of maximal removed runs."""
     edge = np.zeros(n + 1, np.int32)
     if len(repeats):
-        start, run = repeats >> RUN_BITS & ((1 << START_BITS) - 1), repeats & ((1 << RUN_BITS) - 1)
+        start, run = _start_run(repeats)
         np.add.at(edge, start, 1)
         np.add.at(edge, start + run + span, -1)
-    if len(partly):
-        at = np.setdiff1d(_windows(partly), firsts & ((1 << START_BITS) - 1))
+    if len(doubtful):
+        at = np.setdiff1d(doubtful, firsts & ((1 << START_BITS) - 1))
         np.add.at(edge, at, 1)
         np.add.at(edge, at + span, -1)
     gone = np.cumsum(edge[:n]) > 0
     return gone, int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()) if n else 0
 
 
-def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
-    """Rows ``doc_id, text, repeats, partly, firsts``, from which ``removed`` tells the bytes to remove.
+def _digest(raw: bytes, gone: np.ndarray, spans: int) -> tuple:
+    kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if spans else raw
+    return len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()
 
-    ``span`` may be 48 to 150 bytes.
-    """
-    if not 48 <= span <= 150:
-        raise ValueError("span must be 48 to 150")
-    docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("did"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    tag = F.crc32("text").bitwiseAND((1 << TAG_BITS) - 1)
-    entries = docs.select("did", "text").mapInArrow(_sample(span), ENTRY)
-    flags = materialize(entries.repartition("kh").mapInArrow(_index, FLAG), "repeats")
-    by_doc = flags.groupBy("did", F.shiftrightunsigned("loc", START_BITS + RUN_BITS).alias("tag")).agg(
-        F.collect_list(F.when(~F.col("part"), F.col("loc"))).alias("repeats"), F.collect_list(F.when(F.col("part"), F.col("loc"))).alias("partly")
-    )
-    tagged = docs.withColumn("tag", tag).join(by_doc, ["did", "tag"], "left")
-    marked = materialize(tagged.where("repeats is not null"), "marked")
-    windows = marked.where("size(partly) > 0").select("did", "text", "partly").mapInArrow(_fingerprints(span), "wa long, wb long, did long, at long")
-    first = windows.groupBy("wa", "wb").agg(F.min(F.struct("did", "at")).alias("first")).select("first.*")
-    firsts = first.groupBy("did", F.shiftrightunsigned("at", START_BITS).alias("tag")).agg(F.collect_list("at").alias("firsts"))
-    clean = docs.withColumn("tag", tag).join(by_doc.select("did", "tag"), ["did", "tag"], "left_anti")
-    none = F.lit(None).cast("array<long>")
-    return (
-        marked.join(firsts, ["did", "tag"], "left")
-        .select("doc_id", "text", "repeats", "partly", "firsts")
-        .unionByName(clean.select("doc_id", "text", none.alias("repeats"), none.alias("partly"), none.alias("firsts")))
-    )
 
+def _rest(raw: bytes, gone: np.ndarray, spans: int) -> tuple:
+    # a character that loses a byte goes whole
+    return ((np.frombuffer(raw, np.uint8)[~gone].tobytes() if spans else raw).decode("utf-8", "ignore"),)
+
+
+DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+_TYPES = {"long": pa.int64(), "string": pa.string()}
+
+
+def _settle(finish, kind: str, span: int, last: bool):
+    """Finishes texts; those with windows in doubt only at the ``last`` stage."""
+    fields = [x.split() for x in kind.split(", ")]
 
-def _digests(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, rest = batch.column(1), [batch.column(i) for i in (2, 3, 4)]
-            out = []
+            out, wait = [], []
+            texts, repeats, doubtful, arms, firsts = (batch.column(x) for x in ("text", "repeats", "doubtful", "arms", "firsts"))
             for row in range(batch.num_rows):
+                locs = _spread(doubtful, row)
+                wait.append(bool(len(locs)) and not last)
+                if wait[-1]:
+                    out.append((None,) * len(fields))
+                    continue
                 raw = texts[row].as_buffer().to_pybytes()
-                gone, spans = removed(raw, *(_spread(x, row) for x in rest), span)
-                data = np.frombuffer(raw, np.uint8)
-                out.append((len(raw), int(gone.sum()), spans, hashlib.sha256(data[~gone].tobytes() if spans else raw).hexdigest()))
-            n, k, s, sha = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(s, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                at = _windows(locs, _spread(arms, row), span) if len(locs) else locs
+                out.append(finish(raw, *removed(len(raw), _spread(repeats, row), at, _spread(firsts, row), span)))
+            done = [pa.array(x, _TYPES[t]) for x, (_, t) in zip(zip(*out, strict=True) if out else [[]] * len(fields), fields, strict=True)]
+            if last:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *done], names=["doc_id", *(f for f, _ in fields)])
+                continue
+            hide = pa.array([not x for x in wait], pa.bool_())
+            rest = [pa.compute.if_else(hide, pa.scalar(None, c.type), c) for c in (texts, repeats, doubtful, arms)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *done, batch.column("did"), batch.column("tag"), *rest], names=["doc_id", *(f for f, _ in fields), "did", "tag", "text", "repeats", "doubtful", "arms"])
 
     return run
 
 
-def digests(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """Per document: its bytes, how many go in how many runs, and the SHA-256 of the rest."""
-    found = find_repeats(docs, span=span)
-    return found.mapInArrow(_digests(span), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+def dedup(docs: DataFrame, finish, kind: str, doc_id: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
+    """A row for each document: its id and what ``finish`` makes of its bytes.
 
+    ``finish(bytes, mask of removed bytes, number of runs)`` returns the columns
+    that ``kind`` names. ``span`` may be 64 to 150 bytes.
+    """
+    if not 64 <= span <= 150:
+        raise ValueError("span must be 64 to 150")
+    docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("did"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    entries = docs.select("did", "text").mapInArrow(_sample(span), ENTRY)
+    flags = entries.repartition("kh").mapInArrow(_index, FLAG)
+    by_doc = flags.groupBy("did", F.shiftrightunsigned("loc", TAG_AT).alias("tag")).agg(
+        F.collect_list(F.when(F.col("arms") == 0, F.col("loc"))).alias("repeats"), F.collect_list(F.when(F.col("arms") > 0, F.struct("loc", "arms"))).alias("open")
+    )
+    by_doc = by_doc.select("did", "tag", "repeats", F.col("open.loc").alias("doubtful"), F.col("open.arms").alias("arms"))
+    tag = F.crc32("text").bitwiseAND((1 << TAG_BITS) - 1)
+    none = F.lit(None).cast("array<long>")
+    joined = docs.withColumn("tag", tag).join(by_doc, ["did", "tag"], "left").withColumn("firsts", none)
+    later = "did long, tag long, text string, repeats array<long>, doubtful array<long>, arms array<long>"
+    settled = materialize(joined.mapInArrow(_settle(finish, kind, span, False), f"doc_id long, {kind}, {later}"), "settled")
+    waiting = settled.where("text is not null").select("doc_id", "did", "tag", "text", "repeats", "doubtful", "arms")
+    windows = waiting.select("did", "text", "doubtful", "arms").mapInArrow(_fingerprints(span), "wa long, wb long, did long, at long")
+    first = windows.groupBy("wa", "wb").agg(F.min(F.struct("did", "at")).alias("first")).select("first.*")
+    firsts = first.groupBy("did", F.shiftrightunsigned("at", START_BITS).alias("tag")).agg(F.collect_list("at").alias("firsts"))
+    rest = waiting.join(firsts, ["did", "tag"], "left").mapInArrow(_settle(finish, kind, span, True), f"doc_id long, {kind}")
+    return settled.where("text is null").select(*rest.columns).unionByName(rest)
 
-def _kept(span: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, rest, out = batch.column(1), [batch.column(i) for i in (2, 3, 4)], []
-            for row in range(batch.num_rows):
-                raw = texts[row].as_buffer().to_pybytes()
-                gone, spans = removed(raw, *(_spread(x, row) for x in rest), span)
-                # a character that loses a byte goes whole
-                out.append(np.frombuffer(raw, np.uint8)[~gone].tobytes().decode("utf-8", "ignore") if spans else raw.decode("utf-8", "ignore"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
 
-    return run
+def digests(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """Per document: its bytes, how many go in how many runs, and the SHA-256 of the rest."""
+    return dedup(docs, _digest, DIGEST, span=span)
 
 
 def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """Rows ``doc_id, text`` with repeated bytes removed; characters cut in two go whole."""
-    return find_repeats(docs, span=span).mapInArrow(_kept(span), "doc_id long, text string")
+    return dedup(docs, _rest, "kept string", span=span).withColumnRenamed("kept", "text")
