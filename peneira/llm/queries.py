@@ -38,6 +38,14 @@ def op7_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from peneira.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from peneira.llm.ngram_join import near_duplicates
 
@@ -50,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_extendible_sharding": op7_extendible_sharding,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
