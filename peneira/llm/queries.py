@@ -29,6 +29,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents")).drop("n_left", "removed_lines")
 
 
+def op5_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from peneira.llm.rule_ensemble import score
+
+    return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantised(_table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
@@ -46,6 +52,17 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels mark the page of the same number; a bad page is one of quality 0."""
+    from pyspark.sql import functions as F
+
+    from peneira.llm.url_rules import judge
+
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
+    return judge(pages, pages.join(labels, "page_id").select("url", "bad"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from peneira.llm.ngram_join import near_duplicates
 
@@ -56,9 +73,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_rule_ensemble": op5_rule_ensemble,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_extendible_sharding": op7_extendible_sharding,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_url_rules": op9_url_rules,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
