@@ -90,8 +90,8 @@ def quotas(cells: DataFrame, block_words: int, most_repeats: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most_repeats: int = MOST_REPEATS, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS, seed: int = 17) -> DataFrame:
-    """Per row: doc_id, size, source, source_size, target, shard, and ``taken``, the words that the mix takes."""
-    sized = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "source", "text", F.lit(seed)).alias("draw")), "sizes")
+    """Per row: doc_id, size, source, source_size, target, shard, ``mark`` (a hash of the text), and ``taken``, the words that the mix takes."""
+    sized = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "source", "text", F.lit(seed)).alias("draw"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")), "sizes")
     sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most_repeats)
     total = sized.agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-int(total) // shard_words))
@@ -129,4 +129,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
     placed = placed.withColumns({"step": step, "turn": turn, "firsts": passes})
     taken = sum((covered(i) for i in range(1, most_repeats)), covered(0))
-    return placed.select("doc_id", "size", "source", "source_size", "target", "shard", taken.cast("long").alias("taken"))
+    return placed.select("doc_id", "size", "source", "source_size", "target", "shard", "mark", taken.cast("long").alias("taken"))
+
+
+def whole_copies(mixed: DataFrame, seed: int = 17) -> DataFrame:
+    """Adds ``copies``, so that whole documents come near the words that the mix takes.
+
+    In each shard and source, the shares taken of the documents are summed from the
+    shortest to the longest document, and a document has as many copies as whole
+    numbers are passed at it, counted from a seeded start: documents of about equal
+    length make up for each other. At most one more copy than the share is made.
+    """
+    cell = Window.partitionBy("shard", "source")
+    order = cell.orderBy("size", "doc_id", "mark")
+    start = F.pmod(F.xxhash64("shard", "source", F.lit(seed)), F.lit(MICRO))
+    share = F.when(F.col("size") > 0, F.round(F.col("taken") * MICRO / F.col("size")).cast("long")).otherwise(0)
+    upto = F.sum(share).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + start
+    return mixed.withColumn("copies", (F.floor(upto / MICRO) - F.floor((upto - share) / MICRO)).cast("int"))

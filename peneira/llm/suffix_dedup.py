@@ -426,8 +426,8 @@ DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _TYPES = {"long": pa.int64(), "string": pa.string()}
 
 
-def _settle(finish, kind: str, span: int, last: bool):
-    """Finishes texts; those with windows in doubt only at the ``last`` stage."""
+def _settle(finish, kind: str, keep: list[str], span: int, last: bool):
+    """Finishes texts; those with windows in doubt only at the ``last`` stage. Passes ``keep`` on."""
     fields = [x.split() for x in kind.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -444,25 +444,28 @@ def _settle(finish, kind: str, span: int, last: bool):
                 at = _windows(locs, _spread(arms, row), span) if len(locs) else locs
                 out.append(finish(raw, *removed(len(raw), _spread(repeats, row), at, _spread(firsts, row), span)))
             done = [pa.array(x, _TYPES[t]) for x, (_, t) in zip(zip(*out, strict=True) if out else [[]] * len(fields), fields, strict=True)]
+            kept = [batch.column(c) for c in keep]
             if last:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *done], names=["doc_id", *(f for f, _ in fields)])
+                yield pa.RecordBatch.from_arrays([*kept, *done], names=[*keep, *(f for f, _ in fields)])
                 continue
             hide = pa.array([not x for x in wait], pa.bool_())
             rest = [pa.compute.if_else(hide, pa.scalar(None, c.type), c) for c in (texts, repeats, doubtful, arms)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *done, batch.column("did"), batch.column("tag"), *rest], names=["doc_id", *(f for f, _ in fields), "did", "tag", "text", "repeats", "doubtful", "arms"])
+            yield pa.RecordBatch.from_arrays([*kept, *done, batch.column("did"), batch.column("tag"), *rest], names=[*keep, *(f for f, _ in fields), "did", "tag", "text", "repeats", "doubtful", "arms"])
 
     return run
 
 
-def dedup(docs: DataFrame, finish, kind: str, doc_id: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
-    """A row for each document: its id and what ``finish`` makes of its bytes.
+def dedup(docs: DataFrame, finish, kind: str, keep: list[str], doc_id: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
+    """A row for each document: the columns ``keep`` and what ``finish`` makes of its bytes.
 
     ``finish(bytes, mask of removed bytes, number of runs)`` returns the columns
     that ``kind`` names. ``span`` may be 64 to 150 bytes.
     """
     if not 64 <= span <= 150:
         raise ValueError("span must be 64 to 150")
-    docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("did"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    own = [f"keep{i}" for i in range(len(keep))]
+    kept = ", ".join(f"{o} {docs.schema[c].dataType.simpleString()}" for o, c in zip(own, keep, strict=True))
+    docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("did"), F.coalesce(F.col(text), F.lit("")).alias("text"), *(F.col(c).alias(o) for o, c in zip(own, keep, strict=True)))
     entries = docs.select("did", "text").mapInArrow(_sample(span), ENTRY)
     flags = entries.repartition("kh").mapInArrow(_index, FLAG)
     by_doc = flags.groupBy("did", F.shiftrightunsigned("loc", TAG_AT).alias("tag")).agg(
@@ -473,20 +476,22 @@ def dedup(docs: DataFrame, finish, kind: str, doc_id: str = "doc_id", text: str
     none = F.lit(None).cast("array<long>")
     joined = docs.withColumn("tag", tag).join(by_doc, ["did", "tag"], "left").withColumn("firsts", none)
     later = "did long, tag long, text string, repeats array<long>, doubtful array<long>, arms array<long>"
-    settled = materialize(joined.mapInArrow(_settle(finish, kind, span, False), f"doc_id long, {kind}, {later}"), "settled")
-    waiting = settled.where("text is not null").select("doc_id", "did", "tag", "text", "repeats", "doubtful", "arms")
+    settled = materialize(joined.mapInArrow(_settle(finish, kind, own, span, False), f"{kept}, {kind}, {later}"), "settled")
+    waiting = settled.where("text is not null").select(*own, "did", "tag", "text", "repeats", "doubtful", "arms")
     windows = waiting.select("did", "text", "doubtful", "arms").mapInArrow(_fingerprints(span), "wa long, wb long, did long, at long")
     first = windows.groupBy("wa", "wb").agg(F.min(F.struct("did", "at")).alias("first")).select("first.*")
     firsts = first.groupBy("did", F.shiftrightunsigned("at", START_BITS).alias("tag")).agg(F.collect_list("at").alias("firsts"))
-    rest = waiting.join(firsts, ["did", "tag"], "left").mapInArrow(_settle(finish, kind, span, True), f"doc_id long, {kind}")
-    return settled.where("text is null").select(*rest.columns).unionByName(rest)
+    rest = waiting.join(firsts, ["did", "tag"], "left").mapInArrow(_settle(finish, kind, own, span, True), f"{kept}, {kind}")
+    every = settled.where("text is null").select(*rest.columns).unionByName(rest)
+    return every.withColumnsRenamed(dict(zip(own, keep, strict=True)))
 
 
 def digests(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """Per document: its bytes, how many go in how many runs, and the SHA-256 of the rest."""
-    return dedup(docs, _digest, DIGEST, span=span)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return dedup(docs, _digest, DIGEST, ["doc_id"], span=span)
 
 
-def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """Rows ``doc_id, text`` with repeated bytes removed; characters cut in two go whole."""
-    return dedup(docs, _rest, "kept string", span=span).withColumnRenamed("kept", "text")
+def without_repeats(docs: DataFrame, keep: list[str], span: int = SPAN) -> DataFrame:
+    """The columns ``keep``, and ``kept_text`` with repeated bytes removed; characters cut in two go whole."""
+    return dedup(docs, _rest, "kept_text string", keep, span=span)
