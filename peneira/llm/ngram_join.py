@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peneira.llm.common import materialize, utf8, whole_groups
@@ -44,6 +44,10 @@ RECALL = 0.9995
 MOST_HASHES = 128
 #: Members and shingles of a block; a task holds two blocks at a time.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 1 << 20
+#: Size of the bitmap of members that the tasks get (4 MB): it spares most texts
+#: the way through a shuffle; an exact join follows, so with more members than
+#: bits it only spares fewer.
+FILTER_BITS = 1 << 25
 
 _U = np.uint64
 
@@ -127,17 +131,35 @@ def _sketch(n: int, bands: int, rows: int):
     return run
 
 
-def _sets(n: int):
+def _sets(n: int, filter_):
+    """Shingle sets of the documents that may be members: those whose bit is set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
+        words, bits = _Words(), np.frombuffer(filter_.value, np.uint8)
         for batch in batches:
-            texts = utf8(batch.column(1))
-            sets = [shingles(texts[row].as_buffer().to_pybytes(), words, n).tobytes() for row in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+            at = batch.column(1).to_numpy()
+            rows = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            texts = utf8(batch.column(2))
+            sets = [shingles(texts[int(row)].as_buffer().to_pybytes(), words, n).tobytes() for row in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(sets, pa.binary())], names=["rep", "shingles"])
 
     return run
 
 
+def _bit() -> Column:
+    return F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(FILTER_BITS))
+
+
+def _filter(members: DataFrame) -> bytes:
+    """A bitmap of FILTER_BITS bits with those of the members set."""
+    out = bytearray(FILTER_BITS // 8)
+    size = 4096
+    rows = members.groupBy(F.bitmap_bucket_number(_bit() + 1).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(_bit() + 1)).alias("bits"))
+    for row in rows.collect():
+        out[(row.n - 1) * size : row.n * size] = row.bits
+    return bytes(out)
+
+
 def _common(sets: list[np.ndarray], left: int) -> np.ndarray:
     """Sizes of the intersections of the first ``left`` sets (rows) with the others, or of all with all if ``left`` is 0."""
     rows, cols = (sets[:left], sets[left:]) if left else (sets, sets)
@@ -257,8 +279,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK_MEMBERS, F.col("weight") / BLOCK_SHINGLES)).cast("int")
     kept = once.select("b.bucket", blocks.alias("blocks"))
     members = materialize(dealt.select("rep", "band", "bucket").join(kept, "bucket"), "members")
-    texts = docs.select(F.col("did").alias("rep"), "text").join(members.select("rep").distinct(), "rep", "left_semi")
-    sets = texts.mapInArrow(_sets(n), "rep long, shingles binary").groupBy("rep").agg(F.first("shingles").alias("shingles"))
+    maybe = docs.sparkSession.sparkContext.broadcast(_filter(members))
+    sets = docs.select(F.col("did").alias("rep"), "text").select("rep", _bit().alias("bit"), "text").mapInArrow(_sets(n, maybe), "rep long, shingles binary")
+    sets = sets.join(members.select("rep").distinct(), "rep", "left_semi").groupBy("rep").agg(F.first("shingles").alias("shingles"))
     member = materialize(sets.join(reps.groupBy("rep").agg(F.first("bands").alias("bands")), "rep"), "sets")
     own = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int")
     spread = members.withColumn("block", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("bucket", "band", "rep", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
