@@ -10,8 +10,9 @@ from peneira.functions.normalize import after, around, before, contains_any, fol
 from peneira.operators import vocabulary as V
 
 FINDING = ("tipo", "valor", "confianca", "peso", "inicio", "fim", "source", "ord")
-_CAPITAL = r"([A-Z][a-záéíóúàèìòùâêîôûãõç]+(?:\s+[A-Z][a-záéíóúàèìòùâêîôûãõç]+)*)"
-_SIGNED = r"(?iuU)(?:grat[ao]|atenciosamente|obrigad[ao]|cordialmente|respeitosamente)[,\s]+([A-ZÀ-Ú][a-záéíóúàâêôãõç]+(?:\s+(?:da|de|do|dos|das|e)?\s*[A-ZÀ-Ú][a-záéíóúàâêôãõç]+)+)"
+# Repeated groups are bounded, since Java goes one call deeper for each.
+_CAPITAL = r"([A-Z][a-záéíóúàèìòùâêîôûãõç]+(?:\s+[A-Z][a-záéíóúàèìòùâêîôûãõç]+){0,30})"
+_SIGNED = r"(?iuU)(?:grat[ao]|atenciosamente|obrigad[ao]|cordialmente|respeitosamente)[,\s]+([A-ZÀ-Ú][a-záéíóúàâêôãõç]+(?:\s+(?:da|de|do|dos|das|e)?\s*[A-ZÀ-Ú][a-záéíóúàâêôãõç]+){1,40})"
 _SIGNED_NOT = ("distrito federal", "secretaria", "governo", "ministério", "tribunal", "defensoria", "procuradoria", "polícia", "companhia", "universidade", "equipe", "atendimento", "setor", "departamento", "coordenação", "gerência", "diretoria", "assessoria", "ouvidoria", "central")
 #: Source of findings and the place of their kind in the order that settles ties.
 HEURISTIC, TRIGGER = 1000, 2000
@@ -56,9 +57,9 @@ def _found(tipo: str, value: Column, confidence: float, weight: int, start: Colu
     return F.when(test, F.struct(*(v.alias(k) for k, v in fields.items())))
 
 
-def _whole(text: Column, pattern: str) -> tuple[Column, Column, Column]:
-    """First match, its start, its end."""
-    m = F.regexp_extract(text, pattern, 0)
+def _whole(text: Column, pattern: str, guard: str) -> tuple[Column, Column, Column]:
+    """First match, its start, its end; texts without a match of the cheap ``guard`` have none."""
+    m = F.when(text.rlike(guard), F.regexp_extract(text, pattern, 0)).otherwise("")
     start = F.when(m != "", F.length(F.get(F.split(text, pattern, 2), F.lit(0))))
     return m, start, start + F.length(m)
 
@@ -75,23 +76,23 @@ def heuristics(docs: DataFrame, text: str = "text") -> DataFrame:
     h1 = _found("DADO_SAUDE", F.lit("Tratamento de câncer"), 0.95, 5, F.lit(0), F.length(t), HEURISTIC, cancer)
 
     minor = r"(\b[A-Za-zÀ-ÿ]+)[\s,]+([0-9]{1,2})\s*anos"
-    m, start, end = _whole(t, minor)
-    name, age = F.regexp_extract(t, minor, 1), F.nullif(F.regexp_extract(t, minor, 2), F.lit("")).cast("int")
+    m, start, end = _whole(t, minor, "anos")
+    name, age = F.regexp_extract(m, minor, 1), F.nullif(F.regexp_extract(m, minor, 2), F.lit("")).cast("int")
     young = (m != "") & name.rlike(r"^\p{Lu}") & (age < 18) & F.lower(around(t, start, end, 20, 40)).rlike(r"estudante|aluno|aluna|menor|crian[çc]a|escola|ec\s*\d")
     h2 = _found("MENOR_IDENTIFICADO", F.concat(name, F.lit(", "), age.cast("string"), F.lit(" anos")), 0.95, 5, start, end, HEURISTIC + 1, young)
 
-    informed = r"(?iu)([A-Za-zÀ-ÿ]+(?:\s+[A-Za-zÀ-ÿ]+)+)[^.]{0,50}(?:seu\s+cpf|seu\s+documento|informou\s+(?:seu\s+)?cpf)"
-    m, start, _ = _whole(t, informed)
-    name = F.regexp_extract(t, informed, 1)
+    informed = r"(?iu)([A-Za-zÀ-ÿ]+(?:\s+[A-Za-zÀ-ÿ]+){1,60})[^.]{0,50}(?:seu\s+cpf|seu\s+documento|informou\s+(?:seu\s+)?cpf)"
+    m, start, _ = _whole(t, informed, r"(?iu)seu\s+cpf|seu\s+documento|informou\s+cpf")
+    name = F.regexp_extract(m, informed, 1)
     h3 = _found("NOME", name, 0.90, 4, start, start + F.length(name), HEURISTIC + 2, (m != "") & name.rlike(r"^\p{Lu}") & F.contains(name, F.lit(" ")) & ~suppressed(name))
 
     citizen = r"cidad[ãa]o[^.]{0,30}identificado[^.]{0,20}(?:como|por)\s+([A-ZÀ-Ú][a-záéíóúàâêôãõç]+)"
-    m, _, end = _whole(t, citizen)
-    name = F.regexp_extract(t, citizen, 1)
+    m, _, end = _whole(t, citizen, "identificado")
+    name = F.regexp_extract(m, citizen, 1)
     h4 = _found("NOME", name, 0.85, 4, end - F.length(name), end, HEURISTIC + 3, (m != "") & ~suppressed(name))
 
-    m, _, end = _whole(t, _SIGNED)
-    name = F.trim(F.regexp_extract(t, _SIGNED, 1))
+    m, _, end = _whole(t, _SIGNED, "(?iu)grat[ao]|atenciosamente|obrigad[ao]|cordialmente|respeitosamente")
+    name = F.trim(F.regexp_extract(m, _SIGNED, 1))
     real = F.size(F.filter(F.split(name, r"\s+"), lambda w: ~F.lower(w).isin("da", "de", "do", "dos", "das", "e"))) >= 2
     h5 = _found("NOME", name, 0.90, 4, end - F.length(name), end, HEURISTIC + 4, (m != "") & real & ~contains_any(F.lower(name), _SIGNED_NOT) & ~suppressed(name))
 
