@@ -1,7 +1,7 @@
 """Packing token sequences: Martello-Toth dominance reduction, then best fit.
 
-1. Texts are tokenised (white-space separated pieces are encoded once per worker
-   and remembered); a document's ids and the end id are cut into pieces of at most
+1. Texts are tokenised (pieces between white space are encoded once per worker and
+   remembered, within bounds); a document's ids and the end id are cut into pieces of at most
    ``capacity`` ids. What is kept of a piece is its place, length and checksum,
    with its rank among its task's pieces of that length.
 2. Only lengths matter for packing, and there are at most ``capacity`` of them.
@@ -21,6 +21,8 @@ each; a null id is carried; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -34,36 +36,128 @@ from peneira.llm.common import materialize, utf8
 
 CAPACITY = 2048
 END_ID = 0
-#: Words that a worker remembers, twice over.
-REMEMBERED = 300_000
+#: Pieces that a worker remembers, twice over: about 80 MB.
+REMEMBERED = 200_000
 
 Pattern = tuple[tuple[int, int], ...]
 
 
-class _Ids(dict):
-    """The ids of white-space separated pieces as bytes, in two generations."""
+class _Known:
+    """A bounded memory in two generations."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.old = Tokenizer.from_file(path), {}
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self) > REMEMBERED:
-            self.old = dict(self)
-            self.clear()
-        new = []
-        for w in words:
-            if w in self.old:
-                self[w] = self.old[w]
-            else:
-                new.append(w)
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        for w, e in zip(new, encoded, strict=True):
-            self[w] = np.array(e.ids, "<u4").tobytes()
+    def __init__(self, most: int = REMEMBERED):
+        self.most, self.new, self.old = most, {}, {}
+
+    def recall(self, keys: set) -> dict:
+        """Those of the keys that the older generation has; they are kept on."""
+        old = self.old
+        found = {k: old[k] for k in keys if k in old} if old else {}
+        self.new.update(found)
+        return found
+
+    def age(self) -> None:
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+
+
+class _Encoder:
+    """The ids of texts, as bytes, put together from those of pieces between white space.
 
+    A mark at the end of a letter run is a piece of the tokenizer's own, so it is cut
+    off first; and since the tokenizer lower-cases, so is the text. New letter runs are
+    encoded many at a time; ids that end a piece tell them apart. Whatever is not so
+    plain is encoded as it stands, and so is a text that may hold a special token.
+    """
+
+    _MARKS = '.,;:!?*#$%&|()"-'
+    _END = re.compile(rb"[.,!?;:](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))(?=[ \t\n\x0b\x0c\r]|\Z)")
 
-_WORKER: dict[str, _Ids] = {}
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.tokenizer = Tokenizer.from_file(path)
+        # the same model for lower-case letter runs, which need no other preparation
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.words, self.tails = _Known(), {}
+
+    def _encode(self, texts: list[str], bare: bool = False) -> list[list[int]]:
+        return [e.ids for e in (self.bare if bare else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, runs: list[str]) -> Iterator[bytes]:
+        """The ids of each lower-case letter run."""
+        groups = [runs[i : i + 64] for i in range(0, len(runs), 64)]
+        for group, ids in zip(groups, self._encode([" ".join(g) for g in groups], bare=True), strict=True):
+            flat = np.array(ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[flat]) + 1).tolist() if len(flat) else []
+            if len(cuts) == len(group):
+                raw, i = flat.tobytes(), 0
+                for j in cuts:
+                    yield raw[4 * i : 4 * j]
+                    i = j
+            else:
+                yield from (np.array(x, "<u4").tobytes() for x in self._encode(group))
+
+    def _learn(self, fresh: set[bytes]) -> dict[bytes, bytes]:
+        known = self.words.recall(fresh)
+        plain, marked, other, marks = {}, [], [], self._MARKS
+        for w in fresh.difference(known) if known else fresh:
+            s = w.decode().lower()
+            run = s.rstrip(marks)
+            if run.isalpha() and (run.isascii() or max(run) <= "\u00ff"):
+                if len(run) == len(s):
+                    plain[w] = s
+                else:
+                    marked.append((w, run, s[len(run) :]))
+            else:
+                other.append((w, s))
+        runs = {run for _, run, _ in marked}.difference(plain.values())
+        every = [*plain.values(), *runs]
+        ids = dict(zip(every, self._letters(every), strict=True))
+        met = {w: ids[s] for w, s in plain.items()}
+        met.update((run.encode(), ids[run]) for run in runs)
+        for w, run, tail in marked:
+            if tail not in self.tails:
+                self.tails[tail] = np.array(self._encode([tail])[0], "<u4").tobytes()
+            met[w] = ids[run] + self.tails[tail]
+        for (w, _), x in zip(other, self._encode([s for _, s in other]), strict=True):
+            met[w] = np.array(x, "<u4").tobytes()
+        if len(self.tails) > REMEMBERED:
+            self.tails.clear()
+        self.words.new.update(met)
+        return known | met if known else met
+
+    def _parts(self, text: bytes) -> list[bytes]:
+        return self._END.sub(rb" \g<0>", text.lower()).split()
+
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of each text."""
+        self.words.age()
+        get, fresh, found = self.words.new.get, set(), []
+        for text in texts:
+            if b"<|" in text:
+                found.append((text, None, None))
+                continue
+            words = self._parts(text)
+            values = list(map(get, words))
+            holes = [i for i, v in enumerate(values) if v is None] if None in values else []
+            fresh.update([words[i] for i in holes])
+            found.append((words, values, holes))
+        learned = self._learn(fresh)
+        for words, values, holes in found:
+            if values is None:
+                yield np.array(self.tokenizer.encode(words.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+                continue
+            for i in holes:
+                values[i] = learned[words[i]]
+            yield b"".join(values)
+
+
+_WORKER: dict[str, _Encoder] = {}
 
 
 def ids_of(texts: list[bytes], path: str) -> Iterator[bytes]:
@@ -72,14 +166,11 @@ def ids_of(texts: list[bytes], path: str) -> Iterator[bytes]:
     The tokenizer drops white space and never joins across it, so pieces between
     ASCII white space are encoded apart.
     """
-    known = _WORKER.get(path)
-    if known is None:
-        known = _WORKER[path] = _Ids(path)
-    for low in range(0, len(texts), 64):
-        split = [t.split() for t in texts[low : low + 64]]
-        known.learn(set().union(*split).difference(known))
-        for words in split:
-            yield b"".join(map(known.__getitem__, words))
+    encoder = _WORKER.get(path)
+    if encoder is None:
+        encoder = _WORKER[path] = _Encoder(path)
+    for low in range(0, len(texts), 512):
+        yield from encoder.encode(texts[low : low + 512])
 
 
 def _pieces(path: str, capacity: int, end_id: int):
