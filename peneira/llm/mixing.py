@@ -3,7 +3,8 @@
 1. ``source_targets`` turns weights into a target of words for each source:
    shares by weight, at most ``most_repeats`` times the source's size, the excess
    shared again by weight until nobody is above.
-2. Documents are dealt to shards of about ``shard_words`` words by a seeded hash.
+2. Documents are dealt to shards of about ``shard_words`` words (more if there are
+   many sources) by a seeded hash.
    In a shard, each source has its share of its target. The shard's blocks of
    ``block_words`` words go to its sources by the highest quotients
    target / (2 k + 1): integer quotas for each shard.
@@ -35,6 +36,8 @@ SHARE = 1.5
 MOST_REPEATS = 2
 SHARD_WORDS = 1 << 16
 BLOCK_WORDS = 16
+#: Words of a shard for each source, at least.
+CELL_WORDS = 2048
 MICRO = 1_000_000
 #: Primes above any number of blocks in a shard, steps of the bijections.
 STEPS = (1_000_003, 1_299_709, 1_500_007, 1_999_993)
@@ -69,7 +72,7 @@ def quotas(cells: DataFrame, block_words: int, most_repeats: int) -> DataFrame:
 
     ``aim`` is in millionths of a word, a whole number, so that sums don't depend on order.
     A shard has as many seats as its aims fill; a source has no more than its ring
-    has whole blocks. Only the seats that rounding can move are ranked: a shard of
+    has blocks, of which the last may be short. Only the seats that rounding can move are ranked: a shard of
     S sources moves at most (S + 1) / 2 seats in sum.
     """
     shard = Window.partitionBy("shard")
@@ -77,7 +80,7 @@ def quotas(cells: DataFrame, block_words: int, most_repeats: int) -> DataFrame:
     seats = F.round(F.sum("aim").over(shard) / block_words).cast("long")
     slack = (F.count("*").over(shard) + 1) * block_words / (2 * F.greatest(F.sum("aim").over(shard), F.lit(1)))
     exact = F.col("aim") / block_words
-    blocks = F.floor(F.col("words") * (most_repeats * MICRO) / block_words).cast("long")
+    blocks = F.ceil(F.col("words") * (most_repeats * MICRO) / block_words).cast("long")
     low = F.least(F.greatest(F.floor(exact * (1 - F.least(F.col("slack"), F.lit(1.0))) - 1), F.lit(0)).cast("long"), F.col("blocks"))
     high = F.least(F.ceil(exact * (1 + F.least(F.col("slack"), F.lit(1.0))) + 1).cast("long"), F.col("blocks"))
     sized = cells.withColumns({"seats": seats, "slack": slack, "blocks": blocks}).withColumns({"low": low, "high": high})
@@ -94,6 +97,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     sized = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "source", "text", F.lit(seed)).alias("draw"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")), "sizes")
     sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most_repeats)
     total = sized.agg(F.sum("size")).first()[0] or 0
+    # rounding to blocks weighs little only if a source has many words in a shard
+    shard_words = max(shard_words, CELL_WORDS * sources.count())
     shards = max(1, -(-int(total) // shard_words))
     dealt = sized.withColumn("shard", F.pmod("draw", F.lit(shards)))
     with_target = dealt.join(sources, dealt["source"].eqNullSafe(sources["source"])).drop(sources["source"])

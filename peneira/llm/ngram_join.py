@@ -18,8 +18,8 @@
 Defined results: words are runs of non-space characters, taken as they stand; a
 text of one to four words is one shingle; a text without words links to nothing
 and is its own class; null texts are empty; rows of equal id count as one
-document; rows with null id are told apart by their text and get a negative
-class id if their class has no other; an empty table gives an empty result.
+document; rows with null id are told apart by their text and go by a number from
+2**62 on, after all ids; an empty table gives an empty result.
 Links of exactly the threshold are missed with the probability that the target
 recall leaves; links above it less often.
 """
@@ -269,7 +269,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     (least id with the same shingles) and n_links (other representatives it links to)."""
     bands, rows = bands_for(threshold, recall)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    docs = docs.withColumn("did", F.coalesce("doc_id", -F.abs(F.shiftright(F.xxhash64("text"), 1)) - 1))
+    docs = docs.withColumn("did", F.coalesce("doc_id", F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62)))
     sketch = materialize(docs.select("did", "text").mapInArrow(_sketch(n, bands, rows), "did long, fa long, fb long, size long, bands array<long>"), "sketch")
     reps = materialize(sketch.where("size > 0").groupBy("fa", "fb").agg(F.min("did").alias("rep"), F.max("size").alias("size"), F.first("bands").alias("bands")), "reps")
     dealt = reps.select("rep", "size", F.posexplode("bands").alias("band", "bucket"))
