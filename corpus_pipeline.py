@@ -30,8 +30,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _key(doc_id: str = "doc_id", text: str = "text"):
-    """The id, or a negative hash of the text where there is none."""
-    return F.coalesce(F.col(doc_id).cast("long"), -F.abs(F.shiftright(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 1)) - 1)
+    """The id, or where there is none a hash of the text from 2**62 on."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 2) + F.lit(1 << 62))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
