@@ -57,46 +57,49 @@ def _found(tipo: str, value: Column, confidence: float, weight: int, start: Colu
     return F.when(test, F.struct(*(v.alias(k) for k, v in fields.items())))
 
 
-def _whole(text: Column, pattern: str, guard: str) -> tuple[Column, Column, Column]:
-    """First match, its start, its end; texts without a match of the cheap ``guard`` have none."""
-    m = F.when(text.rlike(guard), F.regexp_extract(text, pattern, 0)).otherwise("")
-    start = F.when(m != "", F.length(F.get(F.split(text, pattern, 2), F.lit(0))))
-    return m, start, start + F.length(m)
+_GENERAL = r"isen[çc][ãa]o\s+(?:de\s+)?imposto\s+de\s+renda.*aposentado|aposentado.*isen[çc][ãa]o\s+(?:de\s+)?imposto"
+_MINOR = r"(\b[A-Za-zÀ-ÿ]+)[\s,]+([0-9]{1,2})\s*anos"
+_INFORMED = r"(?iu)([A-Za-zÀ-ÿ]+(?:\s+[A-Za-zÀ-ÿ]+){1,60})[^.]{0,50}(?:seu\s+cpf|seu\s+documento|informou\s+(?:seu\s+)?cpf)"
+_CITIZEN = r"cidad[ãa]o[^.]{0,30}identificado[^.]{0,20}(?:como|por)\s+([A-ZÀ-Ú][a-záéíóúàâêôãõç]+)"
+#: Patterns that look for their first match, each behind a cheap test.
+_FIRST = {
+    "minor": (_MINOR, "anos"),
+    "informed": (_INFORMED, r"(?iu)seu\s+cpf|seu\s+documento|informou\s+cpf"),
+    "citizen": (_CITIZEN, "identificado"),
+    "signed": (_SIGNED, "(?iu)grat[ao]|atenciosamente|obrigad[ao]|cordialmente|respeitosamente"),
+}
 
 
 def heuristics(docs: DataFrame, text: str = "text") -> DataFrame:
     """Findings of the heuristics that look at a whole document; each gives one at most.
 
-    Those that yield to a finding of the same kind are marked by ``yields``.
+    Those that yield to a finding of the same kind are marked by ``yields``. Steps are
+    projections of their own, so that each pattern goes over a text once.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.col("_t")
+    bodies = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("_t"))
     low = F.lower(t)
-    general = r"isen[çc][ãa]o\s+(?:de\s+)?imposto\s+de\s+renda.*aposentado|aposentado.*isen[çc][ãa]o\s+(?:de\s+)?imposto"
-    cancer = low.rlike(r"tratamento\s+(?:realizado\s+)?(?:de\s+)?c[aâ]ncer") & ~low.rlike(general)
-    h1 = _found("DADO_SAUDE", F.lit("Tratamento de câncer"), 0.95, 5, F.lit(0), F.length(t), HEURISTIC, cancer)
-
-    minor = r"(\b[A-Za-zÀ-ÿ]+)[\s,]+([0-9]{1,2})\s*anos"
-    m, start, end = _whole(t, minor, "anos")
-    name, age = F.regexp_extract(m, minor, 1), F.nullif(F.regexp_extract(m, minor, 2), F.lit("")).cast("int")
-    young = (m != "") & name.rlike(r"^\p{Lu}") & (age < 18) & F.lower(around(t, start, end, 20, 40)).rlike(r"estudante|aluno|aluna|menor|crian[çc]a|escola|ec\s*\d")
-    h2 = _found("MENOR_IDENTIFICADO", F.concat(name, F.lit(", "), age.cast("string"), F.lit(" anos")), 0.95, 5, start, end, HEURISTIC + 1, young)
-
-    informed = r"(?iu)([A-Za-zÀ-ÿ]+(?:\s+[A-Za-zÀ-ÿ]+){1,60})[^.]{0,50}(?:seu\s+cpf|seu\s+documento|informou\s+(?:seu\s+)?cpf)"
-    m, start, _ = _whole(t, informed, r"(?iu)seu\s+cpf|seu\s+documento|informou\s+cpf")
-    name = F.regexp_extract(m, informed, 1)
-    h3 = _found("NOME", name, 0.90, 4, start, start + F.length(name), HEURISTIC + 2, (m != "") & name.rlike(r"^\p{Lu}") & F.contains(name, F.lit(" ")) & ~suppressed(name))
-
-    citizen = r"cidad[ãa]o[^.]{0,30}identificado[^.]{0,20}(?:como|por)\s+([A-ZÀ-Ú][a-záéíóúàâêôãõç]+)"
-    m, _, end = _whole(t, citizen, "identificado")
-    name = F.regexp_extract(m, citizen, 1)
-    h4 = _found("NOME", name, 0.85, 4, end - F.length(name), end, HEURISTIC + 3, (m != "") & ~suppressed(name))
-
-    m, _, end = _whole(t, _SIGNED, "(?iu)grat[ao]|atenciosamente|obrigad[ao]|cordialmente|respeitosamente")
-    name = F.trim(F.regexp_extract(m, _SIGNED, 1))
-    real = F.size(F.filter(F.split(name, r"\s+"), lambda w: ~F.lower(w).isin("da", "de", "do", "dos", "das", "e"))) >= 2
-    h5 = _found("NOME", name, 0.90, 4, end - F.length(name), end, HEURISTIC + 4, (m != "") & real & ~contains_any(F.lower(name), _SIGNED_NOT) & ~suppressed(name))
-
-    rows = docs.select("doc_id", F.explode(F.array_compact(F.array(h1, h2, h3, h4, h5))).alias("f")).select("doc_id", "f.*")
+    cancer = F.when(low.contains("ncer"), low.rlike(r"tratamento\s+(?:realizado\s+)?(?:de\s+)?c[aâ]ncer") & ~low.rlike(_GENERAL)).otherwise(False)
+    first = {n: F.when(t.rlike(guard), F.regexp_extract(t, p, 0)).otherwise("") for n, (p, guard) in _FIRST.items()}
+    met = bodies.select("doc_id", "_t", cancer.alias("cancer"), *(c.alias(n) for n, c in first.items()))
+    met = met.where("cancer or minor <> '' or informed <> '' or citizen <> '' or signed <> ''")
+    start = {n: F.when(F.col(n) != "", F.length(F.get(F.split(t, p, 2), F.lit(0)))) for n, (p, _) in _FIRST.items()}
+    group = {n: F.trim(F.regexp_extract(n, p, 1)) for n, (p, _) in _FIRST.items()}
+    age = F.nullif(F.regexp_extract("minor", _MINOR, 2), F.lit("")).cast("int")
+    met = met.select("*", *(c.alias(f"{n}_at") for n, c in start.items()), *(c.alias(f"{n}_name") for n, c in group.items()), age.alias("age"))
+    at, name, end = (lambda n: F.col(f"{n}_at")), (lambda n: F.col(f"{n}_name")), (lambda n: F.col(f"{n}_at") + F.length(n))
+
+    young = (F.col("minor") != "") & name("minor").rlike(r"^\p{Lu}") & (F.col("age") < 18)
+    young = young & F.lower(around(t, at("minor"), end("minor"), 20, 40)).rlike(r"estudante|aluno|aluna|menor|crian[çc]a|escola|ec\s*\d")
+    real = F.size(F.filter(F.split(name("signed"), r"\s+"), lambda w: ~F.lower(w).isin("da", "de", "do", "dos", "das", "e"))) >= 2
+    found = (
+        _found("DADO_SAUDE", F.lit("Tratamento de câncer"), 0.95, 5, F.lit(0), F.length(t), HEURISTIC, F.col("cancer")),
+        _found("MENOR_IDENTIFICADO", F.concat(name("minor"), F.lit(", "), F.col("age").cast("string"), F.lit(" anos")), 0.95, 5, at("minor"), end("minor"), HEURISTIC + 1, young),
+        _found("NOME", name("informed"), 0.90, 4, at("informed"), at("informed") + F.length(name("informed")), HEURISTIC + 2, (F.col("informed") != "") & name("informed").rlike(r"^\p{Lu}") & ~suppressed(name("informed"))),
+        _found("NOME", name("citizen"), 0.85, 4, end("citizen") - F.length(name("citizen")), end("citizen"), HEURISTIC + 3, (F.col("citizen") != "") & ~suppressed(name("citizen"))),
+        _found("NOME", name("signed"), 0.90, 4, end("signed") - F.length(name("signed")), end("signed"), HEURISTIC + 4, (F.col("signed") != "") & real & ~contains_any(F.lower(name("signed")), _SIGNED_NOT) & ~suppressed(name("signed"))),
+    )
+    rows = met.select("doc_id", F.explode(F.array_compact(F.array(*found))).alias("f")).select("doc_id", "f.*")
     return rows.withColumn("yields", F.col("ord").isin(HEURISTIC, HEURISTIC + 1, HEURISTIC + 4))
 
 
@@ -112,14 +115,16 @@ def trigger_names(docs: DataFrame, text: str = "text", triggers=V.TRIGGERS) -> D
     index = F.instr(F.col("_folded"), F.col("trigger")) - 1 + F.length("trigger")
     rest = F.trim(F.substring(F.col("_text"), index + 1, F.lit(60)))
     self_named = F.contains(F.col("trigger"), F.lit("ME CHAMO"))
-    met = met.withColumns({"_at": index, "_rest": rest, "_self": self_named})
+    # generators keep the filter below from repeating what they compute
+    met = met.select("*", F.inline(F.array(F.struct(index.alias("_at"), rest.alias("_rest"), self_named.alias("_self")))))
     raw = F.when(F.col("_self"), F.regexp_extract("_rest", _CAPITAL, 1)).otherwise(F.regexp_extract("_rest", r"\b(?:o|a|do|da)?\s*" + _CAPITAL, 1))
     whole = F.when(F.col("_self"), raw).otherwise(F.regexp_extract("_rest", r"\b(?:o|a|do|da)?\s*" + _CAPITAL, 0))
     words = F.split(raw, " ")
     ends = F.transform(words, lambda w: F.upper(w).isin(*V.NAME_ENDS))
     cut = F.array_position(ends, F.lit(True)).cast("int")
     name = F.trim(F.when(F.col("_self") & (cut > 0), F.array_join(F.slice(words, 1, F.greatest(cut - 1, F.lit(0))), " ")).otherwise(raw))
-    met = met.withColumns({"valor": name, "_whole": whole, "inicio": (F.col("_at") + F.instr(F.col("_rest"), whole) - 1).cast("int")})
+    start = (F.col("_at") + F.instr(F.col("_rest"), whole) - 1).cast("int")
+    met = met.select("doc_id", "_text", "_self", "ord", F.inline(F.array(F.struct(name.alias("valor"), whole.alias("_whole"), start.alias("inicio")))))
     folded = F.trim(fold(F.col("valor")))
     fine = (F.length("valor") > 3) & (F.col("_self") | (F.contains(F.col("valor"), F.lit(" ")) & ~folded.isin(*V.TITLES, *V.SERVANTS))) & ~suppressed(F.col("valor"))
     met = met.where(fine).withColumn("fim", (F.col("inicio") + F.when(F.col("_self"), F.length("valor")).otherwise(F.length("_whole"))).cast("int"))
