@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -281,21 +282,35 @@ RULES: dict[str, Rule] = {
 }
 
 
-def judge(matches: DataFrame, text: str = "text", names: list[str] | None = None) -> DataFrame:
-    """Adds tipo, valor, peso, confianca to scanned matches and keeps those that their rule accepts."""
-    body, verdicts = F.coalesce(F.col(text), F.lit("")), []
-    for n in names or RULES:
+_BUILT: dict[tuple, dict[str, Column]] = {}
+
+
+def verdicts(names: tuple[str, ...], text: str) -> dict[str, Column]:
+    """For each part of a verdict, the column that picks it by the pattern's name; built once for a session."""
+    key = (SparkContext.getOrCreate().applicationId, names, text)
+    if key in _BUILT:
+        return _BUILT[key]
+    body, parts = F.coalesce(F.col(text), F.lit("")), []
+    for n in names:
         x = Match(body)
         v = RULES[n](x, n)
-        verdicts.append((n, {"accept": v.accept, "tipo": v.kind, "valor": v.value, "peso": v.weight, "confianca": v.confidence, "_basis": F.lit(x.basis or n)}))
+        parts.append((n, {"accept": v.accept, "tipo": v.kind, "valor": v.value, "peso": v.weight, "confianca": v.confidence, "_basis": F.lit(x.basis or n)}))
 
     def pick(part: str) -> Column:
         out = F.lit(None)
-        for n, v in reversed(verdicts):
+        for n, v in reversed(parts):
             out = F.when(F.col("name") == n, v[part]).otherwise(out)
         return out
 
-    kept = matches.where(F.coalesce(pick("accept"), F.lit(False))).withColumn("_basis", pick("_basis"))
-    kept = kept.withColumn("_confidence", finding_confidence(F.col("_basis"), body, F.col("inicio"), F.col("fim")))
-    out = kept.withColumns({"tipo": pick("tipo"), "valor": pick("valor"), "peso": pick("peso").cast("int"), "confianca": pick("confianca").cast("double")})
+    out = {part: pick(part) for part in ("accept", "tipo", "valor", "peso", "confianca", "_basis")}
+    out["_confidence"] = finding_confidence(F.col("_basis"), body, F.col("inicio"), F.col("fim"))
+    _BUILT[key] = out
+    return out
+
+
+def judge(matches: DataFrame, text: str = "text", names: list[str] | None = None) -> DataFrame:
+    """Adds tipo, valor, peso, confianca to scanned matches and keeps those that their rule accepts."""
+    v = verdicts(tuple(names or RULES), text)
+    kept = matches.where(F.coalesce(v["accept"], F.lit(False))).withColumn("_basis", v["_basis"]).withColumn("_confidence", v["_confidence"])
+    out = kept.withColumns({"tipo": v["tipo"], "valor": v["valor"], "peso": v["peso"].cast("int"), "confianca": v["confianca"].cast("double")})
     return out.where("valor is not null").drop("_basis", "_confidence")

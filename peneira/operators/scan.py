@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +41,18 @@ def find_all(text: Column, pattern: Pattern, ord_: int) -> Column:
     return F.when(text.rlike(FAMILIES[pattern.family]), found).otherwise(F.expr(f"cast(array() as {_KIND})"))
 
 
+_BUILT: dict[tuple, list[Column]] = {}
+
+
+def arrays(patterns: tuple[Pattern, ...], text: str, first: int) -> list[Column]:
+    """Columns of ``find_all``, built once for a session: there are thousands of calls in them."""
+    key = (SparkContext.getOrCreate().applicationId, patterns, text, first)
+    if key not in _BUILT:
+        body = F.coalesce(F.col(text), F.lit(""))
+        _BUILT[key] = [find_all(body, p, i) for i, p in enumerate(patterns, first)]
+    return _BUILT[key]
+
+
 def scan(docs: DataFrame, patterns: Iterable[Pattern], text: str = "text", first: int = 0) -> DataFrame:
     """The columns of ``docs`` with a row for each match. Null texts have none."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    arrays = [find_all(body, p, i) for i, p in enumerate(patterns, first)]
-    return docs.select("*", F.inline(F.concat(*arrays)))
+    return docs.select("*", F.inline(F.concat(*arrays(tuple(patterns), text, first))))

@@ -6,6 +6,7 @@ The same SQL runs in Spark and in DuckDB; only the name of the string type diffe
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _digits(expr: str, weights: list[int]) -> str:
@@ -79,7 +80,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     base = _NEEDS[name]
     sql = VIEWS[name].replace("{T}", "string")
     head, _, tail = sql.rpartition(f"from {base}")
-    return spark.sql(f"{head}from {{{base}}}{tail}", **{base: view(spark, sf_dir, base)})
+    df = spark.sql(f"{head}from {{{base}}}{tail}", **{base: view(spark, sf_dir, base)})
+    # a generator, so that the optimizer doesn't repeat these long expressions wherever a column is used
+    return df.select(F.inline(F.array(F.struct(*df.columns)))) if base in ("customer", "fx_cpf") else df
 
 
 def with_views(sql: str) -> str:
