@@ -75,7 +75,7 @@ class _Words(dict):
     """Hashes of words met so far; emptied before it grows large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
