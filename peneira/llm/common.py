@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,7 +40,26 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_at = path
+    return table
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of finished jobs.
+
+    Spark deletes them when the driver collects garbage; between the steps of one
+    operator that would otherwise be long after.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a materialized table that nothing will read again."""
+    jvm, path = table.sparkSession._jvm, table.written_at
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def n_words(text: Column) -> Column:

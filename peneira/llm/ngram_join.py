@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peneira.llm.common import materialize, utf8, whole_groups
+from peneira.llm.common import discard, materialize, utf8, whole_groups
 
 N = 5
 THRESHOLD = 0.8
@@ -256,8 +256,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     now, before = edges.select("u", "v").distinct(), None
     while True:
-        now = materialize(star(star(now, True), False), "stars")
+        last, now = now, materialize(star(star(now, True), False), "stars")
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if before is not None:
+            discard(last)
         if mark == before:
             break
         before = mark
@@ -287,6 +289,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spread = members.withColumn("block", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("bucket", "band", "rep", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
     checked = spread.join(member, "rep").repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj").mapInArrow(_verify(threshold), "u long, v long, links long")
     found = materialize(checked, "links")
+    discard(member)
+    discard(members)
     count = found.where("u = v").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("n_links"))
     least = components(found.where("u < v")).withColumnRenamed("node", "rep")
     classes = reps.select("fa", "fb", "rep").join(count, "rep", "left").join(least, "rep", "left")

@@ -45,12 +45,12 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peneira.llm.common import materialize, utf8
+from peneira.llm.common import materialize, release, utf8
 
 SEED = 24  # bytes of a suffix that deal it out and order it
 SPAN = 100
 #: Bytes worked on at once; arrays of eight bytes for each of them are held.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: loc packs checksum bits, the first window's offset, the count of further
 #: windows, and the offset of the suffix in the first window.
 TAG_BITS, START_BITS, RUN_BITS = 16, 32, 7
@@ -324,7 +324,7 @@ def _sample(span: int):
                 tags = _tags(data, starts, ends)
                 locs = _locs(tags[c.doc], c.lo - starts[c.doc], c.hi - c.lo, c.seed - c.lo)
                 held.append([_prefix8(data, c.seed), c.kh, c.blocks(), c.arms(), ids[rows][c.doc], locs])
-            if sum(len(x[0]) for x in held) > 1_000_000:
+            if sum(len(x[0]) for x in held) > 400_000:
                 yield from _rows(ENTRY, flush())
                 held.clear()
         if held:
@@ -471,12 +471,14 @@ def dedup(docs: DataFrame, finish, kind: str, keep: list[str], doc_id: str = "do
     by_doc = flags.groupBy("did", F.shiftrightunsigned("loc", TAG_AT).alias("tag")).agg(
         F.collect_list(F.when(F.col("arms") == 0, F.col("loc"))).alias("repeats"), F.collect_list(F.when(F.col("arms") > 0, F.struct("loc", "arms"))).alias("open")
     )
-    by_doc = by_doc.select("did", "tag", "repeats", F.col("open.loc").alias("doubtful"), F.col("open.arms").alias("arms"))
+    by_doc = materialize(by_doc.select("did", "tag", "repeats", F.col("open.loc").alias("doubtful"), F.col("open.arms").alias("arms")), "repeats")
+    release(docs.sparkSession)
     tag = F.crc32("text").bitwiseAND((1 << TAG_BITS) - 1)
     none = F.lit(None).cast("array<long>")
     joined = docs.withColumn("tag", tag).join(by_doc, ["did", "tag"], "left").withColumn("firsts", none)
     later = "did long, tag long, text string, repeats array<long>, doubtful array<long>, arms array<long>"
     settled = materialize(joined.mapInArrow(_settle(finish, kind, own, span, False), f"{kept}, {kind}, {later}"), "settled")
+    release(docs.sparkSession)
     waiting = settled.where("text is not null").select(*own, "did", "tag", "text", "repeats", "doubtful", "arms")
     windows = waiting.select("did", "text", "doubtful", "arms").mapInArrow(_fingerprints(span), "wa long, wb long, did long, at long")
     first = windows.groupBy("wa", "wb").agg(F.min(F.struct("did", "at")).alias("first")).select("first.*")
