@@ -8,11 +8,12 @@ are removed, and a document of which less than ``min_left`` of the characters is
 left is rejected as depleted.
 
 Copies of one document are one document here, since to drop copies is the
-business of the near-duplicate stage: a line's documents are told apart by their
-least other line, so a line that only ever comes with the same text counts once.
+business of the near-duplicate stage: a line's documents are told apart by the
+hash of their whole text.
 
-Only built-in column functions and joins are used. Counts are pre-aggregated, so
-a line that a third of all documents share, or a host that has a third of them,
+Only built-in column functions and joins are used. The distinct documents of a line
+are dealt by host, line and text, and counted there before they are by host and line,
+so a line that a third of all documents share, or a host that has a third of them,
 sends a row for each task.
 
 Defined results: a null text is empty and fails; rows of null host are one host;
@@ -79,11 +80,8 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     t = t.select(*new, "lines", F.when(twice, F.sort_array(F.transform("w", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))).alias("s"))
     same = lambda e, i: F.coalesce(e["x"] == F.get(F.col("s"), i)["x"], F.lit(False))
     found = F.sort_array(F.transform(F.filter("s", lambda e, i: same(e, i + 1) | ((i > 0) & same(e, i - 1))), lambda e: e["i"]))
-    least = F.sort_array(F.array_distinct(F.transform("lines", lambda x: x["line"])))
-    t = t.select(*new, "lines", F.coalesce(_covered(found), F.lit(0)).cast("long").alias("n_repeat_words"), F.slice(least, 1, 2).alias("least"))
-    other = lambda x: F.when(x["line"] == F.get(F.col("least"), 0), F.get(F.col("least"), 1)).otherwise(F.get(F.col("least"), 0))
-    rule_lines = F.transform("lines", lambda x: F.struct(F.xxhash64(x["line"]).alias("line"), F.xxhash64(other(x)).alias("mark"), x["chars"].alias("chars")))
-    return t.select(*new, "n_repeat_words", rule_lines.alias("rule_lines"))
+    rule_lines = F.transform("lines", lambda x: F.struct(F.xxhash64(x["line"]).alias("line"), x["chars"].alias("chars")))
+    return t.select(*new, F.coalesce(_covered(found), F.lit(0)).cast("long").alias("n_repeat_words"), rule_lines.alias("rule_lines"))
 
 
 def judge(docs: DataFrame, host: str = "source", text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, max_documents: int = MAX_DOCUMENTS, min_left: float = MIN_LEFT) -> DataFrame:
@@ -92,7 +90,7 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", doc_id: str
     stats = text_statistics(slim)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     stats = materialize(stats.withColumns({"base_failed": failed, "row": F.monotonically_increasing_id()}), "statistics")
-    lines = stats.select("row", "host", F.explode("rule_lines").alias("l")).select("row", "host", "l.line", "l.mark", "l.chars")
+    lines = stats.select("row", "host", "mark", F.explode("rule_lines").alias("l")).select("row", "host", "l.line", "mark", "l.chars")
     counts = lines.select("host", "line", "mark").distinct().groupBy("host", "line").agg(F.count("*").alias("documents"))
     frequent = counts.where(F.col("documents") > max_documents).select("host", "line")
     gone = lines.where(F.col("chars") > 0).join(frequent, ["host", "line"], "left_semi").groupBy("row").agg(F.sum("chars").alias("gone"), F.collect_set("line").alias("removed_lines"))
@@ -109,7 +107,8 @@ def without_lines(text: Column, removed_lines: Column) -> Column:
     return F.array_join(keep, "\n")
 
 
-#: The same for ``documents`` in DuckDB.
+#: The same for ``documents`` in DuckDB, but for telling a line's documents apart by their
+#: least other line: different texts that share that line too are one document there.
 SQL = r"""
 with t as (select row_number() over () as r, doc_id, source, coalesce(text, '') as text from documents),
 w as (select r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws, string_split(text, chr(10)) as ls from t),

@@ -34,5 +34,14 @@ def test_frequent_lines_and_copies(spark):
     assert cut == own[0].split("\n")[1]
 
 
+def test_shared_lines_of_different_texts(spark):
+    notice = "all rights are reserved here\nby the owner of this page\nand may not be sold on"
+    rows = [(i, notice + "\nzz" + "".join(chr(97 + i // 26**k % 26) for k in range(3)), "h") for i in range(100)]
+    rows += [(1000 + i, f"page {100 + i} of the report was moved to the archive by the office", "g") for i in range(100)]
+    judged = {r.doc_id: r for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(len(judged[i].removed_lines) == 3 and not judged[i].base_failed and not judged[i].kept for i in range(100))
+    assert all(len(judged[1000 + i].removed_lines) == 1 and judged[1000 + i].n_left == 0 and not judged[1000 + i].kept for i in range(100))
+
+
 def test_empty(empty):
     assert Q.judge(empty).count() == 0
