@@ -1,7 +1,7 @@
 """URL filtering by association rules and by host and path rules.
 
 URLs become sets of tokens (scheme, labels of the host, segments of the path,
-parameter names; runs of digits become ``#``). FP-growth over the labelled URLs
+parameter names, and names with their values; runs of digits become ``#``). FP-growth over the labelled URLs
 mines token combinations that go with a bad label; rules below the support or
 confidence limits, and rules with a part that is as confident, are pruned. A URL is
 blocked if all tokens of a rule are among its own. Matching goes through an
@@ -26,7 +26,6 @@ ALLOW, BLOCK = "allow", "block"
 #: Least share of labelled URLs, and least number of them, that hold a rule with its label.
 MIN_SUPPORT, MIN_COUNT = 0.002, 20
 MIN_CONFIDENCE = 0.5
-MOST_TOKENS = 3
 _BAD = "label=bad"
 
 #: Host and path rules of the query.
@@ -48,12 +47,14 @@ def tokens(url: Column) -> Column:
     parts = lambda text, at: F.filter(F.split(text, at), lambda x: x != "")
     query = F.coalesce(F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1), F.lit(""))
     scheme = F.coalesce(F.lower(F.regexp_extract(url, r"(?s)^(.*?)://", 1)), F.lit(""))
-    names = F.transform(parts(query, "&"), lambda x: F.regexp_extract(x, "(?s)^[^=]*", 0))
+    parameters = parts(query, "&")
+    names = F.transform(parameters, lambda x: F.regexp_extract(x, "(?s)^[^=]*", 0))
     every = F.concat(
         F.array(F.concat(F.lit("scheme="), scheme)),
         F.transform(parts(host(url), "[.]"), tag("host=")),
         F.transform(parts(path(url), "/"), tag("path=")),
         F.transform(names, tag("query=")),
+        F.transform(F.filter(parameters, lambda x: x.contains("=")), tag("query=")),
     )
     return F.when(F.coalesce(url.contains("://"), F.lit(False)), F.array_distinct(every)).otherwise(F.expr("cast(array() as array<string>)"))
 
@@ -72,7 +73,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int =
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / n)), minConfidence=min_confidence).fit(items)
     sets = model.freqItemsets
     singles = sets.where(F.size("items") == 1).select(F.get("items", F.lit(0)).alias("t"), "freq")
-    found = model.associationRules.where((F.get("consequent", F.lit(0)) == _BAD) & (F.size("antecedent") <= MOST_TOKENS))
+    found = model.associationRules.where(F.get("consequent", F.lit(0)) == _BAD)
     found = found.select(F.sort_array("antecedent").alias("tokens"), "confidence").cache()
     items.unpersist()
     # a rule is of no use if one token less is as confident

@@ -189,6 +189,38 @@ def test_mined_rules_equal_enumeration(spark):
     assert got == {u for (u, _), (t, _) in zip(rows, items, strict=True) if any(set(c) <= t for c in want)}
 
 
+def test_rules_of_any_length(spark):
+    from itertools import combinations
+
+    rng = random.Random(9)
+    rows = []
+    for i in range(3000):
+        parts = [x for x in ("a", "b", "c", "d") if rng.random() < 0.4]
+        rows.append((f"http://e.net/{'/'.join(parts)}?n={i}", len(parts) == 4))
+    df = spark.createDataFrame(rows, "url string, bad boolean")
+    items = [(frozenset(r.t), r.bad) for r in df.select(url_rules.tokens(F.col("url")).alias("t"), "bad").collect()]
+    count, hits = defaultdict(int), defaultdict(int)
+    for t, bad in items:
+        for n in range(1, len(t) + 1):
+            for c in combinations(sorted(t), n):
+                count[c] += 1
+                hits[c] += bad
+    conf = {c: hits[c] / count[c] for c in count if hits[c] >= 20 and hits[c] / count[c] >= 0.5}
+    want = {c for c, p in conf.items() if not any(s in conf and conf[s] >= p for s in combinations(c, len(c) - 1))}
+    assert {tuple(r.tokens) for r in url_rules.mine(df).collect()} == want == {("path=a", "path=b", "path=c", "path=d")}
+    pages = df.select(F.monotonically_increasing_id().alias("page_id"), "url")
+    blocked = url_rules.judge(pages, df, rules=()).where("verdict = 'block'").count()
+    assert blocked == sum(bad for _, bad in rows) > 20
+
+
+def test_parameter_values_are_tokens(spark):
+    rows = [(f"http://e.net/x?kind={'ad' if i % 2 else 'news'}&n={i}&flag&void=", i % 2 == 1) for i in range(100)]
+    df = spark.createDataFrame(rows, "url string, bad boolean")
+    want = {"scheme=http", "host=e", "host=net", "path=x", "query=kind", "query=n", "query=flag", "query=void", "query=kind=ad", "query=n=#", "query=void="}
+    assert set(df.where("bad").select(url_rules.tokens(F.col("url"))).first()[0]) == want
+    assert ("query=kind=ad",) in {tuple(r.tokens) for r in url_rules.mine(df).collect()}
+
+
 # ---- extraction
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar">
