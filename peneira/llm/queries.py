@@ -47,7 +47,7 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(_table(spark, sf_dir, "documents"))
+    return sharding.write_shards(_table(spark, sf_dir, "documents")).drop("document")
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

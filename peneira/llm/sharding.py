@@ -7,9 +7,13 @@ tells the sizes of all buckets of every depth, so splitting costs one aggregatio
 of the keys rather than one for each bit, and the directory is a table that is as
 long as there are shards.
 
-A bucket that holds one key only can't split. Rows of one key and size are then
-counted, not gathered, and dealt to overflow pages of the bucket by their number;
-a single row above the limit has a page of its own and is marked ``oversized``.
+A bucket that holds one key only can't split. Its rows of one size are then
+numbered, by their place in their task and by the counts of the tasks before (no
+task gathers them), and dealt to overflow pages of the bucket by their number; a
+single row above the limit has a page of its own and is marked ``oversized``.
+
+Each row goes with all its columns to its shard and page, and ``write_shards`` writes
+the shards: a page of a shard is one file.
 
 Defined results: null texts have no bytes; a null key is a key; equal rows stay
 apart as rows; an empty table gives an empty result. Keys are hashed as text, null
@@ -19,11 +23,12 @@ as empty text; keys of equal hash prefix share a bucket that can't split.
 from __future__ import annotations
 
 import math
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from peneira.llm.common import materialize
+from peneira.llm.common import materialize, shared_dir
 
 LIMIT = 1 << 20
 #: Hash bits: 15 hexadecimal digits of the key's MD5.
@@ -54,23 +59,43 @@ def directory(sized: DataFrame, limit: int) -> tuple[DataFrame, int]:
 
 def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
     """Per row: ``key``, bytes, shard (``<depth>-<prefix bits>``), page (0 unless its bucket
-    can't split), depth, prefix, and oversized."""
-    sized = docs.select(F.col(key).alias("key"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"))
-    sized = materialize(sized.withColumn("h", F.conv(F.substring(F.md5(F.coalesce(F.col("key").cast("string"), F.lit(""))), 1, MAX_BITS // 4), 16, 10).cast("long")), "sized")
+    can't split), depth, prefix, oversized, and the row itself as ``document``."""
+    hashed = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, MAX_BITS // 4), 16, 10).cast("long")
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), hashed.alias("h"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document"))
+    sized = materialize(rows.select("h", "bytes"), "sized")
     leaves, bits = directory(sized, limit)
-    placed = sized.withColumn("leaf", F.shiftright("h", MAX_BITS - bits)).join(leaves, "leaf")
-    placed = placed.withColumn("prefix", F.expr(f"shiftright(leaf, {bits} - depth)"))
+    leaves = materialize(leaves, "depths")
     # a bucket is over the limit only if all its rows have one hash
-    counts = placed.groupBy("depth", "prefix", "key", "bytes").agg(F.count("*").alias("rows"))
-    full = counts.groupBy("depth", "prefix").agg(F.sum(F.col("rows") * F.col("bytes")).alias("total")).where(F.col("total") > limit)
-    lone = counts.join(full.select("depth", "prefix"), ["depth", "prefix"])
-    fits = placed.join(full.select("depth", "prefix"), ["depth", "prefix"], "left_anti").select("key", "bytes", "depth", "prefix", F.lit(0).cast("long").alias("page"))
-    # rows of one size share pages; pages of different sizes are told apart by the size
-    each = F.greatest(F.floor(F.lit(limit) / F.greatest("bytes", F.lit(1))), F.lit(1))
-    dealt = lone.withColumn("i", F.explode(F.expr("sequence(0L, rows - 1)"))).select("key", "bytes", "depth", "prefix", (F.floor(F.col("i") / each) * (1 << 31) + F.col("bytes")).cast("long").alias("page"))
-    out = fits.unionByName(dealt)
+    full = materialize(sized.groupBy("h").agg(F.sum("bytes").alias("total")).where(F.col("total") > limit).select("h"), "full")
+    leaf = F.shiftright("h", MAX_BITS - bits)
+    fits = rows.join(full, "h", "left_anti").withColumn("page", F.lit(0).cast("long"))
+    out = fits.select("key", "bytes", "h", "document", "page")
+    if full.limit(1).count():
+        lone = materialize(rows.join(full, "h", "left_semi").withColumns({"task": F.spark_partition_id(), "row": F.monotonically_increasing_id()}), "lone")
+        counts = lone.groupBy("h", "bytes", "task").agg(F.count("*").alias("rows"))
+        tasks = Window.partitionBy("h", "bytes").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+        before = counts.select("h", "bytes", "task", F.coalesce(F.sum("rows").over(tasks), F.lit(0)).alias("before"))
+        places = Window.partitionBy("h", "bytes", "task").orderBy("row")
+        numbered = lone.withColumn("place", F.row_number().over(places)).join(before, ["h", "bytes", "task"])
+        # rows of one size share pages; pages of different sizes are told apart by the size
+        each = F.greatest(F.floor(F.lit(limit) / F.greatest("bytes", F.lit(1))), F.lit(1))
+        page = F.floor((F.col("before") + F.col("place") - 1) / each) * (1 << 31) + F.col("bytes")
+        out = out.unionByName(numbered.select("key", "bytes", "h", "document", page.cast("long").alias("page")))
+    placed = out.withColumn("leaf", leaf).join(leaves, "leaf").withColumn("prefix", F.expr(f"shiftright(leaf, {bits} - depth)"))
     label = F.concat(F.col("depth").cast("string"), F.lit("-"), F.when(F.col("depth") > 0, F.lpad(F.bin("prefix"), F.col("depth"), F.lit("0"))).otherwise(""))
-    return out.select(F.col("key").alias(key), "bytes", label.alias("shard"), "page", F.col("depth").cast("int").alias("depth"), "prefix", (F.col("bytes") > limit).alias("oversized"))
+    return placed.select(F.col("key").alias(key), "bytes", label.alias("shard"), "page", F.col("depth").cast("int").alias("depth"), "prefix", (F.col("bytes") > limit).alias("oversized"), "document")
+
+
+def write_shards(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
+    """Writes each page of each shard as one file, ``<path>/at=<shard>_<page>/``, and gives the written table.
+
+    Without ``path``, the shards go to the folder that driver and executors share.
+    """
+    sharded = shard(docs, key, text, limit)
+    path = path or f"{shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
+    at = F.concat_ws("_", "shard", "page")
+    sharded.withColumn("at", at).repartition("at").write.partitionBy("at").parquet(path)
+    return docs.sparkSession.read.schema(sharded.schema).parquet(path).select(*sharded.columns)
 
 
 #: The same for ``documents`` in DuckDB, where no document is above the limit.

@@ -38,6 +38,25 @@ def test_one_hot_key_overflows(spark):
     assert len(rows) == 50 and {r.b for r in rows} == {1000}
 
 
+def test_shards_are_written_with_their_rows(spark, edges, empty, tmp_path):
+    rows = [(7, f"{i:04}" + "x" * (96 + i % 2)) for i in range(500)] + [(None, f"n{i:04}" + "y" * 95) for i in range(300)] + [(i, f"own text {i}") for i in range(100, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    path = str(tmp_path / "shards")
+    got = sharding.write_shards(docs, path, limit=1000).collect()
+    assert sorted((tuple(r.document) for r in got), key=str) == sorted(rows, key=str)
+    size, files = defaultdict(int), defaultdict(set)
+    for r in got:
+        assert r.doc_id == r.document.doc_id and r.bytes == len(r.document.text)
+        size[r.shard, r.page] += r.bytes
+    assert max(size.values()) <= 1000
+    for r in spark.read.parquet(path).select("shard", "page", F.input_file_name().alias("file")).collect():
+        files[r.shard, r.page].add(r.file)
+    assert files.keys() == size.keys() and all(len(f) == 1 for f in files.values())
+    mixed = sharding.write_shards(edges, limit=6000)
+    assert mixed.count() == edges.count() and mixed.select("document.*").exceptAll(edges).count() == 0
+    assert sharding.write_shards(empty).count() == 0
+
+
 # ---- packing
 
 
