@@ -93,7 +93,8 @@ def quotas(cells: DataFrame, block_words: int, most_repeats: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most_repeats: int = MOST_REPEATS, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS, seed: int = 17) -> DataFrame:
-    """Per row: doc_id, size, source, source_size, target, shard, ``mark`` (a hash of the text), and ``taken``, the words that the mix takes."""
+    """Per row: doc_id, size, source, source_size, target, shard, ``mark`` (a hash of the text), ``taken``, the words that the mix takes,
+    and ``spans``, where the chosen blocks cover the document: a ``first`` word and the one after the ``last``, from 0, for each block and pass."""
     sized = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "source", "text", F.lit(seed)).alias("draw"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")), "sizes")
     sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most_repeats)
     total = sized.agg(F.sum("size")).first()[0] or 0
@@ -125,16 +126,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         blocks = F.sequence(F.floor(low / b), F.floor((high - 1) / b))
         early = F.least("firsts", "blocks")
 
-        def words(block: Column) -> Column:
+        def is_taken(block: Column) -> Column:
             taken = F.when(block >= F.col("blocks"), F.lit(False)).when(block < early, chosen(block, F.lit(0), F.greatest(early, F.lit(1)), F.least("quota", early)))
-            taken = taken.otherwise(chosen(block, early, F.greatest(F.col("blocks") - early, F.lit(1)), F.col("quota") - early))
-            return F.when(taken, F.least(high, (block + 1) * b) - F.greatest(low, block * b)).otherwise(F.lit(0))
+            return taken.otherwise(chosen(block, early, F.greatest(F.col("blocks") - early, F.lit(1)), F.col("quota") - early))
 
-        return F.when(size > 0, F.aggregate(blocks, F.lit(0).cast("long"), lambda sum_, block: sum_ + words(block).cast("long"))).otherwise(F.lit(0))
+        def span(block: Column) -> Column:
+            return F.struct((F.greatest(low, block * b) - low).cast("long").alias("first"), (F.least(high, (block + 1) * b) - low).cast("long").alias("last"))
+
+        return F.when(size > 0, F.transform(F.filter(blocks, is_taken), span)).otherwise(F.expr("cast(array() as array<struct<first: bigint, last: bigint>>)"))
 
     placed = placed.withColumns({"step": step, "turn": turn, "firsts": passes})
-    taken = sum((covered(i) for i in range(1, most_repeats)), covered(0))
-    return placed.select("doc_id", "size", "source", "source_size", "target", "shard", "mark", taken.cast("long").alias("taken"))
+    placed = placed.withColumn("spans", F.concat(*(covered(i) for i in range(most_repeats))))
+    taken = F.aggregate("spans", F.lit(0).cast("long"), lambda sum_, x: sum_ + x["last"] - x["first"])
+    return placed.select("doc_id", "size", "source", "source_size", "target", "shard", "mark", taken.cast("long").alias("taken"), "spans")
 
 
 def whole_copies(mixed: DataFrame, seed: int = 17) -> DataFrame:

@@ -2,7 +2,7 @@
 
 1. Texts are tokenised (pieces between white space are encoded once per worker and
    remembered, within bounds); a document's ids and the end id are cut into pieces of at most
-   ``capacity`` ids. What is kept of a piece is its place, length and checksum,
+   ``capacity`` ids. A piece is its place, length, checksum and ids,
    with its rank among its task's pieces of that length.
 2. Only lengths matter for packing, and there are at most ``capacity`` of them.
    The driver gets the counts by length, never the pieces. On the counts,
@@ -13,7 +13,7 @@
    all bins of one filling at a time. The result is a list of patterns with
    multiplicities, whose length depends on ``capacity``, not on the documents.
 3. The rank of a piece among all of its length (prefix sums over tasks) says
-   which copy of which pattern holds it, at which offset.
+   which copy of which pattern holds it, at which offset. The ids go along.
 
 Defined results: a null or empty text has the end id alone; equal rows are packed
 each; a null id is carried; an empty table gives an empty result.
@@ -38,6 +38,8 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces that a worker remembers, twice over: about 80 MB.
 REMEMBERED = 200_000
+#: Pieces in a batch that has ids: 8 MB at the usual capacity.
+PART = 1024
 
 Pattern = tuple[tuple[int, int], ...]
 
@@ -173,13 +175,19 @@ def ids_of(texts: list[bytes], path: str) -> Iterator[bytes]:
         yield from encoder.encode(texts[low : low + 512])
 
 
+def _lists(parts: list[bytes], ends: np.ndarray, low: int, high: int) -> pa.Array:
+    """The ids of the pieces from ``low`` to ``high`` as lists."""
+    flat = np.frombuffer(b"".join(parts[low:high]), "<i4")
+    return pa.ListArray.from_arrays(pa.array((ends[low : high + 1] - ends[low]).astype(np.int32), pa.int32()), pa.array(flat, pa.int32()))
+
+
 def _pieces(path: str, capacity: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
-            texts, out = utf8(batch.column(1)), []
+            texts, out, parts = utf8(batch.column(1)), [], []
             raw = [texts[row].as_buffer().to_pybytes() for row in range(batch.num_rows)]
             for row, ids in enumerate(ids_of(raw, path)):
                 ids += end
@@ -187,12 +195,14 @@ def _pieces(path: str, capacity: int, end_id: int):
                     part = ids[4 * capacity * piece : 4 * capacity * (piece + 1)]
                     n = len(part) // 4
                     out.append((row, piece, piece * capacity, n, zlib.crc32(part), seen[n]))
+                    parts.append(part)
                     seen[n] += 1
             row, piece, start, n, crc, rank = (np.array(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 6
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, n, crc, np.full(len(row), bucket), rank))],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "bucket", "rank"],
-            )
+            ends = np.concatenate([[0], np.cumsum(n)])
+            ids = [_lists(parts, ends, i, min(i + PART, len(row))) for i in range(0, len(row), PART)] or [_lists([], ends, 0, 0)]
+            columns = [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, n, crc, np.full(len(row), bucket), rank))]
+            for i, some in enumerate(ids):
+                yield pa.RecordBatch.from_arrays([*(c.slice(i * PART, len(some)) for c in columns), some], names=["doc_id", "piece", "start", "length", "ids_crc32", "bucket", "rank", "ids"])
 
     return run
 
@@ -284,7 +294,7 @@ def _place(rows: np.ndarray):
             i = rank - at[:, 1]
             each = np.maximum(at[:, 3], 1)
             keep = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(at[:, 2] + i // each, pa.int64()), pa.array(at[:, 4] + i % each * length, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(at[:, 2] + i // each, pa.int64()), pa.array(at[:, 4] + i % each * length, pa.int64()), batch.column("ids")], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids"])
 
     return run
 
@@ -293,9 +303,9 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset."""
+    """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset and ids."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = materialize(texts.mapInArrow(_pieces(tokenizer, capacity, end_id), f"{PIECE}, bucket long, rank long"), "pieces")
+    pieces = materialize(texts.mapInArrow(_pieces(tokenizer, capacity, end_id), f"{PIECE}, bucket long, rank long, ids array<int>"), "pieces")
     counts = materialize(pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")), "lengths")
     by_length = [0] * (capacity + 1)
     for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():
@@ -303,4 +313,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     ranked = pieces.join(first, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_place(plan(by_length, capacity)), f"{PIECE}, sequence_id long, offset long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank", "ids").mapInArrow(_place(plan(by_length, capacity)), f"{PIECE}, sequence_id long, offset long, ids array<int>")

@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from peneira.llm.mixing import mix
 
-    return mix(_table(spark, sf_dir, "documents"))
+    return mix(_table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from peneira.llm.packing import pack
 
-    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,3 +68,10 @@ def test_copies_and_empty(edges, empty):
     rows = mixing.whole_copies(mixing.mix(edges)).collect()
     assert all(0 <= r.copies <= 3 and (r.size or not r.copies) for r in rows)
     assert mixing.mix(empty).count() == 0
+
+
+def test_spans_are_what_is_taken(edges):
+    rows = mixing.mix(edges).collect()
+    assert any(r.spans for r in rows)
+    for r in rows:
+        assert r.taken == sum(x.last - x.first for x in r.spans) and all(0 <= x.first < x.last <= r.size and x.last - x.first <= 16 for x in r.spans)

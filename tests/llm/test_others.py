@@ -140,6 +140,17 @@ def test_pieces_and_places(edges, edge_rows):
     assert len(bins) <= -(-sum(r.length for r in rows) // 2048) + 1
 
 
+def test_pieces_carry_their_ids(edges, edge_rows, empty):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    rows, t = packing.pack(edges, path).collect(), Tokenizer.from_file(path)
+    want = [(i, k // 2048, ids[k : k + 2048]) for i, text, *_ in edge_rows for ids in [t.encode(text or "", add_special_tokens=False).ids + [0]] for k in range(0, len(ids), 2048)]
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.piece, r.ids)) for r in rows)
+    assert all(len(r.ids) == r.length for r in rows) and packing.pack(empty, path).count() == 0
+
+
 def test_odd_texts_tokenise_alike():
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
