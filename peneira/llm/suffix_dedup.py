@@ -4,12 +4,17 @@ A byte goes if some ``span``-byte string that covers it also starts earlier, in
 a document of smaller id or earlier in its own. What is kept equals a scan of
 every suffix; only the suffixes that are stored are thinned:
 
+0. *Names.* Where ids are unique (equal rows aside), a row's id is its name. Else the
+   distinct pairs of id and 128-bit text hash are sorted and numbered, and the
+   number, written with the texts, is the name.
 1. *Sampling.* Of the 24-byte strings in a window of ``span`` bytes the one with
    the least hash stands for the window, so equal windows choose equal suffixes,
    whatever surrounds them. Windows that choose the same suffix form a block of
    at most ``span - 23`` windows; two blocks of equal bytes have equal windows.
-2. *Index family.* Suffixes are dealt out by their first 24 bytes. In each
-   partition they come in batches. A batch gets its suffix array (order: first
+   Long texts are worked on in pieces; where a piece ends, so does the block.
+2. *Index family.* Suffixes are dealt out by their first 24 bytes. A partition is
+   sorted into slices of these, each with a family of its own, whose size follows
+   from the bytes of the table and not from the partition's. In a slice they come in batches. A batch gets its suffix array (order: first
    8 bytes, then fingerprints of the first 24 bytes and of the block), is
    scanned against each level already there, and enters as a level of size one;
    levels of equal size merge into one of twice the size. Where two blocks match,
@@ -17,6 +22,8 @@ every suffix; only the suffixes that are stored are thinned:
    a suffix with a different block may match in part. Windows whose suffix lies
    at about the same offset have a long core in common; only the windows of a
    core that both blocks share (by 16 bits of its hash) remain in doubt.
+   A suffix with many different blocks in one map task is hot: its blocks are put
+   in doubt there, and one row tells the index, where all its other blocks are too.
 3. *Doubtful windows* are few (the edges of copied passages). They are
    fingerprinted with 128 bits and the first place of each is found by a partial
    aggregation.
@@ -24,19 +31,20 @@ every suffix; only the suffixes that are stored are thinned:
    windows are written and joined again.
 
 A copied text of any number of copies sends one suffix per map task and block,
-since each map task drops the repeats among its own suffixes first, and no step
-collects the rows of a key.
+since each map task drops the repeats among its own suffixes first; a suffix sends
+at most ``HOT`` different blocks per map task; and no step collects the rows of a key.
 
 Defined results: null texts are empty; texts under ``span`` bytes lose nothing;
-a null id counts as the largest; rows with equal id are versions of one document
-(equal rows get equal results, differing rows are ordered by their checksum); an
-empty table gives an empty result.
+a null id counts as the largest; rows of equal id and text are one document and get
+equal results; differing rows of one id, or of none, are documents in the order of
+their text hashes; columns of any names are passed on as asked; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,16 +53,26 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peneira.llm.common import materialize, release, utf8
+from peneira.llm.common import discard, materialize, release, utf8
 
 SEED = 24  # bytes of a suffix that deal it out and order it
 SPAN = 100
+LEAST_SPAN, MOST_SPAN = 64, 150
 #: Bytes worked on at once; arrays of eight bytes for each of them are held.
-CHUNK = 1 << 20
-#: loc packs checksum bits, the first window's offset, the count of further
-#: windows, and the offset of the suffix in the first window.
-TAG_BITS, START_BITS, RUN_BITS = 16, 32, 7
-TAG_AT, START_AT = START_BITS + 2 * RUN_BITS, 2 * RUN_BITS
+CHUNK = 1 << 18
+#: Suffixes whose repeats a map task drops at once.
+FLUSH = 1 << 18
+#: Different blocks of one suffix among these from which on it is hot.
+HOT = 64
+#: Bytes of text whose suffixes go to one partition (more if there would be over
+#: MOST_PARTS), and to one slice of it.
+PART_BYTES, SLICE_BYTES, MOST_PARTS = 32 << 20, 4 << 20, 20_000
+#: loc packs the first window's offset, the count of further windows, and the offset
+#: of the suffix in the first window.
+RUN_BITS = 7
+START_AT = 2 * RUN_BITS
+#: In place of a loc: the suffix is hot.
+HOT_MARK = -(1 << 63)
 #: Ranges of the suffix's offset in its window; each has a core of its own.
 ARMS = 4
 NULL_ID = (1 << 63) - 1
@@ -171,30 +189,34 @@ def _prefix8(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _chunks(ids: np.ndarray, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Row numbers, bytes, starts and ends of pieces of about CHUNK bytes of whole documents."""
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """First row, offset in it, bytes, starts and ends of some whole texts, or of a part of a long one.
+
+    Parts overlap by a window less one byte, so each window is in one of them.
+    """
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     first = 0
-    while first < len(ids):
+    while first < len(texts):
         last = int(np.searchsorted(offsets, offsets[first] + CHUNK, "right")) - 1
-        last = min(max(last, first + 1), len(ids))
-        o = offsets[first : last + 1]
-        yield np.arange(first, last), data[o[0] : o[-1]], o[:-1] - o[0], o[1:] - o[0]
+        if last > first:
+            o = offsets[first : last + 1]
+            yield first, 0, data[o[0] : o[-1]], o[:-1] - o[0], o[1:] - o[0]
+        else:
+            low, last = int(offsets[first]), first + 1
+            size = int(offsets[last]) - low
+            for at in range(0, size, CHUNK):
+                part = data[low + at : low + min(size, at + CHUNK + MOST_SPAN - 1)]
+                yield first, at, part, np.zeros(1, np.int64), np.array([len(part)])
         first = last
 
 
-def _tags(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    view, mask = memoryview(np.ascontiguousarray(data)), (1 << TAG_BITS) - 1
-    return np.fromiter((zlib.crc32(view[a:b]) & mask for a, b in zip(starts, ends, strict=True)), np.int64, len(starts))
-
-
-def _locs(tags: np.ndarray, start: np.ndarray, run: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    return (tags << TAG_AT) | (start << START_AT) | (run << RUN_BITS) | seed
+def _locs(start: np.ndarray, run: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    return (start << START_AT) | (run << RUN_BITS) | seed
 
 
 def _start_run(locs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return locs >> START_AT & ((1 << START_BITS) - 1), locs >> RUN_BITS & ((1 << RUN_BITS) - 1)
+    return locs >> START_AT, locs >> RUN_BITS & ((1 << RUN_BITS) - 1)
 
 
 def _rows(kind: str, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -205,6 +227,14 @@ def _rows(kind: str, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c, types[t]) for c, (_, t) in zip(parts, fields, strict=True)], names=[f for f, _ in fields])
 
 
+def _lanes(arms: np.ndarray) -> np.ndarray:
+    """Bits of the ranges of which a block has windows."""
+    out = np.zeros(len(arms), np.int64)
+    for arm in range(ARMS):
+        out |= np.where(arms.view(np.uint64) >> _U(16 * arm) & _U(0xFFFF) > 0, 1 << arm, 0)
+    return out
+
+
 class SuffixArray:
     """Suffixes in order, with the place of each block's first known occurrence."""
 
@@ -269,8 +299,8 @@ class IndexFamily:
             new, size = level.merge(new), 2 * size
         self.levels.append((size, new))
 
-    def doubtful(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places of blocks that may match a different block in part, with the ranges in question."""
+    def doubtful(self, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of blocks that may match a different block in part, with the ranges in question; all of the ``hot`` suffixes."""
         whole = None
         for _, level in reversed(self.levels):
             whole = level if whole is None else level.merge(whole)
@@ -294,8 +324,14 @@ class IndexFamily:
             shared[order[1:]] |= equal
             shared[order[:-1]] |= equal
             bits |= np.where(shared & (core > 0), 1 << arm, 0)
-        found = bits > 0
-        return whole.did[rows[found]], whole.loc[rows[found]], bits[found]
+        every = np.zeros(len(heads), np.int64)
+        every[rows] = bits
+        if len(hot):
+            suffix = np.ascontiguousarray(whole.key.view(np.uint8).reshape(-1, 24)[:, 8:16]).view(">u8").ravel().astype(np.uint64)
+            named = np.isin(suffix, hot)
+            every[named] = _lanes(whole.arms[named])
+        found = every > 0
+        return whole.did[found], whole.loc[found], every[found]
 
 
 def _sample(span: int):
@@ -304,56 +340,96 @@ def _sample(span: int):
 
         def flush():
             p8, kh, bh, arms, did, loc = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             order = np.lexsort((loc, did, bh, kh))
             p8, kh, bh, arms, did, loc = (x[order] for x in (p8, kh, bh, arms, did, loc))
+            new_kh = np.ones(len(kh), bool)
+            new_kh[1:] = kh[1:] != kh[:-1]
             same = np.zeros(len(kh), bool)
-            same[1:] = (kh[1:] == kh[:-1]) & (bh[1:] == bh[:-1])
-            # repeats are known here: they go on by document, as negative places
-            kh = np.where(same, _mix(did.view(np.uint64)), kh)
+            same[1:] = ~new_kh[1:] & (bh[1:] == bh[:-1])
             head = np.maximum.accumulate(np.where(same, 0, np.arange(len(kh))))
             twice = same & (did == did[head]) & (loc == loc[head])
-            loc = np.where(same, ~loc, loc)
-            return [x[~twice] for x in (p8, kh, bh, arms, did, loc)]
-
+            suffix = np.cumsum(new_kh) - 1
+            hot = (np.bincount(suffix[~same]) > HOT)[suffix]
+            told = np.flatnonzero(hot & new_kh)
+            marks = [p8[told], kh[told], bh[told], arms[told], did[told], np.full(len(told), HOT_MARK, np.int64)]
+            # repeats, and blocks in doubt, are known here: they go on by document, as negative places
+            known = same | hot
+            arms = np.where(same, 0, np.where(hot, _lanes(arms), arms.view(np.int64))).view(np.uint64)
+            kh = np.where(known, _mix(did.view(np.uint64)), kh)
+            loc = np.where(known, ~loc, loc)
+            return [np.concatenate([x[~twice].view(np.int64), m.view(np.int64)]) for x, m in zip((p8, kh, bh, arms, did, loc), marks, strict=True)]
+
+        n = 0
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), utf8(batch.column(1))
-            for rows, data, starts, ends in _chunks(ids, texts):
+            for row, base, data, starts, ends in _chunks(texts):
                 c = Chunk(data, starts, ends, span)
+                if base or len(data) > CHUNK:
+                    _crop(c, CHUNK)
                 if not len(c.lo):
                     continue
-                tags = _tags(data, starts, ends)
-                locs = _locs(tags[c.doc], c.lo - starts[c.doc], c.hi - c.lo, c.seed - c.lo)
-                held.append([_prefix8(data, c.seed), c.kh, c.blocks(), c.arms(), ids[rows][c.doc], locs])
-            if sum(len(x[0]) for x in held) > 400_000:
-                yield from _rows(ENTRY, flush())
-                held.clear()
+                locs = _locs(base + c.lo - starts[c.doc], c.hi - c.lo, c.seed - c.lo)
+                held.append([_prefix8(data, c.seed), c.kh, c.blocks(), c.arms(), ids[row + c.doc], locs])
+                n += len(c.lo)
+                if n > FLUSH:
+                    yield from _rows(ENTRY, flush())
+                    n = 0
         if held:
             yield from _rows(ENTRY, flush())
 
     return run
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    family, held = IndexFamily(), []
+def _crop(c: Chunk, n: int) -> None:
+    """Leaves to the next part the windows from ``n`` on."""
+    own = c.lo < n
+    c.lo, c.hi, c.seed, c.kh, c.doc = c.lo[own], np.minimum(c.hi[own], n - 1), c.seed[own], c.kh[own], c.doc[own]
+
+
+def _index(bits: int):
+    """Takes entries sorted by the first ``bits`` of ``kh``; a family for each value of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family, held, hot, at, n = IndexFamily(), [], [], -1, 0
+
+        def take():
+            batch = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held.clear()
+            for d, place in family.add(*batch):
+                yield from _rows(FLAG, [d, place, np.zeros(len(d), np.int64)])
+
+        def close():
+            if held:
+                yield from take()
+            yield from _rows(FLAG, list(family.doubtful(np.unique(np.concatenate(hot).view(np.uint64)) if hot else np.zeros(0, np.uint64))))
 
-    def take():
-        batch = [np.concatenate(x) for x in zip(*held, strict=True)]
-        held.clear()
-        for d, at in family.add(*batch):
-            yield from _rows(FLAG, [d, at, np.zeros(len(d), np.int64)])
+        for batch in batches:
+            columns = [batch.column(i).to_numpy() for i in range(6)]
+            slices = (columns[1].view(np.uint64) >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(batch.num_rows, np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(slices)) + 1).tolist(), len(slices)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i == j:
+                    continue
+                if slices[i] != at:
+                    yield from close()
+                    family, hot, at, n = IndexFamily(), [], slices[i], 0
+                _, kh, _, arms, did, loc = part = [x[i:j] for x in columns]
+                if (loc < 0).any():
+                    mark = loc == HOT_MARK
+                    if mark.any():
+                        hot.append(kh[mark])
+                    known = (loc < 0) & ~mark
+                    yield from _rows(FLAG, [did[known], ~loc[known], arms[known]])
+                    part = [x[loc >= 0] for x in part]
+                held.append(part)
+                n += len(part[0])
+                if n > 65_536:
+                    yield from take()
+                    n = 0
+        yield from close()
 
-    for batch in batches:
-        columns = [batch.column(i).to_numpy() for i in range(6)]
-        did, loc = columns[4:]
-        known = loc < 0
-        if known.any():
-            yield from _rows(FLAG, [did[known], ~loc[known], np.zeros(int(known.sum()), np.int64)])
-        held.append([x[~known] for x in columns])
-        if sum(len(x[0]) for x in held) > 65_536:
-            yield from take()
-    if held:
-        yield from take()
-    yield from _rows(FLAG, list(family.doubtful()))
+    return run
 
 
 def _spread(lists: pa.Array, row: int) -> np.ndarray:
@@ -361,65 +437,99 @@ def _spread(lists: pa.Array, row: int) -> np.ndarray:
     return np.zeros(0, np.int64) if value is None else value.to_numpy()
 
 
-def _windows(locs: np.ndarray, arms: np.ndarray, span: int) -> np.ndarray:
-    """Offsets of the windows in doubt."""
-    start, run = _start_run(locs)
-    n = run + 1
-    within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    offset = np.repeat(locs & ((1 << RUN_BITS) - 1), n) - within
-    arm = offset // -(-(span - SEED + 1) // ARMS)
-    return np.unique((np.repeat(start, n) + within)[np.repeat(arms, n) >> arm & 1 > 0])
+def _windows(locs: np.ndarray, arms: np.ndarray, span: int) -> Iterator[np.ndarray]:
+    """Offsets of the windows in doubt, in order, those of some blocks at a time."""
+    if not len(locs):
+        return
+    order = np.argsort(locs, kind="stable")
+    locs, arms = locs[order], arms[order]
+    # a place that is told twice is one block
+    heads = np.flatnonzero(np.concatenate([[True], locs[1:] != locs[:-1]]))
+    locs, arms = locs[heads], np.bitwise_or.reduceat(arms, heads)
+    for i in range(0, len(locs), 4096):
+        some, bits = locs[i : i + 4096], arms[i : i + 4096]
+        start, run = _start_run(some)
+        n = run + 1
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        offset = np.repeat(some & ((1 << RUN_BITS) - 1), n) - within
+        arm = offset // -(-(span - SEED + 1) // ARMS)
+        yield (np.repeat(start, n) + within)[np.repeat(bits, n) >> arm & 1 > 0]
 
 
 def _fingerprints(span: int):
-    """For each window in doubt: two hashes and its place; for equal ones of a document the first."""
+    """For each window in doubt: two hashes and its place; for equal ones of some blocks the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             held: list[list[np.ndarray]] = []
+            n = 0
             for row in range(batch.num_rows):
-                data, locs = np.frombuffer(texts[row].as_buffer(), np.uint8), _spread(batch.column(2), row)
-                at = _windows(locs, _spread(batch.column(3), row), span)
-                cuts = [0, *(np.flatnonzero(np.diff(at) > 4096) + 1).tolist(), len(at)]
-                for part in (at[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)):
-                    for i in range(0, len(part), 1 << 19):
-                        some = part[i : i + (1 << 19)]
+                data = np.frombuffer(texts[row].as_buffer(), np.uint8)
+                for at in _windows(_spread(batch.column(2), row), _spread(batch.column(3), row), span):
+                    cuts = [0, *(np.flatnonzero(np.diff(at) > 4096) + 1).tolist(), len(at)]
+                    for some in (at[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)):
+                        if not len(some):
+                            continue
                         low = int(some[0])
                         h = _rolled(data[low : int(some[-1]) + span])
                         a = _span_hash(h, some - low, span)
                         b = _mix(_span_hash(h, some - low, span - 33) * _POW[8] + _span_hash(h, some - low + span - 33, 33))
                         _, first = np.unique(a, return_index=True)
-                        held.append([a[first], b[first], np.full(len(first), ids[row]), (locs[0] >> TAG_AT << START_BITS) | some[first]])
+                        held.append([a[first], b[first], np.full(len(first), ids[row]), some[first]])
+                        n += len(first)
+                    if n > FLUSH:
+                        yield from _rows(WINDOW, [np.concatenate(x) for x in zip(*held, strict=True)])
+                        held.clear()
+                        n = 0
             if held:
-                yield from _rows("wa long, wb long, did long, at long", [np.concatenate(x) for x in zip(*held, strict=True)])
+                yield from _rows(WINDOW, [np.concatenate(x) for x in zip(*held, strict=True)])
 
     return run
 
 
-def removed(n: int, repeats: np.ndarray, doubtful: np.ndarray, firsts: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, int]:
-    """Mask of the ``n`` bytes to remove, and the number of maximal removed runs."""
-    edge = np.zeros(n + 1, np.int32)
-    if len(repeats):
-        start, run = _start_run(repeats)
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + run + span, -1)
-    if len(doubtful):
-        at = np.setdiff1d(doubtful, firsts & ((1 << START_BITS) - 1))
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + span, -1)
-    gone = np.cumsum(edge[:n]) > 0
-    return gone, int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()) if n else 0
+WINDOW = "wa long, wb long, did long, at long"
+
+
+def _merged(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The union of half-open intervals, as maximal ones in order."""
+    if not len(low):
+        return low, high
+    order = np.argsort(low, kind="stable")
+    low, reach = low[order], np.maximum.accumulate(high[order])
+    new = np.flatnonzero(low[1:] > reach[:-1]) + 1
+    return low[np.concatenate([[0], new])], reach[np.concatenate([new - 1, [len(low) - 1]])]
 
 
-def _digest(raw: bytes, gone: np.ndarray, spans: int) -> tuple:
-    kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if spans else raw
-    return len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()
+def removed(repeats: np.ndarray, doubtful: Iterator[np.ndarray], firsts: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
+    """The maximal runs of bytes to remove: from, to."""
+    start, run = _start_run(repeats)
+    parts, firsts = [_merged(start, start + run + span)], np.sort(firsts)
+    for at in doubtful:
+        if len(firsts):
+            at = at[firsts[np.minimum(np.searchsorted(firsts, at), len(firsts) - 1)] != at]
+        parts.append(_merged(at, at + span))
+    return _merged(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
-def _rest(raw: bytes, gone: np.ndarray, spans: int) -> tuple:
+def _kept(raw: memoryview, low: np.ndarray, high: np.ndarray) -> Iterator[memoryview]:
+    at = 0
+    for i, j in zip(low.tolist(), high.tolist(), strict=True):
+        yield raw[at:i]
+        at = j
+    yield raw[at:]
+
+
+def _digest(raw: memoryview, low: np.ndarray, high: np.ndarray) -> tuple:
+    sha = hashlib.sha256()
+    for part in _kept(raw, low, high):
+        sha.update(part)
+    return len(raw), int((high - low).sum()), len(low), sha.hexdigest()
+
+
+def _rest(raw: memoryview, low: np.ndarray, high: np.ndarray) -> tuple:
     # a character that loses a byte goes whole
-    return ((np.frombuffer(raw, np.uint8)[~gone].tobytes() if spans else raw).decode("utf-8", "ignore"),)
+    return (b"".join(_kept(raw, low, high)).decode("utf-8", "ignore"),)
 
 
 DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -440,9 +550,8 @@ def _settle(finish, kind: str, keep: list[str], span: int, last: bool):
                 if wait[-1]:
                     out.append((None,) * len(fields))
                     continue
-                raw = texts[row].as_buffer().to_pybytes()
-                at = _windows(locs, _spread(arms, row), span) if len(locs) else locs
-                out.append(finish(raw, *removed(len(raw), _spread(repeats, row), at, _spread(firsts, row), span)))
+                raw = memoryview(texts[row].as_buffer())
+                out.append(finish(raw, *removed(_spread(repeats, row), _windows(locs, _spread(arms, row), span), _spread(firsts, row), span)))
             done = [pa.array(x, _TYPES[t]) for x, (_, t) in zip(zip(*out, strict=True) if out else [[]] * len(fields), fields, strict=True)]
             kept = [batch.column(c) for c in keep]
             if last:
@@ -450,40 +559,66 @@ def _settle(finish, kind: str, keep: list[str], span: int, last: bool):
                 continue
             hide = pa.array([not x for x in wait], pa.bool_())
             rest = [pa.compute.if_else(hide, pa.scalar(None, c.type), c) for c in (texts, repeats, doubtful, arms)]
-            yield pa.RecordBatch.from_arrays([*kept, *done, batch.column("did"), batch.column("tag"), *rest], names=[*keep, *(f for f, _ in fields), "did", "tag", "text", "repeats", "doubtful", "arms"])
+            yield pa.RecordBatch.from_arrays([*kept, *done, batch.column("did"), *rest], names=[*keep, *(f for f, _ in fields), "did", "text", "repeats", "doubtful", "arms"])
 
     return run
 
 
-def dedup(docs: DataFrame, finish, kind: str, keep: list[str], doc_id: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
+def named(docs: DataFrame) -> tuple[DataFrame, int, list[DataFrame]]:
+    """``docs`` (``none``, ``did``, ``text`` and more) with ``did`` a name of its id and text; the bytes of all; tables to delete later.
+
+    Names are in the order of ids, rows without one last.
+    """
+    h1, h2 = F.xxhash64("none", "text"), F.xxhash64(F.lit(7), "none", "text")
+    by_id = docs.groupBy("did").agg(F.sum(F.octet_length("text")).alias("n"), F.min(h1).alias("a"), F.max(h1).alias("b"), F.min(h2).alias("c"), F.max(h2).alias("d"))
+    size, shared = by_id.agg(F.sum("n"), F.max((F.col("a") != F.col("b")) | (F.col("c") != F.col("d")))).first()
+    if not shared:
+        return docs.drop("none"), int(size or 0), []
+    key = ["none", "did", "h1", "h2"]
+    hashed = docs.withColumns({"h1": h1, "h2": h2})
+    names = hashed.select(*key).distinct().repartitionByRange(*key).sortWithinPartitions(*key)
+    names = materialize(names.withColumn("name", F.monotonically_increasing_id()), "names")
+    numbered = materialize(hashed.join(names, key).drop(*key).withColumnRenamed("name", "did"), "named")
+    return numbered, int(size or 0), [names, numbered]
+
+
+def dedup(docs: DataFrame, finish, kind: str, keep: list[str], doc_id: str = "doc_id", text: str = "text", span: int = SPAN, part_bytes: int = PART_BYTES) -> DataFrame:
     """A row for each document: the columns ``keep`` and what ``finish`` makes of its bytes.
 
-    ``finish(bytes, mask of removed bytes, number of runs)`` returns the columns
+    ``finish(bytes, from, to)`` gets the removed runs and returns the columns
     that ``kind`` names. ``span`` may be 64 to 150 bytes.
     """
-    if not 64 <= span <= 150:
-        raise ValueError("span must be 64 to 150")
+    if not LEAST_SPAN <= span <= MOST_SPAN:
+        raise ValueError(f"span must be {LEAST_SPAN} to {MOST_SPAN}")
+    spark = docs.sparkSession
     own = [f"keep{i}" for i in range(len(keep))]
     kept = ", ".join(f"{o} {docs.schema[c].dataType.simpleString()}" for o, c in zip(own, keep, strict=True))
-    docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("did"), F.coalesce(F.col(text), F.lit("")).alias("text"), *(F.col(c).alias(o) for o, c in zip(own, keep, strict=True)))
+    the_id = F.col(doc_id).cast("long")
+    docs = docs.select(the_id.isNull().alias("none"), F.coalesce(the_id, F.lit(NULL_ID)).alias("did"), F.coalesce(F.col(text), F.lit("")).alias("text"), *(F.col(c).alias(o) for o, c in zip(own, keep, strict=True)))
+    docs, size, done = named(docs)
+    part_bytes = max(part_bytes, size // MOST_PARTS)
+    bits = math.ceil(math.log2(max(1, part_bytes / SLICE_BYTES)))
+    parts = max(spark.sparkContext.defaultParallelism, -(-size // part_bytes))
     entries = docs.select("did", "text").mapInArrow(_sample(span), ENTRY)
-    flags = entries.repartition("kh").mapInArrow(_index, FLAG)
-    by_doc = flags.groupBy("did", F.shiftrightunsigned("loc", TAG_AT).alias("tag")).agg(
+    dealt = entries.repartition(parts, "kh").sortWithinPartitions(F.shiftrightunsigned("kh", 64 - bits) if bits else F.lit(0))
+    flags = dealt.mapInArrow(_index(bits), FLAG)
+    by_doc = flags.groupBy("did").agg(
         F.collect_list(F.when(F.col("arms") == 0, F.col("loc"))).alias("repeats"), F.collect_list(F.when(F.col("arms") > 0, F.struct("loc", "arms"))).alias("open")
     )
-    by_doc = materialize(by_doc.select("did", "tag", "repeats", F.col("open.loc").alias("doubtful"), F.col("open.arms").alias("arms")), "repeats")
-    release(docs.sparkSession)
-    tag = F.crc32("text").bitwiseAND((1 << TAG_BITS) - 1)
+    by_doc = materialize(by_doc.select("did", "repeats", F.col("open.loc").alias("doubtful"), F.col("open.arms").alias("arms")), "repeats")
+    release(spark)
     none = F.lit(None).cast("array<long>")
-    joined = docs.withColumn("tag", tag).join(by_doc, ["did", "tag"], "left").withColumn("firsts", none)
-    later = "did long, tag long, text string, repeats array<long>, doubtful array<long>, arms array<long>"
+    joined = docs.join(by_doc, "did", "left").withColumn("firsts", none)
+    later = "did long, text string, repeats array<long>, doubtful array<long>, arms array<long>"
     settled = materialize(joined.mapInArrow(_settle(finish, kind, own, span, False), f"{kept}, {kind}, {later}"), "settled")
-    release(docs.sparkSession)
-    waiting = settled.where("text is not null").select(*own, "did", "tag", "text", "repeats", "doubtful", "arms")
-    windows = waiting.select("did", "text", "doubtful", "arms").mapInArrow(_fingerprints(span), "wa long, wb long, did long, at long")
+    for table in (by_doc, *done):
+        discard(table)
+    release(spark)
+    waiting = settled.where("text is not null").select(*own, "did", "text", "repeats", "doubtful", "arms")
+    windows = waiting.select("did", "text", "doubtful", "arms").mapInArrow(_fingerprints(span), WINDOW)
     first = windows.groupBy("wa", "wb").agg(F.min(F.struct("did", "at")).alias("first")).select("first.*")
-    firsts = first.groupBy("did", F.shiftrightunsigned("at", START_BITS).alias("tag")).agg(F.collect_list("at").alias("firsts"))
-    rest = waiting.join(firsts, ["did", "tag"], "left").mapInArrow(_settle(finish, kind, own, span, True), f"{kept}, {kind}")
+    firsts = first.groupBy("did").agg(F.collect_list("at").alias("firsts"))
+    rest = waiting.join(firsts, "did", "left").mapInArrow(_settle(finish, kind, own, span, True), f"{kept}, {kind}")
     every = settled.where("text is null").select(*rest.columns).unionByName(rest)
     return every.withColumnsRenamed(dict(zip(own, keep, strict=True)))
 

@@ -56,6 +56,54 @@ def test_repeated_rows_null_ids_and_columns(spark, edges, empty):
     assert S.digests(empty).count() == 0
 
 
+def test_long_texts_and_pieces(spark):
+    rng = random.Random(7)
+    line = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    long_one = line(2 * S.CHUNK + 977)
+    check(spark, [long_one, "x" + long_one[S.CHUNK - 300 : S.CHUNK + 300], long_one[5:-9], "y" * (S.CHUNK + 120), line(S.CHUNK) + long_one[: S.CHUNK // 2]], 2)
+
+
+def test_hot_suffix_in_many_contexts(spark):
+    rng = random.Random(8)
+    line = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    for size in (85, 99):
+        passage = line(size)
+        own = [line(rng.randint(0, 150)) + passage + line(rng.randint(0, 150)) for _ in range(3 * S.HOT)]
+        # the few of the last partitions are not hot there
+        check(spark, own + ["more " + x[3:-3] for x in own[:40]], 1)
+        df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string").repartitionByRange(8, "doc_id")
+        got = {r.doc_id: tuple(r)[1:] for r in S.digests(df.unionByName(df.where("doc_id < 150").coalesce(1).selectExpr("doc_id + 1000 as doc_id", "concat('z', text) as text"))).collect()}
+        assert got == brute([(i, t.encode()) for i, t in enumerate(own)] + [(i + 1000, b"z" + t.encode()) for i, t in enumerate(own[:150])])
+
+
+def test_equal_and_missing_ids(spark):
+    rng = random.Random(9)
+    line = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    repeated, unique = line(200), line(300)
+    for other in (None, 5):
+        rows = [(1, repeated + "z"), (other, repeated), (other, unique), (other, unique)]
+        got = {(r.doc_id, r.n_bytes, r.n_removed) for r in S.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {(1, 201, 0), (other, 200, 200), (other, 300, 0)}
+    passage = line(150)
+    texts = [line(rng.randint(100, 200)) for _ in range(2300)]
+    rows = [(0, passage)] + [(None, t + passage if i % 50 == 0 else t) for i, t in enumerate(texts)]
+    got = S.digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(r.n_bytes for r in got) == sorted(len(t) for _, t in rows)
+    # some letters before the passage may be equal too
+    cut = [r.n_removed for r in got if r.n_removed]
+    assert len(cut) == 46 and all(150 <= n < 160 for n in cut)
+
+
+def test_versions_of_an_id_in_order(spark):
+    """Of two texts of one id that share a passage one keeps it."""
+    rng = random.Random(10)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(180))
+    rows = [(3, "one " + shared), (3, shared + " two"), (2, "none of it"), (9223372036854775807, shared), (None, shared)]
+    got = S.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.n_removed for r in got) == [0, 0, 180, 180, 180]
+    assert {r.n_removed for r in got if r.doc_id is None or r.doc_id > 3} == {180}
+
+
 def test_family_merges_equal_levels():
     import numpy as np
 
