@@ -1,26 +1,33 @@
 """Main text of HTML pages by two-pass block rules.
 
-A tolerant scanner cuts a page into blocks of text at block-level tags, with the
-share of text inside links and the elements around each block. Rules then decide:
-
-* Blocks inside navigation, headers, footers, asides, forms and the like, and
-  inside elements whose class or id names such a thing (also adverts, notices and
-  comments), are boilerplate.
-* First pass: much link text is boilerplate; long text with many stop words is
-  content; long text with few is boilerplate; short text stays open.
-* Second pass: open blocks take the label of the nearest decided neighbours: that
-  of both if they agree, a heading the next one's, others the nearer one's. Blocks
-  that their element marks as boilerplate are no neighbours, since the element says
-  where they end. Open blocks inside an article count the article itself as
-  content, so that one of short paragraphs is not lost for want of a neighbour.
+A tolerant scanner cuts a page into blocks of text at block-level tags, in time in
+proportion to the page, with the share of text inside links and the region that each
+block lies in: an article, an element that names itself a part of the frame (menu,
+footer, sidebar, form, advert, notice, comments), or the rest of the page. Elements and
+names are features; densities and neighbours decide:
+
+* First pass, by density. Much link text is boilerplate. Text with many stop words, or
+  long text with some, is content; but not in a frame element, since the prose of
+  notices, adverts and reader comments has the densities of an article's, so that only
+  its element tells it. Long text with few stop words is boilerplate, unless it is in an article
+  or its region as a whole has enough of them. Whatever else is short stays open.
+* Second pass, by neighbours. Open blocks take the label of the nearest decided blocks
+  of their region: that of both if they agree; else headings take the next one's, blocks
+  of an article that of the content, others the nearer one's. Blocks of a frame element
+  are no neighbours of blocks outside it, since the element says where they end.
+* A region in which no block was decided is judged as one text by the same densities.
+  If that too says nothing, a frame element is boilerplate, an article is content, and
+  the rest of a page is content if there is nothing else.
 
 Text is decoded, white space inside a block becomes one space, and the content
 blocks are joined in page order by an empty line. Nothing is dropped from a block
 that is kept, and there is no limit on lengths.
 
 Defined results: null or empty html gives an empty text; a page without markup is
-one block; elements that are never closed end with what encloses them; rows are
-judged apart, so repeated rows give repeated results.
+one block; elements that are never closed end with what encloses them; a tag that is
+never closed, and a quoted value in it, goes on to the end; rows are
+judged apart, so repeated rows give repeated results; other columns, whatever their
+names, take no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -54,7 +61,10 @@ SHORT, LONG = 60, 160
 STOP_LOW, STOP_HIGH = 0.12, 0.25
 LINKS = 0.33
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?:!\[CDATA\[.*?(?:\]\]>|$)|[!?][^>]*>?)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_NAME_OF_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_TAG_STOP = re.compile(r">|=\s*([\"'])")
+_LONG_REFERENCE = re.compile(r"&#(?:0*[0-9]{8,}|[xX]0*[0-9a-fA-F]{8,});?")
+_PADDED_REFERENCE = re.compile(r"&#([xX]?)0+(?=[0-9a-fA-F])")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[A-Za-z]+(?:-[a-z]+)?|[A-Za-z]+")
@@ -69,6 +79,16 @@ class Block:
     outer: bool
     article: bool
     heading: bool
+    region: int
+
+
+def decoded(text: str) -> str:
+    """Character references decoded; those of no character, however long, are U+FFFD."""
+    if "&" not in text:
+        return text
+    if "&#" in text:
+        text = _LONG_REFERENCE.sub("\ufffd", _PADDED_REFERENCE.sub(r"&#\1", text))
+    return html.unescape(text)
 
 
 def _names_outer(attributes: str) -> bool:
@@ -94,94 +114,157 @@ def _names_outer(attributes: str) -> bool:
     return False
 
 
+def _tag_end(page: str, at: int, closes: dict[str, int]) -> int:
+    """Where the ``>`` of a tag is, or the end of the page; quoted values are passed over."""
+    while True:
+        m = _TAG_STOP.search(page, at)
+        if not m:
+            return len(page)
+        if not m[1]:
+            return m.start()
+        at = m.end()
+        if closes[m[1]] >= at:
+            at = page.find(m[1], at) + 1
+
+
+class _Stack:
+    """Open elements, with what is asked of them at hand, so that no question walks the stack."""
+
+    def __init__(self):
+        self.items: list[tuple[str, bool, bool]] = []  # tag, outer, hidden
+        self.places: dict[str, list[int]] = {}
+        self.block_places: list[int] = []
+        self.hidden_places: list[int] = []
+        self.outer = self.link = self.article = self.heading = 0
+        self.regions, self.made = [0], 0
+
+    def push(self, tag: str, outer: bool, hidden: bool) -> None:
+        at = len(self.items)
+        self.items.append((tag, outer, hidden))
+        self.places.setdefault(tag, []).append(at)
+        if tag in BLOCK_TAGS:
+            self.block_places.append(at)
+        if hidden:
+            self.hidden_places.append(at)
+        if outer or tag in ARTICLE_TAGS:
+            self.made += 1
+            # what lies in a frame element belongs to it
+            self.regions.append(self.regions[-1] if self.outer else self.made)
+        self.outer += outer
+        self.link += tag == "a"
+        self.article += tag in ARTICLE_TAGS
+        self.heading += tag in HEADINGS
+
+    def pop(self) -> str:
+        tag, outer, _ = self.items.pop()
+        at = len(self.items)
+        self.places[tag].pop()
+        if tag in BLOCK_TAGS:
+            self.block_places.pop()
+        if self.hidden_places and self.hidden_places[-1] == at:
+            self.hidden_places.pop()
+        if outer or tag in ARTICLE_TAGS:
+            self.regions.pop()
+        self.outer -= outer
+        self.link -= tag == "a"
+        self.article -= tag in ARTICLE_TAGS
+        self.heading -= tag in HEADINGS
+        return tag
+
+
+def _ends(open_: str, tag: str) -> bool:
+    """Whether an open element ends where another starts."""
+    if open_ == "p":
+        return tag in ENDS_P or tag in ("li", "dd", "dt", "td", "tr")
+    if open_ in ("dd", "dt"):
+        return tag in ("dd", "dt")
+    return open_ == tag and tag in ("li", "option", "td", "th", "tr") or open_ in HEADINGS and tag in HEADINGS
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, those without text left out."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, outer, hidden
-    text: list[str] = []
-    links = [0]
-    outer = hidden = link = article = heading = 0
+    stack, text, links = _Stack(), [], 0
 
     def cut() -> None:
-        whole = _SPACE.sub(" ", html.unescape("".join(text))).strip()
+        nonlocal links
+        whole = _SPACE.sub(" ", decoded("".join(text))).strip() if text else ""
         if whole:
-            out.append(Block(whole, min(links[0], len(whole)), outer > 0, article > 0, heading > 0))
+            out.append(Block(whole, min(links, len(whole)), stack.outer > 0, stack.article > 0, stack.heading > 0, stack.regions[-1]))
         text.clear()
-        links[0] = 0
+        links = 0
 
-    def leave() -> str:
-        nonlocal outer, hidden, link, article, heading
-        tag, is_outer, is_hidden = stack[-1]
-        if tag in BLOCK_TAGS:
-            cut()
-        stack.pop()
-        outer, hidden = outer - is_outer, hidden - is_hidden
-        link, article, heading = link - (tag == "a"), article - (tag in ARTICLE_TAGS), heading - (tag in HEADINGS)
-        return tag
+    def leave(depth: int) -> None:
+        while len(stack.items) > depth:
+            if stack.items[-1][0] in BLOCK_TAGS:
+                cut()
+            stack.pop()
 
     def said(piece: str) -> None:
-        if piece and not hidden:
+        nonlocal links
+        if piece and not stack.hidden_places:
             text.append(piece)
-            if link:
-                links[0] += len(html.unescape(piece).strip())
+            if stack.link:
+                links += len(decoded(piece).strip())
 
     at, n = 0, len(page)
+    closes = {q: page.rfind(q) for q in "\"'"}
     while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
+        begin = page.find("<", at)
+        if begin < 0:
             said(page[at:])
             break
-        said(page[at : m.start()])
-        at = m.end()
-        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
+        said(page[at:begin])
+        if page.startswith(("<!--", "<![CDATA["), begin):
+            mark = "-->" if page.startswith("<!--", begin) else "]]>"
+            end = page.find(mark, begin + 4)
+            at = end + 3 if end >= 0 else n
+            continue
+        if page.startswith(("<!", "<?"), begin):
+            end = page.find(">", begin)
+            at = end + 1 if end >= 0 else n
             continue
-        tag = tag.lower()
+        m = _NAME_OF_TAG.match(page, begin + 1)
+        if not m:
+            said("<")
+            at = begin + 1
+            continue
+        end = _tag_end(page, m.end(), closes)
+        closing, tag, attributes, at = m[1], m[2].lower(), page[m.end() : end], end + 1
         if closing:
             if tag == "br":
                 text.append(" ")
             # what was opened inside and not closed ends too, but a cell or item ends no table around it
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is None:
+            places = stack.places.get(tag)
+            if not places:
                 if tag in BLOCK_TAGS:
                     cut()
-                continue
-            if tag not in BLOCK_TAGS and any(stack[i][0] in BLOCK_TAGS for i in range(depth + 1, len(stack))):
-                continue
-            while len(stack) > depth:
-                leave()
+            elif tag in BLOCK_TAGS or not stack.block_places or stack.block_places[-1] < places[-1]:
+                leave(places[-1])
             continue
         if tag in VOID_TAGS:
             if tag == "hr":
                 cut()
-            elif tag in ("br", "wbr", "img", "input"):
-                text.append(" " if tag != "wbr" else "")
+            elif tag in ("br", "img", "input"):
+                text.append(" ")
             continue
         if tag in BLOCK_TAGS:
             cut()
-            inner = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCK_TAGS), None)
-            if inner is not None:
-                open_ = stack[inner][0]
-                if open_ == "p" and tag in ENDS_P | {"li", "dd", "dt", "td", "tr"} or open_ == tag and tag in ("li", "option", "td", "th", "tr", "dd", "dt") or open_ in ("dd", "dt") and tag in ("dd", "dt") or open_ in HEADINGS and tag in HEADINGS:
-                    while len(stack) > inner:
-                        leave()
-        if attributes.rstrip().endswith("/") and tag not in BLOCK_TAGS and tag not in HIDDEN_TAGS:
+            if stack.block_places and _ends(stack.items[stack.block_places[-1]][0], tag):
+                leave(stack.block_places[-1])
+        closed = attributes == "/" or attributes.endswith(('"/', "'/", " /"))
+        if closed and tag not in BLOCK_TAGS and tag not in HIDDEN_TAGS:
             continue
-        is_outer = tag in OUTER_TAGS or tag == "header" and not article or _names_outer(attributes) and tag not in ("html", "body")
-        is_hidden = tag in HIDDEN_TAGS
-        stack.append((tag, is_outer, is_hidden))
-        outer, hidden = outer + is_outer, hidden + is_hidden
-        link, article, heading = link + (tag == "a"), article + (tag in ARTICLE_TAGS), heading + (tag in HEADINGS)
+        outer = tag in OUTER_TAGS or tag == "header" and not stack.article or tag not in ("html", "body") and _names_outer(attributes)
+        stack.push(tag, outer, tag in HIDDEN_TAGS)
         if tag in RAW_TAGS:
-            end = re.compile(rf"</{tag}\s*[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
-            leave()
-        elif tag in BLOCK_TAGS and tag == "body":
+            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+            end = page.find(">", close.end()) if close else -1
+            at = end + 1 if end >= 0 else n
+            leave(len(stack.items) - 1)
+        elif tag == "body":
             # what the head left open ends here
-            for i in range(len(stack) - 2, -1, -1):
-                if stack[i][2]:
-                    hidden -= 1
-                    stack[i] = (stack[i][0], stack[i][1], False)
+            stack.hidden_places.clear()
     cut()
     return out
 
@@ -189,56 +272,93 @@ def blocks(page: str) -> list[Block]:
 GOOD, BAD, OPEN = 1, 0, -1
 
 
-def first_pass(block: Block) -> int:
-    """Content, boilerplate or open, from the block alone."""
-    if block.outer:
-        return BAD
-    size = len(block.text)
-    if block.links > LINKS * size:
-        return BAD
-    words = _WORD.findall(block.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / (len(words) or 1)
-    if size < SHORT:
-        return OPEN
-    if stops >= STOP_HIGH or size >= LONG and stops >= STOP_LOW:
-        return GOOD
-    if size >= LONG and stops < STOP_LOW / 2 and not block.article:
-        return BAD
-    return OPEN
-
-
-def labels(found: list[Block]) -> list[int]:
-    """Content or boilerplate for each block: both passes."""
-    first = [first_pass(b) for b in found]
+@dataclass
+class Density:
+    """Sizes of a block, or of several together."""
+
+    chars: int = 0
+    links: int = 0
+    words: int = 0
+    stops: int = 0
+
+    @classmethod
+    def of(cls, block: Block) -> Density:
+        words = _WORD.findall(block.text.lower())
+        return cls(len(block.text), block.links, len(words), sum(w in STOP_WORDS for w in words))
+
+    def add(self, other: Density) -> None:
+        self.chars, self.links, self.words, self.stops = self.chars + other.chars, self.links + other.links, self.words + other.words, self.stops + other.stops
+
+    def judged(self) -> tuple[int, str]:
+        """Content, boilerplate or open, and why."""
+        share = self.stops / (self.words or 1)
+        if self.links > LINKS * self.chars:
+            return BAD, "links"
+        if self.chars >= SHORT and share >= STOP_HIGH or self.chars >= LONG and share >= STOP_LOW:
+            return GOOD, "stop words"
+        if self.chars >= LONG and share < STOP_LOW / 2:
+            return BAD, "few stop words"
+        return OPEN, "open"
+
+
+def decide(found: list[Block]) -> list[tuple[int, str]]:
+    """Content or boilerplate for each block, and the rule that says so."""
+    sizes, regions = [Density.of(b) for b in found], {}
+    for b, size in zip(found, sizes, strict=True):
+        regions.setdefault(b.region, Density()).add(size)
+    first: list[tuple[int, str]] = []
+    for b, size in zip(found, sizes, strict=True):
+        label, why = size.judged()
+        if label == GOOD and b.outer:
+            label, why = BAD, "frame element"
+        elif why == "few stop words" and (b.article or regions[b.region].stops >= STOP_LOW / 2 * regions[b.region].words):
+            label, why = OPEN, "open"
+        first.append((label, why))
     out = list(first)
-    n = len(found)
-    before, last = [(-1, BAD)] * n, (-1, BAD)
-    for i in range(n):
-        before[i] = last
-        if first[i] != OPEN and not found[i].outer:
-            last = (i, first[i])
-    after, last = [(n, BAD)] * n, (n, BAD)
-    for i in range(n - 1, -1, -1):
-        after[i] = last
-        if first[i] != OPEN and not found[i].outer:
-            last = (i, first[i])
+    decided = {b.region for b, (label, _) in zip(found, first, strict=True) if label != OPEN}
+    before, after = _neighbours(found, first), _neighbours(found[::-1], first[::-1])[::-1]
+    # nothing else on the page can be its text
+    alone = not any(label == GOOD for label, _ in first) and not any(b.article for b in found)
     for i, b in enumerate(found):
-        if first[i] != OPEN:
+        if first[i][0] != OPEN:
             continue
-        (p, left), (q, right) = before[i], after[i]
-        if b.article:
-            out[i] = GOOD
-        elif left == right:
-            out[i] = left
-        elif b.heading:
-            out[i] = right
+        if b.region not in decided:
+            label, why = regions[b.region].judged()
+            if b.outer:
+                out[i] = (BAD, "frame element")
+            elif label != OPEN and not (label == BAD and b.article):
+                out[i] = (label, "region")
+            else:
+                out[i] = (GOOD, "article") if b.article else (GOOD if alone else BAD, "page")
+            continue
+        left, right = before[i], after[i]
+        if left is None or right is None:
+            j = left if right is None else len(found) - 1 - right
+            label = first[j][0]
         else:
-            out[i] = left if i - p <= q - i else right
-    if n == 1 and first[0] == OPEN and not found[0].outer:
-        out[0] = GOOD
+            p, q = left, len(found) - 1 - right
+            label = first[p][0]
+            if first[q][0] != label:
+                label = first[q][0] if b.heading else GOOD if b.article else label if i - p <= q - i else first[q][0]
+        out[i] = (label, "neighbour")
+    return out
+
+
+def _neighbours(found: list[Block], first: list[tuple[int, str]]) -> list[int | None]:
+    """For each block the nearest decided one of its region before it."""
+    last, out = {}, []
+    for i, b in enumerate(found):
+        out.append(last.get(b.region))
+        if first[i][0] != OPEN:
+            last[b.region] = i
     return out
 
 
+def labels(found: list[Block]) -> list[int]:
+    """Content or boilerplate for each block: both passes."""
+    return [label for label, _ in decide(found)]
+
+
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
     return "\n\n".join(b.text for b, label in zip(found, labels(found), strict=True) if label == GOOD)
