@@ -6,9 +6,10 @@
    with its rank among its task's pieces of that length.
 2. Only lengths matter for packing, and there are at most ``capacity`` of them.
    The driver gets the counts by length, never the pieces. On the counts,
-   ``reduce_dominated`` fixes sets that provably belong to some optimal packing:
-   a piece that nothing fits beside; a piece and its exact complement; a piece
-   beside which only one other fits, with the largest that does. ``best_fit``
+   ``reduce_dominated`` fixes sets that provably belong to some optimal packing,
+   of up to three pieces: a piece that nothing fits beside; a piece and its exact
+   complement; a piece beside which at most two others fit, with the one or two that
+   can stand for all others that might. ``best_fit``
    packs what is left, longest first, into the fullest sequences that have room,
    all bins of one filling at a time. The result is a list of patterns with
    multiplicities, whose length depends on ``capacity``, not on the documents.
@@ -16,7 +17,10 @@
    which copy of which pattern holds it, at which offset. The ids go along.
 
 Defined results: a null or empty text has the end id alone; equal rows are packed
-each; a null id is carried; an empty table gives an empty result.
+each; a null id is carried; other columns, whatever their names, take no part; pieces
+of equal length trade places freely, so which of them shares a sequence with which may
+differ between runs, but not how many sequences there are; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -116,7 +120,8 @@ class _Encoder:
                 else:
                     marked.append((w, run, s[len(run) :]))
             else:
-                other.append((w, s))
+                # lower-casing in context (a final sigma) is not the tokenizer's
+                other.append((w, w.decode()))
         runs = {run for _, run, _ in marked}.difference(plain.values())
         every = [*plain.values(), *runs]
         ids = dict(zip(every, self._letters(every), strict=True))
@@ -210,16 +215,19 @@ def _pieces(path: str, capacity: int, end_id: int):
 def reduce_dominated(counts: list[int], capacity: int) -> list[tuple[Pattern, int]]:
     """Takes out of ``counts`` (by length) sets that dominate all others with their item; gives them with multiplicities.
 
-    An item j and k with j + k = capacity dominate: in any packing, what shares j's
-    bin has at most the size of k, so it can trade places with k. If at most one
-    other item fits beside j, the largest that fits trades places likewise.
+    A set dominates if whatever else may share a sequence with item j can trade places
+    with the set's other items: k alone if no set that fits beside j is larger than k;
+    k and b if no three items fit beside j, k is the largest that does, and b is at least
+    the smaller one of any two that do.
     """
     fixed: list[tuple[Pattern, int]] = []
 
-    def fix(n: int, *lengths: int) -> None:
-        for length in lengths:
-            counts[length] -= n
-        fixed.append((((lengths[0], 2),) if len(lengths) == 2 and lengths[0] == lengths[1] else tuple((x, 1) for x in lengths), n))
+    def fix(*lengths: int) -> None:
+        each = [(x, lengths.count(x)) for x in dict.fromkeys(lengths)]
+        n = min(counts[x] // m for x, m in each)
+        for x, m in each:
+            counts[x] -= n * m
+        fixed.append((tuple(each), n))
 
     changed = True
     while changed:
@@ -228,23 +236,47 @@ def reduce_dominated(counts: list[int], capacity: int) -> list[tuple[Pattern, in
             while counts[j]:
                 while low < capacity and not counts[low]:
                     low += 1
-                room = capacity - j
-                # the smallest two items besides one of length j
-                first = next((x for x in range(low, room + 1) if counts[x] - (x == j) > 0), None)
-                if first is None:
-                    fix(counts[j], j)
-                elif counts[room] - (room == j) > 0:
-                    fix(counts[j] // 2 if room == j else min(counts[j], counts[room]), j, room)
-                else:
-                    second = first if counts[first] - (first == j) > 1 else next((x for x in range(first + 1, room + 1) if counts[x] - (x == j) > 0), capacity)
-                    if first + second <= room:
-                        break
-                    k = next(x for x in range(room, 0, -1) if counts[x] - (x == j) > 0)
-                    fix(counts[j] // 2 if k == j else min(counts[j], counts[k]), j, k)
+                found = _dominating(counts, j, capacity - j, low)
+                if found is None:
+                    break
+                fix(j, *found)
                 changed = True
     return fixed
 
 
+def _dominating(counts: list[int], j: int, room: int, low: int) -> tuple[int, ...] | None:
+    """What to put beside an item of length ``j``; None if nothing is known to be best. No item is under ``low``."""
+
+    def has(x: int, *gone: int) -> bool:
+        return counts[x] > (x == j) + gone.count(x)
+
+    least: list[int] = []
+    x = low
+    while len(least) < 3 and x <= room:
+        least += [x] * min(3 - len(least), max(counts[x] - (x == j), 0))
+        x += 1
+    if not least:
+        return ()
+    if has(room):
+        return (room,)
+    if len(least) < 2 or least[0] + least[1] > room:
+        return (next(x for x in range(room, 0, -1) if has(x)),)
+    if len(least) == 3 and sum(least) <= room:
+        return None
+    k = next(x for x in range(room, 0, -1) if has(x))
+    # the best pair, and the largest smaller one of a pair
+    best = smaller = 0
+    for t in range(low, room // 2 + 1):
+        if has(t):
+            s = next((s for s in range(room - t, t - 1, -1) if has(s, t)), None)
+            if s is not None:
+                best, smaller = max(best, s + t), t
+    if k >= best:
+        return (k,)
+    b = next((b for b in range(min(k, room - k), 0, -1) if has(b, k)), 0)
+    return (k, b) if b and b >= smaller else None
+
+
 def best_fit(counts: list[int], capacity: int) -> list[tuple[Pattern, int]]:
     """Best fit, longest first, of the items in ``counts``; bins of one filling are handled together."""
     open_: list[list[tuple[Pattern, int]]] = [[] for _ in range(capacity + 1)]

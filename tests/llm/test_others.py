@@ -106,14 +106,35 @@ def test_reduction_keeps_the_optimum():
 
         return go(items)
 
-    for _ in range(60):
-        cap, items = 20, [rng.randint(3, 19) for _ in range(rng.randint(1, 8))]
+    sizes = set()
+    for trial in range(160):
+        cap, items = 20, [rng.randint(4 if trial % 2 else 2, 19 if trial % 3 else 9) for _ in range(rng.randint(1, 9))]
         counts = [0] * (cap + 1)
         for x in items:
             counts[x] += 1
         fixed = packing.reduce_dominated(counts, cap)
         rest = [x for x in range(cap + 1) for _ in range(counts[x])]
+        sizes.update(sum(m for _, m in pattern) for pattern, _ in fixed)
         assert sum(n for _, n in fixed) + optimum(rest, cap) == optimum(items, cap)
+    assert sizes == {1, 2, 3}
+
+
+def test_best_fit_equals_plain_best_fit():
+    """Bins of one filling are handled together; item by item the fillings are the same."""
+    rng = random.Random(3)
+    for _ in range(100):
+        cap = rng.choice([12, 30, 64])
+        items = sorted((rng.randint(1, cap) for _ in range(rng.randint(0, 80))), reverse=True)
+        counts, plain = [0] * (cap + 1), []
+        for x in items:
+            counts[x] += 1
+            fit = max((b for b in plain if b + x <= cap), default=None)
+            if fit is None:
+                plain.append(x)
+            else:
+                plain[plain.index(fit)] += x
+        got = sorted(sum(a * b for a, b in pattern) for pattern, n in packing.best_fit(counts, cap) for _ in range(n))
+        assert got == sorted(plain)
 
 
 def test_pieces_and_places(edges, edge_rows):
@@ -157,7 +178,7 @@ def test_odd_texts_tokenise_alike():
 
     path = P.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    texts = ["it's I'M, dogs'. x.., y.", "<|endoftext|> x<|startoftext|>y <|STARTOFTEXT|>", "a\x1cb ÀÉ×÷ß İst ab-c, d--. ’. É.", "", "  ", 'A"b(c) end.', "***Wörter%%% e\u0301x. ª º µ.", "日本語。 текст, 12.5, 3.", "a" * 3000]
+    texts = ["it's I'M, dogs'. x.., y.", "<|endoftext|> x<|startoftext|>y <|STARTOFTEXT|>", "a\x1cb ÀÉ×÷ß İst ab-c, d--. ’. É.", "", "  ", 'A"b(c) end.', "***Wörter%%% e\u0301x. ª º µ.", "日本語。 текст, 12.5, 3.", "a" * 3000, "ΟΔΟΣ ΑΣ. ΑΣ- ΣΑΣ ΌΣΟΣ, aΣ", "K Å ẞ STRAẞE"]
     got = list(packing.ids_of([x.encode() for x in texts], path))
     assert got == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
 
