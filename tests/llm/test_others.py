@@ -202,6 +202,24 @@ def test_search_equals_brute_force(spark):
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1.0, 2e4, 1e9, 1e13, 1e30])
+def test_search_with_large_components(spark, scale):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=8) * scale * (1 if i % 3 else 1e-3)]) for i in range(300)]
+    rows += [(900 + i, rows[7][1]) for i in range(20)] + [(-4, [1e308] * 8)]
+    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x")))
+    got = defaultdict(list)
+    for r in topk.top_k(v, v.where("vec_id % 100 = 0"), 11).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    from fractions import Fraction
+
+    w = {i: [int(Fraction(x * 1024) // 1) for x in e] for i, e in rows if i >= 0}
+    most = (1 << 63) - 1
+    for i in [x for x in w if x % 100 == 0]:
+        every = sorted((-max(-most - 1, min(most, sum(a * b for a, b in zip(w[i], u, strict=True)))), j) for j, u in w.items() if j != i)[:11]
+        assert got[i] == [(j, -s) for s, j in every]
+
+
 # ---- URL rules
 
 
