@@ -59,14 +59,27 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels mark the page of the same number; a bad page is one of quality 0."""
+    """A page shows the document whose number ends its path; it is bad if that has quality 0."""
     from pyspark.sql import functions as F
 
-    from peneira.llm.url_rules import judge
+    from peneira.llm import url_rules
 
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
-    return judge(pages, pages.join(labels, "page_id").select("url", "bad"))
+    labels = _table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 0).alias("bad"))
+    shown = pages.select("url", F.expr("try_cast(regexp_extract(url, '://[^/?#]*/[a-z]+/([0-9]+)', 1) as bigint)").alias("doc_id"))
+    return url_rules.judge(pages, shown.join(labels, "doc_id").select("url", "bad"), **url_rules.BY_LIFT)
+
+
+def url_rules_mined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator where URLs do tell: bad are, but for every 13th, the https pages of hosts under ``m`` or ``blog``, and every 11th of the others."""
+    from pyspark.sql import functions as F
+
+    from peneira.llm import url_rules
+
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    shady = F.col("url").rlike("^https://(m|blog)[.]")
+    labelled = pages.select("url", F.when(shady, F.crc32("url") % 13 != 0).otherwise(F.crc32("url") % 11 == 0).alias("bad"))
+    return url_rules.judge(pages, labelled, rules=(), **url_rules.BY_LIFT)
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_extendible_sharding": op7_extendible_sharding,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_url_rules": op9_url_rules,
+    "url_rules_mined": url_rules_mined,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 

@@ -1,20 +1,27 @@
 """URL filtering by association rules and by host and path rules.
 
-URLs become sets of tokens (scheme, labels of the host, segments of the path,
-parameter names, and names with their values; runs of digits become ``#``). FP-growth over the labelled URLs
-mines token combinations that go with a bad label; rules below the support or
-confidence limits, and rules with a part that is as confident, are pruned. A URL is
+URLs become sets of tokens (scheme, labels of the host and their parts between hyphens,
+segments of the path, parameter names, and names with their values; runs of digits
+become ``#``). FP-growth over the labelled URLs
+mines token combinations that go with a bad label. Rules are pruned by support, by
+confidence, by lift (confidence over the share of bad labels) and by significance (how
+many standard deviations of a chance draw their bad labels lie above it), and so are
+rules with a part that is as confident. A URL is
 blocked if all tokens of a rule are among its own. Matching goes through an
 inverted index on each rule's rarest token: URLs meet only rules whose rarest
 token they have, and the rest of the rule is checked there. The number of rules
-follows from the support limit, not from the number of URLs.
+follows from the support limit, not from the number of URLs; it is counted, and up to
+``MOST_SENT`` rules are sent to where the tokens are, so that no token of a third of
+all URLs is dealt out by its value.
 
 Host and path rules come first: the longest that fits decides.
 
 Defined results: a URL that is null or has no ``://`` has an empty host and path
 and no tokens, so it is allowed; labels that are null don't count; a page with
-several labels counts with each; repeated rows are judged alike; without labelled
-rows no rules are mined; an empty table gives an empty result.
+several labels counts with each; repeated rows are judged alike; of a rule's equally
+rare tokens the first by name is its anchor; without labelled
+rows, or labels of one kind only, no rules are mined by lift; other columns, whatever
+their names, take no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,10 +29,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from peneira.llm.common import discard, materialize
+
 ALLOW, BLOCK = "allow", "block"
 #: Least share of labelled URLs, and least number of them, that hold a rule with its label.
 MIN_SUPPORT, MIN_COUNT = 0.002, 20
 MIN_CONFIDENCE = 0.5
+#: Limits where bad labels are rare: against their share, whatever it is.
+BY_LIFT = {"min_confidence": 0.0, "min_lift": 2.0, "min_deviations": 4.0}
+#: Rules that are sent to all executors: a few MB.
+MOST_SENT = 50_000
 _BAD = "label=bad"
 
 #: Host and path rules of the query.
@@ -49,9 +62,11 @@ def tokens(url: Column) -> Column:
     scheme = F.coalesce(F.lower(F.regexp_extract(url, r"(?s)^(.*?)://", 1)), F.lit(""))
     parameters = parts(query, "&")
     names = F.transform(parameters, lambda x: F.regexp_extract(x, "(?s)^[^=]*", 0))
+    labels = parts(host(url), "[.]")
     every = F.concat(
         F.array(F.concat(F.lit("scheme="), scheme)),
-        F.transform(parts(host(url), "[.]"), tag("host=")),
+        F.transform(labels, tag("host=")),
+        F.transform(F.flatten(F.transform(labels, lambda x: parts(x, "-"))), tag("host=")),
         F.transform(parts(path(url), "/"), tag("path=")),
         F.transform(names, tag("query=")),
         F.transform(F.filter(parameters, lambda x: x.contains("=")), tag("query=")),
@@ -59,23 +74,27 @@ def tokens(url: Column) -> Column:
     return F.when(F.coalesce(url.contains("://"), F.lit(False)), F.array_distinct(every)).otherwise(F.expr("cast(array() as array<string>)"))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """``rule, tokens, anchor, confidence`` from rows ``url, bad``."""
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = 0.0, min_deviations: float = 0.0) -> DataFrame:
+    """``rule, tokens, anchor, confidence`` from rows ``url, bad``, written once."""
     from pyspark.ml.fpm import FPGrowth
 
     spark = labelled.sparkSession
     items = labelled.where("bad is not null").select(tokens(F.col("url")).alias("items"), F.col("bad").cast("boolean").alias("bad")).where("size(items) > 0")
-    items = items.select(F.when(F.col("bad"), F.array_append("items", F.lit(_BAD))).otherwise(F.col("items")).alias("items")).cache()
-    n = items.count()
+    items = materialize(items.select("bad", F.when(F.col("bad"), F.array_append("items", F.lit(_BAD))).otherwise(F.col("items")).alias("items")), "items")
+    n, base = items.agg(F.count("*"), F.avg(F.col("bad").cast("double"))).first()
     none = spark.createDataFrame([], "rule long, tokens array<string>, anchor string, confidence double")
-    if not n:
+    if not n or min_deviations and base in (0.0, 1.0):
+        discard(items)
         return none
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / n)), minConfidence=min_confidence).fit(items)
-    sets = model.freqItemsets
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / n)), minConfidence=min(1.0, max(min_confidence, min_lift * base))).fit(items)
+    sets = materialize(model.freqItemsets, "itemsets")
     singles = sets.where(F.size("items") == 1).select(F.get("items", F.lit(0)).alias("t"), "freq")
     found = model.associationRules.where(F.get("consequent", F.lit(0)) == _BAD)
-    found = found.select(F.sort_array("antecedent").alias("tokens"), "confidence").cache()
-    items.unpersist()
+    if min_deviations:
+        held = F.col("support") * n / F.col("confidence")
+        found = found.where((F.col("confidence") - base) * F.sqrt(held / (base * (1 - base))) >= min_deviations)
+    found = materialize(found.select(F.sort_array("antecedent").alias("tokens"), "confidence"), "rules")
+    discard(items)
     # a rule is of no use if one token less is as confident
     less = found.select("tokens", "confidence", F.explode("tokens").alias("out")).where(F.size("tokens") > 1)
     less = less.select("tokens", "confidence", F.array_remove("tokens", F.col("out")).alias("part"))
@@ -84,13 +103,19 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int =
     kept = found.join(idle, "tokens", "left_anti")
     each = kept.select("tokens", "confidence", F.explode("tokens").alias("t")).join(singles, "t")
     anchors = each.groupBy("tokens", "confidence").agg(F.min(F.struct("freq", "t"))["t"].alias("anchor"))
-    return anchors.select(F.xxhash64("tokens").alias("rule"), "tokens", "anchor", "confidence")
+    rules = materialize(anchors.select(F.xxhash64("tokens").alias("rule"), "tokens", "anchor", "confidence"), "anchored")
+    discard(found)
+    discard(sets)
+    return rules
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """The distinct ``url`` values that some rule blocks."""
+    index = rules.select("anchor", "tokens")
+    if index.count() <= MOST_SENT:
+        index = F.broadcast(index)
     owned = urls.select("url", tokens(F.col("url")).alias("own"))
-    met = owned.select("url", "own", F.explode("own").alias("anchor")).join(rules.select("anchor", "tokens"), "anchor")
+    met = owned.select("url", "own", F.explode("own").alias("anchor")).join(index, "anchor")
     return met.where(F.size(F.array_except("tokens", "own")) == 0).select("url").distinct()
 
 

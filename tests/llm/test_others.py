@@ -258,6 +258,54 @@ def test_mined_rules_equal_enumeration(spark):
     assert got == {u for (u, _), (t, _) in zip(rows, items, strict=True) if any(set(c) <= t for c in want)}
 
 
+def test_rules_by_lift_equal_enumeration(spark, sf_dir):
+    """The registered query on generated pages: its rules decide, and are those that an enumeration finds."""
+    from itertools import combinations
+    from math import ceil, sqrt
+
+    from peneira.llm import queries
+
+    sf = sf_dir.replace("sf0.001", "sf0.01")
+    urls = [r.url for r in spark.read.parquet(f"{sf}/pages.parquet").select("url").collect()]
+    bad = {u: zlib.crc32(u.encode()) % 13 != 0 if u.startswith(("https://m.", "https://blog.")) else zlib.crc32(u.encode()) % 11 == 0 for u in urls if u}
+    own = {r.url: frozenset(r.t) for r in spark.createDataFrame([(u,) for u in bad], "url string").select("url", url_rules.tokens(F.col("url")).alias("t")).collect()}
+    rows = [(own[u], bad[u]) for u in urls if u and own[u]]
+    base, least = sum(b for _, b in rows) / len(rows), max(20, ceil(0.002 * len(rows) - 1e-9))
+    # only sets whose parts all come with enough bad labels can
+    level, conf = {()}, {}
+    while level:
+        count, hits = defaultdict(int), defaultdict(int)
+        for t, b in rows:
+            for c in combinations(sorted(t), len(next(iter(level))) + 1):
+                if all(s in level for s in combinations(c, len(c) - 1)):
+                    count[c] += 1
+                    hits[c] += b
+        level = {c for c in count if hits[c] >= least}
+        conf |= {c: hits[c] / count[c] for c in level if hits[c] / count[c] >= 2 * base and (hits[c] / count[c] - base) * sqrt(count[c] / (base * (1 - base))) >= 4}
+    want = {c for c, p in conf.items() if not any(s in conf and conf[s] >= p for s in combinations(c, len(c) - 1))}
+    got = {r.page_id: r.verdict for r in queries.url_rules_mined(spark, sf).collect()}
+    assert len(got) == len(urls) and want
+    for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect():
+        assert got[r.page_id] == ("block" if r.url and any(set(c) <= own[r.url] for c in want) else "allow")
+    assert 0 < sum(v == "block" for v in got.values()) < len(got) / 2
+
+
+def test_chance_makes_no_rules(spark):
+    rng = random.Random(12)
+    rows = [(f"http://{rng.choice('abcdefgh')}.net/{rng.choice('xyz')}/{rng.choice('klmn')}", rng.random() < 0.15) for _ in range(4000)]
+    df = spark.createDataFrame(rows, "url string, bad boolean")
+    assert url_rules.mine(df, **url_rules.BY_LIFT).count() == 0
+    assert url_rules.mine(df.withColumn("bad", F.lit(False)), **url_rules.BY_LIFT).count() == 0
+
+
+def test_url_tables(spark):
+    none = spark.createDataFrame([], "page_id long, url string, rule int, host int, verdict int")
+    labels = spark.createDataFrame([], "url string, bad boolean")
+    assert url_rules.judge(none, labels).collect() == []
+    one = spark.createDataFrame([(1, "http://a-b.c/" + "x" * 200_000, 5), (None, None, 6), (1, "http://a-b.c/", 7)], "page_id long, url string, anchor int")
+    assert len(url_rules.judge(one, labels).collect()) == 3
+
+
 def test_rules_of_any_length(spark):
     from itertools import combinations
 
