@@ -3,7 +3,9 @@
 1. Statistics of every whole text (shares of kinds of characters, words and
    lines) are computed in one pass over its bytes.
 2. Small trees are boosted on a bounded sample of labelled rows (``MOST_ROWS``, the
-   rows of least id hash), the only place where anything is bounded. Every path
+   rows of least id hash), the only place where anything is bounded. The rows are
+   counted first, and only those under a bound of the hash that lets about so many
+   pass leave their tasks. Every path
    from the root to a node is a rule, a conjunction of comparisons.
 3. A logistic regression with an L1 penalty, by accelerated proximal gradient,
    weighs the rules; most weights come out as zero and their rules go.
@@ -14,12 +16,15 @@ Labels, language, source and id are never inputs of a score.
 Defined results: null texts are empty; an empty text has all statistics at zero
 and a score like any other; labels that are null don't count; a row labelled
 twice counts twice; with no labels, or labels of one kind only, the score is the
-share of label 1 (0.5 without labels); a null id counts as the empty text for
-the fold; an empty table gives an empty result.
+share of label 1 (0.5 without labels); of equally good splits a tree takes the first
+statistic and its least threshold; a null id counts as the empty text for
+the fold; other columns, whatever their names, take no part; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -216,13 +221,27 @@ def fit(x: np.ndarray, y: np.ndarray) -> Ensemble:
     return Ensemble([rules[i] for i in kept], [float(weights[i]) for i in kept], intercept)
 
 
+def sampled(some: DataFrame, most_rows: int) -> list:
+    """The ``most_rows`` rows of least id hash (all, if fewer): ``y`` and the statistics."""
+    spread = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
+    count, bound = some.count(), 1 << 63
+    if count > most_rows:
+        bound = (1 << 63) * (most_rows + 4 * math.isqrt(most_rows)) // count
+    while True:
+        near = some.where(spread < F.lit(bound)) if bound < 1 << 63 else some
+        rows = near.orderBy(spread, "doc_id", "y", *STATISTICS).limit(most_rows).select("y", *STATISTICS).collect()
+        if len(rows) >= min(count, most_rows) or bound >= 1 << 63:
+            return rows
+        bound *= 2
+
+
 def score(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, score, predicted. ``labels`` has ``doc_id, quality``."""
     stats = materialize(measured(docs), "statistics")
     fold = lambda c: F.crc32(F.coalesce(c.cast("string"), F.lit(""))) % FOLDS
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("y is not null and doc_id is not null")
     some = marks.where(fold(F.col("doc_id")) != 0).join(stats, "doc_id")
-    rows = some.orderBy(F.xxhash64("doc_id"), "doc_id", "y", *STATISTICS).limit(most_rows).select("y", *STATISTICS).collect()
+    rows = sampled(some, most_rows)
     data = np.array([tuple(r) for r in rows], np.float64).reshape(-1, 1 + len(STATISTICS))
     value = fit(data[:, 1:], data[:, 0]).column()
     judged = stats.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), value.alias("score"))

@@ -384,6 +384,41 @@ def test_rules_learn_and_compile(spark):
     assert rule_ensemble.score(docs.limit(0), labels).count() == 0
 
 
+def test_sample_is_of_least_hashes(spark):
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("y"), *(F.col("id").cast("double").alias(s) for s in rule_ensemble.STATISTICS))
+    df = df.unionByName(df.where("doc_id < 700")).repartition(5)
+    order = df.select("doc_id", F.shiftrightunsigned(F.xxhash64("doc_id"), 1).alias("h")).collect()
+    for n in (1, 100, 5000, 9000):
+        want = [float(r.doc_id) for r in sorted(order, key=lambda r: (r.h, r.doc_id))[:n]]
+        assert [r[1] for r in rule_ensemble.sampled(df, n)] == want
+
+
+def test_split_is_the_best_one():
+    """A tree of one split against a plain search over all thresholds."""
+    rng = np.random.default_rng(2)
+    for trial in range(20):
+        x = rng.integers(0, 12, (200, 3)).astype(float)
+        y = (x[:, trial % 3] + rng.normal(size=200) * 2 > 5).astype(float)
+        rules = rule_ensemble.tree_rules(x, y, trees=1, depth=1)
+        p = y.mean()
+        best = max((sum((y[m] - p).sum() ** 2 / (m.sum() * p * (1 - p) + 1) for m in (x[:, f] > c, x[:, f] <= c)), -f, -c) for f in range(3) for c in range(11) if 0 < (x[:, f] > c).sum() < 200)
+        assert {rule[0][0] for rule in rules} == {-best[1]} and {rule[0][1] for rule in rules} == {-best[2]} and len(rules) == 2
+
+
+def test_lasso_meets_its_conditions():
+    """At the optimum the gradient is the penalty against each weight, and no more where the weight is zero."""
+    rng = np.random.default_rng(3)
+    r = (rng.random((400, 12)) < 0.4).astype(np.float32)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(2 * r[:, 0] - 1.5 * r[:, 1] + 0.2)))).astype(float)
+    for penalty in (0.003, 0.02, 0.5):
+        w, b = rule_ensemble.lasso(r, y, penalty, 4000)
+        spread = np.sqrt(r.mean(0) * (1 - r.mean(0)))
+        gradient = ((r - r.mean(0)) / spread).T @ (1 / (1 + np.exp(-(r @ w + b))) - y) / len(y)
+        own = np.abs(w) > 1e-6
+        assert np.allclose(gradient[own], -penalty * np.sign(w[own]), atol=2e-4) and (np.abs(gradient[~own]) <= penalty + 2e-4).all()
+        assert own.any() == (penalty < 0.5)
+
+
 def test_column_equals_plain_sum(spark):
     rng = np.random.default_rng(0)
     x = np.abs(rng.normal(size=(400, len(rule_ensemble.STATISTICS))))
