@@ -14,14 +14,16 @@
    full pass before those that only repeat. A document's words are what the
    chosen blocks cover of it.
 
-Every window is over one shard, so a source with a third of all rows is spread as
+Rows that are equal have one hash; where there are many of them, they are numbered (by
+their place in their task and the counts of the tasks before) and dealt by that too,
+so that no shard has to take them all. Every window is over one shard, so a source with a third of all rows is spread as
 evenly as the rest. The table of sources (one row each) is the only thing that is
 handled as a whole; it reaches the documents by a join whose side Spark sizes.
 
 Defined results: a null or empty text has size 0 and takes nothing; null sources
 are one source, after all others; equal rows are taken apart from each other by
-their place in the shard only, and each counts; an empty table gives an empty
-result.
+their place in the shard only, and each counts; other columns, whatever their names,
+take no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +37,9 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_REPEATS = 2
 SHARD_WORDS = 1 << 16
-BLOCK_WORDS = 16
+BLOCK_WORDS = 64
+#: Rows of one hash from which on they are told apart by their number.
+EQUAL_ROWS = 1000
 #: Words of a shard for each source, at least.
 CELL_WORDS = 2048
 MICRO = 1_000_000
@@ -92,6 +96,22 @@ def quotas(cells: DataFrame, block_words: int, most_repeats: int) -> DataFrame:
     return ranked.groupBy("shard", "source", "words", "blocks").agg((F.first("low") + F.sum("won")).alias("quota"))
 
 
+def spread_equals(sized: DataFrame, most: int = EQUAL_ROWS) -> DataFrame:
+    """``sized`` with a ``draw`` of its own for each of over ``most`` rows that share one.
+
+    Which of the equal rows gets which draw may differ between runs, but not what draws there are.
+    """
+    hot = materialize(sized.groupBy("draw").agg(F.count("*").alias("n")).where(F.col("n") > most).select("draw"), "hot")
+    if not hot.limit(1).count():
+        return sized
+    lone = materialize(sized.join(hot, "draw", "left_semi").withColumns({"task": F.spark_partition_id(), "row": F.monotonically_increasing_id()}), "lone")
+    tasks = Window.partitionBy("draw").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    before = lone.groupBy("draw", "task").agg(F.count("*").alias("rows")).select("draw", "task", F.coalesce(F.sum("rows").over(tasks), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("draw", "task").orderBy("row"))
+    numbered = lone.withColumn("place", place).join(before, ["draw", "task"]).withColumn("draw", F.xxhash64("draw", F.col("place") + F.col("before")))
+    return sized.join(hot, "draw", "left_anti").select(*sized.columns).unionByName(numbered.select(*sized.columns))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most_repeats: int = MOST_REPEATS, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS, seed: int = 17) -> DataFrame:
     """Per row: doc_id, size, source, source_size, target, shard, ``mark`` (a hash of the text), ``taken``, the words that the mix takes,
     and ``spans``, where the chosen blocks cover the document: a ``first`` word and the one after the ``last``, from 0, for each block and pass."""
@@ -101,7 +121,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     # rounding to blocks weighs little only if a source has many words in a shard
     shard_words = max(shard_words, CELL_WORDS * sources.count())
     shards = max(1, -(-int(total) // shard_words))
-    dealt = sized.withColumn("shard", F.pmod("draw", F.lit(shards)))
+    dealt = spread_equals(sized).withColumn("shard", F.pmod("draw", F.lit(shards)))
     with_target = dealt.join(sources, dealt["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     cells = with_target.groupBy("shard", "source").agg(F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
     cells = cells.withColumn("aim", F.when(F.col("source_size") > 0, F.round(F.col("target") * F.col("words") / F.col("source_size") * MICRO)).otherwise(0).cast("long"))

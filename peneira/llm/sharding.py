@@ -7,16 +7,18 @@ tells the sizes of all buckets of every depth, so splitting costs one aggregatio
 of the keys rather than one for each bit, and the directory is a table that is as
 long as there are shards.
 
-A bucket that holds one key only can't split. Its rows of one size are then
-numbered, by their place in their task and by the counts of the tasks before (no
-task gathers them), and dealt to overflow pages of the bucket by their number; a
+A bucket that holds one key only can't split. Its rows are parted by the power of two
+of their size, and the bytes of a part are laid end to end, by the rows' places in
+their task and the bytes of the tasks before (no
+task gathers them). Where a row starts says to which overflow page of the bucket it
+goes; the stretch of a page is the limit less the part's longest row, so none is over it. A
 single row above the limit has a page of its own and is marked ``oversized``.
 
 Each row goes with all its columns to its shard and page, and ``write_shards`` writes
 the shards: a page of a shard is one file.
 
 Defined results: null texts have no bytes; a null key is a key; equal rows stay
-apart as rows; an empty table gives an empty result. Keys are hashed as text, null
+apart as rows; all columns, whatever their names, are kept in ``document``; an empty table gives an empty result. Keys are hashed as text, null
 as empty text; keys of equal hash prefix share a bucket that can't split.
 """
 
@@ -33,6 +35,8 @@ from peneira.llm.common import materialize, shared_dir
 LIMIT = 1 << 20
 #: Hash bits: 15 hexadecimal digits of the key's MD5.
 MAX_BITS = 60
+#: Parts of a bucket that can't split: by the binary digits of a row's size.
+PARTS = 64
 
 
 def directory(sized: DataFrame, limit: int) -> tuple[DataFrame, int]:
@@ -72,14 +76,17 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int =
     out = fits.select("key", "bytes", "h", "document", "page")
     if full.limit(1).count():
         lone = materialize(rows.join(full, "h", "left_semi").withColumns({"task": F.spark_partition_id(), "row": F.monotonically_increasing_id()}), "lone")
-        counts = lone.groupBy("h", "bytes", "task").agg(F.count("*").alias("rows"))
-        tasks = Window.partitionBy("h", "bytes").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-        before = counts.select("h", "bytes", "task", F.coalesce(F.sum("rows").over(tasks), F.lit(0)).alias("before"))
-        places = Window.partitionBy("h", "bytes", "task").orderBy("row")
-        numbered = lone.withColumn("place", F.row_number().over(places)).join(before, ["h", "bytes", "task"])
-        # rows of one size share pages; pages of different sizes are told apart by the size
-        each = F.greatest(F.floor(F.lit(limit) / F.greatest("bytes", F.lit(1))), F.lit(1))
-        page = F.floor((F.col("before") + F.col("place") - 1) / each) * (1 << 31) + F.col("bytes")
+        lone = lone.withColumn("part", F.when(F.col("bytes") > limit, PARTS - 1).otherwise(F.length(F.bin("bytes"))))
+        counts = lone.groupBy("h", "part", "task").agg(F.sum(F.greatest("bytes", F.lit(1))).alias("n"), F.min(F.greatest("bytes", F.lit(1))).alias("least"), F.max(F.greatest("bytes", F.lit(1))).alias("most"))
+        part = Window.partitionBy("h", "part")
+        tasks = part.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+        before = counts.select("h", "part", "task", F.coalesce(F.sum("n").over(tasks), F.lit(0)).alias("before"), F.min("least").over(part).alias("least"), F.max("most").over(part).alias("most"))
+        places = Window.partitionBy("h", "part", "task").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+        numbered = lone.withColumn("place", F.coalesce(F.sum(F.greatest("bytes", F.lit(1))).over(places), F.lit(0))).join(before, ["h", "part", "task"])
+        # rows of one size fill a page to the last that fits; rows above the limit start in stretches of their own
+        even = F.floor(F.lit(limit) / F.col("most")) * F.col("most")
+        stretch = F.greatest(F.when(F.col("least") == F.col("most"), even).otherwise(F.lit(limit) - F.col("most") + 1), F.lit(1))
+        page = F.floor((F.col("before") + F.col("place")) / stretch) * PARTS + F.col("part")
         out = out.unionByName(numbered.select("key", "bytes", "h", "document", page.cast("long").alias("page")))
     placed = out.withColumn("leaf", leaf).join(leaves, "leaf").withColumn("prefix", F.expr(f"shiftright(leaf, {bits} - depth)"))
     label = F.concat(F.col("depth").cast("string"), F.lit("-"), F.when(F.col("depth") > 0, F.lpad(F.bin("prefix"), F.col("depth"), F.lit("0"))).otherwise(""))

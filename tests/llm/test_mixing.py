@@ -74,4 +74,15 @@ def test_spans_are_what_is_taken(edges):
     rows = mixing.mix(edges).collect()
     assert any(r.spans for r in rows)
     for r in rows:
-        assert r.taken == sum(x.last - x.first for x in r.spans) and all(0 <= x.first < x.last <= r.size and x.last - x.first <= 16 for x in r.spans)
+        assert r.taken == sum(x.last - x.first for x in r.spans) and all(0 <= x.first < x.last <= r.size and x.last - x.first <= mixing.BLOCK_WORDS for x in r.spans)
+
+
+def test_equal_rows_are_spread(spark):
+    hot = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("w " * 40).alias("text"), F.lit("a").alias("source"))
+    own = spark.range(2000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("v "), (F.col("id") % 50 + 1).cast("int")).alias("text"), F.concat(F.lit("b"), (F.col("id") % 2).cast("string")).alias("source"))
+    df = hot.unionByName(own)
+    rows = mixing.mix(df.repartition(6), shard_words=8192)
+    per = rows.groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("k"), F.count_distinct("shard").alias("n")).collect()
+    assert all(r.n >= 10 and abs(r.k - r.t) <= 0.02 * r.t + 2 * mixing.BLOCK_WORDS * r.n**0.5 for r in per)
+    key = lambda d: sorted(((r.doc_id, r.taken) for r in d.collect()), key=str)
+    assert rows.count() == 6000 and key(rows) == key(mixing.mix(df.repartition(3), shard_words=8192))

@@ -38,6 +38,16 @@ def test_one_hot_key_overflows(spark):
     assert len(rows) == 50 and {r.b for r in rows} == {1000}
 
 
+def test_hot_key_of_mixed_sizes_fills_its_pages(spark):
+    df = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") * 37 % 400).cast("int")).alias("text")).repartition(6)
+    rows = sharding.shard(df, limit=4000).groupBy("shard", "page").agg(F.sum("bytes").alias("b")).collect()
+    total = sum(r.b for r in rows)
+    assert max(r.b for r in rows) <= 4000 and total / len(rows) > 3200
+    over = spark.range(20).select(F.lit(1).alias("doc_id"), F.repeat(F.lit("x"), F.when(F.col("id") % 2 == 0, 150).otherwise(90)).alias("text"))
+    rows = sharding.shard(over, limit=100).groupBy("shard", "page").agg(F.sum("bytes").alias("b"), F.count("*").alias("n")).collect()
+    assert len(rows) == 20 and {(r.b, r.n) for r in rows} == {(150, 1), (90, 1)}
+
+
 def test_shards_are_written_with_their_rows(spark, edges, empty, tmp_path):
     rows = [(7, f"{i:04}" + "x" * (96 + i % 2)) for i in range(500)] + [(None, f"n{i:04}" + "y" * 95) for i in range(300)] + [(i, f"own text {i}") for i in range(100, 400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
