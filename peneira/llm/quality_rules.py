@@ -17,8 +17,8 @@ so a line that a third of all documents share, or a host that has a third of the
 sends a row for each task.
 
 Defined results: a null text is empty and fails; rows of null host are one host;
-equal rows are copies and count once, each with its own verdict; an empty table
-gives an empty result. Windows are compared by 64-bit hashes of five 64-bit word
+equal rows are copies and count once, each with its own verdict; other columns,
+whatever their names, take no part; an empty table gives an empty result. Windows are compared by 64-bit hashes of five 64-bit word
 hashes.
 """
 
@@ -107,8 +107,7 @@ def without_lines(text: Column, removed_lines: Column) -> Column:
     return F.array_join(keep, "\n")
 
 
-#: The same for ``documents`` in DuckDB, but for telling a line's documents apart by their
-#: least other line: different texts that share that line too are one document there.
+#: The same for ``documents`` in DuckDB: a line's documents are the distinct whole texts that have it.
 SQL = r"""
 with t as (select row_number() over () as r, doc_id, source, coalesce(text, '') as text from documents),
 w as (select r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws, string_split(text, chr(10)) as ls from t),
@@ -120,11 +119,8 @@ l as (select r, unnest(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\
 n as (select r, line, lower(trim(translate(line, chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||'0123456789', '     0000000000'))) as norm,
       length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) as chars from l),
 dup as (select r, count(*) - count(distinct line) as n_dup_lines from n group by r),
-d as (select distinct r, norm from n),
-o as (select r, norm, row_number() over (partition by r order by norm) as k from d),
-two as (select r, max(case when k = 1 then norm end) as m1, max(case when k = 2 then norm end) as m2 from o group by r),
-m as (select t.source, n.r, n.norm, n.chars, case when n.norm = m1 then m2 else m1 end as mark from n join two using (r) join t using (r)),
-f as (select source, norm from (select distinct source, norm, mark from m) group by source, norm having count(*) > 10),
+m as (select t.source, md5(t.text) as document, n.r, n.norm, n.chars from n join t using (r)),
+f as (select source, norm from m group by source, norm having count(distinct document) > 10),
 gone as (select m.r, sum(m.chars) as gone from m join f on m.norm = f.norm and m.source is not distinct from f.source group by m.r),
 b as (select t.r, t.doc_id, len(ws)::bigint as n_words, length(regexp_replace(t.text, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars,
       length(regexp_replace(t.text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(n_dup_lines, 0)::bigint as n_dup_lines,

@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
@@ -43,5 +45,16 @@ def test_shared_lines_of_different_texts(spark):
     assert all(len(judged[1000 + i].removed_lines) == 1 and judged[1000 + i].n_left == 0 and not judged[1000 + i].kept for i in range(100))
 
 
+def test_header_and_footer_together(spark):
+    """Both stand in 200 different documents of one host, so both go; a line of ten documents stays."""
+    rng = random.Random(4)
+    words = lambda i: " ".join("".join(rng.choice("abcdefghijkl") for _ in range(5)) for _ in range(40)) + f" {chr(97 + i % 26)}"
+    rows = [(i, "Home | About | Contact\n" + words(i) + f" {chr(97 + i % 26)}{chr(97 + i // 26)}\nall rights reserved by the owners of this site", "h") for i in range(200)]
+    rows += [(1000 + i, "a line that ten documents of the host share among them\n" + words(300 + i) + " " + chr(97 + i) * 3, "g") for i in range(10)]
+    judged = {r.doc_id: r for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(len(judged[i].removed_lines) == 2 and judged[i].kept for i in range(200))
+    assert not any(judged[1000 + i].removed_lines for i in range(10))
+
+
 def test_empty(empty):
     assert Q.judge(empty).count() == 0
