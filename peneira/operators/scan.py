@@ -2,8 +2,9 @@
 
 Spark has no find-all with offsets: the pieces between the matches (``split``) and
 the matches themselves (``regexp_extract_all``) alternate, so running lengths give
-the spans. All patterns are scanned in one projection, each behind the cheap test of
-its family, so a text is read once and a clean text costs a few tests.
+the spans. All patterns are scanned in one projection. In front of each stand the test
+of what its matches must hold (``guards``) and the search for a first match, so a text
+costs most patterns a literal search, some one pass, and those that match the others.
 """
 
 from __future__ import annotations
@@ -14,13 +15,17 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peneira.operators.patterns import FAMILIES, Pattern
+from peneira.operators.guards import folded, may_match, n_digits
+from peneira.operators.patterns import Pattern
 
 GROUPS = 6
 _KIND = "array<struct<ord:int,name:string,inicio:int,fim:int,m:string," + ",".join(f"g{i}:string" for i in range(1, GROUPS + 1)) + ">>"
 
 
-def find_all(text: Column, pattern: Pattern, ord_: int) -> Column:
+LOW, DIGITS = "_scan_low", "_scan_digits"
+
+
+def find_all(text: Column, pattern: Pattern, ord_: int, guarded: bool = True) -> Column:
     """An array of structs: ord, name, inicio, fim, m (the match), g1 to g6 (null where a group has no part)."""
     java = F.lit(pattern.java)
     whole = F.regexp_extract_all(text, java, F.lit(0))
@@ -38,7 +43,9 @@ def find_all(text: Column, pattern: Pattern, ord_: int) -> Column:
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one).cast(_KIND)).alias("out"))
 
     found = F.aggregate(real, start, step, lambda a: a["out"])
-    return F.when(text.rlike(FAMILIES[pattern.family]), found).otherwise(F.expr(f"cast(array() as {_KIND})"))
+    if not guarded:
+        return found
+    return F.when(may_match(pattern.regex, F.col(LOW), F.col(DIGITS)) & text.rlike(pattern.java), found).otherwise(F.expr(f"cast(array() as {_KIND})"))
 
 
 _BUILT: dict[tuple, list[Column]] = {}
@@ -55,4 +62,6 @@ def arrays(patterns: tuple[Pattern, ...], text: str, first: int) -> list[Column]
 
 def scan(docs: DataFrame, patterns: Iterable[Pattern], text: str = "text", first: int = 0) -> DataFrame:
     """The columns of ``docs`` with a row for each match. Null texts have none."""
-    return docs.select("*", F.inline(F.concat(*arrays(tuple(patterns), text, first))))
+    body = F.coalesce(F.col(text), F.lit(""))
+    tested = docs.withColumns({LOW: folded(body), DIGITS: n_digits(body)})
+    return tested.select(*(F.col(f"`{c}`") for c in docs.columns), F.inline(F.concat(*arrays(tuple(patterns), text, first))))
