@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Characters whose upper or lower case is longer than they are, each with the first letter of it.
+_LONG = [chr(i) for i in range(0x80, 0x10000) if not 0xD800 <= i < 0xE000 and (len(chr(i).upper()) > 1 or len(chr(i).lower()) > 1)]
+_SHORT = "".join(next(x for x in c.upper() + c.lower() if x.isalpha() and len(x.upper()) == 1 == len(x.lower())) for c in _LONG)
 _ACCENTED = "ÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑÝáàâãäåéèêëíìîïóòôõöúùûüçñýÿºª°"
 _PLAIN = "AAAAAAEEEEIIIIOOOOOUUUUCNYaaaaaaeeeeiiiiooooouuuucnyyoao"
 
@@ -15,12 +18,12 @@ def as_column(x: Column | str) -> Column:
 
 def fold(text: Column | str) -> Column:
     """Upper case without accents; every character keeps its position."""
-    return F.upper(F.translate(as_column(text), _ACCENTED, _PLAIN))
+    return F.upper(F.translate(as_column(text), _ACCENTED + "".join(_LONG), _PLAIN + _SHORT))
 
 
 def fold_lower(text: Column | str) -> Column:
     """Lower case without accents; every character keeps its position."""
-    return F.lower(F.translate(as_column(text), _ACCENTED, _PLAIN))
+    return F.lower(F.translate(as_column(text), _ACCENTED + "".join(_LONG), _PLAIN + _SHORT))
 
 
 def before(text: Column, start: Column, width: int) -> Column:

@@ -13,8 +13,8 @@ FOUND = "doc_id long, tipo string, valor string, confianca double, peso int, ini
 Model = Callable[[str], list[tuple[int, int, float]]]
 
 
-def name_recognizer(load: Callable[[], Model], source: str, least: float = 0.0, most_chars: int = 4096, use_context: bool = True) -> Callable[[DataFrame], DataFrame]:
-    """A plug-in from a function that loads a model; it is loaded once per task."""
+def name_recognizer(load: Callable[[], Model], source: str, least: float = 0.0, most_chars: int | None = None, use_context: bool = True) -> Callable[[DataFrame], DataFrame]:
+    """A plug-in from a function that loads a model; it is loaded once per task and gets whole texts unless ``most_chars`` says otherwise."""
     from peneira.functions.confidence import context_factor
     from peneira.operators.names import immune, suppressed
 
@@ -57,3 +57,28 @@ def _safe(keep: Callable[[str, str], bool], kind: str, value: str) -> bool:
         return bool(keep(kind, value))
     except Exception:  # noqa: BLE001  an arbiter that fails must not lose findings
         return True
+
+
+IBAN, CARD, ADDRESS = r"\b([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?)\b", r"\b(\d(?:[ -]?\d){12,18})\b", r"\b((?:\d{1,3}\.){3}\d{1,3})\b"
+
+
+def complement(docs: DataFrame, everything: bool = False) -> DataFrame:
+    """A plug-in for what the patterns leave: IBANs and cards whose check digits hold, and addresses whose parts are bytes.
+
+    Values that are no name pass only with ``everything``, so that by default IBANs remain: numbers and
+    addresses are dropped with whatever consists of digits and points.
+    """
+    from peneira.functions.validators import luhn_valid
+    from peneira.operators.names import suppressed
+    from peneira.operators.patterns import Pattern
+    from peneira.operators.scan import scan
+
+    kinds = {"IBAN": "CONTA_BANCARIA_INTERNACIONAL", "CARD": "CARTAO_CREDITO", "ADDRESS": "IP"}
+    found = scan(docs.select("doc_id", "text"), (Pattern("IBAN", IBAN, 1, False), Pattern("CARD", CARD, 1), Pattern("ADDRESS", ADDRESS, 1)))
+    value, name = F.col("g1"), F.col("name")
+    digits = F.regexp_replace(value, "[ -]", "")
+    octets = F.forall(F.split(value, "[.]"), lambda x: x.cast("int") <= 255)
+    sound = F.when(name == "IBAN", iban_valid(value)).when(name == "CARD", luhn_valid(digits)).otherwise(octets)
+    score = F.when(name == "ADDRESS", 0.6).otherwise(1.0)
+    kept = found.where(sound if everything else sound & ~suppressed(value))
+    return kept.select("doc_id", F.element_at(F.create_map(*(F.lit(x) for kv in kinds.items() for x in kv)), name).alias("tipo"), value.alias("valor"), score.alias("confianca"), F.when(score >= 0.8, 4).otherwise(3).alias("peso"), "inicio", "fim", F.lit("presidio").alias("source"))

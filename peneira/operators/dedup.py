@@ -15,6 +15,10 @@ from peneira.functions.validators import digits
 from peneira.operators.vocabulary import NOT_NAMES
 
 
+#: Stands between values; values don't hold it.
+_SEP = "\x01"
+
+
 def _drop_contained(rows: DataFrame, norm: Column, rank: list[Column]) -> DataFrame:
     marked = rows.withColumns({"_norm": norm, "_rank": F.struct(*(c.alias(f"r{i}") for i, c in enumerate(rank)))})
     a, b = marked.alias("a"), marked.select("doc_id", "_norm", "_rank").alias("b")
@@ -53,9 +57,9 @@ def dedup_exact(rows: DataFrame) -> DataFrame:
 def dedup(rows: DataFrame) -> DataFrame:
     """Each kind by its own rule, in one pass over each document's findings.
 
-    Equals the rules above. A document's findings are gathered into one row, which its
-    text bounds; the plan reads them once, where a join for each kind would read them
-    twice each.
+    Equals the rules above. A document's findings of a kind are gathered into one row, which
+    its text bounds; a value that one of them contains is found by searching for it in all of
+    them laid end to end, so no pairs are made.
     """
     columns = rows.columns
     kind, low = F.col("tipo"), F.trim(F.lower("valor"))
@@ -68,13 +72,16 @@ def dedup(rows: DataFrame) -> DataFrame:
     size = F.when(family == "ENDERECO", F.length("valor")).when(family.isin("NOME", "TELEFONE"), F.length(norm)).otherwise(0)
     weight = F.when(family == "ENDERECO", 0).otherwise(F.col("peso"))
     rank = F.struct(size.alias("size"), weight.alias("weight"), (-F.col("seq")).alias("first"))
-    within = family.isin("NOME", "TELEFONE", "ENDERECO")
-    marked = rows.withColumns({"_family": family, "_norm": norm, "_rank": rank, "_within": within}).where(fit)
-    every = marked.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in marked.columns if c != "doc_id"])).alias("f"))
-
-    def lost(a: Column, b: Column) -> Column:
-        inside = F.when(a["_within"], F.contains(b["_norm"], a["_norm"])).otherwise(b["_norm"] == a["_norm"])
-        return (a["_family"] == b["_family"]) & (b["_rank"] > a["_rank"]) & inside
-
-    kept = F.filter("f", lambda a: ~F.exists("f", lambda b: lost(a, b)))
+    # of equal values the first by rank stays; the parts of others are told by a search
+    joined = _SEP + _SEP
+    norm = F.translate(norm, _SEP, " ")
+    marked = rows.withColumns({"_family": family, "_norm": norm, "_rank": rank}).where(fit).repartition("doc_id")
+    best = Window.partitionBy("doc_id", "_family", "_norm").orderBy(F.col("_rank").desc())
+    firsts = marked.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
+    held = F.sort_array(F.collect_list(F.struct("_rank", *[c for c in firsts.columns if c not in ("doc_id", "_family", "_rank")])), asc=False)
+    every = firsts.groupBy("doc_id", "_family").agg(held.alias("f"))
+    every = every.withColumn("_all", F.concat(F.lit(_SEP), F.array_join(F.transform("f", lambda x: x["_norm"]), joined), F.lit(_SEP)))
+    # a value's own place is where it stands between marks; what contains it and ranks before it stands earlier
+    alone = lambda a: F.instr(F.col("_all"), a["_norm"]) > F.instr(F.col("_all"), F.concat(F.lit(_SEP), a["_norm"], F.lit(_SEP)))
+    kept = F.when(F.col("_family").isin("NOME", "TELEFONE", "ENDERECO"), F.filter("f", alone)).otherwise(F.col("f"))
     return every.select("doc_id", F.inline(kept)).select(*columns)

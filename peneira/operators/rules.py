@@ -52,7 +52,6 @@ DWELLING = ("apt", "apartamento", "casa", "residencia", "moro", "resido", "minha
 OFFICES = ("sas", "scs", "sds", "sbs", "scn", "sen", "sgo", "sia", "sig")
 INSTITUTION = ("secretaria", "hospital", "escola", "orgao", "empresa", "administracao", "departamento", "diretoria", "coordenacao", "tribunal", "camara", "senado", "autarquia", "fundacao", "instituto", "agencia", "conselho", "comissao", "gdf", "seedf", "sesdf", "sedf", "sejus", "pcdf", "pmdf", "cbmdf", "detran", "caesb", "ceb", "novacap", "terracap", "brb", "metro", "ubs", "upa", "posto", "servico", "bloco institucional")
 BANK_OWN = r"minha\s+conta|meu\s+banco|depositar|transferir|pix|minha\s+ag[êe]ncia|receber\s+em|pagamento|meu\s+cart[ãa]o|cart[ãa]o\s+final|dep[óo]sito|ag[êe]ncia|ag\s*\d|cc\s*\d|conta\s*corrente|conta\s*:"
-BANK_NOT = r"processo|protocolo|ocorr[êe]ncia|sei\s*n|nota\s+fiscal|empenho|documento|n[ºo°]\s*\d"
 BANK_OFFICE = ("agência institucional", "agencia institucional", "conta institucional", "conta corporativa", "conta empresa", "conta comercial", "conta governo")
 MINOR_NOT = ("solicitação genérica", "solicito informações", "benefício geral", "aposentadoria", "requerimento genérico", "dados epidemiológicos", "dados epidemiologicos", "dados estatísticos", "dados estatisticos", "estatística geral", "secretaria de educação", "secretaria de educacao", "informação institucional", "dados públicos", "dados publicos")
 HEALTH_NOT = ("ISENÇÃO", "IMPOSTO DE RENDA", "APOSENTADO", "SOLICITAÇÃO", "SOLICITO", "PEDIDO", "BENEFÍCIO", "BENEFICIO", "AUXÍLIO", "AUXILIO", "APOSENTADORIA", "REQUERIMENTO", "GENÉRICO", "GENERICA", "GENÉRICA", "PARA", "SOBRE", "REFERENTE", "REFERÊNCIA", "REFERENCIA", "INFORMAÇÃO", "INFORMACAO", "INFORMAÇÕES", "INFORMACOES", "DADOS EPIDEMIOLÓGICOS", "DADOS EPIDEMIOLOGICOS", "DADOS ESTATÍSTICOS", "DADOS ESTATISTICOS", "ESTATÍSTICA", "ESTATISTICA", "PÚBLICO", "PUBLICO", "SES-DF", "SECRETARIA", "GDF", "PÚBLICA", "PUBLICA", "HOSPITAL", "CLÍNICA", "CLINICA", "UNIDADE", "UBS", "UPA", "POSTO", "SERVIÇO", "SERVICO")

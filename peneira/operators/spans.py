@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -26,15 +26,36 @@ def merge_overlaps(spans: DataFrame) -> DataFrame:
     return per_source.groupBy("doc_id", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.sum("n").alias("n"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("fonte", "score")))).alias("scores"))
 
 
-def post_process(spans: DataFrame, min_len: int = 2, merge: bool = True, split_on: str | None = None) -> DataFrame:
-    """doc_id, s, e: drops short spans, joins touching ones, and cuts at matches of ``split_on`` in column ``text``."""
-    kept = spans.where(F.col("e") - F.col("s") >= min_len)
+def post_process(spans: DataFrame, min_len: int = 2, merge: bool = True, split_on: str | Callable[[int, int, str], list[tuple[int, int]]] | None = None) -> DataFrame:
+    """doc_id, s, e: drops short spans, joins touching ones, and puts the parts that ``split_on`` finds in their place.
+
+    ``split_on`` is an expression whose matches in the span's own text are the parts, or
+    a function of (s, e, that text) that gives them as spans of the document. A span without parts stays.
+    It needs the document's text in column ``text``.
+    """
+    spans = spans.where(F.col("e") - F.col("s") >= min_len)
+    body = [F.first("text").alias("text")] if split_on is not None else []
     if merge:
-        return islands(kept, touching=True).groupBy("doc_id", "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("island")
+        spans = islands(spans, touching=True).groupBy("doc_id", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), *body).drop("island")
     if split_on is None:
-        return kept.select("doc_id", "s", "e")
-    pieces = F.filter(F.split("text", split_on), lambda x: x != "")
-    return kept.withColumn("piece", F.explode(pieces)).select("doc_id", "s", "e", "piece")
+        return spans.select("doc_id", "s", "e")
+    own = spans.select("doc_id", "s", "e", F.expr("substring(text, s + 1, e - s)").alias("text"))
+    if callable(split_on):
+
+        def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                rows = [(d, *part) for d, s, e, t in zip(pdf.doc_id, pdf.s, pdf.e, pdf.text, strict=True) for part in split_on(s, e, t) or [(s, e)]]
+                yield pd.DataFrame(rows, columns=["doc_id", "s", "e"])
+
+        return own.mapInPandas(cut, own.select("doc_id", "s", "e").schema)
+    found = F.regexp_extract_all("text", F.lit(split_on), F.lit(0))
+    gaps = F.transform(F.split("text", split_on, -1), lambda x: F.length(x))
+    # the n-th part starts after the gaps and parts before it
+    before = lambda i: F.aggregate(F.slice(F.col("gaps"), 1, i + 1), F.col("s"), lambda a, x: a + x) + F.aggregate(F.slice(F.col("found"), 1, i), F.lit(0), lambda a, x: a + F.length(x))
+    parts = F.transform("found", lambda x, i: F.struct(before(i).cast("int").alias("s"), (before(i) + F.length(x)).cast("int").alias("e")))
+    whole = F.array(F.struct(F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e")))
+    split = own.withColumns({"found": found, "gaps": gaps})
+    return split.select("doc_id", F.inline(F.when(F.size("found") > 0, parts).otherwise(whole)))
 
 
 def prefer(spans: DataFrame, by: str = "longest", sources: Sequence[str] = (), choose: Callable[[list[dict]], dict] | None = None, order: str = "leftmost") -> DataFrame:

@@ -1,10 +1,10 @@
 """Word lists, weights and thresholds.
 
 Fixed values throughout this module: results depend on them being as they are.
-The long block list of institutions, months, places and formulas is a parameter of
-``names.suppressed``; what stands here are the shorter lists.
 """
 
+from peneira.operators.block_list import BLOCK_TERMS  # noqa: F401
+
 SAFE_TERMS = (
     "GDF", "PMDF", "PCDF", "CBMDF", "SEEDF", "SESDF", "SSP", "DETRAN", "BRB", "NOVACAP", "CGDF", "CLDF", "TCDF", "DODF", "SEI", "TERRACAP",
     "CAESB", "NEOENERGIA", "CEB", "METRO-DF", "METRO DF", "DFTRANS", "AGEFIS", "ADASA", "CODHAB", "EMATER", "FAPDF", "INESP",
@@ -23,21 +23,6 @@ BLOCK_WORDS = (
     "INSTITUTO", "AGENCIA", "CONSELHO", "COMISSAO", "GDF", "SEEDF", "SESDF", "SEDF", "SEJUS", "PCDF", "PMDF", "CBMDF", "DETRAN", "CAESB",
     "CEB", "NOVACAP", "TERRACAP", "BRB", "METRO",
 )
-#: The part of the block list that names no institution or place (those are among SAFE_TERMS).
-BLOCK_TERMS = (
-    "AGRADECO", "ATENCIOSAMENTE", "CORDIALMENTE", "RESPEITOSAMENTE", "BOM DIA", "BOA TARDE", "BOA NOITE", "PREZADOS", "PREZADO", "PREZADA", "CORDIAIS SAUDACOES",
-    "SOLICITO", "INFORMO", "ENCAMINHO", "DESPACHO", "PROCESSO", "AUTOS", "REQUERIMENTO", "PROTOCOLO", "MANIFESTACAO", "DEMANDA", "REQUEIRO", "AUTORIZO", "ACESSO", "INTEGRAL",
-    "DRA", "DR", "SR", "SRA", "PROF", "PROFESSOR", "PROFESSORA", "DOUTOR", "DOUTORA", "EXMO", "EXMA", "ILMO", "ILMA", "MERITISSIMO",
-    "NUCLEO", "LEGISLATIVA", "JUSTICA", "CONTROLADORIA", "OUVIDORIA", "SUPERINTENDENCIA", "SUBSECRETARIA",
-    "CIDADAO", "CIDADA", "REQUERENTE", "SOLICITANTE", "INTERESSADO", "DENUNCIANTE", "RECLAMANTE", "MANIFESTANTE",
-    "MEU CPF", "MINHA CNH", "MEU RG", "MEU TELEFONE", "MEU EMAIL", "MEU ENDERECO", "MINHA IDENTIDADE", "MEU NOME", "MEU PIS",
-    "RECLAMACAO", "DENUNCIA", "ELOGIO", "SUGESTAO",
-    "JANEIRO", "FEVEREIRO", "MARCO", "ABRIL", "MAIO", "JUNHO", "JULHO", "AGOSTO", "SETEMBRO", "OUTUBRO", "NOVEMBRO", "DEZEMBRO",
-    "ESCOLA", "ESCOLA CLASSE", "CENTRO DE ENSINO", "HOSPITAL", "HOSPITAL REGIONAL", "HOSPITAL DE BASE", "CENTRO DE SAUDE", "DELEGACIA", "BATALHAO", "PREFEITURA", "ADMINISTRACAO REGIONAL",
-    "RUA", "AVENIDA", "QUADRA", "LOTE", "BLOCO", "SETOR", "BAIRRO", "CIDADE", "ESTADO", "CEP", "CHACARA", "CONDOMINIO",
-    "HUNTINGTON", "PARKINSON", "ALZHEIMER", "CROHN", "HODGKIN", "CHAGAS", "HANSEN", "BELL", "DOWN", "WILSON",
-    "DECRETO", "LEI", "PORTARIA", "RESOLUCAO", "LGPD", "CODIGO CIVIL", "CODIGO PENAL", "CONSTITUICAO FEDERAL",
-)
 SERVANTS = (
     "SERVIDOR", "SERVIDORA", "FUNCIONARIO", "FUNCIONARIA", "ANALISTA", "TECNICO", "AUDITOR", "FISCAL", "PERITO", "DELEGADO", "DELEGADA", "ADMINISTRADOR", "ADMINISTRADORA",
     "COORDENADOR", "COORDENADORA", "DIRETOR", "DIRETORA", "SECRETARIO", "SECRETARIA", "AGENTE", "MEDICO", "MEDICA", "ASSESSOR", "ASSESSORA", "CHEFE", "GERENTE",

@@ -58,7 +58,7 @@ def limited(log: DataFrame, seconds: int = WINDOW_S, limit: int = LIMIT, cost: s
                 out.append(fine and take == n)
             yield pdf[kept].assign(aceito=out)
 
-    return rows.repartition("ip").sortWithinPartitions("ip", "_at").mapInPandas(walk, schema)
+    return rows.repartition("ip").sortWithinPartitions("ip", "_at", *(["event_id"] if "event_id" in log.columns else [])).mapInPandas(walk, schema)
 
 
 def suspicious(log: DataFrame) -> DataFrame:

@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from peneira.functions import confidence as C
 from peneira.functions import validators as VD
-from peneira.operators import dedup, explain, names, spans, vote
+from peneira.functions.plugins import complement
+from peneira.operators import dedup, explain, names, packs, spans, vote
 from peneira.operators.patterns import PATTERNS
 from peneira.operators.rules import judge
 from peneira.operators.scan import scan
 from peneira.operators.vocabulary import FP_RATE, SAFE_TERMS
 from peneira.plans import access, feedback, metrics, probability
 from peneira.plans.detect import Engine, analyze, detect, detect_extended, findings
-from peneira.plans.fixtures import view, with_views
+from peneira.plans.fixtures import BESIDE, OTHERS, view, with_views
 from peneira.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,7 +148,7 @@ _F = "substr(cpf,1,3)||'.'||substr(cpf,4,3)||'.'||substr(cpf,7,3)||'-'||substr(c
 
 @query("rule_cpf", "fx_text", f"select k as doc_id, 'CPF' as tipo, {_F} as valor, case when dv_ok and not ({_UNIFORM.format(c='cpf')}) then 5 else 3 end as peso, 10::int as inicio, 24::int as fim from fx_cpf where k%8=1 and k<>1")
 def rule_cpf(t: DataFrame) -> DataFrame:
-    return _ruled(t, "CPF").where("doc_id % 8 <> 6")
+    return _ruled(t, "CPF")
 
 
 @query("rule_email", "fx_text", "select k as doc_id, 'EMAIL_PESSOAL' as tipo, 'user'||cast(k as varchar)||'@gmail.com' as valor, 4 as peso, 39::int as inicio, (53+length(cast(k as varchar)))::int as fim from fx_cpf where k%8=1")
@@ -271,19 +272,28 @@ def rule_ip(t: DataFrame) -> DataFrame:
     return _ruled(t, "IP_ADDRESS")
 
 
-@query("rule_bank", "fx_text2")
+@query("rule_bank", "fx_text2", "select k as doc_id, 'DADOS_BANCARIOS' as tipo, case when k%24=12 then substr(cpf,1,8)||'-1234-5678' else substr(cpf,4,5)||' '||substr(cpf,2,7) end as valor, 4 as peso, case when k%24=12 then 10 else 13 end::int as inicio, case when k%24=12 then 28 else 34 end::int as fim from fx_cpf where k%24 in (12,13)")
 def rule_bank(t: DataFrame) -> DataFrame:
     return _ruled(t, "CONTA_BANCARIA", "DADOS_BANCARIOS", "CARTAO_CREDITO", "CONTA_BANCARIA_CONTEXTUAL")
 
 
-@query("rule_others", "fx_text2")
-def rule_others(t: DataFrame) -> DataFrame:
-    return _ruled(t, "RG_ORGAO", "REGISTRO_ACADEMICO", "CERTIDAO", "NIRE", "MATRICULA_IMOVEL", "CDA", "CDA_ADICIONAL", "AUTO_INFRACAO", "PROTOCOLO_OUV", "PROTOCOLO_DFP", "PROTOCOLO_GENERICO", "INSCRICAO_IMOVEL_15", "CARTAO_FINAL", "DADO_BIOMETRICO", "NOME_TITULO", "NOME_ASSINATURA", "NOME_CARGO", "NOME_CONDOMINIO")
+_OTHERS = [x[0] for x in OTHERS]
+_FOUND = [(_OTHERS.index(x[0]), x[0], *x[2:]) for x in OTHERS] + [(_OTHERS.index(x[0]), *x[1:]) for x in BESIDE]
 
 
-@query("heur_minor", "fx_text2", "select k as doc_id, 'MENOR_IDENTIFICADO' as tipo, 'Lima, '||cast(k%25 as varchar)||' anos' as valor from fx_cpf where k%24=16 and k%25<18 and false")
+@query("rule_more", "fx_text3", " union all ".join(f"select k as doc_id, '{name}' as name, '{kind}' as tipo, {value.replace('{T}', 'varchar')} as valor, {weight}::int as peso from fx_cpf where k%{len(OTHERS)}={at}" for at, name, kind, value, weight in _FOUND))
+def rule_more(t: DataFrame) -> DataFrame:
+    """What these recognizers find in a sentence for each of them, all others' included."""
+    return judge(scan(t.select("doc_id", "text"), _picked(*_OTHERS)), names=_OTHERS).select("doc_id", "name", "tipo", "valor", "peso")
+
+
+@query("heur_minor", "fx_cpf", "select k as doc_id, 'MENOR_IDENTIFICADO' as tipo, 'Lima, '||cast(k%25 as varchar)||' anos' as valor, 11::int as inicio from fx_cpf where k%25<18 and k%3<>1")
 def heur_minor(t: DataFrame) -> DataFrame:
-    return names.heuristics(t).where("tipo = 'MENOR_IDENTIFICADO'").select("doc_id", "tipo", "valor")
+    """Under 18 and near a word of school; the third of the sentences has none."""
+    tail = F.when(F.col("k") % 3 == 0, " , da escola").when(F.col("k") % 3 == 1, " , do bairro").otherwise(" , aluno")
+    age = F.lpad((F.col("k") % 25).cast("string"), 2, " ")
+    docs = t.select(F.col("k").alias("doc_id"), F.concat(F.lit("Sobre Rita Lima, "), F.trim(age), F.lit(" anos"), tail).alias("text"))
+    return names.heuristics(docs).where("tipo = 'MENOR_IDENTIFICADO'").select("doc_id", "tipo", "valor", "inicio")
 
 
 @query("heur_signature", "fx_cpf", "select k as doc_id, 'João Silva' || case when k%3=0 then ' Lima' else '' end as valor, 31::int as inicio from fx_cpf where k%3<>1")
@@ -301,19 +311,30 @@ def trigger_names(t: DataFrame) -> DataFrame:
 _SAFE = "|".join(t.replace("-", "-") for t in SAFE_TERMS)
 
 
-@query("suppress_terms", "supplier", f"select s_suppkey, regexp_matches(upper(n), '{_SAFE}') as some from (select s_suppkey, case s_suppkey%4 when 0 then 'Ana Lima' when 1 then 'Posto de Taguatinga' when 2 then 'Rita Aguiar' else 'Paulo Braga' end as n from supplier) x")
+_SAID = ["'Ana Lima'", "'Posto de Taguatinga'", "'Rita Aguiar'", "'Paulo Braga'", "'ab'", "'João ##Silva'", "'Rua'", "'Doutor'", "'Maria Secretaria'", "'José da Silva-Souza'", "'12 34-5'", "'Lima, Ana'", "'Parkinson'", "'Prezado'", "'Hélio Conceição'", "'Aguas Claras'", "'bom dia'"]
+_NO_NAME = (1, 2, 4, 5, 6, 7, 8, 10, 11, 12, 13, 15, 16)
+
+
+def _said(key: str, texts: list[str]) -> str:
+    return f"case {key}%{len(texts)} " + " ".join(f"when {i} then {t}" for i, t in enumerate(texts)) + " end"
+
+
+@query("suppress_terms", "supplier", f"select s_suppkey, {_said('s_suppkey', _SAID)} as nome, s_suppkey%{len(_SAID)} in {_NO_NAME} as some from supplier")
 def suppress_terms(t: DataFrame) -> DataFrame:
-    k = F.col("s_suppkey") % 4
-    name = F.when(k == 0, "Ana Lima").when(k == 1, "Posto de Taguatinga").when(k == 2, "Rita Aguiar").otherwise("Paulo Braga")
-    return t.select("s_suppkey", names.suppressed(name).alias("some"))
+    said = t.select("s_suppkey", F.expr(_said("s_suppkey", _SAID)).alias("nome"))
+    return said.select("s_suppkey", "nome", names.suppressed(F.col("nome")).alias("some"))
+
+
+_OFFICE = ["'Conforme despacho do analista '", "'Quero falar com o analista '", "'Vi ontem na rua a '", "'O telefone da Dra. '", "'A diretora '", "'Ofício do delegado '", "'Meu vizinho, sr. '", "'A médica do posto, '", "'Ligar para a diretora '"]
+_AFTER = ["''", "''", "''", "' do Hospital'", "' da Escola Classe'", "''", "''", "', meu telefone pessoal é 1'", "''"]
+_IMMUNE = (0, 5)
 
 
-@query("immunity", "supplier", "select s_suppkey, s_suppkey%3=0 as imune from supplier")
+@query("immunity", "supplier", f"select s_suppkey, {_said('s_suppkey', _OFFICE)} || 'Ana Lima' || {_said('s_suppkey', _AFTER)} as texto, s_suppkey%{len(_OFFICE)} in {_IMMUNE} as imune from supplier")
 def immunity(t: DataFrame) -> DataFrame:
-    k = F.col("s_suppkey") % 3
-    text = F.when(k == 0, "Conforme despacho do analista Ana Lima").when(k == 1, "Quero falar com o analista Ana Lima").otherwise("Vi ontem na rua a Ana Lima")
-    start = F.length(text) - 8
-    return t.select("s_suppkey", names.immune(text, start).alias("imune"))
+    pre, post = F.expr(_said("s_suppkey", _OFFICE)), F.expr(_said("s_suppkey", _AFTER))
+    said = t.select("s_suppkey", F.concat(pre, F.lit("Ana Lima"), post).alias("texto"), F.length(pre).alias("at"))
+    return said.select("s_suppkey", "texto", names.immune(F.col("texto"), F.col("at")).alias("imune"))
 
 
 # ---- context and base confidence
@@ -326,7 +347,7 @@ def confidence_base(t: DataFrame) -> DataFrame:
 
 @query("context_factor", "fx_text", "select k as doc_id, round(case when k%8=0 then 1.0+0.10-0.25 when k%8=1 then 1.0+0.05 when k%8=2 then 1.0 end, 6)::double as fator from fx_cpf where k%8 < 3")
 def context_factor(t: DataFrame) -> DataFrame:
-    found = scan(t.where("doc_id % 8 < 3").select("doc_id", "text"), _picked("CPF"))
+    found = scan(t.select("doc_id", "text"), _picked("CPF"))
     return found.select("doc_id", F.round(C.context_factor(F.lit("CPF"), F.col("text"), F.col("inicio"), F.col("fim")), 6).alias("fator"))
 
 
@@ -590,15 +611,20 @@ def rate_window(t: DataFrame) -> DataFrame:
     return access.rate_window(t, 3600).select("event_id", "na_janela")
 
 
-@query("rate_limited", "fx_access")
+@query("rate_limited", "events", """with recursive e as (select event_id, user_id as ip, ts, row_number() over (partition by user_id order by ts, event_id) as n from events),
+ r as (select event_id, ip, n, [ts] as held, true as aceito from e where n=1
+ union all select e.event_id, e.ip, e.n, case when len(list_filter(r.held, lambda x: x > e.ts - interval 1 hour)) < 3 then list_append(list_filter(r.held, lambda x: x > e.ts - interval 1 hour), e.ts) else list_filter(r.held, lambda x: x > e.ts - interval 1 hour) end,
+ len(list_filter(r.held, lambda x: x > e.ts - interval 1 hour)) < 3 from r join e on e.ip=r.ip and e.n=r.n+1)
+ select event_id, aceito from r""")
 def rate_limited(t: DataFrame) -> DataFrame:
-    return access.limited(t, 3600, 3).select("event_id", "aceito")
+    return access.limited(t.withColumnRenamed("user_id", "ip"), 3600, 3).select("event_id", "aceito")
 
 
-@query("suspicious_ips", "fx_access", "select ip, count(*) as n, min(ts) as desde from fx_access group by ip")
+@query("suspicious_ips", "fx_access", """with e as (select *, event_type||'/'||event_id as t, row_number() over (partition by ip order by ts, event_id) as n, row_number() over (partition by ip order by ts desc, event_id desc) as z from fx_access)
+ select ip, max(case when z=1 then event_type end) as user_agent, count(*) as n, min(ts) as desde, string_agg(t, ' ' order by n) filter (where n<=5) as textos from e group by ip""")
 def suspicious_ips(t: DataFrame) -> DataFrame:
-    rows = t.withColumns({"user_agent": F.col("event_type"), "text": F.col("event_type")})
-    return access.suspicious(rows).select("ip", "n", "desde")
+    rows = t.withColumns({"user_agent": F.col("event_type"), "text": F.concat_ws("/", "event_type", "event_id")})
+    return access.suspicious(rows).select("ip", "user_agent", "n", "desde", F.array_join("textos", " ").alias("textos"))
 
 
 @query("access_counters", "fx_access", "select count(*) filter (where event_type='view') as visitas, count(*) filter (where event_type='purchase') as requisicoes, max(ts) as ultimo from fx_access")
@@ -636,10 +662,75 @@ def findings_documents(docs: DataFrame) -> DataFrame:
     return findings(docs, Engine()).select("doc_id", "seq", "tipo", "valor", "peso", "votacao_motivo")
 
 
-@query("export_rows", "fx_findings", f"select doc_id::varchar as \"ID\", 'NÃO PÚBLICO' as \"Classificacao\", {_RISK} as \"Risco\", printf('%.1f%%', max(confianca)*100) as \"Confianca\", string_agg(tipo||': '||valor, '; ' order by seq) as \"Entidades\", count(*)::int as \"Total\" from fx_findings group by doc_id")
+@query("export_rows", "fx_findings", f"""select doc_id as "ID", '07/03/2024' as "Data", '09:'||lpad((doc_id%60)::varchar, 2, '0') as "Horário", case when doc_id%2=0 then 'Individual' else 'Lote' end as "Tipo", 'NÃO PÚBLICO' as "Classificação",
+ printf('%.1f%%', max(confianca)::double*100) as "Confiança", printf('%.2f', max(confianca)::double) as "Risco", case max(peso) when 5 then 'Crítico' when 4 then 'Alto' when 3 then 'Moderado' else 'Baixo' end as "Nível de Risco",
+ case when doc_id%2=0 then repeat('abcdefghi ', 10)||'...' else 'pedido '||doc_id end as "Prévia do Pedido", string_agg(tipo||': '||valor, '; ' order by seq) as "Dados Identificados" from fx_findings group by doc_id""")
 def export_rows(t: DataFrame) -> DataFrame:
-    docs = t.groupBy("doc_id").agg(C.risk_of_weight(F.max("peso")).alias("risco"), F.max("confianca").alias("confianca"), F.sort_array(F.collect_list(F.struct("seq", "tipo", "valor"))).alias("entities"))
-    return files.export_rows(docs.withColumnRenamed("doc_id", "id").withColumn("classificacao", F.lit("NÃO PÚBLICO")))
+    docs = t.groupBy("doc_id").agg(C.risk_of_weight(F.max("peso")).alias("risco"), F.max("confianca").cast("double").alias("confianca"), F.sort_array(F.collect_list(F.struct("seq", "tipo", "valor"))).alias("entities"))
+    even = F.col("doc_id") % 2 == 0
+    docs = docs.withColumns({"classificacao": F.lit("NÃO PÚBLICO"), "type": F.when(even, "individual").otherwise("lote"), "text": F.when(even, F.repeat(F.lit("abcdefghi "), 11)).otherwise(F.concat(F.lit("pedido "), F.col("doc_id").cast("string")))})
+    docs = docs.withColumn("ts", F.make_timestamp(F.lit(2024), F.lit(3), F.lit(7), F.lit(9), (F.col("doc_id") % 60).cast("int"), F.lit(0)))
+    return files.export_rows(docs.withColumnRenamed("doc_id", "id"))
+
+
+@query("batch_totals", "conversations", "select count(*) as total, count(*) filter (where length(trim(text))>=10) as validos from conversations")
+def batch_totals(t: DataFrame) -> DataFrame:
+    return metrics.batch_totals(t)
+
+
+@query("feedback_by_kind", "fx_feedback", f"select tipo, count(*) as total, {_V.format(v='CORRETO')} as corretos from fx_feedback group by tipo")
+def feedback_by_kind(t: DataFrame) -> DataFrame:
+    return feedback.by_type(feedback.training_rows(t))
+
+
+@query("calibration_run", "fx_feedback")
+def calibration_run(t: DataFrame) -> DataFrame:
+    return feedback.recalibrate(t, F.lit("2024-01-01").cast("timestamp"))[1].drop("por_tipo")
+
+
+@query("rows_numbered", "conversations", "select row_number() over (order by conv_id, turn)-1 as n, conv_id, turn from conversations")
+def rows_numbered(t: DataFrame) -> DataFrame:
+    ordered = t.select("conv_id", "turn").repartitionByRange(7, "conv_id", "turn").sortWithinPartitions("conv_id", "turn")
+    return files.numbered(ordered, "n").select("n", "conv_id", "turn")
+
+
+@query("span_split", "fx_spans", """with t as (select doc_id, seq, s, e from fx_spans where e-s>=2), w as (select r*9+a as a, r*9+b as b from (select unnest(range(12)) as r) x, (select unnest([0,3,7]) as a, unnest([2,6,8]) as b) y),
+ c as (select doc_id, seq, greatest(s, a)::int as s, least(e, b)::int as e from t join w on a < e and b > s)
+ select doc_id, s, e from c union all select doc_id, s, e from t where not exists (select 1 from c where c.doc_id=t.doc_id and c.seq=t.seq)""")
+def span_split(t: DataFrame) -> DataFrame:
+    """The words of each span as spans of the document."""
+    return spans.post_process(t.withColumn("text", F.repeat(F.lit("ab cde f "), 12)), merge=False, split_on="[^ ]+")
+
+
+_IBANS = ["'Minha conta: BR15 0000 0000 0000 1093 2840 814P 2'", "'IBAN GB82WEST12345698765432 aberto'", "'IBAN GB82WEST12345698765433 aberto'", "'cartão 4111 1111 1111 1111 e servidor 10.1.2.3'"]
+
+
+@query("complement", "supplier", f"select s_suppkey as doc_id, case when s_suppkey%4<2 then 'CONTA_BANCARIA_INTERNACIONAL' when n=0 then 'CARTAO_CREDITO' else 'IP' end as tipo, case s_suppkey%4 when 0 then 'BR15 0000 0000 0000 1093 2840 814P 2' when 1 then 'GB82WEST12345698765432' else case n when 0 then '4111 1111 1111 1111' else '10.1.2.3' end end as valor, case when s_suppkey%4=3 and n=1 then 3 else 4 end as peso from supplier, (select unnest([0,1]) as n) where s_suppkey%4<2 and n=0 or s_suppkey%4=3")
+def complement_query(t: DataFrame) -> DataFrame:
+    docs = t.select(F.col("s_suppkey").alias("doc_id"), F.expr(_said("s_suppkey", _IBANS)).alias("text"))
+    return complement(docs, everything=True).select("doc_id", "tipo", "valor", "peso")
+
+
+@query("pack_scored", "fx_text", "select k as doc_id, case when k%8 in (0,1,2) then 'CPF_BR' else 'PROCESSO_SEI' end as entity, case when k%8 in (0,1,2) then 'cpf' else p end as pattern, case when k%8 in (0,1,2) then 0.9 when p='sei_padrao' then 0.9 when p='sei_ponto' then 0.85 else 0.7 end::double as score from fx_cpf, (select unnest(['sei_padrao','sei_ponto','sei_simples']) as p) where k%8 in (0,1,2) and p='sei_ponto' or k%8=7")
+def pack_scored(t: DataFrame) -> DataFrame:
+    return packs.scored(t, ("CPF_BR", "PROCESSO_SEI", "PROTOCOLO_LAI"), 0.6).select("doc_id", "entity", "pattern", "score")
+
+
+_PACKED = [(0, "CPF", _F), (1, "CPF", _F), (2, "CPF", _F), (4, "CNH", "substr(cpf,6,4)||'-'||substr(cpf,2,4)"), (4, "TELEFONE", "'9'||substr(cpf,6,4)||'-'||substr(cpf,2,4)"), (5, "CNH", "'3105-'||substr(cpf,6,4)"), (5, "TELEFONE", "'3105-'||substr(cpf,6,4)"), (7, "PROCESSO_SEI", "'Processo SEI 000'||substr(cpf,8,2)||'-'||substr(cpf,2,8)||'/2024-'||substr(cpf,10,2)")]
+
+
+@query("pack_contextual", "fx_text", " union all ".join(f"select k as doc_id, '{kind}' as tipo, {value} as valor from fx_cpf where k%8={at}" for at, kind, value in _PACKED))
+def pack_contextual(t: DataFrame) -> DataFrame:
+    return packs.contextual(t).select("doc_id", "tipo", "valor")
+
+
+_SIGNS = ["'Segue o laudo médico do setor'", "'O paciente fez cirurgia'", "'Quero marcar um exame'", "'Meu filho tem 9 anos'", "'O prédio da escola tem 40 anos'", "'O aluno João Silva faltou'", "'Tenho 15 anos de casa'", "'Criança com diagnóstico e tratamento, 7 anos'"]
+
+
+@query("pack_heuristics", "supplier", f"select s_suppkey as doc_id, tipo, 0::int as inicio, length({_said('s_suppkey', _SIGNS)})::int as fim from supplier, (select unnest(['DADO_SAUDE','MENOR_IDENTIFICADO']) as tipo) where tipo='DADO_SAUDE' and s_suppkey%8 in (0,1,7) or tipo='MENOR_IDENTIFICADO' and s_suppkey%8 in (3,5,7)")
+def pack_heuristics(t: DataFrame) -> DataFrame:
+    docs = t.select(F.col("s_suppkey").alias("doc_id"), F.expr(_said("s_suppkey", _SIGNS)).alias("text"))
+    return packs.contextual(docs).select("doc_id", "tipo", "inicio", "fim")
 
 
 @query("csv_documents", "conversations", "select (turn||'-'||conv_id) as id, trim(text) as text from conversations where length(trim(text))>0")
@@ -648,7 +739,8 @@ def csv_documents(t: DataFrame) -> DataFrame:
     return files.documents(sheet).select("id", "text")
 
 
-@query("loose_text", "conversations", "select conv_id, turn, text as t from conversations where text <> ''")
+@query("loose_text", "conversations", """select conv_id, turn, case when turn%3=2 or text='' then '{"conv_id":'||conv_id||',"turn":'||turn||',"texto":""}' else text end as t from conversations""")
 def loose_text(t: DataFrame) -> DataFrame:
-    sheet = t.withColumnRenamed("text", "texto").where("texto <> ''")
+    """The text, or the whole row as JSON where it is empty, as every third turn's is here."""
+    sheet = t.select("conv_id", "turn", F.when(F.col("turn") % 3 == 2, "").otherwise(F.col("text")).alias("texto"))
     return sheet.select("conv_id", "turn", files.loose_text(sheet).alias("t"))

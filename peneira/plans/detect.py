@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from peneira.functions.confidence import risk_of_weight
+from peneira.functions.plugins import complement
 from peneira.operators import dedup as D
 from peneira.operators import explain as E
+from peneira.operators import spans as S
 from peneira.operators import vote as V
 from peneira.operators.names import heuristics, trigger_names
 from peneira.operators.patterns import PATTERNS, Pattern
@@ -30,7 +32,11 @@ class Engine:
     #: Keeps some of the pending findings; without one all stay.
     arbiter: Plugin | None = None
     min_length: int = 10
+    #: Of overlapping findings one stays: ``recall`` and ``f1`` keep the longest, ``precision`` the surest, ``custom`` what ``choose`` gives.
     merge_preset: str | None = None
+    choose: Callable[[list[dict]], dict] | None = None
+    #: IBANs (and, by ``plugins.complement``, cards and addresses) beside the patterns.
+    complement: bool = True
 
 
 def candidates(docs: DataFrame, engine: Engine = Engine()) -> DataFrame:
@@ -40,7 +46,8 @@ def candidates(docs: DataFrame, engine: Engine = Engine()) -> DataFrame:
     near = E.near_text(F.col("text"), F.col("inicio"), F.col("fim"))
     found = matched.withColumns({"source": F.lit("regex"), "contexto": near, "yields": F.lit(False)}).select(*columns, "yields")
     extra = heuristics(docs).unionByName(trigger_names(docs).withColumn("yields", F.lit(False)))
-    for i, plugin in enumerate(engine.recognizers):
+    more = (*((complement,) if engine.complement else ()), *engine.recognizers)
+    for i, plugin in enumerate(more):
         extra = extra.unionByName(plugin(docs).withColumns({"ord": F.lit(3000 + i), "yields": F.lit(False)}))
     every = found.unionByName(extra.withColumn("contexto", F.lit(None).cast("string")).select(*columns, "yields"))
     # a heuristic yields to what else is found of its kind (a signature to the same name)
@@ -50,6 +57,13 @@ def candidates(docs: DataFrame, engine: Engine = Engine()) -> DataFrame:
     return kept.withColumn("seq", F.col("ord").cast("long") * (1 << 32) + F.coalesce("inicio", F.lit(0)))
 
 
+def merged(found: DataFrame, preset: str, choose: Callable[[list[dict]], dict] | None = None) -> DataFrame:
+    """Of findings that overlap one, as the preset says."""
+    by, order = {"recall": ("longest", "all"), "precision": ("score", "leftmost"), "f1": ("longest", "leftmost"), "custom": ("custom", "leftmost")}.get(preset, ("longest", "leftmost"))
+    spans = found.withColumns({"s": F.col("inicio"), "e": F.col("fim"), "score": F.col("confianca"), "fonte": F.col("source")})
+    return S.prefer(spans, by, choose=choose, order=order).select(*found.columns)
+
+
 def findings(docs: DataFrame, engine: Engine = Engine()) -> DataFrame:
     """Findings after voting, removal of duplicates and thresholds, each with its explanation."""
     voted = V.vote(candidates(docs, engine))
@@ -57,6 +71,8 @@ def findings(docs: DataFrame, engine: Engine = Engine()) -> DataFrame:
         waiting = V.pending(voted)
         voted = voted.join(waiting.select("doc_id", "seq"), ["doc_id", "seq"], "left_anti").unionByName(engine.arbiter(waiting))
     kept = V.within_thresholds(D.dedup(voted))
+    if engine.merge_preset is not None:
+        kept = merged(kept, engine.merge_preset, engine.choose)
     return E.explained(kept, F.col("contexto")).drop("contexto", "ord")
 
 

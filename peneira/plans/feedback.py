@@ -55,23 +55,56 @@ def bins(rows: DataFrame) -> DataFrame:
     return rows.groupBy("fonte", b.alias("faixa")).agg(F.avg(F.col("score").cast("double")).alias("score_medio"), F.avg(F.col("label").cast("double")).alias("precisao"), F.count("*").alias("n"))
 
 
+def _pooled(rows) -> list[tuple[float, float]]:
+    """Ends of the blocks of a monotone fit to (score, mean label, count), in order of scores."""
+    blocks: list[list[float]] = []  # first x, last x, sum, count
+    for x, y, n in rows:
+        blocks.append([x, x, y * n, n])
+        while len(blocks) > 1 and blocks[-2][2] / blocks[-2][3] >= blocks[-1][2] / blocks[-1][3]:
+            _, last, total, count = blocks.pop()
+            blocks[-1][1:] = [last, blocks[-1][2] + total, blocks[-1][3] + count]
+    return [(x, total / count) for first, last, total, count in blocks for x in dict.fromkeys((first, last))]
+
+
 def isotonic(rows: DataFrame) -> DataFrame:
     """Per source with enough rows, the points (x, y) of a monotone fit, y within .001 and .999.
 
-    Sources are few; each is fitted by Spark's own distributed regression.
+    Scores are pooled by ten-thousandths first, so a source's fit has 10,001 rows at most,
+    whatever the feedback, and each source is fitted by a task of its own.
+    """
+    import pandas as pd
+
+    step = F.floor(F.col("score").cast("double") * 10_000)
+    per = rows.groupBy("fonte", step.alias("step")).agg(F.avg(F.col("score").cast("double")).alias("x"), F.avg(F.col("label").cast("double")).alias("y"), F.count("*").alias("n"))
+    enough = per.groupBy("fonte").agg(F.sum("n").alias("all")).where(F.col("all") >= max(LEAST_SOURCE, LEAST_TOTAL)).select("fonte")
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        some = pdf.sort_values("x")
+        points = _pooled(zip(some.x, some.y, some.n, strict=True))
+        return pd.DataFrame([(pdf.fonte.iloc[0], x, min(0.999, max(0.001, y))) for x, y in points], columns=["fonte", "x", "y"])
+
+    return per.join(enough, "fonte").groupBy("fonte").applyInPandas(fit, "fonte string, x double, y double")
+
+
+def recalibrate(feedback: DataFrame, at: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The points of the fits, and a row of history for each source that was fitted.
+
+    History: fonte, ts, amostras, accuracy at .5 before and after, the improvement, and
+    ``por_tipo`` (of all sources). Under ``LEAST_TOTAL`` feedback rows nothing is fitted.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import IsotonicRegression
-
-    counts = rows.groupBy("fonte").count().where(F.col("count") >= max(LEAST_SOURCE, LEAST_TOTAL)).orderBy("fonte")
-    data = VectorAssembler(inputCols=["score"], outputCol="features").transform(rows.withColumn("label", F.col("label").cast("double")))
-    out = None
-    for source in [r.fonte for r in counts.collect()]:
-        model = IsotonicRegression(featuresCol="features", labelCol="label").fit(data.where(F.col("fonte") == source))
-        points = [(source, float(x), min(0.999, max(0.001, float(y)))) for x, y in zip(model.boundaries, model.predictions, strict=True)]
-        part = rows.sparkSession.createDataFrame(points, "fonte string, x double, y double")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else rows.sparkSession.createDataFrame([], "fonte string, x double, y double")
+    rows = training_rows(feedback)
+    points = isotonic(rows if feedback.limit(LEAST_TOTAL).count() == LEAST_TOTAL else rows.limit(0))
+    tested = calibrated(rows.join(points.select("fonte").distinct(), "fonte"), points)
+    hit = lambda c: F.avg(((F.col(c) >= 0.5) == (F.col("label") == 1)).cast("double"))
+    per = tested.groupBy("fonte").agg(F.count("*").alias("amostras"), F.round(hit("score"), 4).alias("acuracia_antes"), F.round(hit("calibrado"), 4).alias("acuracia_depois"))
+    kinds = by_type(rows).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("tipo", F.struct("total", "corretos"))))).alias("por_tipo"))
+    history = per.join(F.broadcast(kinds)).withColumn("ts", F.current_timestamp() if at is None else at)
+    return points, history.select("fonte", "ts", "amostras", "acuracia_antes", "acuracia_depois", F.round(F.col("acuracia_depois") - F.col("acuracia_antes"), 4).alias("melhora"), "por_tipo")
+
+
+def by_type(rows: DataFrame) -> DataFrame:
+    """Samples and right ones by kind over all sources; a null kind counts as UNKNOWN."""
+    return rows.groupBy(F.coalesce("tipo", F.lit("UNKNOWN")).alias("tipo")).agg(F.count("*").alias("total"), F.sum("label").alias("corretos"))
 
 
 def calibrated(rows: DataFrame, points: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ The same SQL runs in Spark and in DuckDB; only the name of the string type diffe
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,18 +61,62 @@ _MORE = [
     "'Acesso via 10.'||cast(k%256 as {T})||'.0.7'",
     "'Sem dado pessoal no item '||cast(k as {T})",
 ]
+#: Recognizer, sentence, and what it must find: kind, value, weight.
+OTHERS = [
+    ("RG_ORGAO", "'Identidade '||substr(cpf,1,7)||' SSP/DF'", "RG", "substr(cpf,1,7)||' '", 5),
+    ("REGISTRO_ACADEMICO", "'Registro acadêmico: '||substr(cpf,1,8)||'7'", "REGISTRO_ACADEMICO", "substr(cpf,1,8)||'7'", 5),
+    ("CERTIDAO", "'Consta 123456 01 55 2010 1 00012 123 12345'||substr(cpf,8,2)||' '||substr(cpf,10,2)", "CERTIDAO", "'123456 01 55 2010 1 00012 123 12345'||substr(cpf,8,2)||' '||substr(cpf,10,2)", 5),
+    ("NIRE", "'A empresa tem NIRE: '||cpf", "NIRE", "cpf", 3),
+    ("MATRICULA_IMOVEL", "'Matrícula nº '||substr(cpf,1,2)||'.'||substr(cpf,3,3)||' 2º RI'", "MATRICULA_IMOVEL", "substr(cpf,1,2)||'.'||substr(cpf,3,3)", 3),
+    ("CDA", "'Certidão de Dívida Ativa nº '||substr(cpf,1,9)", "CDA", "substr(cpf,1,9)", 3),
+    ("CDA_ADICIONAL", "'Inscrito em Dívida Ativa, guia paga e '||substr(cpf,1,9)", "CDA", "substr(cpf,1,9)", 3),
+    ("AUTO_INFRACAO", "'Auto de Infração nº D-'||substr(cpf,1,4)||'-'||substr(cpf,5,6)", "AUTO_INFRACAO", "'D-'||substr(cpf,1,4)||'-'||substr(cpf,5,6)", 3),
+    ("PROTOCOLO_OUV", "'Meu protocolo OUV-'||substr(cpf,6,6)||'/2024'", "PROTOCOLO_OUV", "'OUV-'||substr(cpf,6,6)||'/2024'", 3),
+    ("PROTOCOLO_DFP", "'Registrado sob DFP'||substr(cpf,1,10)", "PROTOCOLO_DFP", "'DFP'||substr(cpf,1,10)", 3),
+    ("PROTOCOLO_GENERICO", "'Solicito acesso ao protocolo: '||substr(cpf,1,5)||'.2024-11'", "PROTOCOLO_GENERICO", "substr(cpf,1,5)||'.2024-11'", 3),
+    ("INSCRICAO_IMOVEL_15", "'Imóvel de número '||cpf||'1234'", "INSCRICAO_IMOVEL", "cpf||'1234'", 4),
+    ("CARTAO_FINAL", "'Meu cartão de crédito final '||substr(cpf,8,4)||' foi cobrado'", "DADOS_BANCARIOS", "substr(cpf,8,4)", 4),
+    ("DADO_BIOMETRICO", "'Anexei a impressão digital número '||cast(k as {T})", "DADO_BIOMETRICO", "'impressão digital'", 5),
+    ("NOME_TITULO", "'Fui atendido por Dra. Ana Souza Lima, sala '||cast(k as {T})", "NOME", "'Ana Souza Lima'", 4),
+    ("NOME_ASSINATURA", "'Item '||cast(k as {T})||' _____________ Rita Braga Lima'", "NOME", "'Rita Braga Lima'", 4),
+    ("NOME_CARGO", "'Conversei com a servidora Paula Braga, sala '||cast(k as {T})", "NOME", "'Paula Braga'", 4),
+    ("NOME_CONDOMINIO", "'O Edifício Carlos Gomes tem '||cast(k as {T})||' salas'", "NOME", "'Carlos Gomes'", 4),
+    ("TELEFONE_DDI", "'Meu telefone: +55 61 9'||substr(cpf,6,4)||'-'||substr(cpf,2,4)", "TELEFONE", "'+55 61 9'||substr(cpf,6,4)||'-'||substr(cpf,2,4)", 4),
+    ("TELEFONE_INTERNACIONAL", "'Meu telefone: +1 212 555 0'||substr(cpf,8,3)", "TELEFONE", "'+1 212 555 0'||substr(cpf,8,3)", 4),
+    ("TELEFONE_CURTO", "'Meu celular: 9'||substr(cpf,6,4)||'-'||substr(cpf,2,4)", "TELEFONE", "'9'||substr(cpf,6,4)||'-'||substr(cpf,2,4)", 4),
+    ("TELEFONE_FIXO", "'Meu telefone: (61) 3'||substr(cpf,6,3)||'-'||substr(cpf,2,4)", "TELEFONE", "'(61) 3'||substr(cpf,6,3)||'-'||substr(cpf,2,4)", 4),
+    ("TELEFONE_DDD_HIFEN", "'Meu telefone: 61-9'||substr(cpf,6,4)||'-'||substr(cpf,2,4)", "TELEFONE", "'61-9'||substr(cpf,6,4)||'-'||substr(cpf,2,4)", 4),
+    ("ENDERECO_MORO_EM", "'Eu moro na Vila Nova Casa '||cast(k%90+10 as {T})", "ENDERECO_RESIDENCIAL", "'Vila Nova Casa '||cast(k%90+10 as {T})", 4),
+    ("ENDERECO_CONTEXTO_PESSOAL", "'Podem me encontrar na Vila da Rua Sete casa '||cast(k%90+10 as {T})", "ENDERECO_RESIDENCIAL", "'Vila da Rua Sete casa '||cast(k%90+10 as {T})", 4),
+    ("ENDERECO_LABEL", "'Endereço: Vila Nova, Lote '||cast(k%90+10 as {T})", "ENDERECO_RESIDENCIAL", "'Vila Nova, Lote '||cast(k%90+10 as {T})", 4),
+    ("ENDERECO_RESIDENCIAL", "'Resido com minha mãe, casa '||cast(k%90+10 as {T})", "ENDERECO_RESIDENCIAL", "'Resido com minha mãe, casa '||cast(k%90+10 as {T})", 4),
+    ("ENDERECO_DF_RESIDENCIAL", "'Sou inquilina da CLN '||cast(k%90+110 as {T})||' Bloco B sala '||cast(k%90+10 as {T})", "ENDERECO_RESIDENCIAL", "'CLN '||cast(k%90+110 as {T})||' Bloco B sala '||cast(k%90+10 as {T})", 4),
+    ("CONTA_BANCARIA_CONTEXTUAL", "'Minha conta corrente: '||substr(cpf,2,7)||'-1'", "CONTA_BANCARIA", "'Conta '||substr(cpf,2,7)||'-1'", 5),
+    ("DADOS_BANCARIOS", "'Minha agência '||substr(cpf,2,4)||' conta '||substr(cpf,5,7)", "DADOS_BANCARIOS", "'Agência '||substr(cpf,2,4)||' Conta '||substr(cpf,5,7)", 4),
+    ("CARTAO_CREDITO", "'Meu cartão é 4111 '||substr(cpf,1,4)||' '||substr(cpf,5,4)||' 1'||substr(cpf,9,3)", "DADOS_BANCARIOS", "'4111 '||substr(cpf,1,4)||' '||substr(cpf,5,4)||' 1'||substr(cpf,9,3)", 4),
+    ("CELULAR_SEM_FORMATACAO", "'Meu telefone é 619'||substr(cpf,6,4)||substr(cpf,2,4)", "TELEFONE", "'619'||substr(cpf,6,4)||substr(cpf,2,4)", 4),
+]
+#: Sentence (by its recognizer), and what another recognizer finds in it.
+BESIDE = [
+    ("REGISTRO_ACADEMICO", "CELULAR_SEM_FORMATACAO", "TELEFONE", "substr(cpf,1,8)||'7'", 3), ("CDA", "CELULAR_SEM_FORMATACAO", "TELEFONE", "substr(cpf,1,9)", 3),
+    ("CDA_ADICIONAL", "CELULAR_SEM_FORMATACAO", "TELEFONE", "substr(cpf,1,9)", 3), ("PROTOCOLO_DFP", "CELULAR_SEM_FORMATACAO", "TELEFONE", "substr(cpf,1,10)", 3),
+    ("TELEFONE_DDI", "TELEFONE_CURTO", "TELEFONE", "'9'||substr(cpf,6,4)||'-'||substr(cpf,2,4)", 4), ("TELEFONE_FIXO", "TELEFONE_CURTO", "TELEFONE", "'3'||substr(cpf,6,3)||'-'||substr(cpf,2,4)", 4),
+    ("TELEFONE_DDD_HIFEN", "TELEFONE_CURTO", "TELEFONE", "'9'||substr(cpf,6,4)||'-'||substr(cpf,2,4)", 4), ("ENDERECO_MORO_EM", "ENDERECO_RESIDENCIAL", "ENDERECO_RESIDENCIAL", "'moro na Vila Nova Casa '||cast(k%90+10 as {T})", 4),
+    ("ENDERECO_LABEL", "ENDERECO_RESIDENCIAL", "ENDERECO_RESIDENCIAL", "'Endereço: Vila Nova, Lote '||cast(k%90+10 as {T})", 4),
+]
 _SEQ = "cast(row_number() over (partition by l_orderkey order by l_linenumber,l_partkey,l_suppkey,l_quantity,l_discount,l_extendedprice,l_tax) as int) as seq"
 
 VIEWS = {
     "fx_cpf": f"select k, b9||cast(d1 as {{T}})||cast(case when k%5=0 then (d2+1)%10 else d2 end as {{T}}) as cpf, (k%5<>0) as dv_ok from (select *, {_check('b9||cast(d1 as {T})', 10)} as d2 from (select c_custkey as k, {_B9} as b9, {_check(_B9, 9)} as d1 from customer) a) b",
     "fx_text": f"select k as doc_id, {_cases('k%8', _TEXTS)} as text from (select k, cpf, substr(cpf,1,3)||'.'||substr(cpf,4,3)||'.'||substr(cpf,7,3)||'-'||substr(cpf,10,2) as f from fx_cpf) z",
     "fx_text2": f"select k as doc_id, {_cases('k%24', _MORE)} as text from fx_cpf",
+    "fx_text3": f"select k as doc_id, {_cases(f'k%{len(OTHERS)}', [x[1] for x in OTHERS])} as text from fx_cpf",
     "fx_findings": f"select l_orderkey as doc_id, {_SEQ}, case l_linenumber%4 when 0 then 'NOME' when 1 then 'TELEFONE' when 2 then 'CPF' else 'EMAIL_PESSOAL' end as tipo, case l_linenumber%4 when 0 then 'Ana '||substr('Souza Lima Braga',1,cast(5+l_partkey%12 as int)) when 1 then substr('61999998888',1,cast(3+l_suppkey%9 as int)) else 'v'||cast(l_partkey%3 as {{T}}) end as valor, round(0.5+l_discount*4,4) as confianca, cast(2+l_partkey%4 as int) as peso, case l_suppkey%4 when 0 then 'regex' when 1 then 'bert' when 2 then 'gatilho' else 'spacy' end as source from lineitem",
     "fx_spans": f"select l_orderkey as doc_id, {_SEQ}, cast(l_partkey%60 as int) as s, cast(l_partkey%60+1+cast(l_quantity as int)%12 as int) as e, round(1-l_discount,4) as score, case l_suppkey%3 when 0 then 'regex' when 1 then 'bert_ner' else 'spacy' end as fonte from lineitem",
     "fx_feedback": "select l_orderkey as fb_id, case l_partkey%4 when 0 then 'CPF' when 1 then 'NOME' when 2 then 'TELEFONE' else 'EMAIL_PESSOAL' end as tipo, case l_suppkey%3 when 0 then 'regex' when 1 then 'bert_ner' else 'spacy' end as fonte, round(1-l_discount*5,4) as confianca_modelo, case when l_linenumber%7=0 then 'PARCIAL' when l_returnflag='R' then 'INCORRETO' else 'CORRETO' end as validacao_humana from lineitem",
     "fx_access": "select event_id, user_id as ip, ts, event_type from events",
 }
-_NEEDS = {"fx_cpf": "customer", "fx_text": "fx_cpf", "fx_text2": "fx_cpf", "fx_findings": "lineitem", "fx_spans": "lineitem", "fx_feedback": "lineitem", "fx_access": "events"}
+_NEEDS = {"fx_cpf": "customer", "fx_text": "fx_cpf", "fx_text2": "fx_cpf", "fx_text3": "fx_cpf", "fx_findings": "lineitem", "fx_spans": "lineitem", "fx_feedback": "lineitem", "fx_access": "events"}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,7 +137,7 @@ def with_views(sql: str) -> str:
 
     def add(text: str) -> None:
         for name in VIEWS:
-            if name in text.replace("fx_text2", "\0" if name == "fx_text" else "fx_text2") and name not in wanted:
+            if re.search(rf"\b{name}\b", text) and name not in wanted:
                 add(VIEWS[name])
                 wanted.append(name)
 

@@ -50,16 +50,24 @@ def confusion(judged: DataFrame, by: str | None = None) -> DataFrame:
 
 
 def confidence_statistics(findings: DataFrame, high: float = 0.9, low: float = 0.7) -> DataFrame:
-    """Mean, upper median, and counts above and below two limits."""
-    # the value at position n div 2, from the counts of distinct values rounded to four places
-    per = findings.groupBy(F.round("confianca", 4).alias("confianca")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("confianca"))
-    total = F.sum("n").over(Window.partitionBy())
-    placed = per.withColumns({"upto": upto, "total": total})
-    half = F.floor(F.col("total") / 2)
-    return placed.agg(
-        F.round(F.sum(F.col("confianca") * F.col("n")) / F.max("total"), 6).alias("media"),
-        F.min(F.when(F.col("upto") > half, F.col("confianca"))).alias("mediana"),
-        F.sum(F.when(F.col("confianca") >= high, F.col("n")).otherwise(0)).alias("acima"),
-        F.sum(F.when(F.col("confianca") < low, F.col("n")).otherwise(0)).alias("abaixo"),
-    )
+    """Mean, upper median, and counts above and below two limits, of the values as they are.
+
+    The value at position n div 2 lies in one of a thousand classes, which their counts
+    tell; only the distinct values of that class are put in order.
+    """
+    value = F.col("confianca")
+    step = F.floor(value.cast("double") * 1000)
+    per = findings.where(value.isNotNull()).groupBy(step.alias("step"), value.alias("confianca")).agg(F.count("*").alias("n"))
+    counts = per.groupBy("step").agg(F.sum("n").alias("n"), F.sum(F.when(value >= high, F.col("n")).otherwise(0)).alias("acima"), F.sum(F.when(value < low, F.col("n")).otherwise(0)).alias("abaixo"), F.sum(value * F.col("n")).alias("soma"))
+    upto = F.sum("n").over(Window.orderBy("step"))
+    whole = Window.partitionBy()
+    placed = counts.withColumns({"upto": upto, "half": F.floor(F.sum("n").over(whole) / 2), "media": F.round(F.sum("soma").over(whole) / F.sum("n").over(whole), 6), "acima": F.sum("acima").over(whole), "abaixo": F.sum("abaixo").over(whole)})
+    at = placed.where((F.col("upto") > F.col("half")) & (F.col("upto") - F.col("n") <= F.col("half"))).select("step", (F.col("upto") - F.col("n")).alias("before"), "half", "media", "acima", "abaixo")
+    within = per.join(F.broadcast(at), "step")
+    ranked = within.withColumn("_upto", F.sum("n").over(Window.partitionBy("step").orderBy("confianca")) + F.col("before"))
+    return ranked.where(F.col("_upto") > F.col("half")).groupBy("media", "acima", "abaixo").agg(F.min("confianca").alias("mediana")).select("media", "mediana", "acima", "abaixo")
+
+
+def batch_totals(rows: DataFrame, text: str = "text", least: int = 10) -> DataFrame:
+    """One row: the rows of a batch, and how many have a text that is long enough to be analysed."""
+    return rows.agg(F.count("*").alias("total"), F.count_if(F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) >= least).alias("validos"))

@@ -6,7 +6,7 @@ XLSX through pandas on the driver (one sheet, and only with openpyxl there).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Headings in order of preference.
@@ -52,12 +52,23 @@ def id_column(columns: list[str]) -> str | None:
     return _find(columns, ID_HEADINGS)
 
 
+def numbered(rows: DataFrame, name: str = "_row") -> DataFrame:
+    """Adds the row number from 0 on, in the order of the partitions: a row's place in its own, and the counts of those before."""
+    at = F.col("_at")
+    placed = rows.withColumn("_at", F.monotonically_increasing_id())
+    counts = placed.groupBy(F.shiftright(at, 33).alias("_part")).agg(F.count("*").alias("_n"))
+    # one row for each partition
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    joined = placed.withColumn("_part", F.shiftright(at, 33)).join(F.broadcast(before), "_part")
+    return joined.withColumn(name, F.col("_before") + at.bitwiseAND((1 << 33) - 1)).select(*(F.col(f"`{c}`") for c in rows.columns), name)
+
+
 def documents(rows: DataFrame) -> DataFrame:
     """row, id, text from a sheet; blank texts are dropped, the row number of the sheet stays."""
     text, ident = text_column(rows.columns), id_column(rows.columns)
-    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
+    rows = numbered(rows)
     row_id = F.coalesce(F.col(f"`{ident}`").cast("string"), (F.col("_row") + 1).cast("string")) if ident else (F.col("_row") + 1).cast("string")
-    return numbered.select(F.col("_row").alias("row"), row_id.alias("id"), F.trim(F.col(f"`{text}`")).alias("text")).where(F.length("text") > 0)
+    return rows.select(F.col("_row").alias("row"), row_id.alias("id"), F.trim(F.col(f"`{text}`")).alias("text")).where(F.length("text") > 0)
 
 
 def loose_text(rows: DataFrame) -> Column:
@@ -72,9 +83,9 @@ def normal_heading(name: str) -> str:
 
 def violations(rows: DataFrame, ident: str, text: str) -> DataFrame:
     """The first row (as a sheet numbers it, headings being row 1) without an id or a text; none if all is well."""
-    numbered = rows.withColumn("linha", F.monotonically_increasing_id() + 2)
+    lines = numbered(rows).withColumn("linha", F.col("_row") + 2)
     blank = lambda c: F.coalesce(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")) == ""
-    bad = numbered.where(blank(ident) | blank(text)).select("linha", F.when(blank(ident), "id").otherwise("texto").alias("falta"))
+    bad = lines.where(blank(ident) | blank(text)).select("linha", F.when(blank(ident), "id").otherwise("texto").alias("falta"))
     return bad.orderBy("linha").limit(1)
 
 
@@ -89,22 +100,54 @@ def gazetteer(spark: SparkSession, path: str) -> DataFrame:
     return parts.select(F.trim(F.lower("t")).alias("termo")).where("termo is not null and termo <> ''").distinct()
 
 
+_LABELS = {"critical": "Crítico", "high": "Alto", "moderate": "Moderado", "low": "Baixo", "safe": "Seguro"}
+
+
 def export_rows(analyses: DataFrame) -> DataFrame:
-    """Analyses as report rows; findings as ``tipo: valor`` joined by ``; ``, or ``Nenhum``.
+    """Analyses as the ten report columns; findings as ``tipo: valor`` joined by ``; ``, or ``Nenhum``.
 
-    Needs id, classificacao, risco, confianca and entities (tipo, valor).
+    Needs id, ts, type (``individual`` or other), text, classificacao, risco, confianca and entities (tipo, valor).
+    The text is shown by its first 100 characters.
     """
+    from peneira.functions.confidence import preview, shown_confidence, ui_level_of_risk
+
     listed = F.array_join(F.transform("entities", lambda e: F.concat(e["tipo"], F.lit(": "), e["valor"])), "; ")
+    shown = shown_confidence("classificacao", "confianca")
+    level = F.element_at(F.create_map(*(F.lit(x) for kv in _LABELS.items() for x in kv)), ui_level_of_risk(F.col("risco")))
+    return analyses.select(
+        F.col("id").alias("ID"), F.date_format("ts", "dd/MM/yyyy").alias("Data"), F.date_format("ts", "HH:mm").alias("Horário"),
+        F.when(F.col("type") == "individual", "Individual").otherwise("Lote").alias("Tipo"), F.col("classificacao").alias("Classificação"),
+        F.format_string("%.1f%%", shown * 100).alias("Confiança"), F.format_string("%.2f", shown).alias("Risco"), level.alias("Nível de Risco"),
+        preview(F.col("text")).alias("Prévia do Pedido"), F.coalesce(F.nullif(listed, F.lit("")), F.lit("Nenhum")).alias("Dados Identificados"),
+    )
+
+
+def report_json(analyses: DataFrame) -> DataFrame:
+    """The same analyses for a JSON report, with their findings nested."""
+    from peneira.functions.confidence import preview, ui_level_of_risk
+
     return analyses.select(
-        F.col("id").cast("string").alias("ID"), F.col("classificacao").alias("Classificacao"), F.col("risco").alias("Risco"),
-        F.format_string("%.1f%%", F.col("confianca") * 100).alias("Confianca"),
-        F.coalesce(F.nullif(listed, F.lit("")), F.lit("Nenhum")).alias("Entidades"), F.coalesce(F.size("entities"), F.lit(0)).alias("Total"),
+        F.col("id"), F.date_format("ts", "dd/MM/yyyy").alias("data"), F.date_format("ts", "HH:mm").alias("horario"), F.col("type").alias("tipo"), "classificacao",
+        F.col("confianca").alias("probabilidade"), ui_level_of_risk(F.col("risco")).alias("nivel_risco"), preview(F.col("text")).alias("previa_pedido"), F.col("entities").alias("dados_identificados"),
     )
 
 
 def write_report(rows: DataFrame, path: str) -> None:
-    """CSV parts with semicolons and a header."""
-    rows.write.option("header", True).option("sep", ";").csv(path)
+    """CSV parts with semicolons and a header, each part with a byte order mark."""
+    first, *rest = rows.columns
+    marked = rows.select(F.col(f"`{first}`").alias("\ufeff" + first), *(F.col(f"`{c}`") for c in rest))
+    marked.write.option("header", True).option("sep", ";").option("quoteAll", False).csv(path)
+
+
+def write_xlsx(rows: DataFrame, path: str, most: int = 1_048_575) -> None:
+    """One sheet, written by the driver; more rows than a sheet holds are refused."""
+    try:
+        import openpyxl  # noqa: F401
+    except ImportError as e:
+        raise RuntimeError("writing XLSX needs openpyxl") from e
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"a sheet has at most {most} rows")
+    rows.toPandas().to_excel(path, index=False, sheet_name="Classificação PII")
 
 
 def write_json(rows: DataFrame, path: str) -> None:
@@ -114,3 +157,17 @@ def write_json(rows: DataFrame, path: str) -> None:
 def feedback_spans(feedback: DataFrame) -> DataFrame:
     """Labelled spans for training a name model: text, start, end, label of rows marked right."""
     return feedback.where("validacao_humana = 'CORRETO' and inicio is not null").select("text", "inicio", "fim", F.col("tipo").alias("rotulo"))
+
+
+def feedback_export(feedback: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All feedback records, and their counters by kind with a row of null kind for all."""
+    from peneira.plans.feedback import counters
+
+    return feedback.withColumn("exported_at", F.current_timestamp()), counters(feedback)
+
+
+def write_feedback_export(feedback: DataFrame, path: str) -> None:
+    """The records and the counters as JSON parts in two folders."""
+    records, stats = feedback_export(feedback)
+    records.write.json(f"{path}/feedbacks")
+    stats.write.json(f"{path}/stats")
