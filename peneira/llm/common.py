@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -32,6 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Paths of the tables written by this process and not yet deleted.
+_WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back.
 
@@ -42,14 +47,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.written_at = path
+    _WRITTEN.append(path)
     return table
 
 
+@contextlib.contextmanager
+def only(kept: list[DataFrame]):
+    """Deletes, at its end, the tables written inside it but for those put into ``kept``."""
+    before = set(_WRITTEN)
+    yield
+    if kept:
+        stay = before | {t.written_at for t in kept}
+        for path in [x for x in _WRITTEN if x not in stay]:
+            _delete(kept[0].sparkSession, path)
+
+
 def release(spark: SparkSession) -> None:
     """Lets go of the shuffle files of finished jobs.
 
     Spark deletes them when the driver collects garbage; between the steps of one
-    operator that would otherwise be long after.
+    operator that would otherwise be long after. A crutch, for want of a call that
+    frees a finished query's shuffles: it asks both collectors to run.
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
@@ -57,9 +75,14 @@ def release(spark: SparkSession) -> None:
 
 def discard(table: DataFrame) -> None:
     """Deletes a materialized table that nothing will read again."""
-    jvm, path = table.sparkSession._jvm, table.written_at
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+    _delete(table.sparkSession, table.written_at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
 
 
 def n_words(text: Column) -> Column:

@@ -84,9 +84,14 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     return t.select(*new, F.coalesce(_covered(found), F.lit(0)).cast("long").alias("n_repeat_words"), rule_lines.alias("rule_lines"))
 
 
+def host_key(host: Column) -> Column:
+    """The host as a value that is never null."""
+    return F.coalesce(F.concat(F.lit("="), host.cast("string")), F.lit("-"))
+
+
 def judge(docs: DataFrame, host: str = "source", text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, max_documents: int = MAX_DOCUMENTS, min_left: float = MIN_LEFT) -> DataFrame:
-    """Per row: doc_id, the statistics, base_failed, n_left (characters), kept, ``removed_lines`` (hashes), and ``mark``, a hash of the text."""
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"), F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("-")).alias("host"), F.col(text).alias("text"))
+    """Per row: doc_id, the statistics, base_failed, n_left (characters), kept, ``removed_lines`` (hashes), ``mark``, a hash of the text, and ``host``, behind a mark that sets none apart."""
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"), host_key(F.col(host)).alias("host"), F.col(text).alias("text"))
     stats = text_statistics(slim)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     stats = materialize(stats.withColumns({"base_failed": failed, "row": F.monotonically_increasing_id()}), "statistics")
@@ -97,7 +102,7 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", doc_id: str
     judged = stats.join(gone, "row", "left").withColumn("n_left", F.col("word_chars") - F.coalesce("gone", F.lit(0)))
     depleted = F.col("n_left") < min_left * F.col("word_chars")
     kept = ~F.col("base_failed") & ~depleted
-    columns = ["doc_id", "mark", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_left"]
+    columns = ["doc_id", "mark", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_left"]
     return judged.select(*columns, kept.alias("kept"), F.coalesce("removed_lines", F.expr("cast(array() as array<long>)")).alias("removed_lines"))
 
 

@@ -32,7 +32,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(_table(spark, sf_dir, "documents")).drop("mark", "n_left", "removed_lines")
+    return quality_rules.judge(_table(spark, sf_dir, "documents")).drop("mark", "host", "n_left", "removed_lines")
 
 
 def op5_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:

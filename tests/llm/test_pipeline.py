@@ -27,5 +27,91 @@ def test_stages(spark, edges, empty, edge_rows):
         assert docs.count() == 0
 
 
+def test_stages_equal_plain_models(spark, edge_rows):
+    """Each stage against a plain model of it, on its own input."""
+    from collections import Counter, defaultdict
+
+    import duckdb
+    import numpy as np
+    import public_tokenizers
+    from test_suffix_dedup import brute
+    from tokenizers import Tokenizer
+
+    from peneira.llm import quality_rules
+    from peneira.llm.common import materialize
+
+    shared = "this line stands in many documents of one host, and so it goes"
+    rows = [r for r in {r[0]: r for r in edge_rows if r[0] is not None}.values()]
+    rows += [(500 + i, f"{shared}\n{t[1]}", "en", "s9", 0) for i, t in enumerate(rows[20:34])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    tables = {0: rows}
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES, 1):
+        docs = materialize(stage(spark, docs, ""), name)
+        tables[n] = [tuple(r) for r in docs.collect()]
+    # quality rules: SQL says what stays; lines of over ten documents of a host go
+    con = duckdb.connect()
+    con.sql("create table documents (doc_id bigint, text varchar, lang varchar, source varchar, n_chars bigint)")
+    con.executemany("insert into documents values (?, ?, ?, ?, ?)", rows)
+    stays = {r[0] for r in con.sql(f"select doc_id from ({quality_rules.SQL}) q where kept").fetchall()}
+    normal = lambda x: "".join("0" if c in "0123456789" else " " if c in "\t\x0b\x0c\r" else c for c in x).strip(" ").lower()
+    held = defaultdict(set)
+    for _, text, _, source, _ in rows:
+        for x in (text or "").split("\n"):
+            if x.strip(" \t\x0b\x0c\r"):
+                held[source, normal(x)].add(text)
+    frequent = {k for k, v in held.items() if len(v) > 10}
+    want = {}
+    for i, text, _, source, _ in rows:
+        if i in stays:
+            want[i] = "\n".join(x for x in text.split("\n") if (source, normal(x)) not in frequent)
+    assert {r[0]: r[1] for r in tables[1]} == want and any(shared in (r[1] or "") for r in rows) and not any(shared in t for t in want.values())
+    # near duplicates: the least id of each group by whole sets of five words
+    def grams(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+    sets, lead = {i: grams(t) for i, t in want.items()}, {i: i for i in want}
+
+    def root(i):
+        return i if lead[i] == i else root(lead[i])
+
+    for i in want:
+        for j in want:
+            if i < j and (want[i] == want[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                a, b = sorted((root(i), root(j)))
+                lead[b] = a
+    assert {r[0]: r[1] for r in tables[2]} == {i: want[i] for i in want if root(i) == i}
+    # repeated strings
+    before = {r[0]: r[1].encode() for r in tables[2]}
+    lengths = brute(list(before.items()))
+    for i, text, *_ in tables[3]:
+        size, gone, *_ = lengths[i]
+        assert size - gone - 3 * lengths[i][2] * 2 <= len(text.encode()) <= size - gone
+    # whole copies, near the targets
+    words, copies = {r[0]: len(r[1].encode().split()) for r in tables[3]}, Counter(r[0] for r in tables[4])
+    assert {r[:4] for r in tables[4]} <= {r[:4] for r in tables[3]} and max(copies.values()) <= 3
+    total = sum(words.values())
+    assert 1.1 * total < sum(words[i] * n for i, n in copies.items()) < 1.9 * total
+    # tokens round trip
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = Counter()
+    for r in docs.collect():
+        ids[r.doc_id] += r.length
+        assert len(r.ids) == r.length <= 2048
+    tokens = {r[0]: len(t.encode(r[1], add_special_tokens=False).ids) + 1 for r in tables[4]}
+    assert ids == {i: n * tokens[i] for i, n in copies.items()} and np.all([r.offset + r.length <= 2048 for r in docs.collect()])
+
+
+def test_run_leaves_its_result_only(spark, sf_dir):
+    import os
+
+    from peneira.llm.common import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert {x.split("-")[0] + x.split("-")[1][:4] for x in set(os.listdir(folder)) - before} == {"stagebest"} and out.count() > 0
+
+
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
