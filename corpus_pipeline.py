@@ -5,7 +5,8 @@ it kept; ``run`` writes each result as Parquet into the folder that the executor
 share and reads it back for the next. All stages but the last return the columns
 of ``documents``:
 
-1. ``quality_rules`` drops the documents that the rules reject.
+1. ``quality_rules`` drops the documents that the rules reject, and takes the lines
+   that too many documents of a host have out of the others; n_chars is counted anew.
 2. ``ngram_jaccard_join`` keeps the least id of each group of near duplicates.
 3. ``suffix_dedup`` removes repeated 100-byte strings (see the operator) from the
    texts; a character that loses a byte goes whole, and n_chars is counted anew.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peneira.llm import mixing, ngram_join, packing, quality_rules, suffix_dedup
-from peneira.llm.common import materialize
+from peneira.llm.common import discard, materialize, only
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -36,9 +37,13 @@ def _key(doc_id: str = "doc_id", text: str = "text"):
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(docs.withColumn("key", _key()), doc_id="key")
-    kept = judged.where("kept").select(F.col("doc_id").alias("key"), "mark").distinct()
-    marked = docs.withColumns({"key": _key(), "mark": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return marked.join(kept, ["key", "mark"], "left_semi").select(*COLUMNS)
+    kept = judged.where("kept").select(F.col("doc_id").alias("key"), "mark", "host", "removed_lines").dropDuplicates(["key", "mark", "host"])
+    marked = docs.withColumns({"key": _key(), "mark": F.xxhash64(F.coalesce("text", F.lit(""))), "host": quality_rules.host_key(F.col("source"))})
+    joined = marked.join(kept, ["key", "mark", "host"])
+    cut = F.size("removed_lines") > 0
+    text = F.when(cut, quality_rules.without_lines(F.col("text"), F.col("removed_lines"))).otherwise(F.col("text"))
+    joined = joined.withColumn("text", text)
+    return joined.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,6 +88,14 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        written = []
+        # what the stage wrote for itself goes, and so does its input
+        with only(written):
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+            written.append(docs)
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
