@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+from peneira.llm import queries
 from peneira.llm import suffix_dedup as S
 
 
@@ -114,3 +115,11 @@ def test_family_merges_equal_levels():
         late += sum(len(d) for d, _ in family.add(key, key, key, np.zeros(30, np.int64), np.full(30, n), np.arange(30)))
     assert [size for size, _ in family.levels] == [8, 2, 1]
     assert late == 11 * 30 - sum(len(level.key) for _, level in family.levels)
+
+
+def test_whole_table(spark):
+    """Every document of a given table, as the query has them."""
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: tuple(r)[1:] for r in queries.op3_suffix_dedup(spark, sf).collect()}
+    assert len(got) == len(rows) and got == brute([(r.doc_id, (r.text or "").encode()) for r in rows])
