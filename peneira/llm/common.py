@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,3 +149,39 @@ def utf8(column: pa.Array) -> pa.Array:
     import pyarrow.compute as pc
 
     return pc.fill_null(column, "") if column.null_count else column
+
+
+def whole_numbers(vector: Column, scale: int) -> tuple[Column, Column]:
+    """Whether a vector holds finite numbers only, also once scaled; and ``floor(scale * x)`` of each as a double.
+
+    ``scale`` is a power of two, so that scaling is exact.
+    """
+    scaled = F.transform(vector, lambda c: c.cast("double") * F.lit(float(scale)))
+    sound = vector.isNotNull() & F.forall(scaled, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    # from 2**52 on a double is whole, and floor would only bring it into a long's range
+    return sound, F.transform(scaled, lambda c: F.when(F.abs(c) < float(1 << 52), F.floor(c).cast("double")).otherwise(c))
+
+
+LIMB = 31
+
+
+def limbs(values: np.ndarray) -> list[np.ndarray]:
+    """Whole numbers of any size as longs: the sum of limb i times ``2**(LIMB * i)``; all but the last are not negative."""
+    out = []
+    while len(values) and max(map(abs, values)) >= 1 << LIMB:
+        out.append(np.array([int(x) & ((1 << LIMB) - 1) for x in values], np.int64))
+        values = np.array([int(x) >> LIMB for x in values], object)
+    return [*out, np.array([int(x) for x in values], np.int64)]
+
+
+def exact_totals(parts: DataFrame, width: int, key: str) -> dict[int, tuple[int, list[int]]]:
+    """By key the count and the sums of rows ``key, limb, n, parts`` that tasks made of their own sums.
+
+    The driver gets a row for each key and limb, whatever the number of tasks.
+    """
+    sums = F.array(*(F.sum(F.get("parts", F.lit(i))) for i in range(width)))
+    out: dict[int, tuple[int, list[int]]] = {}
+    for r in parts.groupBy(key, "limb").agg(F.sum("n").alias("n"), sums.alias("sums")).collect():
+        n, total = out.get(r[key], (0, [0] * width))
+        out[r[key]] = n + r.n, [t + (s << (LIMB * r.limb)) for t, s in zip(total, r.sums, strict=True)]
+    return out

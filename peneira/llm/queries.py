@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from peneira.llm import quality_rules, sharding, topk
+from peneira.llm import clustering, quality_rules, sharding, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +88,24 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clustered(clustering.quantised(_table(spark, sf_dir, "embeddings")))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from peneira.llm import bpe
+
+    return bpe.digests(bpe.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from peneira.llm import whitening
+
+    return whitening.whitened(whitening.quantised(_table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_html_extraction": op2_html_extraction,
@@ -100,10 +118,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_rules": op9_url_rules,
     "url_rules_mined": url_rules_mined,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_bpe": op12_bpe,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": quality_rules.SQL,
     "op6_exact_top_k": topk.SQL,
     "op7_extendible_sharding": sharding.SQL,
+    "op11_centroid_clustering": clustering.SQL,
 }
