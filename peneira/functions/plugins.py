@@ -33,15 +33,6 @@ def name_recognizer(load: Callable[[], Model], source: str, least: float = 0.0,
     return recognize
 
 
-def iban_valid(value) -> object:
-    """Whether an IBAN's remainder by 97 is 1, as a column expression."""
-    v = F.upper(F.regexp_replace(value, r"\s", ""))
-    turned = F.concat(F.substring(v, 5, 64), F.substring(v, 1, 4))
-    digits = F.transform(F.filter(F.split(turned, ""), lambda c: c != ""), lambda c: F.when(c.rlike("[0-9]"), c).otherwise((F.ascii(c) - 55).cast("string")))
-    rest = F.aggregate(digits, F.lit(0).cast("long"), lambda a, d: (a * F.when(F.length(d) == 2, 100).otherwise(10) + d.cast("long")) % 97)
-    return v.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9]{11,30}$") & (rest == 1)
-
-
 def arbiter(keep: Callable[[str, str], bool]) -> Callable[[DataFrame], DataFrame]:
     """Keeps the pending findings for which ``keep(kind, value)`` holds; errors keep them."""
 
@@ -59,26 +50,14 @@ def _safe(keep: Callable[[str, str], bool], kind: str, value: str) -> bool:
         return True
 
 
-IBAN, CARD, ADDRESS = r"\b([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?)\b", r"\b(\d(?:[ -]?\d){12,18})\b", r"\b((?:\d{1,3}\.){3}\d{1,3})\b"
-
-
 def complement(docs: DataFrame, everything: bool = False) -> DataFrame:
-    """A plug-in for what the patterns leave: IBANs and cards whose check digits hold, and addresses whose parts are bytes.
+    """A plug-in for what the patterns leave: IBANs and, with ``everything``, cards whose check digits hold and addresses whose parts are bytes.
 
-    Values that are no name pass only with ``everything``, so that by default IBANs remain: numbers and
-    addresses are dropped with whatever consists of digits and points.
+    The engine finds IBANs in its own pass; by default numbers and addresses are dropped with whatever
+    consists of digits and points, so they are not looked for.
     """
-    from peneira.functions.validators import luhn_valid
-    from peneira.operators.names import suppressed
-    from peneira.operators.patterns import Pattern
-    from peneira.operators.scan import scan
-
-    kinds = {"IBAN": "CONTA_BANCARIA_INTERNACIONAL", "CARD": "CARTAO_CREDITO", "ADDRESS": "IP"}
-    found = scan(docs.select("doc_id", "text"), (Pattern("IBAN", IBAN, 1, False), Pattern("CARD", CARD, 1), Pattern("ADDRESS", ADDRESS, 1)))
-    value, name = F.col("g1"), F.col("name")
-    digits = F.regexp_replace(value, "[ -]", "")
-    octets = F.forall(F.split(value, "[.]"), lambda x: x.cast("int") <= 255)
-    sound = F.when(name == "IBAN", iban_valid(value)).when(name == "CARD", luhn_valid(digits)).otherwise(octets)
-    score = F.when(name == "ADDRESS", 0.6).otherwise(1.0)
-    kept = found.where(sound if everything else sound & ~suppressed(value))
-    return kept.select("doc_id", F.element_at(F.create_map(*(F.lit(x) for kv in kinds.items() for x in kv)), name).alias("tipo"), value.alias("valor"), score.alias("confianca"), F.when(score >= 0.8, 4).otherwise(3).alias("peso"), "inicio", "fim", F.lit("presidio").alias("source"))
+    from peneira.operators.patterns import COMPLEMENT
+    from peneira.operators.rules import judge
+
+    found = judge(docs.select("doc_id", "text"), COMPLEMENT[1:] if everything else COMPLEMENT[:1])
+    return found.select("doc_id", "tipo", "valor", "confianca", "peso", "inicio", "fim", F.lit("presidio").alias("source"))

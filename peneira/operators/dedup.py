@@ -75,7 +75,7 @@ def dedup(rows: DataFrame) -> DataFrame:
     # of equal values the first by rank stays; the parts of others are told by a search
     joined = _SEP + _SEP
     norm = F.translate(norm, _SEP, " ")
-    marked = rows.withColumns({"_family": family, "_norm": norm, "_rank": rank}).where(fit).repartition("doc_id")
+    marked = rows.withColumns({"_family": family, "_norm": norm, "_rank": rank}).where(fit)
     best = Window.partitionBy("doc_id", "_family", "_norm").orderBy(F.col("_rank").desc())
     firsts = marked.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
     held = F.sort_array(F.collect_list(F.struct("_rank", *[c for c in firsts.columns if c not in ("doc_id", "_family", "_rank")])), asc=False)

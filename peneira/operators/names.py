@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peneira.functions.confidence import finding_confidence
-from peneira.functions.normalize import after, around, before, contains_any, fold
+from peneira.functions.normalize import after, alternation, around, before, contains_any, fold, let
 from peneira.operators import vocabulary as V
 
 FINDING = ("tipo", "valor", "confianca", "peso", "inicio", "fim", "source", "ord")
@@ -52,81 +52,112 @@ def immune(text: Column, start: Column) -> Column:
     return ~contains_any(pre, V.TRIGGERS) & (praised | ((titled | office) & place) | (servant & ~contains_any(post, own)))
 
 
-def _found(tipo: str, value: Column, confidence: float, weight: int, start: Column, end: Column, ord_: int, test: Column) -> Column:
-    fields = dict(tipo=F.lit(tipo), valor=value, confianca=F.lit(confidence), peso=F.lit(weight), inicio=start.cast("int"), fim=end.cast("int"), source=F.lit("regex"), ord=F.lit(ord_))
-    return F.when(test, F.struct(*(v.alias(k) for k, v in fields.items())))
+FOUND = "struct<tipo:string,valor:string,confianca:double,peso:int,inicio:int,fim:int,source:string,ord:int,yields:boolean>"
+
+
+def _finding(tipo: str, value: Column, confidence: Column | float, weight: int, start: Column, end: Column, ord_: Column | int, test: Column, source: str = "regex", yields: bool = False) -> Column:
+    """A finding's struct, or null where the test doesn't hold."""
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    fields = dict(tipo=F.lit(tipo), valor=value, confianca=lit(confidence).cast("double"), peso=F.lit(weight), inicio=start.cast("int"), fim=end.cast("int"), source=F.lit(source), ord=lit(ord_).cast("int"), yields=F.lit(yields))
+    return F.when(test, F.struct(*(v.alias(k) for k, v in fields.items())).cast(FOUND))
 
 
 _GENERAL = r"isen[çc][ãa]o\s+(?:de\s+)?imposto\s+de\s+renda.*aposentado|aposentado.*isen[çc][ãa]o\s+(?:de\s+)?imposto"
 _MINOR = r"(\b[A-Za-zÀ-ÿ]+)[\s,]+([0-9]{1,2})\s*anos"
 _INFORMED = r"(?iu)([A-Za-zÀ-ÿ]+(?:\s+[A-Za-zÀ-ÿ]+){1,60})[^.]{0,50}(?:seu\s+cpf|seu\s+documento|informou\s+(?:seu\s+)?cpf)"
 _CITIZEN = r"cidad[ãa]o[^.]{0,30}identificado[^.]{0,20}(?:como|por)\s+([A-ZÀ-Ú][a-záéíóúàâêôãõç]+)"
-#: Patterns that look for their first match, each behind a cheap test.
-_FIRST = {
-    "minor": (_MINOR, "anos"),
-    "informed": (_INFORMED, r"(?iu)seu\s+cpf|seu\s+documento|informou\s+cpf"),
-    "citizen": (_CITIZEN, "identificado"),
-    "signed": (_SIGNED, "(?iu)grat[ao]|atenciosamente|obrigad[ao]|cordialmente|respeitosamente"),
-}
 
 
-def heuristics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Findings of the heuristics that look at a whole document; each gives one at most.
+def _first(t: Column, pattern: str, guard: str, test) -> Column:
+    """``test`` of a pattern's first match (match, its place, its end, its trimmed first group), where the guard lets the pattern through."""
+    at = lambda m: F.when(m != "", F.length(F.get(F.split(t, pattern, 2), F.lit(0))))
+    parts = lambda m: F.struct(m.alias("m"), at(m).alias("at"), F.trim(F.regexp_extract(m, pattern, 1)).alias("name"))
+    found = let(F.regexp_extract(t, pattern, 0), lambda m: let(parts(m), lambda x: F.when(x["m"] != "", test(x["m"], x["at"], x["at"] + F.length(x["m"]), x["name"]))))
+    return F.when(t.rlike(guard), found)
+
 
-    Those that yield to a finding of the same kind are marked by ``yields``. Steps are
-    projections of their own, so that each pattern goes over a text once.
+def heuristic_findings(t: Column) -> Column:
+    """An array of what the heuristics that look at a whole text find; each gives one at most.
+
+    Those that yield to a finding of the same kind are marked by ``yields``.
     """
-    t = F.col("_t")
-    bodies = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("_t"))
     low = F.lower(t)
-    cancer = F.when(low.contains("ncer"), low.rlike(r"tratamento\s+(?:realizado\s+)?(?:de\s+)?c[aâ]ncer") & ~low.rlike(_GENERAL)).otherwise(False)
-    first = {n: F.when(t.rlike(guard), F.regexp_extract(t, p, 0)).otherwise("") for n, (p, guard) in _FIRST.items()}
-    met = bodies.select("doc_id", "_t", cancer.alias("cancer"), *(c.alias(n) for n, c in first.items()))
-    met = met.where("cancer or minor <> '' or informed <> '' or citizen <> '' or signed <> ''")
-    start = {n: F.when(F.col(n) != "", F.length(F.get(F.split(t, p, 2), F.lit(0)))) for n, (p, _) in _FIRST.items()}
-    group = {n: F.trim(F.regexp_extract(n, p, 1)) for n, (p, _) in _FIRST.items()}
-    age = F.nullif(F.regexp_extract("minor", _MINOR, 2), F.lit("")).cast("int")
-    met = met.select("*", *(c.alias(f"{n}_at") for n, c in start.items()), *(c.alias(f"{n}_name") for n, c in group.items()), age.alias("age"))
-    at, name, end = (lambda n: F.col(f"{n}_at")), (lambda n: F.col(f"{n}_name")), (lambda n: F.col(f"{n}_at") + F.length(n))
-
-    young = (F.col("minor") != "") & name("minor").rlike(r"^\p{Lu}") & (F.col("age") < 18)
-    young = young & F.lower(around(t, at("minor"), end("minor"), 20, 40)).rlike(r"estudante|aluno|aluna|menor|crian[çc]a|escola|ec\s*\d")
-    real = F.size(F.filter(F.split(name("signed"), r"\s+"), lambda w: ~F.lower(w).isin("da", "de", "do", "dos", "das", "e"))) >= 2
+    cancer = F.when(F.contains(low, F.lit("ncer")), low.rlike(r"tratamento\s+(?:realizado\s+)?(?:de\s+)?c[aâ]ncer") & ~low.rlike(_GENERAL)).otherwise(False)
+
+    def minor(m: Column, at: Column, end: Column, name: Column) -> Column:
+        age = F.nullif(F.regexp_extract(m, _MINOR, 2), F.lit("")).cast("int")
+        near = F.lower(around(t, at, end, 20, 40)).rlike(r"estudante|aluno|aluna|menor|crian[çc]a|escola|ec\s*\d")
+        value = F.concat(name, F.lit(", "), age.cast("string"), F.lit(" anos"))
+        return _finding("MENOR_IDENTIFICADO", value, 0.95, 5, at, end, HEURISTIC + 1, name.rlike(r"^\p{Lu}") & (age < 18) & near, yields=True)
+
+    def informed(m: Column, at: Column, end: Column, name: Column) -> Column:
+        return _finding("NOME", name, 0.90, 4, at, at + F.length(name), HEURISTIC + 2, name.rlike(r"^\p{Lu}") & ~suppressed(name))
+
+    def citizen(m: Column, at: Column, end: Column, name: Column) -> Column:
+        return _finding("NOME", name, 0.85, 4, end - F.length(name), end, HEURISTIC + 3, ~suppressed(name))
+
+    def signed(m: Column, at: Column, end: Column, name: Column) -> Column:
+        real = F.size(F.filter(F.split(name, r"\s+"), lambda w: ~F.lower(w).isin("da", "de", "do", "dos", "das", "e"))) >= 2
+        return _finding("NOME", name, 0.90, 4, end - F.length(name), end, HEURISTIC + 4, real & ~contains_any(F.lower(name), _SIGNED_NOT) & ~suppressed(name), yields=True)
+
     found = (
-        _found("DADO_SAUDE", F.lit("Tratamento de câncer"), 0.95, 5, F.lit(0), F.length(t), HEURISTIC, F.col("cancer")),
-        _found("MENOR_IDENTIFICADO", F.concat(name("minor"), F.lit(", "), F.col("age").cast("string"), F.lit(" anos")), 0.95, 5, at("minor"), end("minor"), HEURISTIC + 1, young),
-        _found("NOME", name("informed"), 0.90, 4, at("informed"), at("informed") + F.length(name("informed")), HEURISTIC + 2, (F.col("informed") != "") & name("informed").rlike(r"^\p{Lu}") & ~suppressed(name("informed"))),
-        _found("NOME", name("citizen"), 0.85, 4, end("citizen") - F.length(name("citizen")), end("citizen"), HEURISTIC + 3, (F.col("citizen") != "") & ~suppressed(name("citizen"))),
-        _found("NOME", name("signed"), 0.90, 4, end("signed") - F.length(name("signed")), end("signed"), HEURISTIC + 4, (F.col("signed") != "") & real & ~contains_any(F.lower(name("signed")), _SIGNED_NOT) & ~suppressed(name("signed"))),
+        _finding("DADO_SAUDE", F.lit("Tratamento de câncer"), 0.95, 5, F.lit(0), F.length(t), HEURISTIC, cancer, yields=True),
+        _first(t, _MINOR, "anos", minor),
+        _first(t, _INFORMED, r"(?iu)seu\s+cpf|seu\s+documento|informou\s+cpf", informed),
+        _first(t, _CITIZEN, "identificado", citizen),
+        _first(t, _SIGNED, "(?iu)grat[ao]|atenciosamente|obrigad[ao]|cordialmente|respeitosamente", signed),
     )
-    rows = met.select("doc_id", F.explode(F.array_compact(F.array(*found))).alias("f")).select("doc_id", "f.*")
-    return rows.withColumn("yields", F.col("ord").isin(HEURISTIC, HEURISTIC + 1, HEURISTIC + 4))
+    return F.array_compact(F.array(*found))
 
 
-def trigger_names(docs: DataFrame, text: str = "text", triggers=V.TRIGGERS) -> DataFrame:
-    """Names after the first occurrence of each contact trigger.
+def trigger_findings(t: Column, triggers=V.TRIGGERS) -> Column:
+    """An array of the names after the first occurrence of each contact trigger.
 
-    The text is folded without changing lengths, so places in it are places in the text.
+    The text is folded without changing lengths, so places in it are places in the text. One pass
+    tells the longest trigger that starts at each place; those that it starts with are there too.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
     listed = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(x).alias("trigger")) for i, x in enumerate(triggers)))
-    met = docs.select("doc_id", t.alias("_text"), fold(t).alias("_folded")).where(contains_any(F.col("_folded"), triggers))
-    met = met.select("doc_id", "_text", "_folded", F.inline(F.filter(listed, lambda x: F.contains(F.col("_folded"), x["trigger"]))))
-    index = F.instr(F.col("_folded"), F.col("trigger")) - 1 + F.length("trigger")
-    rest = F.trim(F.substring(F.col("_text"), index + 1, F.lit(60)))
-    self_named = F.contains(F.col("trigger"), F.lit("ME CHAMO"))
-    # generators keep the filter below from repeating what they compute
-    met = met.select("*", F.inline(F.array(F.struct(index.alias("_at"), rest.alias("_rest"), self_named.alias("_self")))))
-    raw = F.when(F.col("_self"), F.regexp_extract("_rest", _CAPITAL, 1)).otherwise(F.regexp_extract("_rest", r"\b(?:o|a|do|da)?\s*" + _CAPITAL, 1))
-    whole = F.when(F.col("_self"), raw).otherwise(F.regexp_extract("_rest", r"\b(?:o|a|do|da)?\s*" + _CAPITAL, 0))
-    words = F.split(raw, " ")
-    ends = F.transform(words, lambda w: F.upper(w).isin(*V.NAME_ENDS))
-    cut = F.array_position(ends, F.lit(True)).cast("int")
-    name = F.trim(F.when(F.col("_self") & (cut > 0), F.array_join(F.slice(words, 1, F.greatest(cut - 1, F.lit(0))), " ")).otherwise(raw))
-    start = (F.col("_at") + F.instr(F.col("_rest"), whole) - 1).cast("int")
-    met = met.select("doc_id", "_text", "_self", "ord", F.inline(F.array(F.struct(name.alias("valor"), whole.alias("_whole"), start.alias("inicio")))))
-    folded = F.trim(fold(F.col("valor")))
-    fine = (F.length("valor") > 3) & (F.col("_self") | (F.contains(F.col("valor"), F.lit(" ")) & ~folded.isin(*V.TITLES, *V.SERVANTS))) & ~suppressed(F.col("valor"))
-    met = met.where(fine).withColumn("fim", (F.col("inicio") + F.when(F.col("_self"), F.length("valor")).otherwise(F.length("_whole"))).cast("int"))
-    sure = F.least(F.lit(1.0), finding_confidence(F.lit("NOME"), F.col("_text"), F.col("inicio"), F.col("fim")) * F.when(F.col("_self"), 1.1).otherwise(1.05))
-    return met.select("doc_id", F.lit("NOME").alias("tipo"), "valor", sure.alias("confianca"), F.lit(4).alias("peso"), "inicio", "fim", F.lit("gatilho").alias("source"), (F.col("ord") + TRIGGER).alias("ord"))
+    every = alternation(triggers)
+
+    def one(f: Column, x: Column) -> Column:
+        own = F.contains(x["trigger"], F.lit("ME CHAMO"))
+        return let(F.instr(f, x["trigger"]) - 1 + F.length(x["trigger"]), lambda at: let(F.trim(F.substring(t, at + 1, F.lit(60))), lambda rest: named(x["ord"], own, at, rest)))
+
+    def named(ord_: Column, own: Column, at: Column, rest: Column) -> Column:
+        raw = F.when(own, F.regexp_extract(rest, _CAPITAL, 1)).otherwise(F.regexp_extract(rest, r"\b(?:o|a|do|da)?\s*" + _CAPITAL, 1))
+        return F.when(rest.rlike("[A-Z]"), let(raw, lambda r: cut(ord_, own, at, rest, r)))
+
+    def cut(ord_: Column, own: Column, at: Column, rest: Column, raw: Column) -> Column:
+        whole = F.when(own, raw).otherwise(F.regexp_extract(rest, r"\b(?:o|a|do|da)?\s*" + _CAPITAL, 0))
+        words = F.split(raw, " ")
+        ends = F.array_position(F.transform(words, lambda w: F.upper(w).isin(*V.NAME_ENDS)), F.lit(True)).cast("int")
+        name = F.trim(F.when(own & (ends > 0), F.array_join(F.slice(words, 1, F.greatest(ends - 1, F.lit(0))), " ")).otherwise(raw))
+        return let(F.struct(name.alias("name"), whole.alias("whole"), (at + F.instr(rest, whole) - 1).alias("at")), lambda p: judged(ord_, own, p["name"], p["whole"], p["at"]))
+
+    def judged(ord_: Column, own: Column, name: Column, whole: Column, start: Column) -> Column:
+        end = start + F.when(own, F.length(name)).otherwise(F.length(whole))
+        fine = (F.length(name) > 3) & (own | (F.contains(name, F.lit(" ")) & ~F.trim(fold(name)).isin(*V.TITLES, *V.SERVANTS))) & ~suppressed(name)
+        sure = F.least(F.lit(1.0), finding_confidence(F.lit("NOME"), t, start, end) * F.when(own, 1.1).otherwise(1.05))
+        return _finding("NOME", name, sure, 4, start, end, ord_ + TRIGGER, fine, source="gatilho")
+
+    def of(f: Column) -> Column:
+        met = F.array_distinct(F.regexp_extract_all(f, F.lit(f"(?=({every}))"), F.lit(1)))
+        there = let(met, lambda m: F.filter(listed, lambda x: F.exists(m, lambda y: F.startswith(y, x["trigger"]))))
+        return F.array_compact(F.transform(there, lambda x: one(f, x)))
+
+    return let(fold(t), of)
+
+
+def _rows(docs: DataFrame, found: Column, text: str) -> DataFrame:
+    bodies = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("_body"))
+    return bodies.select("doc_id", F.inline(found))
+
+
+def heuristics(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Findings of the heuristics that look at a whole document."""
+    return _rows(docs, heuristic_findings(F.col("_body")), text)
+
+
+def trigger_names(docs: DataFrame, text: str = "text", triggers=V.TRIGGERS) -> DataFrame:
+    """Names after the first occurrence of each contact trigger."""
+    return _rows(docs, trigger_findings(F.col("_body"), triggers), text).drop("yields")

@@ -1,12 +1,14 @@
 """Accept rules: which matches become findings, of what kind, value, weight and confidence.
 
 A rule sees a match and the text around it and is a column expression, so all rules
-run in the projection that scans. Fixed values: the terms in the tuples.
+run in the projection that scans. What a rule asks of the whole text is answered once for
+the text (``_whole``), or for the match while the text is at hand (``_each``); the match
+goes on with a slice of bounded size. Fixed values: the terms in the tuples.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark import SparkContext
@@ -15,9 +17,11 @@ from pyspark.sql import functions as F
 
 from peneira.functions.confidence import finding_confidence
 from peneira.functions.normalize import after, around, before, contains_any, fold_lower
-from peneira.functions.validators import cnpj_valid, cpf_shape, cpf_valid, digits, uniform
-from peneira.operators.patterns import PATTERNS, PHONES
-from peneira.operators.scan import GROUPS
+from peneira.functions.validators import cnpj_valid, cpf_shape, cpf_valid, digits, iban_valid, luhn_valid, uniform
+from peneira.operators.explain import near_text
+from peneira.operators.names import suppressed
+from peneira.operators.patterns import COMPLEMENT, PATTERNS, PHONES, Pattern
+from peneira.operators.scan import GROUPS, once, slices
 
 NUMBER_IN_PROCESS = r"\b\d{4,5}-\d{5,8}/\d{4}(?:-\d{2})?\b"
 
@@ -67,8 +71,9 @@ PASSPORT_NOT = ("exemplo", "ficticio", "fictício", "teste", "000000", "aa000000
 class Match:
     """Columns of a match and of what stands around it."""
 
-    def __init__(self, text: Column):
-        self.text, self.start, self.end, self.m = text, F.col("inicio"), F.col("fim"), F.col("m")
+    def __init__(self):
+        self.text, self.m = F.col("near"), F.col("m")
+        self.start, self.end = F.col("inicio") - F.col("near_at"), F.col("fim") - F.col("near_at")
         self.g = [None, *(F.col(f"g{i}") for i in range(1, GROUPS + 1))]
         self.basis = ""
 
@@ -102,7 +107,7 @@ Rule = Callable[[Match, str], Verdict]
 
 
 def _value(x: Match, name: str) -> Column:
-    groups = next(p.groups for p in PATTERNS if p.name == name)
+    groups = next(p.groups for p in (*PATTERNS, *COMPLEMENT) if p.name == name)
     return F.coalesce(x.g[1], F.when(F.coalesce(*x.g[1 : groups + 1]).isNull(), x.m)) if groups else x.m
 
 
@@ -128,8 +133,7 @@ def _lowered(c: Column, valid: Column) -> Column:
 
 
 def _cpf(x: Match, name: str) -> Verdict:
-    value, first = _value(x, name), F.instr(x.text, x.g[1]) - 1
-    fiction = contains_any(F.upper(around(x.text, first, first + F.length(x.g[1]), 50)), CPF_FICTION)
+    value, fiction = _value(x, name), contains_any(F.upper(F.coalesce("first_near", F.lit(""))), CPF_FICTION)
     accept = ~F.lower(x.pre(20)).rlike(r"\bprocesso\s*$") & ~fiction & (cpf_shape(value) | contains_any(F.lower(x.near(60)), CPF_LABELS))
     return Verdict(F.lit("CPF"), value, F.when(cpf_valid(value), 5).otherwise(3), _lowered(x.confidence("CPF"), cpf_valid(value)), accept)
 
@@ -142,11 +146,11 @@ def _cnpj(x: Match, name: str) -> Verdict:
 
 
 def _process(x: Match, name: str) -> Verdict:
-    pre, post, near, whole = F.lower(x.pre(30)), F.lower(x.post(50)), fold_lower(x.near(120)), fold_lower(x.text)
+    pre, post, near = F.lower(x.pre(30)), F.lower(x.post(50)), fold_lower(x.near(120))
     out = contains_any(pre, LEGAL) | contains_any(pre, FEDERAL) | contains_any(post, FEDERAL) | contains_any(pre, REFERENCE)
-    owned = ~contains_any(near, PROCESS_NOT) & (contains_any(near, PROCESS_LABELS) | contains_any(whole, OWNED))
+    owned = ~contains_any(near, PROCESS_NOT) & (contains_any(near, PROCESS_LABELS) | F.col("_owned"))
     if name in ("PROTOCOLO_LAI", "PROTOCOLO_OUV"):
-        owned = owned | (contains_any(near, PROTOCOL_LABELS) & ~contains_any(whole, PROTOCOL_NOT))
+        owned = owned | (contains_any(near, PROTOCOL_LABELS) & ~F.col("_no_protocol"))
     return Verdict(F.lit(name), _value(x, name), F.lit(3), x.confidence(name), ~out & owned)
 
 
@@ -216,16 +220,9 @@ def _profession(x: Match, name: str) -> Verdict:
     return Verdict(F.lit("OAB"), value, F.lit(4), F.lit(0.85), F.lit(True))
 
 
-def _inside_process(x: Match, value: Column) -> Column:
-    """Whether the match lies in, or its value occurs in, a process number of the text."""
-    numbers = F.regexp_extract_all(x.text, F.lit(NUMBER_IN_PROCESS), F.lit(0))
-    # a match inside a number is a piece of it
-    return F.exists(numbers, lambda n: F.contains(n, value) | (F.contains(n, x.m) & (F.length(x.m) < F.length(n))))
-
-
 def _staff(x: Match, name: str) -> Verdict:
     value, near = _value(x, name), F.lower(x.near(100))
-    accept = ~_inside_process(x, value) & ~near.rlike(STAFF_NOT) & near.rlike(STAFF)
+    accept = ~F.col("in_process") & ~near.rlike(STAFF_NOT) & near.rlike(STAFF)
     return Verdict(F.lit(name), value, F.lit(3), x.confidence(name), accept)
 
 
@@ -233,7 +230,7 @@ def _cep(x: Match, name: str) -> Verdict:
     value, near = _value(x, name), F.lower(x.near(80, 50))
     bare = F.regexp_replace(value, "[. -]", "")
     accept = (
-        ~_inside_process(x, value)
+        ~F.col("in_process")
         & ~((F.length(bare) == 8) & F.substring(bare, 1, 5).isin(*PUBLIC_CEP))
         & ~(contains_any(near, CEP_THIRD) & ~contains_any(near, CEP_OWN))
         & near.rlike(CEP_ADDRESS)
@@ -248,6 +245,10 @@ def _name(x: Match, name: str) -> Verdict:
     return Verdict(F.lit("NOME"), value, F.lit(4), F.lit(0.85), F.size(words).between(2, 5) & (F.length(value) <= 45) & fine)
 
 
+def _complement(kind: str, weight: int, confidence: float, sound: Callable[[Column], Column]) -> Rule:
+    return lambda x, name: Verdict(F.lit(kind), x.g[1], F.lit(weight), F.lit(confidence), sound(x.g[1]))
+
+
 def _email(x: Match, value: Column) -> Column:
     return ~F.lower(value).rlike(r"\.gov\.br|\.org\.br|\.edu\.br")
 
@@ -278,22 +279,59 @@ RULES: dict[str, Rule] = {
     "DADO_BIOMETRICO": _plain(weight=5),
     "MENOR_IDENTIFICADO": _minor,
     "CONTA_BANCARIA_CONTEXTUAL": _account,
+    "IBAN": _complement("CONTA_BANCARIA_INTERNACIONAL", 4, 1.0, lambda v: iban_valid(v) & ~suppressed(v)),
+    "ANY_IBAN": _complement("CONTA_BANCARIA_INTERNACIONAL", 4, 1.0, iban_valid),
+    "CARD": _complement("CARTAO_CREDITO", 4, 1.0, lambda v: luhn_valid(F.regexp_replace(v, "[ -]", ""))),
+    "ADDRESS": _complement("IP", 3, 0.6, lambda v: F.forall(F.split(v, "[.]"), lambda x: x.cast("int") <= 255)),
 }
 
 
+_ASK_WHOLE, _ASK_NUMBERS = ("PROCESSO_SEI", "PROTOCOLO_LAI", "PROTOCOLO_OUV", "PROTOCOLO_GENERICO"), ("MATRICULA_SERVIDOR", "CEP")
+
+
+def _whole(text: Column) -> dict[str, Column]:
+    """What rules ask of the whole text, if there is a match whose rule asks."""
+    asked = lambda *names: F.exists("_found", lambda z: z["name"].isin(*names))
+    fiction = F.concat(F.lit("(?s)"), F.lit("|".join(f"\\Q{t}\\E" for t in CPF_FICTION)))
+    upper = F.upper(text)
+    # the ends of the pieces between words of fiction, with these words: a number beside one stands in there
+    ends = F.transform(F.split(upper, fiction, -1), lambda p: F.when(F.length(p) <= 160, p).otherwise(F.concat(F.left(p, F.lit(80)), F.lit("\n\n"), F.right(p, F.lit(80)))))
+    words = F.regexp_extract_all(upper, fiction, F.lit(0))
+    joined = F.array_join(F.zip_with(ends, words, lambda p, w: F.concat(p, F.coalesce(w, F.lit("")))), "")
+    return {
+        "_owned": F.when(asked(*_ASK_WHOLE), contains_any(fold_lower(text), OWNED)),
+        "_no_protocol": F.when(asked(*_ASK_WHOLE), contains_any(fold_lower(text), PROTOCOL_NOT)),
+        "_numbers": F.when(asked(*_ASK_NUMBERS), F.regexp_extract_all(text, F.lit(NUMBER_IN_PROCESS), F.lit(0))),
+        "_fiction": F.when(asked("CPF") & contains_any(upper, CPF_FICTION), joined),
+    }
+
+
+def _each(z: Column) -> dict[str, Column]:
+    """What rules ask of the whole text for one match."""
+    value, numbers = F.coalesce(z["g1"], z["m"]), F.col("_numbers")
+    # whether the match lies in, or its value occurs in, a process number of the text
+    inside = F.exists(numbers, lambda n: F.contains(n, value) | (F.contains(n, z["m"]) & (F.length(z["m"]) < F.length(n))))
+    # a number counts as fiction by what stands around its first place
+    first = F.instr(F.col("_body"), z["g1"]) - 1
+    near = F.when((z["name"] == "CPF") & F.contains(F.col("_fiction"), F.upper(z["g1"])), around(F.col("_body"), first, first + F.length(z["g1"]), 50))
+    return {"in_process": F.when(z["name"].isin(*_ASK_NUMBERS), inside), "first_near": near}
+
+
 _BUILT: dict[tuple, dict[str, Column]] = {}
 
 
-def verdicts(names: tuple[str, ...], text: str) -> dict[str, Column]:
+def verdicts(names: tuple[str, ...]) -> dict[str, Column]:
     """For each part of a verdict, the column that picks it by the pattern's name; built once for a session."""
-    key = (SparkContext.getOrCreate().applicationId, names, text)
+    key = (SparkContext.getOrCreate().applicationId, names)
     if key in _BUILT:
         return _BUILT[key]
-    body, parts = F.coalesce(F.col(text), F.lit("")), []
+    parts = []
     for n in names:
-        x = Match(body)
-        v = RULES[n](x, n)
-        parts.append((n, {"accept": v.accept, "tipo": v.kind, "valor": v.value, "peso": v.weight, "confianca": v.confidence, "_basis": F.lit(x.basis or n)}))
+        if (key[0], n) not in _BUILT:
+            x = Match()
+            v = RULES[n](x, n)
+            _BUILT[key[0], n] = {"accept": v.accept, "tipo": v.kind, "valor": v.value, "peso": v.weight, "confianca": v.confidence, "_basis": F.lit(x.basis or n)}
+        parts.append((n, _BUILT[key[0], n]))
 
     def pick(part: str) -> Column:
         out = F.lit(None)
@@ -302,14 +340,27 @@ def verdicts(names: tuple[str, ...], text: str) -> dict[str, Column]:
         return out
 
     out = {part: pick(part) for part in ("accept", "tipo", "valor", "peso", "confianca", "_basis")}
-    out["_confidence"] = finding_confidence(F.col("_basis"), body, F.col("inicio"), F.col("fim"))
+    x = Match()
+    out["_confidence"] = finding_confidence(F.col("_basis"), x.text, x.start, x.end)
     _BUILT[key] = out
     return out
 
 
-def judge(matches: DataFrame, text: str = "text", names: list[str] | None = None) -> DataFrame:
-    """Adds tipo, valor, peso, confianca to scanned matches and keeps those that their rule accepts."""
-    v = verdicts(tuple(names or RULES), text)
-    kept = matches.where(F.coalesce(v["accept"], F.lit(False))).withColumn("_basis", v["_basis"]).withColumn("_confidence", v["_confidence"])
-    out = kept.withColumns({"tipo": v["tipo"], "valor": v["valor"], "peso": v["peso"].cast("int"), "confianca": v["confianca"].cast("double")})
-    return out.where("valor is not null").drop("_basis", "_confidence")
+def judge(docs: DataFrame, patterns: Sequence[Pattern], text: str = "text", beside: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Scans texts and keeps the matches that their rules accept, with tipo, valor, peso, confianca and contexto (what stands near).
+
+    The columns of ``docs`` stay, but for the text. With ``beside`` the findings that it makes of a text (structs
+    of tipo, valor, confianca, peso, inicio, fim, source, ord, yields) stand in column ``made`` of rows of their own.
+    """
+    v = verdicts(tuple(p.name for p in patterns))
+    found = slices(docs, patterns, text, _whole, _each, beside)
+    made = F.lit(False) if beside is None else F.col("made").isNotNull()
+    # steps of their own: the verdicts are large expressions, and what follows uses them many times
+    own = ("_owned", "_no_protocol", "_numbers", "_fiction", "near", "near_at", "in_process", "first_near")
+    stay = [F.col(f"`{c}`") for c in found.columns if c not in own]
+    near = near_text(F.col("near"), F.col("inicio") - F.col("near_at"), F.col("fim") - F.col("near_at"))
+    judged = found.select("*", once(_accept=F.when(made, True).otherwise(F.coalesce(v["accept"], F.lit(False))))).where("_accept").drop("_accept")
+    kept = judged.select("*", once(_basis=v["_basis"], contexto=near))
+    sure = kept.select("*", once(_confidence=v["_confidence"]))
+    out = sure.select(*stay, "contexto", once(tipo=v["tipo"], valor=v["valor"], peso=v["peso"].cast("int"), confianca=v["confianca"].cast("double")))
+    return out.where(made | F.col("valor").isNotNull())

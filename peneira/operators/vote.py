@@ -32,7 +32,7 @@ def vote(findings: DataFrame) -> DataFrame:
     others = [c for c in findings.columns if c != "doc_id"]
     keyed = findings.where("valor is not null").withColumn("_key", F.trim(F.lower("valor"))).where("_key <> ''")
     best = F.max_by(F.struct(*others), F.struct("confianca", (-F.col("seq")).alias("first")))
-    voted = keyed.groupBy("doc_id", "_key").agg(best.alias("f"), F.count_distinct("source").alias("n_fontes")).select("doc_id", "f.*", "n_fontes")
+    voted = keyed.groupBy("doc_id", "_key").agg(best.alias("f"), F.size(F.collect_set("source")).cast("long").alias("n_fontes")).select("doc_id", "f.*", "n_fontes")
     reason = vote_reason(F.col("tipo"), F.col("peso"), F.col("source"), F.col("n_fontes"), F.col("confianca"))
     return voted.withColumn("votacao_motivo", reason)
 

@@ -43,7 +43,7 @@ def _picked(*wanted: str) -> list:
 
 def _ruled(docs: DataFrame, *wanted: str) -> DataFrame:
     """Accepted matches of some patterns: doc_id, tipo, valor, peso, inicio, fim."""
-    found = judge(scan(docs.select("doc_id", "text"), _picked(*wanted)), names=list(wanted))
+    found = judge(docs.select("doc_id", "text"), _picked(*wanted))
     return found.select("doc_id", "tipo", "valor", "peso", "inicio", "fim")
 
 
@@ -284,7 +284,7 @@ _FOUND = [(_OTHERS.index(x[0]), x[0], *x[2:]) for x in OTHERS] + [(_OTHERS.index
 @query("rule_more", "fx_text3", " union all ".join(f"select k as doc_id, '{name}' as name, '{kind}' as tipo, {value.replace('{T}', 'varchar')} as valor, {weight}::int as peso from fx_cpf where k%{len(OTHERS)}={at}" for at, name, kind, value, weight in _FOUND))
 def rule_more(t: DataFrame) -> DataFrame:
     """What these recognizers find in a sentence for each of them, all others' included."""
-    return judge(scan(t.select("doc_id", "text"), _picked(*_OTHERS)), names=_OTHERS).select("doc_id", "name", "tipo", "valor", "peso")
+    return judge(t.select("doc_id", "text"), _picked(*_OTHERS)).select("doc_id", "name", "tipo", "valor", "peso")
 
 
 @query("heur_minor", "fx_cpf", "select k as doc_id, 'MENOR_IDENTIFICADO' as tipo, 'Lima, '||cast(k%25 as varchar)||' anos' as valor, 11::int as inicio from fx_cpf where k%25<18 and k%3<>1")

@@ -9,15 +9,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from peneira.functions.confidence import risk_of_weight
-from peneira.functions.plugins import complement
 from peneira.operators import dedup as D
 from peneira.operators import explain as E
 from peneira.operators import spans as S
 from peneira.operators import vote as V
-from peneira.operators.names import heuristics, trigger_names
-from peneira.operators.patterns import PATTERNS, Pattern
+from peneira.operators.names import heuristic_findings, trigger_findings
+from peneira.operators.patterns import COMPLEMENT, PATTERNS, Pattern
 from peneira.operators.rules import judge
-from peneira.operators.scan import scan
 
 #: Findings of models come as doc_id, tipo, valor, confianca, peso, inicio, fim, source.
 Plugin = Callable[[DataFrame], DataFrame]
@@ -39,17 +37,26 @@ class Engine:
     complement: bool = True
 
 
+FINDING = ("tipo", "valor", "confianca", "peso", "inicio", "fim", "source", "ord")
+#: Place of the complement and of recognizers in the order that settles ties.
+BESIDE = 3000
+
+
 def candidates(docs: DataFrame, engine: Engine = Engine()) -> DataFrame:
-    """All findings before voting, with ``seq`` in the order of sources, patterns and places, and ``contexto``."""
-    columns = ["doc_id", "tipo", "valor", "confianca", "peso", "inicio", "fim", "source", "ord", "contexto"]
-    matched = judge(scan(docs.select("doc_id", "text"), engine.patterns), names=[p.name for p in engine.patterns])
-    near = E.near_text(F.col("text"), F.col("inicio"), F.col("fim"))
-    found = matched.withColumns({"source": F.lit("regex"), "contexto": near, "yields": F.lit(False)}).select(*columns, "yields")
-    extra = heuristics(docs).unionByName(trigger_names(docs).withColumn("yields", F.lit(False)))
-    more = (*((complement,) if engine.complement else ()), *engine.recognizers)
-    for i, plugin in enumerate(more):
-        extra = extra.unionByName(plugin(docs).withColumns({"ord": F.lit(3000 + i), "yields": F.lit(False)}))
-    every = found.unionByName(extra.withColumn("contexto", F.lit(None).cast("string")).select(*columns, "yields"))
+    """All findings before voting, with ``seq`` in the order of sources, patterns and places, and ``contexto``.
+
+    Patterns, heuristics, triggers and the complement look at a text in one pass; what they find is
+    dealt out by document once, and all that follows keeps to that.
+    """
+    patterns = (*engine.patterns, *(COMPLEMENT[:1] if engine.complement else ()))
+    found = judge(docs.select("doc_id", "text"), patterns, beside=lambda t: F.concat(heuristic_findings(t), trigger_findings(t)))
+    made, iban = F.col("made"), F.col("name") == COMPLEMENT[0].name
+    matched = {"source": F.when(iban, "presidio").otherwise("regex"), "ord": F.when(iban, BESIDE).otherwise(F.col("ord"))}
+    every = found.select("doc_id", *(F.when(made.isNotNull(), made[c]).otherwise(matched.get(c, F.col(c))).alias(c) for c in FINDING), F.when(made.isNull() & ~iban, F.col("contexto")).alias("contexto"), F.coalesce(made["yields"], F.lit(False)).alias("yields"))
+    for i, plugin in enumerate(engine.recognizers, 1 if engine.complement else 0):
+        extra = plugin(docs).withColumns({"ord": F.lit(BESIDE + i), "yields": F.lit(False), "contexto": F.lit(None).cast("string")})
+        every = every.unionByName(extra.select(*every.columns))
+    every = every.repartition("doc_id")
     # a heuristic yields to what else is found of its kind (a signature to the same name)
     same = Window.partitionBy("doc_id", "tipo", F.when(F.col("tipo") == "NOME", F.lower("valor")))
     firm = F.max(~F.col("yields")).over(same)

@@ -150,8 +150,9 @@ def write_xlsx(rows: DataFrame, path: str, most: int = 1_048_575) -> None:
     rows.toPandas().to_excel(path, index=False, sheet_name="Classificação PII")
 
 
-def write_json(rows: DataFrame, path: str) -> None:
-    rows.write.json(path)
+def write_json(rows: DataFrame, path: str, one_file: bool = False) -> None:
+    """JSON lines in parts (those without rows are empty), or in one file, for reports of the size of one."""
+    (rows.coalesce(1) if one_file else rows).write.json(path)
 
 
 def feedback_spans(feedback: DataFrame) -> DataFrame:

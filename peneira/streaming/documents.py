@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from peneira.operators.rules import judge
-from peneira.operators.scan import scan
 from peneira.plans.detect import Engine, detect
 
 
@@ -32,7 +31,7 @@ def detect_stream(docs: DataFrame, sink: Callable[[DataFrame, int], None], check
 
 def matches_by_window(docs: DataFrame, engine: Engine = Engine(), window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Accepted matches by kind and time window, in one stateless pass and one aggregation."""
-    found = judge(scan(docs.withWatermark("ts", late), engine.patterns), names=[p.name for p in engine.patterns])
+    found = judge(docs.withWatermark("ts", late), engine.patterns)
     return found.groupBy(F.window("ts", window), "tipo").agg(F.count("*").alias("n"))
 
 

@@ -1,11 +1,13 @@
 """Goldens for rules and the whole engine: own sentences that need no name model."""
 
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from peneira.operators.patterns import PATTERNS, SILENT
+from peneira.operators.rules import judge
 from peneira.operators.scan import scan
 from peneira.plans.detect import Engine, analyze, detect_extended, findings
 
@@ -104,3 +106,48 @@ def test_scanner_equals_python(spark, sf_dir):
 def test_clean_documents_stay_clean(spark):
     docs = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("texto comum sem nada de pessoal").alias("text"))
     assert findings(docs).count() == 0
+
+
+def test_mail_behind_an_office_in_its_line(spark):
+    """Hiding an @ equals looking ahead from it."""
+    mail = next(p for p in PATTERNS if p.name == "EMAIL_PESSOAL")
+    parts = ["ana@x.com", "b@y.GOV.br", "c.d@z.org.br.e@w.net", " ", "\n", "\r", "Edu.br", ".edu.br", "@", "f@g.com@h.io", "x\x01y@z.de", "é@ç.com"]
+    rng = random.Random(6)
+    texts = ["", *parts, *("".join(rng.choices(parts, k=rng.randint(2, 9))) for _ in range(400))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.inicio, r.fim, r.m, r.g1) for r in scan(docs, [mail]).collect())
+    assert got == sorted((i, m.start(), m.end(), m.group(), m.group(1)) for i, t in enumerate(texts) for m in re.compile(mail.regex, re.I).finditer(t))
+
+
+def test_slices_equal_whole_texts(spark):
+    """A case far inside a long text is judged as alone, with what stands around it."""
+    filler = "palavras comuns sem nada de mais " * 130
+    cut = "\n\n" + "x" * 200 + "\n\n"
+    picked = [i for i, (t, _) in enumerate(CASES) if "\n" not in t and not t.startswith("Sem dado")]
+    rows = [(1000 + i, filler + cut + CASES[i][0] + cut + filler) for i in picked] + [(i, cut + CASES[i][0] + cut) for i in picked]
+    got = {}
+    for r in judge(spark.createDataFrame(rows, "doc_id long, text string"), PATTERNS).collect():
+        low = len(filler) if r.doc_id >= 1000 else 0
+        got.setdefault(r.doc_id, set()).add((r.tipo, r.valor, r.peso, round(r.confianca, 9), r.inicio - low, r.contexto))
+    assert {i: got.get(1000 + i) for i in picked} == {i: got.get(i) for i in picked} and sum(map(len, got.values())) > 20
+
+
+def test_fiction_beside_the_first_place_of_a_number(spark):
+    far = " . " * 60
+    texts = ["Exemplo 529.982.247-25" + far + "cpf: 529.982.247-25", "cpf: 529.982.247-25" + far + "exemplo 529.982.247-25", "x529.982.247-25 falso" + far + "cpf: 529.982.247-25", "cpf: 529.982.247-25" + far + "exemplo"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted((r.doc_id, r.inicio) for r in judge(docs, PATTERNS).where("tipo = 'CPF'").collect()) == [(1, 5), (1, 207), (3, 5)]
+
+
+def test_work_on_a_long_text_is_linear(spark):
+    import time
+
+    mail = lambda n: spark.createDataFrame([(1, " ".join(f"escreva a pessoa{i}.lima@gmail.com sobre o pedido feito ontem aqui" for i in range(n)))], "doc_id long, text string")
+    judge(mail(10), PATTERNS).count()
+    took = []
+    for n in (500, 4000):
+        began = time.time()
+        assert judge(mail(n), PATTERNS).count() == n
+        took.append(time.time() - began)
+    # eight times the text; the square would be 64 times
+    assert took[1] < 24 * took[0]

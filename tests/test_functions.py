@@ -1,6 +1,6 @@
 from peneira.functions import confidence as C
 from peneira.functions import validators as V
-from peneira.functions.plugins import iban_valid
+from peneira.functions.validators import iban_valid
 from pyspark.sql import functions as F
 
 

@@ -103,10 +103,13 @@ def test_exports(spark, tmp_path):
     assert out.columns == ["ID", "Data", "Horário", "Tipo", "Classificação", "Confiança", "Risco", "Nível de Risco", "Prévia do Pedido", "Dados Identificados"]
     assert tuple(out.first())[:8] == (1, "07/03/2024", "09:05", "Individual", "NÃO PÚBLICO", "98.7%", "0.99", "Crítico") and out.first()[9] == "CPF: 1; NOME: a; b"
     files.write_report(out, str(tmp_path / "csv"))
-    raw = next((tmp_path / "csv").glob("*.csv")).read_bytes()
+    raw = next(x for x in (p.read_bytes() for p in (tmp_path / "csv").glob("*.csv")) if x)
     assert raw.startswith(b"\xef\xbb\xbf") and b"ID;Data;" in raw
     files.write_json(files.report_json(df), str(tmp_path / "json"))
-    got = json.loads(next((tmp_path / "json").glob("*.json")).read_text())
+    files.write_json(files.report_json(df), str(tmp_path / "one"), one_file=True)
+    lines = [[x for p in (tmp_path / name).glob("*.json") for x in p.read_text().splitlines()] for name in ("json", "one")]
+    assert len(lines[0]) == 1 and lines[0] == lines[1] and len(list((tmp_path / "one").glob("*.json"))) == 1
+    got = json.loads(lines[0][0])
     assert got["nivel_risco"] == "critical" and len(got["dados_identificados"]) == 2 and got["previa_pedido"].endswith("...")
     fb = spark.createDataFrame([(1, "CPF", "regex", 0.9, "CORRETO")], "fb_id long, tipo string, fonte string, confianca_modelo double, validacao_humana string")
     files.write_feedback_export(fb, str(tmp_path / "fb"))
