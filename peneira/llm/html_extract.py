@@ -35,7 +35,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,6 +53,7 @@ ARTICLE_TAGS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ENDS_P = BLOCK_TAGS - frozenset("button caption dd dt iframe legend noscript option select tbody td tfoot th thead title tr html body li summary".split())
 OUTER_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adbox adsbox banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs pager pagination toolbar header masthead topbar footer foot bottombar copyright sidebar side aside widget related recommended recommendations share sharing social cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login search comment comments comment-list commentlist respond reply replies disqus discussion reactions feedback form skip hidden legal disclaimer".split())
+COMMENT_NAMES = frozenset("comment comments comment-list commentlist reply replies".split())
 OUTER_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog".split())
 # Common words of English, French, German and Spanish.
 STOP_WORDS = frozenset("the of and to in is it that was for on with as by be this are at from or an he she they we you not have has his her their its but which were been will would can there a i".split()) | frozenset("le la les de des du un une et en est que qui dans pour par sur au aux avec ce cette se sa son ses il elle ne pas plus ou mais nous vous on d l".split()) | frozenset("der die das den dem des ein eine einer und in zu von mit ist im auf für nicht sich als auch an es bei nach aus wie dass er sie wir sind war zum zur".split()) | frozenset("el la los las de del un una y en que es se por con para su al lo como más pero sus este esta no o fue son ha".split())
@@ -80,6 +81,8 @@ class Block:
     article: bool
     heading: bool
     region: int
+    #: In a frame by names alone, not by an element's own kind.
+    named: bool = False
 
 
 def decoded(text: str) -> str:
@@ -91,14 +94,18 @@ def decoded(text: str) -> str:
     return html.unescape(text)
 
 
-def _names_outer(attributes: str) -> bool:
-    """Whether class, id or role say that an element holds no main text."""
+def _names_outer(attributes: str, only: frozenset[str] | None = None) -> bool:
+    """Whether class, id or role say that an element holds no main text; with ``only``, by these names."""
     if not attributes or not attributes.strip(" /"):
         return False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
             for word in value.split():
+                if only is not None:
+                    if word.lower() in only:
+                        return True
+                    continue
                 if word.lower() in OUTER_NAMES:
                     return True
                 parts = {x.lower() for x in _PARTS.findall(word)}
@@ -107,7 +114,7 @@ def _names_outer(attributes: str) -> bool:
                     return True
                 if parts & {"comment", "comments", "sidebar", "cookie", "advert", "footer", "navbar", "nav", "menu"} and not parts & {"has", "with", "no"}:
                     return True
-        elif name == "role" and value.lower() in OUTER_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+        elif name == "role" and value.lower() in OUTER_ROLES and only is None or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
@@ -131,16 +138,16 @@ class _Stack:
     """Open elements, with what is asked of them at hand, so that no question walks the stack."""
 
     def __init__(self):
-        self.items: list[tuple[str, bool, bool]] = []  # tag, outer, hidden
+        self.items: list[tuple[str, bool, bool]] = []  # tag, outer, by its kind
         self.places: dict[str, list[int]] = {}
         self.block_places: list[int] = []
         self.hidden_places: list[int] = []
-        self.outer = self.link = self.article = self.heading = 0
+        self.outer = self.kinds = self.link = self.article = self.heading = 0
         self.regions, self.made = [0], 0
 
-    def push(self, tag: str, outer: bool, hidden: bool) -> None:
+    def push(self, tag: str, outer: bool, kind: bool, hidden: bool) -> None:
         at = len(self.items)
-        self.items.append((tag, outer, hidden))
+        self.items.append((tag, outer, kind))
         self.places.setdefault(tag, []).append(at)
         if tag in BLOCK_TAGS:
             self.block_places.append(at)
@@ -151,12 +158,13 @@ class _Stack:
             # what lies in a frame element belongs to it
             self.regions.append(self.regions[-1] if self.outer else self.made)
         self.outer += outer
+        self.kinds += kind
         self.link += tag == "a"
         self.article += tag in ARTICLE_TAGS
         self.heading += tag in HEADINGS
 
     def pop(self) -> str:
-        tag, outer, _ = self.items.pop()
+        tag, outer, kind = self.items.pop()
         at = len(self.items)
         self.places[tag].pop()
         if tag in BLOCK_TAGS:
@@ -166,6 +174,7 @@ class _Stack:
         if outer or tag in ARTICLE_TAGS:
             self.regions.pop()
         self.outer -= outer
+        self.kinds -= kind
         self.link -= tag == "a"
         self.article -= tag in ARTICLE_TAGS
         self.heading -= tag in HEADINGS
@@ -190,7 +199,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal links
         whole = _SPACE.sub(" ", decoded("".join(text))).strip() if text else ""
         if whole:
-            out.append(Block(whole, min(links, len(whole)), stack.outer > 0, stack.article > 0, stack.heading > 0, stack.regions[-1]))
+            out.append(Block(whole, min(links, len(whole)), stack.outer > 0, stack.article > 0, stack.heading > 0, stack.regions[-1], not stack.kinds))
         text.clear()
         links = 0
 
@@ -255,8 +264,10 @@ def blocks(page: str) -> list[Block]:
         closed = attributes == "/" or attributes.endswith(('"/', "'/", " /"))
         if closed and tag not in BLOCK_TAGS and tag not in HIDDEN_TAGS:
             continue
-        outer = tag in OUTER_TAGS or tag == "header" and not stack.article or tag not in ("html", "body") and _names_outer(attributes)
-        stack.push(tag, outer, tag in HIDDEN_TAGS)
+        kind = tag in OUTER_TAGS or tag == "header" and not stack.article
+        # an article or main element is no frame whatever it is called, but for reader comments
+        outer = kind or tag not in ("html", "body") and _names_outer(attributes, COMMENT_NAMES if tag in ARTICLE_TAGS else None)
+        stack.push(tag, outer, kind, tag in HIDDEN_TAGS)
         if tag in RAW_TAGS:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
             end = page.find(">", close.end()) if close else -1
@@ -306,6 +317,7 @@ def decide(found: list[Block]) -> list[tuple[int, str]]:
     sizes, regions = [Density.of(b) for b in found], {}
     for b, size in zip(found, sizes, strict=True):
         regions.setdefault(b.region, Density()).add(size)
+    found = _unframed(found, sizes)
     first: list[tuple[int, str]] = []
     for b, size in zip(found, sizes, strict=True):
         label, why = size.judged()
@@ -344,6 +356,21 @@ def decide(found: list[Block]) -> list[tuple[int, str]]:
     return out
 
 
+def _unframed(found: list[Block], sizes: list[Density]) -> list[Block]:
+    """Where all dense text stands in frames, the region with most of it that is one by its names alone is none: densities come first."""
+    dense: dict[int, int] = {}
+    for b, size in zip(found, sizes, strict=True):
+        if size.judged()[0] == GOOD:
+            if not b.outer:
+                return found
+            if b.named:
+                dense[b.region] = dense.get(b.region, 0) + size.chars
+    if not dense:
+        return found
+    main = max(dense, key=lambda r: (dense[r], -r))
+    return [replace(b, outer=False) if b.region == main else b for b in found]
+
+
 def _neighbours(found: list[Block], first: list[tuple[int, str]]) -> list[int | None]:
     """For each block the nearest decided one of its region before it."""
     last, out = {}, []

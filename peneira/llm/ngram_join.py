@@ -4,7 +4,7 @@
    fingerprint of that set, and one hash for each band of its MinHash signature.
    Bands and rows follow from the target recall (``bands_for``).
 2. Documents with equal sets collapse into one class, whose representative is the
-   least id; copies never meet again as rows.
+   least name; copies never meet again as rows.
 3. The representatives' bands are shuffled on their hashes. Buckets with the same
    members are kept once. A bucket of any size is cut into blocks of bounded
    size, and pairs of blocks are checked apart from each other, so no task holds
@@ -13,13 +13,16 @@
    where Jaccard reaches the threshold, in the first band that it shares. Out
    come link counts and a spanning forest of the links, a row per member at most.
 5. Alternating large-star and small-star steps over the forests give each linked
-   group the least id as its class.
+   group the least name as its class.
 
 Defined results: words are runs of non-space characters, taken as they stand; a
 text of one to four words is one shingle; a text without words links to nothing
-and is its own class; null texts are empty; rows of equal id count as one
-document; rows with null id are told apart by their text and go by a number from
-2**62 on, after all ids; an empty table gives an empty result.
+and is its own class; null texts are empty; rows of equal id and text are one
+document, and so get equal rows; rows with null id go by a number from 2**62 on that
+their text gives, after all ids. Rows go by names: where no id has two texts, a row's
+name is its id; else the distinct pairs of id and text are numbered in the order of
+ids and 128-bit text hashes, the numbers are the names, and classes are told by them.
+So the result depends on no order of rows. An empty table gives an empty result.
 Links of exactly the threshold are missed with the probability that the target
 recall leaves; links above it less often.
 """
@@ -36,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peneira.llm.common import discard, materialize, utf8, whole_groups
+from peneira.llm.common import discard, materialize, named, utf8, whole_groups
 
 N = 5
 THRESHOLD = 0.8
@@ -126,7 +129,7 @@ def _sketch(n: int, bands: int, rows: int):
                     flat.append(band_hashes(s, factors, bands).view(np.int64))
                 at.append(at[-1] + (bands if len(s) else 0))
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(flat) if flat else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fa, pa.int64()), pa.array(fb, pa.int64()), pa.array(size, pa.int64()), lists], names=["did", "fa", "fb", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(fa, pa.int64()), pa.array(fb, pa.int64()), pa.array(size, pa.int64()), lists], names=["did", "doc_id", "mark", "fa", "fb", "size", "bands"])
 
     return run
 
@@ -267,12 +270,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """Per row of ``docs``: doc_id, class_id (least id of its linked group), copy_id
-    (least id with the same shingles) and n_links (other representatives it links to)."""
+    """Per row of ``docs``: doc_id, class_id (least name of its linked group), copy_id
+    (least name with the same shingles), n_links (other representatives it links to), its name, and
+    mark (a hash of its text)."""
     bands, rows = bands_for(threshold, recall)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    docs = docs.withColumn("did", F.coalesce("doc_id", F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62)))
-    sketch = materialize(docs.select("did", "text").mapInArrow(_sketch(n, bands, rows), "did long, fa long, fb long, size long, bands array<long>"), "sketch")
+    docs = docs.withColumn("doc_id", F.coalesce("doc_id", F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62)))
+    docs, _, scratch = named(docs.select(F.lit(False).alias("none"), F.col("doc_id").alias("did"), "doc_id", "text"))
+    sketch = docs.select("did", "text", "doc_id", F.xxhash64("text").alias("mark"))
+    sketch = materialize(sketch.mapInArrow(_sketch(n, bands, rows), "did long, doc_id long, mark long, fa long, fb long, size long, bands array<long>"), "sketch")
     reps = materialize(sketch.where("size > 0").groupBy("fa", "fb").agg(F.min("did").alias("rep"), F.max("size").alias("size"), F.first("bands").alias("bands")), "reps")
     dealt = reps.select("rep", "size", F.posexplode("bands").alias("band", "bucket"))
     pair = F.xxhash64("rep"), F.xxhash64("rep", F.lit(1))
@@ -289,15 +295,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spread = members.withColumn("block", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("bucket", "band", "rep", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
     checked = spread.join(member, "rep").repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj").mapInArrow(_verify(threshold), "u long, v long, links long")
     found = materialize(checked, "links")
-    discard(member)
-    discard(members)
+    for table in (member, members, *scratch):
+        discard(table)
     count = found.where("u = v").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("n_links"))
     least = components(found.where("u < v")).withColumnRenamed("node", "rep")
     classes = reps.select("fa", "fb", "rep").join(count, "rep", "left").join(least, "rep", "left")
-    per = sketch.select("did", "fa", "fb", "size").join(classes.select("fa", "fb", F.coalesce("least", "rep").alias("class_id"), F.col("rep").alias("copy_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), ["fa", "fb"], "left")
+    per = sketch.select("did", "doc_id", "mark", "fa", "fb").join(classes.select("fa", "fb", F.coalesce("least", "rep").alias("class_id"), F.col("rep").alias("copy_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), ["fa", "fb"], "left")
     return per.select(
-        F.col("did").alias("doc_id"),
+        "doc_id",
         F.coalesce("class_id", "did").alias("class_id"),
         F.coalesce("copy_id", "did").alias("copy_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.col("did").alias("name"),
+        "mark",
     )

@@ -85,7 +85,7 @@ def url_rules_mined(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from peneira.llm.ngram_join import near_duplicates
 
-    return near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_duplicates(_table(spark, sf_dir, "documents")).drop("name", "mark")
 
 
 def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:

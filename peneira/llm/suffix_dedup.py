@@ -53,7 +53,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peneira.llm.common import discard, materialize, release, utf8
+from peneira.llm.common import discard, materialize, named, release, utf8
 
 SEED = 24  # bytes of a suffix that deal it out and order it
 SPAN = 100
@@ -62,6 +62,8 @@ LEAST_SPAN, MOST_SPAN = 64, 150
 CHUNK = 1 << 18
 #: Suffixes whose repeats a map task drops at once.
 FLUSH = 1 << 18
+#: Suffixes of a batch: a slice has tens of them, so that levels meet and merge.
+BATCH = 4096
 #: Different blocks of one suffix among these from which on it is hot.
 HOT = 64
 #: Bytes of text whose suffixes go to one partition (more if there would be over
@@ -276,9 +278,8 @@ class SuffixArray:
         self.key, self.arms, self.did, self.loc = self.key[keep], self.arms[keep], self.did[keep], self.loc[keep]
 
     def merge(self, other: SuffixArray) -> SuffixArray:
-        key = np.concatenate([self.key, other.key])
-        order = np.argsort(key, kind="stable")
-        return SuffixArray(key[order], *(np.concatenate([a, b])[order] for a, b in ((self.arms, other.arms), (self.did, other.did), (self.loc, other.loc))))
+        at = np.searchsorted(self.key, other.key, "right")
+        return SuffixArray(*(np.insert(a, at, b) for a, b in ((self.key, other.key), (self.arms, other.arms), (self.did, other.did), (self.loc, other.loc))))
 
 
 class IndexFamily:
@@ -422,11 +423,12 @@ def _index(bits: int):
                     known = (loc < 0) & ~mark
                     yield from _rows(FLAG, [did[known], ~loc[known], arms[known]])
                     part = [x[loc >= 0] for x in part]
-                held.append(part)
-                n += len(part[0])
-                if n > 65_536:
-                    yield from take()
-                    n = 0
+                for low in range(0, len(part[0]), BATCH):
+                    held.append([x[low : low + BATCH] for x in part])
+                    n += len(held[-1][0])
+                    if n >= BATCH:
+                        yield from take()
+                        n = 0
         yield from close()
 
     return run
@@ -564,24 +566,6 @@ def _settle(finish, kind: str, keep: list[str], span: int, last: bool):
     return run
 
 
-def named(docs: DataFrame) -> tuple[DataFrame, int, list[DataFrame]]:
-    """``docs`` (``none``, ``did``, ``text`` and more) with ``did`` a name of its id and text; the bytes of all; tables to delete later.
-
-    Names are in the order of ids, rows without one last.
-    """
-    h1, h2 = F.xxhash64("none", "text"), F.xxhash64(F.lit(7), "none", "text")
-    by_id = docs.groupBy("did").agg(F.sum(F.octet_length("text")).alias("n"), F.min(h1).alias("a"), F.max(h1).alias("b"), F.min(h2).alias("c"), F.max(h2).alias("d"))
-    size, shared = by_id.agg(F.sum("n"), F.max((F.col("a") != F.col("b")) | (F.col("c") != F.col("d")))).first()
-    if not shared:
-        return docs.drop("none"), int(size or 0), []
-    key = ["none", "did", "h1", "h2"]
-    hashed = docs.withColumns({"h1": h1, "h2": h2})
-    names = hashed.select(*key).distinct().repartitionByRange(*key).sortWithinPartitions(*key)
-    names = materialize(names.withColumn("name", F.monotonically_increasing_id()), "names")
-    numbered = materialize(hashed.join(names, key).drop(*key).withColumnRenamed("name", "did"), "named")
-    return numbered, int(size or 0), [names, numbered]
-
-
 def dedup(docs: DataFrame, finish, kind: str, keep: list[str], doc_id: str = "doc_id", text: str = "text", span: int = SPAN, part_bytes: int = PART_BYTES) -> DataFrame:
     """A row for each document: the columns ``keep`` and what ``finish`` makes of its bytes.
 

@@ -11,8 +11,8 @@ blocked if all tokens of a rule are among its own. Matching goes through an
 inverted index on each rule's rarest token: URLs meet only rules whose rarest
 token they have, and the rest of the rule is checked there. The number of rules
 follows from the support limit, not from the number of URLs; it is counted, and up to
-``MOST_SENT`` rules are sent to where the tokens are, so that no token of a third of
-all URLs is dealt out by its value.
+``MOST_SENT`` rules are sent to where the URLs are, and tested in the pass that judges
+them, so that no token or URL of a third of all rows is dealt out by its value.
 
 Host and path rules come first: the longest that fits decides.
 
@@ -26,6 +26,9 @@ their names, take no part; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,13 +113,31 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int =
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """The distinct ``url`` values that some rule blocks."""
-    index = rules.select("anchor", "tokens")
-    if index.count() <= MOST_SENT:
-        index = F.broadcast(index)
-    owned = urls.select("url", tokens(F.col("url")).alias("own"))
-    met = owned.select("url", "own", F.explode("own").alias("anchor")).join(index, "anchor")
-    return met.where(F.size(F.array_except("tokens", "own")) == 0).select("url").distinct()
+    """The rows of ``urls`` (with ``own``, the tokens) with ``hit``: whether some rule blocks the row.
+
+    Up to ``MOST_SENT`` rules go to the tasks, whose index by anchors answers in one pass. More of them
+    are joined by their anchors with the distinct token sets.
+    """
+    if rules.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        index: dict[str, list[frozenset[str]]] = {}
+        for r in rules.select("anchor", "tokens").collect():
+            index.setdefault(r.anchor, []).append(frozenset(r.tokens))
+        if not index:
+            return urls.withColumn("hit", F.lit(False))
+        return urls.mapInArrow(_tested(index), urls.withColumn("hit", F.lit(False)).schema)
+    sets = urls.select("own").distinct()
+    met = sets.select("own", F.explode("own").alias("anchor")).join(rules.select("anchor", "tokens"), "anchor")
+    hits = met.where(F.size(F.array_except("tokens", "own")) == 0).select("own").distinct().withColumn("hit", F.lit(True))
+    return urls.join(hits, "own", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+
+def _tested(index: dict[str, list[frozenset[str]]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = [any(set(own) >= tokens for t in own if t in index for tokens in index[t]) for own in batch.column("own").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, pa.bool_())], names=[*batch.schema.names, "hit"])
+
+    return run
 
 
 def fitting_rule(host_: Column, path_: Column, rules: tuple[tuple[str, str], ...]) -> Column:
@@ -132,9 +153,8 @@ def fitting_rule(host_: Column, path_: Column, rules: tuple[tuple[str, str], ...
 def judge(pages: DataFrame, labelled: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, **limits) -> DataFrame:
     """Per row of ``page_id, url``: page_id, host, path, rule and verdict; ``labelled`` has ``url, bad``."""
     mined = mine(labelled, **limits)
-    hits = matched(pages, mined).withColumn("hit", F.lit(True))
-    judged = pages.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    judged = judged.withColumn("rule", fitting_rule(F.col("host"), F.col("path"), rules)).join(hits, "url", "left")
+    judged = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), tokens(F.col("url")).alias("own"))
+    judged = matched(judged.withColumn("rule", fitting_rule(F.col("host"), F.col("path"), rules)), mined)
     said = F.create_map(*(F.lit(x) for r in rules for x in r))[F.col("rule")] if rules else F.lit(None)
     verdict = F.when(F.col("rule").isNotNull(), said).when(F.col("hit"), BLOCK).otherwise(ALLOW)
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"))

@@ -46,6 +46,22 @@ def test_notice_and_comments_go_by_their_element():
     assert H.main_text(page) == "Title\n\n" + (STORY * 3).strip()
 
 
+@pytest.mark.parametrize("name", sorted(H.OUTER_NAMES - H.COMMENT_NAMES) + ["post legal", "news-alert"])
+def test_names_do_not_overrule_densities(name):
+    prose = (STORY * 3).strip()
+    frame = f"<nav><a href=/>Start</a></nav><div class=cookie><p>{STORY * 2}</p></div>"
+    for tag in ("article", "main"):
+        assert H.main_text(f'{frame}<{tag} class="{name}"><p>{prose}</p></{tag}>') == prose
+    # all dense text is in named elements: that with most of it is the page's
+    assert H.main_text(f'<nav><a href=/>Start</a></nav><div class="{name}"><p>{prose}</p></div><div class=cookie><p>{STORY}</p></div>') == prose
+
+
+def test_comments_stay_comments():
+    prose, said = (STORY * 2).strip(), (STORY * 6).strip()
+    for page in (f"<article><p>{prose}</p><article class=comment><p>{said}</p></article></article>", f"<main><p>{prose}</p></main><div id=comments><article><p>{said}</p></article></div>", f"<div><p>{prose}</p></div><ul class=commentlist><li>{said}</li></ul>"):
+        assert H.main_text(page) == prose
+
+
 def test_references():
     assert H.main_text("<p>&#00000000000065;&#x000000041; &#99999999999; &#" + "1" * 6000 + "; &lt;b&gt; &amp;amp;</p>") == "AA � � <b> &amp;"
 

@@ -34,7 +34,7 @@ def test_equals_brute_force(edges, edge_rows):
     rows = J.near_duplicates(edges).collect()
     assert len(rows) == len(edge_rows)
     # the row without an id goes by a number after all others
-    got = {min(r.doc_id, 1 << 62): tuple(r)[1:] for r in rows}
+    got = {min(r.doc_id, 1 << 62): tuple(r)[1:4] for r in rows}
     want = brute([(1 << 62 if r[0] is None else r[0], r[1]) for r in edge_rows])
     assert {i: v[0] for i, v in want.items()} == {i: v[0] for i, v in got.items()} and want[1 << 62][0] == 9
     assert {i: v for i, v in got.items() if i < 1 << 62} == {i: v for i, v in want.items() if i < 1 << 62}
@@ -46,7 +46,7 @@ def test_blocks_and_chains(spark, monkeypatch):
     monkeypatch.setattr(J, "BLOCK_MEMBERS", 8)
     words = [f"w{i}" for i in range(400)]
     rows = [(i, " ".join(words[i : i + 120])) for i in range(60)] + [(100 + i, " ".join(words[:120])) for i in range(30)]
-    got = {r.doc_id: tuple(r)[1:] for r in J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    got = {r.doc_id: tuple(r)[1:4] for r in J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
     assert got == brute(rows) and {v[0] for v in got.values()} == {0}
 
 
@@ -57,3 +57,26 @@ def test_bands_reach_recall():
 
 def test_empty(empty):
     assert J.near_duplicates(empty).count() == 0
+
+
+def test_texts_that_share_an_id(spark):
+    """Rows go by id and text, in whatever order they come."""
+    words = [f"w{i}" for i in range(300)]
+    a, b = " ".join(words[:100]), " ".join(words[150:250])
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " x"), (None, a + " y"), (None, "else"), (2, a + " x"), (4, None), (4, "")]
+    seen = set()
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        got = J.near_duplicates(spark.createDataFrame(order, "doc_id long, text string").repartition(3)).collect()
+        assert len(got) == len(rows)
+        named = {}
+        for r in got:
+            assert named.setdefault(r.name, (r.doc_id, r.mark)) == (r.doc_id, r.mark)
+        groups = {}
+        for r in got:
+            groups.setdefault(r.class_id, set()).add((min(r.doc_id, 1 << 62), r.n_links))
+        seen.add(frozenset(frozenset(g) for g in groups.values()))
+        names = sorted(named)
+        assert [named[n][0] for n in names] == sorted(x for x, _ in named.values())
+    assert len(seen) == 1
+    # the one with text A: itself, 2 and the one without an id; the one with B: itself and 3
+    assert {frozenset(i for i, _ in g) for g in next(iter(seen))} == {frozenset({1, 2, 1 << 62}), frozenset({1, 3}), frozenset({1 << 62}), frozenset({4})}

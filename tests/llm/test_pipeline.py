@@ -102,6 +102,18 @@ def test_stages_equal_plain_models(spark, edge_rows):
     assert ids == {i: n * tokens[i] for i, n in copies.items()} and np.all([r.offset + r.length <= 2048 for r in docs.collect()])
 
 
+def test_texts_that_share_an_id_stay(spark):
+    """Near duplicates go, other texts of the same id, or of none, stay, whatever the order of rows."""
+    words = [f"w{i}" for i in range(400)]
+    a, b, c, d = (" ".join(words[i : i + 90]) for i in (0, 100, 200, 300))
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (2, a + " x", "en", "t", 1), (None, c, "en", "s", 1), (None, d, "en", None, 1), (None, c, "en", "s", 1), (3, b, "de", "s", 1), (5, c + " z", "en", "s", 1)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    want = sorted([(1, a), (1, b), (5, c + " z"), (None, d)], key=str)
+    for order in (rows, rows[::-1]):
+        out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(order, kind).repartition(3), "")
+        assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == want and out.columns == list(corpus_pipeline.COLUMNS)
+
+
 def test_run_leaves_its_result_only(spark, sf_dir):
     import os
 

@@ -123,3 +123,33 @@ def test_whole_table(spark):
     rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     got = {r.doc_id: tuple(r)[1:] for r in queries.op3_suffix_dedup(spark, sf).collect()}
     assert len(got) == len(rows) and got == brute([(r.doc_id, (r.text or "").encode()) for r in rows])
+
+
+def test_levels_meet_and_merge_on_a_table(spark, monkeypatch):
+    """On the given documents a slice has many batches, whose levels merge geometrically; and the result is that of all windows."""
+    import os
+
+    import pyarrow as pa
+
+    table = os.environ.get("TEST_LEVELS_DIR", "/root/testdata/sf0.01")
+    rows = spark.read.parquet(f"{table}/documents.parquet").select("doc_id", "text").toArrow().combine_chunks().to_batches()
+    entries = [b for b in S._sample(S.SPAN)(iter(rows))]
+    families = []
+
+    class Watched(S.IndexFamily):
+        def __init__(self):
+            super().__init__()
+            self.sizes, self.scans = [], 0
+            families.append(self)
+
+        def add(self, *batch):
+            self.scans += len(self.levels)
+            yield from super().add(*batch)
+            self.sizes.append([n for n, _ in self.levels])
+
+    monkeypatch.setattr(S, "IndexFamily", Watched)
+    whole = pa.Table.from_batches(entries).combine_chunks().to_batches()
+    flags = sum(b.num_rows for b in S._index(0)(iter(whole)))
+    sizes = families[-1].sizes
+    assert flags and len(sizes) >= 8 and max(len(x) for x in sizes) >= 3 and max(x[0] for x in sizes) >= 8 and families[-1].scans >= 8
+    assert all(x == sorted(x, reverse=True) and len(set(x)) == len(x) for x in sizes)
