@@ -7,16 +7,18 @@ of ``documents``:
 
 1. ``quality_rules`` drops the documents that the rules reject, and takes the lines
    that too many documents of a host have out of the others; n_chars is counted anew.
-2. ``ngram_jaccard_join`` keeps the least id of each group of near duplicates.
+2. ``ngram_jaccard_join`` keeps one document of each group of near duplicates, the least
+   by id (and by text hash where an id has several texts); its columns are the least of
+   those of its equal rows.
 3. ``suffix_dedup`` removes repeated 100-byte strings (see the operator) from the
    texts; a character that loses a byte goes whole, and n_chars is counted anew.
 4. ``source_mixing`` repeats or drops whole documents so that each source comes near
    its target (``whole_copies``); copies keep their id.
 5. ``best_fit_packing`` returns the pieces with their sequences and offsets.
 
-Rows without an id have no number to be told apart by: the join names them by a
-hash of their text, and the first three stages keep or change all rows of equal
-text alike.
+A document is a pair of id and text: differing texts of one id, or of none, are documents
+of their own. Rows without an id go by a hash of their text; the first three stages keep or
+change all rows of equal text alike.
 """
 
 from __future__ import annotations
@@ -47,12 +49,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed = docs.withColumns({"key": _key(), "mark": F.xxhash64(F.coalesce("text", F.lit("")))})
-    first = ngram_join.near_duplicates(keyed, doc_id="key").where("doc_id = class_id").select(F.col("doc_id").alias("key")).distinct()
-    # of rows with one id the one of least hash stays
-    least = keyed.groupBy("key").agg(F.min("mark").alias("least"))
-    stays = first.join(least, "key")
-    return keyed.join(stays, "key").where("mark = least").dropDuplicates(["key"]).select(*COLUMNS)
+    keyed = docs.withColumn("key", _key())
+    stays = ngram_join.near_duplicates(keyed, doc_id="key").where("name = class_id").select(F.col("doc_id").alias("key"), "mark").distinct()
+    # equal rows become one before any is sent, however many they are
+    rest = [c for c in COLUMNS if c != "text"]
+    whole = keyed.withColumn("mark", F.xxhash64(F.coalesce("text", F.lit("")))).groupBy("key", "mark").agg(F.min(F.struct(*rest)).alias("row"), F.min("text").alias("text"))
+    return whole.join(stays, ["key", "mark"]).select("row.*", "text").select(*COLUMNS)
 
 
 def suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
