@@ -13,8 +13,16 @@ FOUND = "doc_id long, tipo string, valor string, confianca double, peso int, ini
 Model = Callable[[str], list[tuple[int, int, float]]]
 
 
-def name_recognizer(load: Callable[[], Model], source: str, least: float = 0.0, most_chars: int | None = None, use_context: bool = True) -> Callable[[DataFrame], DataFrame]:
-    """A plug-in from a function that loads a model; it is loaded once per task and gets whole texts unless ``most_chars`` says otherwise."""
+#: What a finding takes along of the text on either side.
+NEAR = 160
+
+
+def name_recognizer(load: Callable[[], Model], source: str, least: float = 0.0, most_chars: int | None = None, use_context: bool = True, may: str | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A plug-in from a function that loads a model; it is loaded once per task and gets whole texts unless ``most_chars`` says otherwise.
+
+    ``may`` is an expression that any text with a name matches: others don't leave the JVM.
+    Findings take a slice of the text along, so texts are not joined again.
+    """
     from peneira.functions.confidence import context_factor
     from peneira.operators.names import immune, suppressed
 
@@ -22,13 +30,20 @@ def name_recognizer(load: Callable[[], Model], source: str, least: float = 0.0,
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             model = load()
             for pdf in batches:
-                rows = [(i, "NOME", t[a:b].strip(), float(p), 4, a, b, source) for i, t in zip(pdf.doc_id, pdf.text, strict=True) for a, b, p in model((t or "")[:most_chars]) if p >= least]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")])
-
-        found = docs.select("doc_id", "text").mapInPandas(run, FOUND).join(docs.select("doc_id", "text"), "doc_id")
-        kept = found.where((F.length("valor") > 3) & F.contains("valor", F.lit(" ")) & ~suppressed(F.col("valor")) & ~immune(F.col("text"), F.col("inicio")))
-        factor = context_factor(F.col("tipo"), F.col("text"), F.col("inicio"), F.col("fim")) if use_context else F.lit(1.0)
-        return kept.withColumn("confianca", F.least(F.lit(1.0), F.col("confianca") * factor)).drop("text")
+                rows = []
+                for i, t in zip(pdf.doc_id, pdf.text, strict=True):
+                    for a, b, p in model((t or "")[:most_chars]):
+                        if p >= least:
+                            low = max(0, a - NEAR)
+                            rows.append((i, "NOME", t[a:b].strip(), float(p), 4, a, b, source, t[low : b + NEAR], a - low))
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in near.split(", ")])
+
+        near = FOUND + ", near string, at int"
+        some = docs.select("doc_id", "text").where("text is not null")
+        found = (some if may is None else some.where(F.col("text").rlike(may))).mapInPandas(run, near)
+        kept = found.where((F.length("valor") > 3) & F.contains("valor", F.lit(" ")) & ~suppressed(F.col("valor")) & ~immune(F.col("near"), F.col("at")))
+        factor = context_factor(F.col("tipo"), F.col("near"), F.col("at"), F.col("at") + F.col("fim") - F.col("inicio")) if use_context else F.lit(1.0)
+        return kept.withColumn("confianca", F.least(F.lit(1.0), F.col("confianca") * factor)).drop("near", "at")
 
     return recognize
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from peneira.functions import confidence as C
 from peneira.functions import validators as VD
 from peneira.functions.plugins import complement
-from peneira.operators import dedup, explain, names, packs, spans, vote
+from peneira.operators import dedup, explain, names, packs, spans, tagger, vote
 from peneira.operators.patterns import PATTERNS
 from peneira.operators.rules import judge
 from peneira.operators.scan import scan
@@ -744,3 +744,28 @@ def loose_text(t: DataFrame) -> DataFrame:
     """The text, or the whole row as JSON where it is empty, as every third turn's is here."""
     sheet = t.select("conv_id", "turn", F.when(F.col("turn") % 3 == 2, "").otherwise(F.col("text")).alias("texto"))
     return sheet.select("conv_id", "turn", files.loose_text(sheet).alias("t"))
+
+
+# ---- names by sequence tagging, learned from sentences that keys of a table pick
+
+
+def _tagger(spark: SparkSession, sf_dir: str) -> dict[str, list[float]]:
+    return tagger.train(tagger.starting_texts(F.col("o_orderkey"), spark.read.parquet(f"{sf_dir}/orders.parquet")))
+
+
+@query("names_tagged")
+def names_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of persons in all documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return tagger.recognizer(_tagger(spark, sf_dir))(docs).select("doc_id", "valor", "confianca", "inicio", "fim")
+
+
+@query("tagger_held_out")
+def tagger_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in made sentences of other keys: found rightly, found wrongly, missed."""
+    made = tagger.starting_texts(F.concat(F.lit("c"), F.col("c_custkey").cast("string")), spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    truth = made.where("inicio is not null").select(F.xxhash64("text").alias("doc_id"), "inicio", "fim").distinct()
+    docs = made.select(F.xxhash64("text").alias("doc_id"), "text").distinct()
+    found = tagger.tagged(docs, _tagger(spark, sf_dir))
+    both = truth.withColumn("t", F.lit(1)).join(found.withColumn("p", F.lit(1)), ["doc_id", "inicio", "fim"], "full")
+    return both.agg(F.count_if(F.col("t").isNotNull() & F.col("p").isNotNull()).alias("certos"), F.count_if(F.col("t").isNull()).alias("a_mais"), F.count_if(F.col("p").isNull()).alias("faltam"))
