@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peneira.functions import confidence as C
+from peneira.functions import normalize as N
 from peneira.functions import validators as VD
 from peneira.functions.plugins import complement
-from peneira.operators import dedup, explain, names, packs, spans, tagger, vote
+from peneira.operators import dedup, explain, names, packs, spans, tagger, terms, vote
 from peneira.operators.patterns import PATTERNS
 from peneira.operators.rules import judge
 from peneira.operators.scan import scan
@@ -769,3 +770,41 @@ def tagger_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tagger.tagged(docs, _tagger(spark, sf_dir))
     both = truth.withColumn("t", F.lit(1)).join(found.withColumn("p", F.lit(1)), ["doc_id", "inicio", "fim"], "full")
     return both.agg(F.count_if(F.col("t").isNotNull() & F.col("p").isNotNull()).alias("certos"), F.count_if(F.col("t").isNull()).alias("a_mais"), F.count_if(F.col("p").isNull()).alias("faltam"))
+
+
+# ---- terms of a table
+
+_PAIR = "([^ .,]+ [^ .,]+)"
+_FOLDED = f"upper(translate({{c}}, '{N._ACCENTED}{''.join(N._LONG)}', '{N._PLAIN}{N._SHORT}'))"
+_WORDS = f"regexp_extract_all({_FOLDED}, '[\\p{{{{L}}}}\\p{{{{N}}}}]+')"
+
+
+@query(
+    "gazetteer_terms",
+    None,
+    f"""with t as (select distinct unnest(regexp_extract_all(text, '{_PAIR}', 1)) as termo from documents),
+ x as (select termo, len(w) as n, array_to_string(w, ' ') as norma from (select termo, {_WORDS.format(c="termo")} as w from t) q where len(w) > 0),
+ b as (select 'documents' as fonte, doc_id as id, {_WORDS.format(c="text")} as w from documents union all select 'pages', page_id, {_WORDS.format(c="html")} from pages),
+ p as (select fonte, id, w, unnest(range(1, len(w) + 1)) as i from b),
+ o as (select fonte, id, i, n, array_to_string(w[i:i + n - 1], ' ') as norma from p, (select distinct n from x) l where i + n - 1 <= len(w))
+ select fonte, id, count(*) as ocorrencias, count(distinct termo) as termos, min(i) - 1 as primeira from o join x using (n, norma) group by fonte, id""",
+)
+def gazetteer_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the word pairs of all documents stand in all documents and pages."""
+    docs, pages = view(spark, sf_dir, "documents"), view(spark, sf_dir, "pages")
+    wanted = docs.select(F.explode(F.regexp_extract_all("text", F.lit(_PAIR), F.lit(1))).alias("termo")).distinct()
+    texts = docs.select(F.lit("documents").alias("fonte"), F.col("doc_id").alias("id"), "text").unionByName(pages.select(F.lit("pages").alias("fonte"), F.col("page_id").alias("id"), F.col("html").alias("text")))
+    return terms.find(texts, wanted, ("fonte", "id")).groupBy("fonte", "id").agg(F.count("*").alias("ocorrencias"), F.count_distinct("termo").alias("termos"), F.min("palavra").cast("long").alias("primeira"))
+
+
+
+@query(
+    "gazetteer_names",
+    None,
+    """with g as (select distinct upper(trim(substr('Souza Lima Braga', 1, 5 + p_size % 12))) as termo from part where p_size % 3 = 0)
+ select doc_id, seq, valor from fx_findings f where not (tipo = 'NOME' and exists (select 1 from g where contains(' ' || upper(f.valor) || ' ', ' ' || termo || ' ')))""",
+)
+def gazetteer_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings without the names that hold a term of a table."""
+    listed = view(spark, sf_dir, "part").where("p_size % 3 = 0").select(F.expr("trim(substr('Souza Lima Braga', 1, 5 + p_size % 12))").alias("termo"))
+    return terms.without(view(spark, sf_dir, "fx_findings"), listed, only=F.col("tipo") == "NOME").select("doc_id", "seq", "valor")

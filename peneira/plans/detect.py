@@ -12,6 +12,7 @@ from peneira.functions.confidence import risk_of_weight
 from peneira.operators import dedup as D
 from peneira.operators import explain as E
 from peneira.operators import spans as S
+from peneira.operators import terms as T
 from peneira.operators import vote as V
 from peneira.operators.names import heuristic_findings, trigger_findings
 from peneira.operators.patterns import COMPLEMENT, PATTERNS, Pattern
@@ -35,6 +36,8 @@ class Engine:
     choose: Callable[[list[dict]], dict] | None = None
     #: IBANs (and, by ``plugins.complement``, cards and addresses) beside the patterns.
     complement: bool = True
+    #: Terms (column ``termo``) that no name holds, of any number, for instance ``files.gazetteer``.
+    gazetteer: DataFrame | None = None
 
 
 FINDING = ("tipo", "valor", "confianca", "peso", "inicio", "fim", "source", "ord")
@@ -56,6 +59,8 @@ def candidates(docs: DataFrame, engine: Engine = Engine()) -> DataFrame:
     for i, plugin in enumerate(engine.recognizers, 1 if engine.complement else 0):
         extra = plugin(docs).withColumns({"ord": F.lit(BESIDE + i), "yields": F.lit(False), "contexto": F.lit(None).cast("string")})
         every = every.unionByName(extra.select(*every.columns))
+    if engine.gazetteer is not None:
+        every = T.without(every, engine.gazetteer, only=F.contains("tipo", F.lit("NOME")))
     every = every.repartition("doc_id")
     # a heuristic yields to what else is found of its kind (a signature to the same name)
     same = Window.partitionBy("doc_id", "tipo", F.when(F.col("tipo") == "NOME", F.lower("valor")))
