@@ -549,15 +549,44 @@ def training_status(t: DataFrame) -> DataFrame:
     return feedback.training_status(t)
 
 
-@query("isotonic", "fx_feedback")
+_FEED = "d as (select fonte, confianca_modelo::double as score, case validacao_humana when 'CORRETO' then 1 else 0 end as label from fx_feedback where confianca_modelo is not null)"
+# the monotone fit by its formula: at each score the greatest, over starts up to it, of the least mean over ends from it on
+_MONOTONE = """p as (select fonte, score as x, sum(label) as s, count(*) as n from d group by fonte, score),
+ c as (select fonte, x, row_number() over w as i, sum(s) over w as cs, sum(n) over w as cn, s, n from p window w as (partition by fonte order by x)),
+ m as (select j.fonte, j.i as j, k.i as k, min((k.cs-j.cs+j.s)::double/(k.cn-j.cn+j.n)) over (partition by j.fonte, j.i order by k.i rows between current row and unbounded following) as least from c j join c k on k.fonte=j.fonte and k.i>=j.i),
+ f as (select c.fonte, c.x, max(m.least) as y from c join m on m.fonte=c.fonte and m.k=c.i group by c.fonte, c.x),
+ e as (select fonte, y as value, min(x) as lo, max(x) as hi, unnest(case when min(x)=max(x) then [min(x)] else [min(x), max(x)] end) as x from f group by fonte, y),
+ points as (select fonte, x, greatest(0.001, least(0.999, value)) as y from e where fonte in (select fonte from d group by fonte having count(*)>=10))"""
+
+
+@query("isotonic", "fx_feedback", f"with {_FEED}, {_MONOTONE} select fonte, x, y from points")
 def isotonic(t: DataFrame) -> DataFrame:
     return feedback.isotonic(feedback.training_rows(t))
 
 
-@query("calibrated", "fx_feedback")
+@query("isotonic_fine", "fx_scores", f"with d as (select fonte, score, label from fx_scores), {_MONOTONE} select fonte, x, y from points")
+def isotonic_fine(t: DataFrame) -> DataFrame:
+    """The fit to a thousand scores of each source."""
+    return feedback.isotonic(t)
+
+
+_CURVE = f"""{_MONOTONE}, q as (select distinct fonte, score from d),
+ v as (select q.fonte, q.score, (select max(x) from points p where p.fonte=q.fonte and p.x<q.score) as a, (select min(x) from points p where p.fonte=q.fonte and p.x>=q.score) as b from q),
+ z as (select v.*, pa.y as ay, pb.y as by_ from v left join points pa on pa.fonte=v.fonte and pa.x=v.a left join points pb on pb.fonte=v.fonte and pb.x=v.b)
+ select fonte, score, round(case when a is null then by_ when b is null then ay else ay+(by_-ay)*(score-a)/(b-a) end, 9) as calibrado from z"""
+
+
+@query("calibrated", "fx_feedback", f"with {_FEED}, {_CURVE}")
 def calibrated(t: DataFrame) -> DataFrame:
     rows = feedback.training_rows(t)
-    return feedback.calibrated(rows, feedback.isotonic(rows)).groupBy("fonte", "score").agg(F.first("calibrado").alias("calibrado"))
+    done = feedback.calibrated(rows, feedback.isotonic(rows)).groupBy("fonte", F.col("score").cast("double").alias("score"))
+    return done.agg(F.round(F.max("calibrado"), 9).alias("calibrado"))
+
+
+@query("calibrated_fine", "fx_scores", f"with d as (select fonte, score, label from fx_scores), {_CURVE}")
+def calibrated_fine(t: DataFrame) -> DataFrame:
+    done = feedback.calibrated(t, feedback.isotonic(t)).groupBy("fonte", "score")
+    return done.agg(F.round(F.max("calibrado"), 9).alias("calibrado"))
 
 
 # ---- metrics

@@ -6,6 +6,8 @@ INCORRETO or PARCIAL).
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,35 +57,65 @@ def bins(rows: DataFrame) -> DataFrame:
     return rows.groupBy("fonte", b.alias("faixa")).agg(F.avg(F.col("score").cast("double")).alias("score_medio"), F.avg(F.col("label").cast("double")).alias("precisao"), F.count("*").alias("n"))
 
 
-def _pooled(rows) -> list[tuple[float, float]]:
-    """Ends of the blocks of a monotone fit to (score, mean label, count), in order of scores."""
-    blocks: list[list[float]] = []  # first x, last x, sum, count
-    for x, y, n in rows:
-        blocks.append([x, x, y * n, n])
-        while len(blocks) > 1 and blocks[-2][2] / blocks[-2][3] >= blocks[-1][2] / blocks[-1][3]:
+#: A stretch of scores with one fitted value: first and last score, sum of labels, rows.
+BLOCK = "fonte string, first double, last double, total long, count long"
+
+
+def _pooled(blocks: list[list], more: Iterable[tuple]) -> list[list]:
+    """``blocks`` with ``more`` behind them, neighbours that don't rise made one; whole numbers decide."""
+    for first, last, total, count in more:
+        blocks.append([first, last, int(total), int(count)])
+        while len(blocks) > 1 and blocks[-2][2] * blocks[-1][3] >= blocks[-1][2] * blocks[-2][3]:
             _, last, total, count = blocks.pop()
             blocks[-1][1:] = [last, blocks[-1][2] + total, blocks[-1][3] + count]
-    return [(x, total / count) for first, last, total, count in blocks for x in dict.fromkeys((first, last))]
+    return blocks
 
 
-def isotonic(rows: DataFrame) -> DataFrame:
-    """Per source with enough rows, the points (x, y) of a monotone fit, y within .001 and .999.
+def isotonic_blocks(rows: DataFrame) -> DataFrame:
+    """The blocks of the exact monotone fit of labels 0 and 1 to scores, by source: ``BLOCK``.
 
-    Scores are pooled by ten-thousandths first, so a source's fit has 10,001 rows at most,
-    whatever the feedback, and each source is fitted by a task of its own.
+    Rows are added up by score, partitions of neighbouring scores are pooled on their own, and what
+    they leave is pooled once more: pooling of pooled stretches is pooling of all rows. The values
+    of blocks rise, and n rows of 0 and 1 have fewer than 2.1 n^(2/3) different rising means, so a
+    source of 10^9 rows leaves a few million blocks at most, whatever its scores. Null scores or labels, and scores that
+    are no number, take no part. Rows are not rounded or pooled by anything but their score.
     """
     import pandas as pd
 
-    step = F.floor(F.col("score").cast("double") * 10_000)
-    per = rows.groupBy("fonte", step.alias("step")).agg(F.avg(F.col("score").cast("double")).alias("x"), F.avg(F.col("label").cast("double")).alias("y"), F.count("*").alias("n"))
-    enough = per.groupBy("fonte").agg(F.sum("n").alias("all")).where(F.col("all") >= max(LEAST_SOURCE, LEAST_TOTAL)).select("fonte")
+    columns = [c.split()[0] for c in BLOCK.split(", ")]
+    score = F.col("score").cast("double")
+    usable = rows.where(F.col("label").isNotNull() & score.isNotNull() & ~F.isnan(score))
+    points = usable.groupBy("fonte", (score + 0.0).alias("x")).agg(F.sum(F.col("label").cast("long")).alias("total"), F.count("*").alias("count"))
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source, blocks = None, []
+        for pdf in batches:
+            # a null source is one of its own
+            for name, some in pdf.groupby(pdf.fonte.where(pdf.fonte.notna(), None), sort=False, dropna=False):
+                name = None if pd.isna(name) else name
+                if blocks and name != source:
+                    yield pd.DataFrame([(source, *b) for b in blocks], columns=columns)
+                    blocks = []
+                source = name
+                _pooled(blocks, zip(some.x, some.x, some.total, some["count"], strict=True))
+        if blocks:
+            yield pd.DataFrame([(source, *b) for b in blocks], columns=columns)
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        some = pdf.sort_values("first")
+        blocks = _pooled([], zip(some["first"], some["last"], some.total, some["count"], strict=True))
+        return pd.DataFrame([(pdf.fonte.iloc[0], *b) for b in blocks], columns=columns)
+
+    near = points.repartitionByRange("fonte", "x").sortWithinPartitions("fonte", "x").mapInPandas(part, BLOCK)
+    return near.groupBy("fonte").applyInPandas(whole, BLOCK)
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        some = pdf.sort_values("x")
-        points = _pooled(zip(some.x, some.y, some.n, strict=True))
-        return pd.DataFrame([(pdf.fonte.iloc[0], x, min(0.999, max(0.001, y))) for x, y in points], columns=["fonte", "x", "y"])
 
-    return per.join(enough, "fonte").groupBy("fonte").applyInPandas(fit, "fonte string, x double, y double")
+def isotonic(rows: DataFrame) -> DataFrame:
+    """Per source with enough rows, the points (x, y) of the exact monotone fit, y within .001 and .999: the ends of its blocks."""
+    blocks = isotonic_blocks(rows)
+    enough = blocks.withColumn("_n", F.sum("count").over(Window.partitionBy("fonte"))).where(F.col("_n") >= max(LEAST_SOURCE, LEAST_TOTAL))
+    y = F.greatest(F.lit(0.001), F.least(F.lit(0.999), F.col("total") / F.col("count")))
+    return enough.select("fonte", F.explode(F.array_distinct(F.array("first", "last"))).alias("x"), y.alias("y"))
 
 
 def recalibrate(feedback: DataFrame, at: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -107,13 +139,31 @@ def by_type(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.coalesce("tipo", F.lit("UNKNOWN")).alias("tipo")).agg(F.count("*").alias("total"), F.sum("label").alias("corretos"))
 
 
+#: Cells of scores that a curve is cut into, so that a row meets the few pieces of its own cell.
+CELLS = 1024
+
+
 def calibrated(rows: DataFrame, points: DataFrame) -> DataFrame:
-    """Scores through their source's fit; sources without one are calibrated conservatively."""
-    from peneira.functions.confidence import conservative, interpolate
+    """Scores through their source's fit, linear between points and flat outside; sources without one are calibrated conservatively.
 
-    curves = points.groupBy("fonte").agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("curve"))
-    joined = rows.join(curves, "fonte", "left")
-    return joined.withColumn("calibrado", F.when(F.col("curve").isNotNull(), interpolate(F.col("score"), F.col("curve"))).otherwise(conservative("score"))).drop("curve")
+    A null score stays null. A curve may have any number of points: its pieces are dealt to the cells of scores that they cross.
+    """
+    from peneira.functions.confidence import conservative
+
+    by = Window.partitionBy("fonte").orderBy("x")
+    low, high = F.lit(float("-inf")), F.lit(float("inf"))
+    piece = lambda a, ay, b, by_: F.struct(a.alias("a"), ay.alias("ay"), b.alias("b"), by_.alias("by"))
+    x, y = F.col("x"), F.col("y")
+    onward = piece(x, y, F.coalesce("_x", high), F.coalesce("_y", y))
+    ends = points.select("fonte", "x", "y", F.lead("x").over(by).alias("_x"), F.lead("y").over(by).alias("_y"), F.row_number().over(by).alias("_n"))
+    pieces = ends.select("fonte", F.explode(F.when(F.col("_n") == 1, F.array(piece(low, y, x, y), onward)).otherwise(F.array(onward))).alias("p"))
+    cell = lambda v: F.floor(F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)) * CELLS).cast("int")
+    cells = pieces.select("fonte", F.explode(F.sequence(cell(F.col("p.a")), cell(F.col("p.b")))).alias("_cell"), "p").groupBy("fonte", "_cell").agg(F.sort_array(F.collect_list("p")).alias("_pieces"))
+    joined = rows.withColumn("_cell", cell(F.col("score").cast("double"))).join(cells, ["fonte", "_cell"], "left")
+    score, own = F.col("score").cast("double"), F.col("_own")
+    between = F.when(own["a"] == low, own["by"]).when(own["b"] == high, own["ay"]).otherwise(own["ay"] + (own["by"] - own["ay"]) * (score - own["a"]) / (own["b"] - own["a"]))
+    found = joined.withColumn("_own", F.get(F.filter("_pieces", lambda p: score <= p["b"]), F.lit(0)))
+    return found.withColumn("calibrado", F.when(own.isNotNull(), between).otherwise(conservative("score"))).select(*rows.columns, "calibrado")
 
 
 def calibration_history(history: DataFrame) -> DataFrame:

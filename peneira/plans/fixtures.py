@@ -114,9 +114,10 @@ VIEWS = {
     "fx_findings": f"select l_orderkey as doc_id, {_SEQ}, case l_linenumber%4 when 0 then 'NOME' when 1 then 'TELEFONE' when 2 then 'CPF' else 'EMAIL_PESSOAL' end as tipo, case l_linenumber%4 when 0 then 'Ana '||substr('Souza Lima Braga',1,cast(5+l_partkey%12 as int)) when 1 then substr('61999998888',1,cast(3+l_suppkey%9 as int)) else 'v'||cast(l_partkey%3 as {{T}}) end as valor, round(0.5+l_discount*4,4) as confianca, cast(2+l_partkey%4 as int) as peso, case l_suppkey%4 when 0 then 'regex' when 1 then 'bert' when 2 then 'gatilho' else 'spacy' end as source from lineitem",
     "fx_spans": f"select l_orderkey as doc_id, {_SEQ}, cast(l_partkey%60 as int) as s, cast(l_partkey%60+1+cast(l_quantity as int)%12 as int) as e, round(1-l_discount,4) as score, case l_suppkey%3 when 0 then 'regex' when 1 then 'bert_ner' else 'spacy' end as fonte from lineitem",
     "fx_feedback": "select l_orderkey as fb_id, case l_partkey%4 when 0 then 'CPF' when 1 then 'NOME' when 2 then 'TELEFONE' else 'EMAIL_PESSOAL' end as tipo, case l_suppkey%3 when 0 then 'regex' when 1 then 'bert_ner' else 'spacy' end as fonte, round(1-l_discount*5,4) as confianca_modelo, case when l_linenumber%7=0 then 'PARCIAL' when l_returnflag='R' then 'INCORRETO' else 'CORRETO' end as validacao_humana from lineitem",
+    "fx_scores": "select case l_suppkey%3 when 0 then 'regex' when 1 then 'bert_ner' else 'spacy' end as fonte, 'CPF' as tipo, cast((l_partkey*613+l_suppkey*97+l_linenumber*31)%1009 as double)/1009 as score, case when (l_orderkey*769+l_linenumber*331)%1200 < (l_partkey*613+l_suppkey*97+l_linenumber*31)%1009 then 1 else 0 end as label from lineitem",
     "fx_access": "select event_id, user_id as ip, ts, event_type from events",
 }
-_NEEDS = {"fx_cpf": "customer", "fx_text": "fx_cpf", "fx_text2": "fx_cpf", "fx_text3": "fx_cpf", "fx_findings": "lineitem", "fx_spans": "lineitem", "fx_feedback": "lineitem", "fx_access": "events"}
+_NEEDS = {"fx_cpf": "customer", "fx_text": "fx_cpf", "fx_text2": "fx_cpf", "fx_text3": "fx_cpf", "fx_findings": "lineitem", "fx_spans": "lineitem", "fx_feedback": "lineitem", "fx_scores": "lineitem", "fx_access": "events"}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -86,6 +86,41 @@ def test_isotonic_is_monotone(spark):
     assert len(out) == len(rows) and all(0 <= r.calibrado <= 1 for r in out)
 
 
+def test_isotonic_equals_a_plain_fit(spark):
+    import numpy as np
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), s, int(rng.random() < s)) for _ in range(3000) for s in [rng.choice([rng.random(), round(rng.random(), 1), 0.98])]]
+    rows += [("a", None, 1), ("a", 0.5, None), ("a", float("nan"), 1), ("rare", 0.5, 1)] + [("even", 0.1 * i, 1) for i in range(12)]
+    df = spark.createDataFrame(rows, "fonte string, score double, label int").repartition(7)
+    got = {}
+    for r in feedback.isotonic_blocks(df).collect():
+        got.setdefault(r.fonte, []).append((r.first, r.last, r.total, r["count"]))
+    for source in {r[0] for r in rows}:
+        blocks = []
+        for x, y in sorted((x, y) for f, x, y in rows if f == source and x is not None and x == x and y is not None):
+            if blocks and blocks[-1][1] == x:
+                blocks[-1] = [blocks[-1][0], x, blocks[-1][2] + y, blocks[-1][3] + 1]
+            else:
+                blocks.append([x, x, y, 1])
+        i = 0
+        while i + 1 < len(blocks):
+            a, b = blocks[i], blocks[i + 1]
+            if a[2] * b[3] >= b[2] * a[3]:
+                blocks[i : i + 2] = [[a[0], b[1], a[2] + b[2], a[3] + b[3]]]
+                i = max(0, i - 1)
+            else:
+                i += 1
+        assert sorted(got[source]) == [tuple(b) for b in blocks]
+    points = feedback.isotonic(df).where("fonte = 'a'").orderBy("x").collect()
+    asked = spark.createDataFrame([("a", x) for x in (-0.5, 0.0, 0.2, 0.31234, 0.98, 1.0, 1.5, None)] + [("new", 0.97)], "fonte string, score double")
+    out = {(r.fonte, r.score): r.calibrado for r in feedback.calibrated(asked, feedback.isotonic(df)).collect()}
+    for x in (-0.5, 0.0, 0.2, 0.31234, 0.98, 1.0, 1.5):
+        assert abs(out["a", x] - np.interp(x, [p.x for p in points], [p.y for p in points])) < 1e-12
+    assert out["a", None] is None and abs(out["new", 0.97] - 0.88) < 1e-9
+    assert feedback.isotonic(df.limit(0)).count() == 0
+
+
 def test_stream(spark, tmp_path):
     from peneira.streaming.documents import detect_stream, document_stream
 
