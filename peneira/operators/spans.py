@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from peneira.functions.normalize import let
+
 
 def islands(spans: DataFrame, touching: bool = False, start: str = "s", end: str = "e") -> DataFrame:
     """Adds ``island``, the number of each group of overlapping (or touching) spans of a document.
@@ -58,64 +60,94 @@ def post_process(spans: DataFrame, min_len: int = 2, merge: bool = True, split_o
     return split.select("doc_id", F.inline(F.when(F.size("found") > 0, parts).otherwise(whole)))
 
 
+def _groups(spans: DataFrame) -> DataFrame:
+    """Each span with ``group``, its number ``i`` in the order s, longest first, seq, and its island.
+
+    The first span of an island leads a group of those that overlap it; the next that doesn't leads the next.
+    What overlaps a leader stands behind it without gaps (but for empty spans at its start, which are
+    groups of their own), so a fold that remembers the last leader tells the groups. Islands never
+    share a group, so the fold is as long as an island, not as a document.
+    """
+    columns = F.struct(F.col("s"), (-F.col("e")).alias("_e"), F.col("seq"), F.struct(*spans.columns).alias("row"))
+    held = islands(spans).groupBy("doc_id", "island").agg(F.sort_array(F.collect_list(columns)).alias("held"))
+    start = F.expr("named_struct('s', -1, 'e', -1, 'at', -1, 'out', cast(array() as array<int>))")
+
+    def step(acc, x):
+        s, e = x["row"]["s"].cast("int"), x["row"]["e"].cast("int")
+        mine = (s < acc["e"]) & (e > acc["s"])
+        leads, here = ~mine & (e > s), F.size(acc["out"])
+        number = F.when(mine, acc["at"]).otherwise(here)
+        return F.struct(F.when(leads, s).otherwise(acc["s"]).alias("s"), F.when(leads, e).otherwise(acc["e"]).alias("e"), F.when(leads, here).otherwise(acc["at"]).alias("at"), F.concat(acc["out"], F.array(number)).alias("out"))
+
+    numbers = F.aggregate("held", start, step, lambda acc: acc["out"])
+    placed = held.select("doc_id", "island", "held", numbers.alias("numbers"))
+    return placed.select("doc_id", "island", F.posexplode(F.arrays_zip("held", "numbers")).alias("i", "z")).select("doc_id", "island", "i", F.col("z.numbers").alias("group"), F.col("z.held.row").alias("row"))
+
+
 def prefer(spans: DataFrame, by: str = "longest", sources: Sequence[str] = (), choose: Callable[[list[dict]], dict] | None = None, order: str = "leftmost") -> DataFrame:
     """Of each leftmost span and what overlaps it, one: the longest, the best scored, the preferred source's, or ``choose``'s.
 
-    Inherently one after the other within a document, whose spans are few.
+    Among equals the first by start, length and seq; null scores come last. A document's rows stand
+    together, by ``order``: leftmost, rightmost, or in the order of the groups. Only ``custom`` leaves the JVM.
     """
-    rank = {s: i for i, s in enumerate(sources)}
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["s", "e", "seq"], ascending=[True, False, True]).to_dict("records")
-        used, out = [False] * len(rows), []
-        for i, r in enumerate(rows):
-            if used[i]:
-                continue
-            group = [i, *(j for j in range(i + 1, len(rows)) if rows[j]["s"] < r["e"] and rows[j]["e"] > r["s"])]
-            some = [rows[j] for j in group]
-            if len(some) == 1:
-                best = r
-            elif by == "longest":
-                best = max(some, key=lambda x: x["e"] - x["s"])
-            elif by == "score":
-                best = max(some, key=lambda x: x["score"])
-            elif by == "source" and any(x["fonte"] in rank for x in some):
-                best = min(some, key=lambda x: rank.get(x["fonte"], len(rank)))
-            elif by == "custom" and choose is not None:
-                best = choose(some)
-            else:
-                best = some[0]
-            out.append(best)
-            for j in group:
-                used[j] = True
-        if order == "rightmost":
-            out.sort(key=lambda x: (-x["e"], -x["s"]))
-        elif order == "leftmost":
-            out.sort(key=lambda x: (x["s"], x["e"]))
-        return pd.DataFrame(out, columns=pdf.columns)
-
-    return spans.groupBy("doc_id").applyInPandas(one, spans.schema)
+    groups = _groups(spans)
+    row, known = F.col("row"), F.lit(None).cast("int")
+    for i, name in enumerate(sources):
+        known = F.when(row["fonte"] == name, -i).otherwise(known) if i else F.when(row["fonte"] == name, 0)
+    if by == "custom" and choose is not None:
+        whole = groups.groupBy("doc_id", "island", "group").agg(F.sort_array(F.collect_list(F.struct("i", "row"))).alias("rows"))
+
+        @F.udf(spans.schema)
+        def chosen(rows) -> dict:
+            some = [r["row"].asDict() for r in rows]
+            return some[0] if len(some) == 1 else choose(some)
+
+        best = whole.select("doc_id", "group", chosen("rows").alias("row"))
+    else:
+        worth = {"longest": (row["e"] - row["s"]).cast("double"), "score": row["score"].cast("double") if by == "score" else None, "source": F.coalesce(known, F.lit(-len(sources))).cast("double")}.get(by)
+        rank = F.struct(F.coalesce(F.lit(0.0) if worth is None else worth, F.lit(float("-inf"))).alias("worth"), (-F.col("i")).alias("first"))
+        best = groups.groupBy("doc_id", "island", "group").agg(F.max_by("row", rank).alias("row")).select("doc_id", "group", "row")
+    rows = best.select("row.*", "group")
+    sort = {"leftmost": ["s", "e"], "rightmost": [F.desc("e"), F.desc("s")]}.get(order, ["s", "group"])
+    return rows.sortWithinPartitions("doc_id", *sort).select(*spans.columns)
 
 
 def evaluate(predicted: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFrame:
-    """tp, fp, fn, precision, recall, f1 and mean_iou per document: each prediction in turn takes the best free truth."""
-    schema = "doc_id long, tp int, fp int, fn int, precision_spans double, recall_spans double, f1_spans double, mean_iou double"
-
-    def one(key: tuple, p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        p, t = p.sort_values("seq"), t.sort_values("seq")
-        free, hits = list(zip(t.s, t.e, strict=True)), []
-        for s, e in zip(p.s, p.e, strict=True):
-            scores = [(max(0, min(e, b) - max(s, a)) / hull if (hull := max(e, b) - min(s, a)) > 0 else 0.0) for a, b in free]
-            best = max(scores, default=0.0)
-            if best > least:
-                free.pop(scores.index(best))
-                hits.append(best)
-        tp, fp, fn = len(hits), len(p) - len(hits), len(t) - len(hits)
-        precision, recall = tp / (tp + fp) if tp + fp else 0.0, tp / (tp + fn) if tp + fn else 0.0
-        f1 = 2 * precision * recall / (precision + recall) if precision + recall else 0.0
-        return pd.DataFrame([[key[0], tp, fp, fn, round(precision, 4), round(recall, 4), round(f1, 4), round(sum(hits) / tp, 4) if tp else 0.0]], columns=[c.split()[0] for c in schema.split(", ")])
-
-    return predicted.groupBy("doc_id").cogroup(truth.groupBy("doc_id")).applyInPandas(one, schema)
+    """tp, fp, fn, precision, recall, f1 and mean_iou per document: each prediction in turn takes the best free truth.
+
+    Pairs need an overlap above ``least`` (0 or more), so each island of predictions and truths is
+    matched on its own, by a fold over its predictions in the order of seq.
+    """
+    if least < 0:
+        raise ValueError("least must be 0 or more")
+    side = lambda df, real: df.select("doc_id", F.col("seq").cast("long").alias("seq"), F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e"), F.lit(real).alias("real"))
+    every = islands(side(predicted, False).unionByName(side(truth, True)))
+    span = F.struct("seq", "s", "e")
+    own = lambda real: F.transform(F.sort_array(F.collect_list(F.when(F.col("real") == real, span))), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+    held = every.groupBy("doc_id", "island").agg(own(False).alias("p"), own(True).alias("t"))
+
+    def share(p, t):
+        hull = F.greatest(p["e"], t["e"]) - F.least(p["s"], t["s"])
+        both = F.greatest(F.lit(0), F.least(p["e"], t["e"]) - F.greatest(p["s"], t["s"]))
+        return F.when(hull > 0, both.cast("double") / hull).otherwise(0.0)
+
+    def step(acc, p):
+        def matched(v):
+            best = F.array_max(v)
+            at = F.array_position(v, best).cast("int")
+            rest = F.concat(F.slice(acc["free"], F.lit(1), at - 1), F.slice(acc["free"], at + 1, F.size(acc["free"])))
+            hit = F.struct(rest.alias("free"), F.concat(acc["hits"], F.array(best)).alias("hits"))
+            return F.when(F.coalesce(best > least, F.lit(False)), hit).otherwise(acc)
+
+        return let(F.transform(acc["free"], lambda t: share(p, t)), matched)
+
+    start = F.struct(F.col("t").alias("free"), F.expr("cast(array() as array<double>)").alias("hits"))
+    done = held.select("doc_id", F.size("p").alias("_p"), F.size("t").alias("_t"), F.aggregate("p", start, step, lambda acc: acc["hits"]).alias("hits"))
+    total = done.groupBy("doc_id").agg(F.sum(F.size("hits")).cast("int").alias("tp"), F.sum("_p").cast("int").alias("_p"), F.sum("_t").cast("int").alias("_t"), F.sum(F.aggregate("hits", F.lit(0.0), lambda a, x: a + x)).alias("_iou"))
+    ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
+    shares = total.withColumns({"_pr": ratio(F.col("tp"), F.col("_p")), "_re": ratio(F.col("tp"), F.col("_t"))})
+    f1 = ratio(2 * F.col("_pr") * F.col("_re"), F.col("_pr") + F.col("_re"))
+    return shares.select("doc_id", "tp", (F.col("_p") - F.col("tp")).alias("fp"), (F.col("_t") - F.col("tp")).alias("fn"), F.round("_pr", 4).alias("precision_spans"), F.round("_re", 4).alias("recall_spans"), F.round(f1, 4).alias("f1_spans"), F.round(ratio(F.col("_iou"), F.col("tp")), 4).alias("mean_iou"))
 
 
 def not_contained(inner: DataFrame, outer: DataFrame) -> DataFrame:

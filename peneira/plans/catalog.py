@@ -503,12 +503,45 @@ def contained_anti(t: DataFrame) -> DataFrame:
     return spans.not_contained(t.where("fonte <> 'regex'"), t.where("fonte = 'regex'")).select("a.doc_id", "a.seq")
 
 
-@query("merge_pref", "fx_spans")
+# one row after the other, as the definition goes: a leader takes what overlaps it
+_LEAD = """with recursive o as (select *, row_number() over (partition by doc_id order by s, e desc, seq) as n from fx_spans),
+ r as (select doc_id, n, seq, s, e, score, fonte, s as ls, e as le, n as g from o where n=1
+ union all select o.doc_id, o.n, o.seq, o.s, o.e, o.score, o.fonte, case when o.s<r.le then r.ls else o.s end, case when o.s<r.le then r.le else o.e end, case when o.s<r.le then r.g else o.n end from r join o on o.doc_id=r.doc_id and o.n=r.n+1)
+ select doc_id, seq, s, e from (select *, row_number() over (partition by doc_id, g order by {rank}, n) as z from r) q where z=1"""
+
+
+@query("merge_pref", "fx_spans", _LEAD.format(rank="e-s desc"))
 def merge_pref(t: DataFrame) -> DataFrame:
     return spans.prefer(t, "longest").select("doc_id", "seq", "s", "e")
 
 
-@query("span_eval", "fx_spans")
+@query("merge_score", "fx_spans", _LEAD.format(rank="score desc"))
+def merge_score(t: DataFrame) -> DataFrame:
+    return spans.prefer(t, "score").select("doc_id", "seq", "s", "e")
+
+
+@query("merge_source", "fx_spans", _LEAD.format(rank="case fonte when 'spacy' then 0 when 'regex' then 1 else 2 end"))
+def merge_source(t: DataFrame) -> DataFrame:
+    return spans.prefer(t, "source", ("spacy", "regex")).select("doc_id", "seq", "s", "e")
+
+
+_IOU = "(greatest(0, least(p.e, x.e)-greatest(p.s, x.s))::double/(greatest(p.e, x.e)-least(p.s, x.s)))"
+
+
+@query(
+    "span_eval",
+    "fx_spans",
+    f"""with recursive p as (select doc_id, s, e, row_number() over (partition by doc_id order by seq) as n from fx_spans where seq%2=0),
+ t as (select doc_id, list(struct_pack(s := s, e := e) order by seq) as free, count(*) as truths from fx_spans where seq%2=1 group by doc_id),
+ r as (select doc_id, 0::bigint as n, free, []::double[] as hits from t
+ union all select doc_id, n, case when list_max(v)>0.5 then free[:list_position(v, list_max(v))-1] || free[list_position(v, list_max(v))+1:] else free end, case when list_max(v)>0.5 then list_append(hits, list_max(v)) else hits end
+ from (select r.doc_id, p.n, r.free, r.hits, list_transform(r.free, lambda x: {_IOU}) as v from r join p on p.doc_id=r.doc_id and p.n=r.n+1) q),
+ l as (select doc_id, arg_max(hits, n) as hits, max(n) as preds from r group by doc_id),
+ c as (select doc_id, len(hits) as tp, preds, truths, coalesce(list_sum(hits), 0) as iou from l join t using (doc_id)
+ union all select doc_id, 0, count(*), 0, 0 from p where doc_id not in (select doc_id from t) group by doc_id),
+ m as (select *, case when preds>0 then tp::double/preds else 0 end as pr, case when truths>0 then tp::double/truths else 0 end as re from c)
+ select doc_id, tp::int as tp, (preds-tp)::int as fp, (truths-tp)::int as fn, round(pr, 4) as precision_spans, round(re, 4) as recall_spans, round(case when pr+re>0 then 2*pr*re/(pr+re) else 0 end, 4) as f1_spans, round(case when tp>0 then iou/tp else 0 end, 4) as mean_iou from m""",
+)
 def span_eval(t: DataFrame) -> DataFrame:
     return spans.evaluate(t.where("seq % 2 = 0"), t.where("seq % 2 = 1"))
 

@@ -147,4 +147,7 @@ def with_views(sql: str) -> str:
     sql = sql.strip()
     if not ctes:
         return sql
-    return f"with {ctes}, {sql[5:]}" if sql.lower().startswith("with ") else f"with {ctes} {sql}"
+    for head in ("with recursive ", "with "):
+        if sql.lower().startswith(head):
+            return f"{head}{ctes}, {sql[len(head):]}"
+    return f"with {ctes} {sql}"

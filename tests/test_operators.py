@@ -37,6 +37,51 @@ def test_prefer_and_evaluate(spark):
     assert (r.tp, r.fp, r.fn, r.precision_spans, r.recall_spans) == (1, 1, 1, 0.5, 0.5)
 
 
+def test_prefer_and_evaluate_against_plain_loops(spark):
+    rng = random.Random(3)
+    schema = "doc_id long, seq int, s int, e int, score double, fonte string"
+    rows = [(d, i, s := rng.randint(0, 40), s + rng.choice([0, 1, 2, 5, 9]), rng.choice([None, 0.1, 0.5, 0.9]), rng.choice(["a", "b", "c", None])) for d in range(30) for i in range(rng.randint(1, 25))]
+    df = spark.createDataFrame(rows, schema)
+
+    def groups(d):
+        some = sorted((r for r in rows if r[0] == d), key=lambda r: (r[2], -r[3], r[1]))
+        used, out = set(), []
+        for i, r in enumerate(some):
+            if i not in used:
+                js = [i, *(j for j in range(i + 1, len(some)) if some[j][2] < r[3] and some[j][3] > r[2])]
+                used |= set(js)
+                out.append([some[j] for j in js])
+        return out
+
+    every = [g for d in range(30) for g in groups(d)]
+    rank = {"c": 0, "a": 1}
+    best = {
+        "longest": lambda g: max(g, key=lambda r: r[3] - r[2]),
+        "score": lambda g: max(g, key=lambda r: -1 if r[4] is None else r[4]),
+        "source": lambda g: min(g, key=lambda r: rank.get(r[5], 2)),
+        "first": lambda g: g[0],
+        "custom": lambda g: g[-1],
+    }
+    for by, pick in best.items():
+        got = spans.prefer(df, by, sources=("c", "a"), choose=lambda g: g[-1]).collect()
+        assert sorted((r.doc_id, r.seq) for r in got) == sorted((r[0], r[1]) for r in map(pick, every)), by
+    truth, said = [r for r in rows if r[1] % 2], [r for r in rows if not r[1] % 2 and r[0] != 5]
+    got = {r.doc_id: r for r in spans.evaluate(spark.createDataFrame(said, schema), spark.createDataFrame(truth, schema), 0.2).collect()}
+    for d in range(30):
+        free, hits = [(r[2], r[3]) for r in truth if r[0] == d], []
+        preds, n = [(r[2], r[3]) for r in said if r[0] == d], len([r for r in truth if r[0] == d])
+        for s, e in preds:
+            v = [max(0, min(e, b) - max(s, a)) / h if (h := max(e, b) - min(s, a)) > 0 else 0.0 for a, b in free]
+            if v and max(v) > 0.2:
+                hits.append(max(v))
+                free.pop(v.index(max(v)))
+        if preds or n:
+            r = got[d]
+            assert (r.tp, r.fp, r.fn) == (len(hits), len(preds) - len(hits), n - len(hits))
+            assert abs(r.mean_iou - (sum(hits) / len(hits) if hits else 0)) < 1e-4
+    assert spans.prefer(df.limit(0)).count() == 0
+
+
 def test_dedup_paths_agree(spark):
     rng = random.Random(5)
     words = ["Ana", "Souza", "Lima", "Braga", "João"]
