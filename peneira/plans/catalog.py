@@ -12,13 +12,13 @@ from peneira.functions import normalize as N
 from peneira.functions import validators as VD
 from peneira.functions.plugins import complement
 from peneira.operators import dedup, explain, names, packs, spans, tagger, terms, vote
-from peneira.operators.patterns import PATTERNS
+from peneira.operators.patterns import PATTERNS, SILENT
 from peneira.operators.rules import judge
 from peneira.operators.scan import scan
-from peneira.operators.vocabulary import FP_RATE, SAFE_TERMS
+from peneira.operators.vocabulary import BOTS, FP_RATE, SAFE_TERMS
 from peneira.plans import access, feedback, metrics, probability
 from peneira.plans.detect import Engine, analyze, detect, detect_extended, findings
-from peneira.plans.fixtures import BESIDE, OTHERS, view, with_views
+from peneira.plans.fixtures import BESIDE, HEURISTICS, ON_REQUEST, OTHERS, REST, view, with_views
 from peneira.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -288,6 +288,30 @@ def rule_more(t: DataFrame) -> DataFrame:
     return judge(t.select("doc_id", "text"), _picked(*_OTHERS)).select("doc_id", "name", "tipo", "valor", "peso")
 
 
+def _union(rows) -> str:
+    """One select of k's rows for each (number of sentences, the sentence's, its columns)."""
+    return " union all ".join(f"select k as doc_id, {columns.replace('{T}', 'varchar')} from fx_cpf where k%{n}={at}" for n, at, columns in rows)
+
+
+@query("rule_rest", "fx_rest", _union((len(REST), i, f"'{n}' as name, '{k}' as tipo, {v} as valor, {w}::int as peso") for i, (_, found) in enumerate(REST) for n, k, v, w in found))
+def rule_rest(t: DataFrame) -> DataFrame:
+    """Recognizers of phones and addresses whose matches others share."""
+    wanted = {n for _, found in REST for n, *_ in found}
+    return judge(t.select("doc_id", "text"), _picked(*wanted)).select("doc_id", "name", "tipo", "valor", "peso")
+
+
+@query("scan_on_request", "fx_request", _union((len(ON_REQUEST), i, f"'{n}' as name, {v} as valor") for i, (n, _, v) in enumerate(ON_REQUEST)))
+def scan_on_request(t: DataFrame) -> DataFrame:
+    """Matches of the patterns that are recognized but not reported."""
+    return scan(t.select("doc_id", "text"), SILENT).select("doc_id", "name", F.col("m").alias("valor"))
+
+
+@query("heur_rest", "fx_heur", _union((len(HEURISTICS), i, f"'{x[0]}' as tipo, {x[1]} as valor, {x[2]}::int as inicio") for i, (_, x) in enumerate(HEURISTICS) if x))
+def heur_rest(t: DataFrame) -> DataFrame:
+    """Treatment, informed CPF and identified citizen in whole texts."""
+    return names.heuristics(t).select("doc_id", "tipo", "valor", "inicio")
+
+
 @query("heur_minor", "fx_cpf", "select k as doc_id, 'MENOR_IDENTIFICADO' as tipo, 'Lima, '||cast(k%25 as varchar)||' anos' as valor, 11::int as inicio from fx_cpf where k%25<18 and k%3<>1")
 def heur_minor(t: DataFrame) -> DataFrame:
     """Under 18 and near a word of school; the third of the sentences has none."""
@@ -695,9 +719,9 @@ def access_counters(t: DataFrame) -> DataFrame:
     return access.counters(t, "view", "purchase")
 
 
-@query("bots", "fx_access", "select event_id, regexp_matches(lower(event_type), 'bot|crawl|curl') as robo from fx_access")
+@query("bots", "fx_agents", "select event_id, user_agent, coalesce(" + " or ".join(f"contains(lower(user_agent), '{b}')" for b in BOTS) + ", false) as robo from fx_agents")
 def bots(t: DataFrame) -> DataFrame:
-    return t.select("event_id", access.is_bot(F.col("event_type")).alias("robo"))
+    return t.select("event_id", "user_agent", access.is_bot(F.col("user_agent")).alias("robo"))
 
 
 # ---- whole detection

@@ -104,6 +104,34 @@ BESIDE = [
     ("TELEFONE_DDD_HIFEN", "TELEFONE_CURTO", "TELEFONE", "'9'||substr(cpf,6,4)||'-'||substr(cpf,2,4)", 4), ("ENDERECO_MORO_EM", "ENDERECO_RESIDENCIAL", "ENDERECO_RESIDENCIAL", "'moro na Vila Nova Casa '||cast(k%90+10 as {T})", 4),
     ("ENDERECO_LABEL", "ENDERECO_RESIDENCIAL", "ENDERECO_RESIDENCIAL", "'Endereço: Vila Nova, Lote '||cast(k%90+10 as {T})", 4),
 ]
+#: The same for recognizers whose findings others share, sentence by sentence.
+REST = [
+    ("'Celular 61 9'||substr(cpf,6,4)||' '||substr(cpf,2,4)||', favor ligar'", [("TELEFONE_DDD_ESPACO", "TELEFONE", "'61 9'||substr(cpf,6,4)||' '||substr(cpf,2,4)", 4)]),
+    ("'Meu telefone: 061 9'||substr(cpf,6,4)||'-'||substr(cpf,2,4)", [("TELEFONE_DDD_ZERO", "TELEFONE", "'061 9'||substr(cpf,6,4)||'-'||substr(cpf,2,4)", 4), ("TELEFONE_LOCAL", "TELEFONE", "'9'||substr(cpf,6,4)||'-'||substr(cpf,2,4)", 4)]),
+    ("'Meu telefone é 9'||substr(cpf,6,4)||'-'||substr(cpf,2,4)", [("TELEFONE_LOCAL", "TELEFONE", "'9'||substr(cpf,6,4)||'-'||substr(cpf,2,4)", 4)]),
+    ("'Minha casa fica na SHIN QI '||cast(k%20+1 as {T})||' Conjunto 7 Casa 12'", [("ENDERECO_SHIN_SHIS", "ENDERECO_RESIDENCIAL", "'SHIN'", 4)]),
+    ("'Moro na SHCE QUADRA '||cast(k%90+300 as {T})", [("ENDERECO_SETOR_DF", "ENDERECO_RESIDENCIAL", "'SHCE QUADRA '||cast(k%90+300 as {T})", 4)]),
+    ("'Moro no SAS '||cast(k%9+1 as {T})||' Bloco B'", [("ENDERECO_SETOR_DF", "ENDERECO_RESIDENCIAL", "'SAS '||cast(k%9+1 as {T})||' Bloco B'", 4)]),
+]
+#: Sentences for the patterns that are scanned on request, with the match of each.
+ON_REQUEST = [
+    ("PROCESSO_CNJ", "'Processo 00'||substr(cpf,1,5)||'-56.2024.8.07.0001 em curso'", "'00'||substr(cpf,1,5)||'-56.2024.8.07.0001'"),
+    ("MATRICULA", "'Minha matrícula: '||substr(cpf,1,3)||'.'||substr(cpf,4,3)||'-7 da escola'", "'matrícula: '||substr(cpf,1,3)||'.'||substr(cpf,4,3)||'-7'"),
+    ("COORDENADAS_GEO", "'Fica em latitude: -15.7'||substr(cpf,7,4)||', longitude: -47.88212'", "'latitude: -15.7'||substr(cpf,7,4)||', longitude: -47.88212'"),
+    ("COORDENADAS_GEO", "'O GPS -15.7'||substr(cpf,7,4)||' -47.88212 no local'", "'GPS -15.7'||substr(cpf,7,4)||' -47.88212'"),
+    ("USER_AGENT", "'Navegador: Mozilla/5.0 (X11; Linux) Gecko/'||cpf", "'Navegador: Mozilla/5.0 (X11; Linux) Gecko/'||cpf"),
+]
+#: Sentences for the heuristics of whole texts: kind, value and start, or none.
+HEURISTICS = [
+    ("'Solicito cópia do meu tratamento de câncer, item '||cast(k as {T})", ("DADO_SAUDE", "'Tratamento de câncer'", 0)),
+    ("'Isenção de imposto de renda de aposentado, tratamento de câncer '||cast(k as {T})", None),
+    ("'Item '||cast(k%90+10 as {T})||'. Maria Souza Lima informou seu cpf no balcão'", ("NOME", "'Maria Souza Lima informou'", 9)),
+    ("'Item '||cast(k%90+10 as {T})||'. O cidadão foi identificado como Pedro, na sala'", ("NOME", "'Pedro'", 41)),
+    ("'O cidadão foi identificado como pedro, sala '||cast(k as {T})", None),
+    ("'Item '||cast(k as {T})||': o paciente segue em tratamento  realizado de câncer'", ("DADO_SAUDE", "'Tratamento de câncer'", 0)),
+]
+#: Agents of browsers, programs and crawlers.
+AGENTS = ["Mozilla/5.0 (X11; Linux x86_64) Gecko/20100101 Firefox/128.0", "Googlebot/2.1 (+http://www.google.com/bot.html)", "curl/8.5.0", "Mozilla/5.0 (iPhone; CPU iPhone OS 17_5 like Mac OS X) Safari/604.1", "python-requests/2.32", "Mozilla/5.0 HeadlessChrome/126.0", "", "Wget/1.24", "Opera/9.80", "Java/17.0.2", "Mozilla/5.0 (compatible; AhrefsBot/7.0)", None, "Lynx/2.9"]
 _SEQ = "cast(row_number() over (partition by l_orderkey order by l_linenumber,l_partkey,l_suppkey,l_quantity,l_discount,l_extendedprice,l_tax) as int) as seq"
 
 VIEWS = {
@@ -111,13 +139,17 @@ VIEWS = {
     "fx_text": f"select k as doc_id, {_cases('k%8', _TEXTS)} as text from (select k, cpf, substr(cpf,1,3)||'.'||substr(cpf,4,3)||'.'||substr(cpf,7,3)||'-'||substr(cpf,10,2) as f from fx_cpf) z",
     "fx_text2": f"select k as doc_id, {_cases('k%24', _MORE)} as text from fx_cpf",
     "fx_text3": f"select k as doc_id, {_cases(f'k%{len(OTHERS)}', [x[1] for x in OTHERS])} as text from fx_cpf",
+    "fx_rest": f"select k as doc_id, {_cases(f'k%{len(REST)}', [x[0] for x in REST])} as text from fx_cpf",
+    "fx_request": f"select k as doc_id, {_cases(f'k%{len(ON_REQUEST)}', [x[1] for x in ON_REQUEST])} as text from fx_cpf",
+    "fx_heur": f"select k as doc_id, {_cases(f'k%{len(HEURISTICS)}', [x[0] for x in HEURISTICS])} as text from fx_cpf",
+    "fx_agents": f"select event_id, {_cases(f'event_id%{len(AGENTS)}', ['null' if a is None else repr(a) for a in AGENTS])} as user_agent from events",
     "fx_findings": f"select l_orderkey as doc_id, {_SEQ}, case l_linenumber%4 when 0 then 'NOME' when 1 then 'TELEFONE' when 2 then 'CPF' else 'EMAIL_PESSOAL' end as tipo, case l_linenumber%4 when 0 then 'Ana '||substr('Souza Lima Braga',1,cast(5+l_partkey%12 as int)) when 1 then substr('61999998888',1,cast(3+l_suppkey%9 as int)) else 'v'||cast(l_partkey%3 as {{T}}) end as valor, round(0.5+l_discount*4,4) as confianca, cast(2+l_partkey%4 as int) as peso, case l_suppkey%4 when 0 then 'regex' when 1 then 'bert' when 2 then 'gatilho' else 'spacy' end as source from lineitem",
     "fx_spans": f"select l_orderkey as doc_id, {_SEQ}, cast(l_partkey%60 as int) as s, cast(l_partkey%60+1+cast(l_quantity as int)%12 as int) as e, round(1-l_discount,4) as score, case l_suppkey%3 when 0 then 'regex' when 1 then 'bert_ner' else 'spacy' end as fonte from lineitem",
     "fx_feedback": "select l_orderkey as fb_id, case l_partkey%4 when 0 then 'CPF' when 1 then 'NOME' when 2 then 'TELEFONE' else 'EMAIL_PESSOAL' end as tipo, case l_suppkey%3 when 0 then 'regex' when 1 then 'bert_ner' else 'spacy' end as fonte, round(1-l_discount*5,4) as confianca_modelo, case when l_linenumber%7=0 then 'PARCIAL' when l_returnflag='R' then 'INCORRETO' else 'CORRETO' end as validacao_humana from lineitem",
     "fx_scores": "select case l_suppkey%3 when 0 then 'regex' when 1 then 'bert_ner' else 'spacy' end as fonte, 'CPF' as tipo, cast((l_partkey*613+l_suppkey*97+l_linenumber*31)%1009 as double)/1009 as score, case when (l_orderkey*769+l_linenumber*331)%1200 < (l_partkey*613+l_suppkey*97+l_linenumber*31)%1009 then 1 else 0 end as label from lineitem",
     "fx_access": "select event_id, user_id as ip, ts, event_type from events",
 }
-_NEEDS = {"fx_cpf": "customer", "fx_text": "fx_cpf", "fx_text2": "fx_cpf", "fx_text3": "fx_cpf", "fx_findings": "lineitem", "fx_spans": "lineitem", "fx_feedback": "lineitem", "fx_scores": "lineitem", "fx_access": "events"}
+_NEEDS = {"fx_cpf": "customer", "fx_text": "fx_cpf", "fx_text2": "fx_cpf", "fx_text3": "fx_cpf", "fx_rest": "fx_cpf", "fx_request": "fx_cpf", "fx_heur": "fx_cpf", "fx_agents": "events", "fx_findings": "lineitem", "fx_spans": "lineitem", "fx_feedback": "lineitem", "fx_scores": "lineitem", "fx_access": "events"}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
