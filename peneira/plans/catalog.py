@@ -629,18 +629,18 @@ def isotonic_fine(t: DataFrame) -> DataFrame:
 
 _CURVE = f"""{_MONOTONE}, q as (select distinct fonte, score from d),
  v as (select q.fonte, q.score, (select max(x) from points p where p.fonte=q.fonte and p.x<q.score) as a, (select min(x) from points p where p.fonte=q.fonte and p.x>=q.score) as b from q),
- z as (select v.*, pa.y as ay, pb.y as by_ from v left join points pa on pa.fonte=v.fonte and pa.x=v.a left join points pb on pb.fonte=v.fonte and pb.x=v.b)
- select fonte, score, round(case when a is null then by_ when b is null then ay else ay+(by_-ay)*(score-a)/(b-a) end, 9) as calibrado from z"""
+ z as (select v.*, pa.y as ay, pb.y as by_ from v left join points pa on pa.fonte=v.fonte and pa.x=v.a left join points pb on pb.fonte=v.fonte and pb.x=v.b),
+ cal as (select fonte, score, case when a is null then by_ when b is null then ay else ay+(by_-ay)*(score-a)/(b-a) end as calibrado from z)"""
 
 
-@query("calibrated", "fx_feedback", f"with {_FEED}, {_CURVE}")
+@query("calibrated", "fx_feedback", f"with {_FEED}, {_CURVE} select fonte, score, round(calibrado, 9) as calibrado from cal")
 def calibrated(t: DataFrame) -> DataFrame:
     rows = feedback.training_rows(t)
     done = feedback.calibrated(rows, feedback.isotonic(rows)).groupBy("fonte", F.col("score").cast("double").alias("score"))
     return done.agg(F.round(F.max("calibrado"), 9).alias("calibrado"))
 
 
-@query("calibrated_fine", "fx_scores", f"with d as (select fonte, score, label from fx_scores), {_CURVE}")
+@query("calibrated_fine", "fx_scores", f"with d as (select fonte, score, label from fx_scores), {_CURVE} select fonte, score, round(calibrado, 9) as calibrado from cal")
 def calibrated_fine(t: DataFrame) -> DataFrame:
     done = feedback.calibrated(t, feedback.isotonic(t)).groupBy("fonte", "score")
     return done.agg(F.round(F.max("calibrado"), 9).alias("calibrado"))
@@ -770,11 +770,21 @@ def feedback_by_kind(t: DataFrame) -> DataFrame:
     return feedback.by_type(feedback.training_rows(t))
 
 
-@query("calibration_run", "fx_feedback")
+_RUN = """select fonte, timestamp '2024-01-01' as ts, amostras, acuracia_antes, acuracia_depois, round(acuracia_depois-acuracia_antes, 4) as melhora from
+ (select fonte, count(*) as amostras, round(avg(((score>=0.5)=(label=1))::int::double), 4) as acuracia_antes, round(avg(((calibrado>=0.5)=(label=1))::int::double), 4) as acuracia_depois from d join cal using (fonte, score) group by fonte) q"""
+
+
+@query("calibration_run", "fx_feedback", f"with {_FEED}, {_CURVE} {_RUN}")
 def calibration_run(t: DataFrame) -> DataFrame:
     return feedback.recalibrate(t, F.lit("2024-01-01").cast("timestamp"))[1].drop("por_tipo")
 
 
+@query("calibration_fine", "fx_scores", f"with d as (select fonte, score, label from fx_scores), {_CURVE} {_RUN}")
+def calibration_fine(t: DataFrame) -> DataFrame:
+    """A calibration from the counts of rows."""
+    return feedback.recalibrate_counts(feedback.score_counts(t), F.lit("2024-01-01").cast("timestamp"))[1].drop("por_tipo")
+
+
 @query("rows_numbered", "conversations", "select row_number() over (order by conv_id, turn)-1 as n, conv_id, turn from conversations")
 def rows_numbered(t: DataFrame) -> DataFrame:
     ordered = t.select("conv_id", "turn").repartitionByRange(7, "conv_id", "turn").sortWithinPartitions("conv_id", "turn")

@@ -71,8 +71,20 @@ def _pooled(blocks: list[list], more: Iterable[tuple]) -> list[list]:
     return blocks
 
 
+#: Training rows by source, kind and score: positives and rows.
+COUNTS = "fonte string, tipo string, score double, total long, count long"
+
+
+def score_counts(rows: DataFrame) -> DataFrame:
+    """``COUNTS`` of training rows. Counts of batches add up, so they are what a calibration has to keep."""
+    score, label = F.col("score").cast("double"), F.col("label").cast("long")
+    tipo = F.col("tipo") if "tipo" in rows.columns else F.lit(None).cast("string")
+    usable = rows.where(label.isNotNull() & score.isNotNull() & ~F.isnan(score))
+    return usable.groupBy("fonte", tipo.alias("tipo"), (score + 0.0).alias("score")).agg(F.sum(label).alias("total"), F.count("*").alias("count"))
+
+
 def isotonic_blocks(rows: DataFrame) -> DataFrame:
-    """The blocks of the exact monotone fit of labels 0 and 1 to scores, by source: ``BLOCK``.
+    """The blocks of the exact monotone fit of labels 0 and 1 to scores, by source: ``BLOCK``. Takes training rows or their ``score_counts``.
 
     Rows are added up by score, partitions of neighbouring scores are pooled on their own, and what
     they leave is pooled once more: pooling of pooled stretches is pooling of all rows. The values
@@ -83,9 +95,8 @@ def isotonic_blocks(rows: DataFrame) -> DataFrame:
     import pandas as pd
 
     columns = [c.split()[0] for c in BLOCK.split(", ")]
-    score = F.col("score").cast("double")
-    usable = rows.where(F.col("label").isNotNull() & score.isNotNull() & ~F.isnan(score))
-    points = usable.groupBy("fonte", (score + 0.0).alias("x")).agg(F.sum(F.col("label").cast("long")).alias("total"), F.count("*").alias("count"))
+    counts = rows if {"total", "count"} <= set(rows.columns) else score_counts(rows)
+    points = counts.groupBy("fonte", F.col("score").alias("x")).agg(F.sum("total").alias("total"), F.sum("count").alias("count"))
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         source, blocks = None, []
@@ -124,12 +135,20 @@ def recalibrate(feedback: DataFrame, at: Column | None = None) -> tuple[DataFram
     History: fonte, ts, amostras, accuracy at .5 before and after, the improvement, and
     ``por_tipo`` (of all sources). Under ``LEAST_TOTAL`` feedback rows nothing is fitted.
     """
-    rows = training_rows(feedback)
-    points = isotonic(rows if feedback.limit(LEAST_TOTAL).count() == LEAST_TOTAL else rows.limit(0))
-    tested = calibrated(rows.join(points.select("fonte").distinct(), "fonte"), points)
-    hit = lambda c: F.avg(((F.col(c) >= 0.5) == (F.col("label") == 1)).cast("double"))
-    per = tested.groupBy("fonte").agg(F.count("*").alias("amostras"), F.round(hit("score"), 4).alias("acuracia_antes"), F.round(hit("calibrado"), 4).alias("acuracia_depois"))
-    kinds = by_type(rows).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("tipo", F.struct("total", "corretos"))))).alias("por_tipo"))
+    enough = feedback.limit(LEAST_TOTAL).count() == LEAST_TOTAL
+    return recalibrate_counts(score_counts(training_rows(feedback)), at, enough)
+
+
+def recalibrate_counts(counts: DataFrame, at: Column | None = None, enough: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    """``recalibrate`` from ``score_counts``, for instance of a log of batches; ``LEAST_TOTAL`` is asked of the counts unless it is known."""
+    if enough is None:
+        enough = (counts.agg(F.sum("count")).first()[0] or 0) >= LEAST_TOTAL
+    points = isotonic(counts if enough else counts.limit(0))
+    tested = calibrated(counts.join(points.select("fonte").distinct(), "fonte", "left_semi"), points)
+    hits = lambda c: F.sum(F.when(F.col(c) >= 0.5, F.col("total")).otherwise(F.col("count") - F.col("total"))).cast("double") / F.sum("count")
+    per = tested.groupBy("fonte").agg(F.sum("count").alias("amostras"), F.round(hits("score"), 4).alias("acuracia_antes"), F.round(hits("calibrado"), 4).alias("acuracia_depois"))
+    each = counts.groupBy(F.coalesce("tipo", F.lit("UNKNOWN")).alias("tipo")).agg(F.sum("count").alias("total"), F.sum("total").alias("corretos"))
+    kinds = each.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("tipo", F.struct("total", "corretos"))))).alias("por_tipo"))
     history = per.join(F.broadcast(kinds)).withColumn("ts", F.current_timestamp() if at is None else at)
     return points, history.select("fonte", "ts", "amostras", "acuracia_antes", "acuracia_depois", F.round(F.col("acuracia_depois") - F.col("acuracia_antes"), 4).alias("melhora"), "por_tipo")
 

@@ -33,13 +33,3 @@ def matches_by_window(docs: DataFrame, engine: Engine = Engine(), window: str =
     """Accepted matches by kind and time window, in one stateless pass and one aggregation."""
     found = judge(docs.withWatermark("ts", late), engine.patterns)
     return found.groupBy(F.window("ts", window), "tipo").agg(F.count("*").alias("n"))
-
-
-def retrain_stream(feedback: DataFrame, table: str, recompute: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
-    """Appends feedback to a Parquet table and recomputes from all of it after each micro-batch."""
-
-    def each(batch: DataFrame, _: int) -> None:
-        batch.write.mode("append").parquet(table)
-        recompute(batch.sparkSession.read.parquet(table))
-
-    return feedback.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
