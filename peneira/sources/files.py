@@ -1,7 +1,6 @@
 """Reading batches of texts and writing results.
 
-Sheets come as CSV with a text and an id column under any of several headings, or as
-XLSX through pandas on the driver (one sheet, and only with openpyxl there).
+Sheets come as CSV or XLSX with a text and an id column under any of several headings.
 """
 
 from __future__ import annotations
@@ -9,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from peneira.sources import sheets
+
 # Headings in order of preference.
 TEXT_HEADINGS = ("texto mascarado", "texto", "text", "mensagem", "descricao", "descrição", "conteudo", "conteúdo", "manifestacao", "manifestação", "solicitacao", "pedido", "teor")
 ID_HEADINGS = ("id", "codigo", "código", "protocolo", "numero", "número", "identificador", "ref")
@@ -18,14 +19,11 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("sep", sep).csv(path)
 
 
-def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """One sheet, read on the driver."""
-    try:
-        import openpyxl  # noqa: F401
-        import pandas as pd
-    except ImportError as e:
-        raise RuntimeError("reading XLSX needs openpyxl") from e
-    return spark.createDataFrame(pd.read_excel(path, dtype=str))
+def read_xlsx(spark: SparkSession, path: str, sheet: int = 1, schema: str | None = None) -> DataFrame:
+    """Sheets of one workbook or of many; ``schema`` picks columns by heading."""
+    sheets.register(spark)
+    reader = spark.read.format("sheet").option("sheet", sheet)
+    return (reader if schema is None else reader.schema(schema)).load(path)
 
 
 def read_inline(spark: SparkSession, items: list[dict], most: int = 200) -> DataFrame:
@@ -139,15 +137,10 @@ def write_report(rows: DataFrame, path: str) -> None:
     marked.write.option("header", True).option("sep", ";").option("quoteAll", False).csv(path)
 
 
-def write_xlsx(rows: DataFrame, path: str, most: int = 1_048_575) -> None:
-    """One sheet, written by the driver; more rows than a sheet holds are refused."""
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError as e:
-        raise RuntimeError("writing XLSX needs openpyxl") from e
-    if rows.limit(most + 1).count() > most:
-        raise ValueError(f"a sheet has at most {most} rows")
-    rows.toPandas().to_excel(path, index=False, sheet_name="Classificação PII")
+def write_xlsx(rows: DataFrame, path: str, most: int = sheets.MOST) -> None:
+    """A folder of workbooks, one for each part and for each ``most`` of its rows."""
+    sheets.register(rows.sparkSession)
+    rows.write.format("sheet").mode("append").option("name", "Classificação PII").option("most", most).save(path)
 
 
 def write_json(rows: DataFrame, path: str, one_file: bool = False) -> None:
