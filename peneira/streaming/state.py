@@ -19,6 +19,18 @@ from pyspark.sql.streaming import StreamingQuery
 from peneira.plans import feedback as B
 
 
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none where there is no folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @dataclass(frozen=True)
 class CountLog:
     """Sums of ``sums`` by ``keys`` under ``path``, a folder that all executors share; keys may be null."""
@@ -30,13 +42,10 @@ class CountLog:
     schema: str
 
     def _names(self, folder: str) -> list[str]:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
-        fs = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+        return _names(self.spark, f"{self.path}/{folder}")
 
     def _delete(self, folder: str) -> None:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(self.spark, f"{self.path}/{folder}")
 
     def _complete(self, folder: str) -> bool:
         return "_SUCCESS" in self._names(folder)
@@ -88,6 +97,58 @@ class CountLog:
         return any(n.rpartition("-")[0] == writer and int(n.rpartition("-")[2]) >= number for n in self._state()[1])
 
 
+@dataclass(frozen=True)
+class KeyedTable:
+    """The latest row of each key under ``path``, in buckets by the key's hash; an upsert rewrites only the buckets it touches.
+
+    Each upsert is a generation, a folder that counts once it is complete. A bucket's rows are those
+    of the newest generation that has it, so a reader sees an upsert whole or not at all, and one
+    that fails leaves nothing. One process at a time may write. Of equal times the later upsert wins,
+    within one the greatest row. Null keys are keys.
+    """
+
+    spark: SparkSession
+    path: str
+    keys: Sequence[str]
+    when: str
+    schema: str
+    buckets: int = 64
+
+    def _newest(self) -> dict[int, int]:
+        """The newest complete generation of each bucket: as many entries as buckets."""
+        out = {}
+        for name in _names(self.spark, self.path):
+            inside = _names(self.spark, f"{self.path}/{name}")
+            if "_SUCCESS" in inside:
+                out |= {int(b.partition("=")[2]): int(name) for b in inside if b.startswith("_bucket=")}
+        return out
+
+    def _read(self, held: dict[int, int]) -> DataFrame:
+        paths = [f"{self.path}/{g:012d}/_bucket={b}" for b, g in sorted(held.items())]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def read(self) -> DataFrame:
+        return self._read(self._newest())
+
+    def upsert(self, changes: DataFrame) -> list[int]:
+        """Puts each change in place of the row of its key, unless that is newer; gives the buckets rewritten."""
+        held = self._newest()
+        number = max((int(n) for n in _names(self.spark, self.path)), default=-1) + 1
+        columns = self.spark.createDataFrame([], self.schema).columns
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        news = changes.select(*columns).withColumns({"_bucket": bucket, "_turn": F.lit(1)})
+        touched = sorted(r[0] for r in news.select("_bucket").distinct().collect())
+        old = self._read({b: g for b, g in held.items() if b in touched}).select(*columns).withColumns({"_bucket": bucket, "_turn": F.lit(0)})
+        row = F.struct(F.col(self.when), "_turn", *(c for c in columns if c != self.when))
+        latest = old.unionByName(news).groupBy("_bucket", *(F.col(k).alias(f"_k{i}") for i, k in enumerate(self.keys))).agg(F.max(row).alias("_r"))
+        # rows of a bucket spread over tasks by key, so a great bucket does not gather in one
+        latest.select("_bucket", *(F.col("_r")[c].alias(c) for c in columns)).write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/{number:012d}")
+        for b, g in held.items():
+            if b in touched:
+                _delete(self.spark, f"{self.path}/{g:012d}/_bucket={b}")
+        return touched
+
+
 def feedback_log(spark: SparkSession, path: str) -> CountLog:
     """A log of training rows by source, kind and score: all that the calibration needs."""
     return CountLog(spark, path, ("fonte", "tipo", "score"), ("total", "count"), B.COUNTS)

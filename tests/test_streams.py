@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from peneira.plans import access, feedback
-from peneira.streaming.state import CountLog, feedback_log, recalibrate_stream
+from peneira.streaming.state import CountLog, KeyedTable, feedback_log, recalibrate_stream
 
 
 def _batches(spark, path, parts, schema):
@@ -78,3 +78,30 @@ def test_log_of_two_writers(spark, tmp_path):
     log.compact()
     log.compact()
     assert now() == {"a": 13, "b": 1, None: 5} and log.listed(0, "y") and log.listed(1, "x")
+
+
+def test_upserts_equal_the_latest_rows(spark, tmp_path):
+    rng = random.Random(1)
+    schema = "fb_id long, valor string, ts long, validacao_humana string"
+    table, now = KeyedTable(spark, str(tmp_path / "t"), ("fb_id", "valor"), "ts", schema, 8), {}
+    assert table.read().count() == 0
+    for turn in range(4):
+        rows = [(rng.choice([None, *range(12)]), rng.choice("ab"), rng.choice([None, rng.randint(0, 9)]), rng.choice(["CORRETO", "INCORRETO", None])) for _ in range((30, 1, 0, 30)[turn])]
+        touched = table.upsert(spark.createDataFrame(rows, schema))
+        place = lambda r: (r[2] is not None, r[2] or 0)
+        said = lambda r: (r[3] is not None, r[3] or "")
+        best = {}
+        for r in rows:
+            if r[:2] not in best or (place(r), said(r)) > (place(best[r[:2]]), said(best[r[:2]])):
+                best[r[:2]] = r
+        for k, r in best.items():
+            if k not in now or place(r) >= place(now[k]):
+                now[k] = r
+        assert sorted(map(tuple, table.read().collect()), key=str) == sorted(now.values(), key=str)
+        assert len(touched) <= len(best)
+    # an upsert that did not end does not count, and the next takes another number
+    spark.createDataFrame([(1, "a", 99, "X", 0)], schema + ", _bucket int").write.partitionBy("_bucket").parquet(str(tmp_path / "t" / "000000000009"))
+    (tmp_path / "t" / "000000000009" / "_SUCCESS").unlink()
+    assert table.read().where("ts = 99").count() == 0
+    table.upsert(spark.createDataFrame([(1, "a", 100, "Y")], schema))
+    assert [r.validacao_humana for r in table.read().where("fb_id = 1 and valor = 'a'").collect()] == ["Y"]
