@@ -15,7 +15,9 @@ goes; the stretch of a page is the limit less the part's longest row, so none is
 single row above the limit has a page of its own and is marked ``oversized``.
 
 Each row goes with all its columns to its shard and page, and ``write_shards`` writes
-the shards: a page of a shard is one file.
+the shards: a file holds many pages one after the other, a page stands in one file, and
+``offsets`` tells file, first row and rows of each. So there are as many files as write tasks,
+not as shards, and a shard is read by the row groups that hold it.
 
 Defined results: null texts have no bytes; a null key is a key; equal rows stay
 apart as rows; all columns, whatever their names, are kept in ``document``; an empty table gives an empty result. Keys are hashed as text, null
@@ -27,7 +29,7 @@ from __future__ import annotations
 import math
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from peneira.llm.common import materialize, shared_dir
@@ -94,15 +96,27 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int =
 
 
 def write_shards(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
-    """Writes each page of each shard as one file, ``<path>/at=<shard>_<page>/``, and gives the written table.
+    """Writes the shards, in the order of shard and page within each file, and gives the written table.
 
     Without ``path``, the shards go to the folder that driver and executors share.
     """
     sharded = shard(docs, key, text, limit)
     path = path or f"{shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
-    at = F.concat_ws("_", "shard", "page")
-    sharded.withColumn("at", at).repartition("at").write.partitionBy("at").parquet(path)
-    return docs.sparkSession.read.schema(sharded.schema).parquet(path).select(*sharded.columns)
+    sharded.repartition("shard", "page").sortWithinPartitions("shard", "page").write.parquet(path)
+    return docs.sparkSession.read.schema(sharded.schema).parquet(path)
+
+
+def offsets(spark: SparkSession, path: str) -> DataFrame:
+    """Of each written page: shard, page, file, first (its first row there, from 0), rows, bytes. Texts are not read."""
+    place = F.col("_metadata.row_index")
+    pages = spark.read.parquet(path).select("shard", "page", "bytes", F.col("_metadata.file_name").alias("file"), place.alias("at"))
+    return pages.groupBy("shard", "page", "file").agg(F.min("at").alias("first"), F.count("*").alias("rows"), F.sum("bytes").alias("bytes"))
+
+
+def read_shard(spark: SparkSession, path: str, shard: str, page: int | None = None) -> DataFrame:
+    """The documents of a shard, or of one page; other row groups are passed over by their bounds."""
+    rows = spark.read.parquet(path).where(F.col("shard") == shard)
+    return (rows if page is None else rows.where(F.col("page") == page)).select("document.*")
 
 
 #: The same for ``documents`` in DuckDB, where no document is above the limit.

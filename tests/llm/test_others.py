@@ -62,6 +62,14 @@ def test_shards_are_written_with_their_rows(spark, edges, empty, tmp_path):
     for r in spark.read.parquet(path).select("shard", "page", F.input_file_name().alias("file")).collect():
         files[r.shard, r.page].add(r.file)
     assert files.keys() == size.keys() and all(len(f) == 1 for f in files.values())
+    # pages stand whole, one after the other, many to a file
+    table = sharding.offsets(spark, path).collect()
+    assert {(r.shard, r.page): r.bytes for r in table} == size and len({r.file for r in table}) < len(table)
+    for file in {r.file for r in table}:
+        spots = sorted((r.first, r.rows) for r in table if r.file == file)
+        assert [a for a, _ in spots] == [sum(n for _, n in spots[:i]) for i in range(len(spots))]
+    one = max(table, key=lambda r: r.rows)
+    assert sorted(map(tuple, sharding.read_shard(spark, path, one.shard, one.page).collect()), key=str) == sorted((tuple(r.document) for r in got if (r.shard, r.page) == (one.shard, one.page)), key=str)
     mixed = sharding.write_shards(edges, limit=6000)
     assert mixed.count() == edges.count() and mixed.select("document.*").exceptAll(edges).count() == 0
     assert sharding.write_shards(empty).count() == 0
