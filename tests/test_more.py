@@ -120,10 +120,11 @@ def test_pooling_equals_the_least_squares_fit(spark):
     rng = random.Random(3)
     for _ in range(20):
         xs = sorted({round(rng.random(), 2) for _ in range(rng.randint(1, 9))})
-        rows = [(x, rng.random(), rng.randint(1, 4)) for x in xs]
-        points = dict(feedback._pooled(rows))
+        rows = [(x, rng.randint(0, n), n) for x in xs for n in [rng.randint(1, 4)]]
+        blocks = feedback._pooled([], ((x, x, total, n) for x, total, n in rows))
+        points = {x: total / n for first, last, total, n in blocks for x in (first, last)}
         # the greatest mean from any start at or before a place, over the least to any end at or after it
-        mean = lambda i, j: sum(y * n for _, y, n in rows[i : j + 1]) / sum(n for *_, n in rows[i : j + 1])
+        mean = lambda i, j: sum(y for _, y, _ in rows[i : j + 1]) / sum(n for *_, n in rows[i : j + 1])
         for k, (x, *_) in enumerate(rows):
             if x in points:
                 assert abs(points[x] - max(min(mean(i, j) for j in range(k, len(rows))) for i in range(k + 1))) < 1e-9
