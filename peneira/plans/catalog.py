@@ -492,15 +492,27 @@ def entity_confidence(t: DataFrame) -> DataFrame:
     return probability.entity_confidence(rows).select("k", F.round("confianca", 6).alias("confianca"), F.col("dv_valido"))
 
 
-@query("document_confidence")
+_ISLAND = "with o as (select *, max(e) over (partition by doc_id order by s, seq rows between unbounded preceding and 1 preceding) as reach from {src}), i as (select *, sum(case when reach is null or s {op} reach then 1 else 0 end) over (partition by doc_id order by s, seq rows unbounded preceding) as island from o)"
+
+
+@query(
+    "document_confidence",
+    None,
+    _ISLAND.format(src="fx_spans", op=">=")
+    + f""", f as (select doc_id, island, fonte, max(score) as x from i group by doc_id, island, fonte),
+ p as (select *, case when x>=0.99 then 0.90+(x-0.99)*2.0 when x>=0.95 then 0.85+(x-0.95)*1.5 when x>=0.90 then 0.82+(x-0.90)*0.6 when x>=0.80 then x-0.02 else x end as p from f),
+ n as (select doc_id, island, count(*) as fontes, greatest(0.0001, least(0.9999, 1/(1+exp(-least(20, ln(0.01/0.99)+sum(ln(greatest(0.0001, least(0.9999, p))/(case fonte {_FP} end)))))))) as c from p group by doc_id, island),
+ u as (select doc_id, string_agg(distinct fonte, ',' order by fonte) as sources_used from f group by doc_id)
+ select doc_id, round(least(0.9999, (0.7*min(c)+0.3*avg(c))*least(1.1, 1+0.02*(floor(avg(fontes))-1))), 6) as all_found, round(min(c), 6) as min_entity, 'CRITICO' as risco, sources_used from n join u using (doc_id) group by doc_id, sources_used""",
+)
 def document_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = view(spark, sf_dir, "fx_spans").withColumns({"tipo": F.lit("CPF"), "valor": F.concat(F.lit("v"), F.col("seq").cast("string"))})
-    return probability.document_confidence(probability.raw_pipeline(raw)).withColumn("sources_used", F.array_join("sources_used", ","))
+    done = probability.document_confidence(probability.raw_pipeline(raw))
+    return done.select("doc_id", F.round("all_found", 6).alias("all_found"), F.round("min_entity", 6).alias("min_entity"), "risco", F.array_join("sources_used", ",").alias("sources_used"))
 
 
 # ---- spans
 
-_ISLAND = "with o as (select *, max(e) over (partition by doc_id order by s, seq rows between unbounded preceding and 1 preceding) as reach from {src}), i as (select *, sum(case when reach is null or s {op} reach then 1 else 0 end) over (partition by doc_id order by s, seq rows unbounded preceding) as island from o)"
 
 
 @query("overlap_islands", "fx_spans", _ISLAND.format(src="fx_spans", op=">=") + " select doc_id, island::bigint as island, min(s) as s, max(e) as e, count(*) as n from i group by doc_id, island")
